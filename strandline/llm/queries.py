@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, merkle, mixing, secret_scan, sharding
+from . import decontam, doubling, langid, licenses, merkle, mixing, secret_scan, sharding, suffix_levels
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,15 @@ def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents")).select("doc_id", "bytes", "shard", "depth", "shard_bytes", "shard_docs", "oversized")
 
 
+def op8_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_levels.deduplicate(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op9_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubling.deduplicate(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents")).select("doc_id", "declared", "language", F.round("posterior", 6).alias("posterior"), "accepted")
 
@@ -51,7 +60,7 @@ def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_source_mix, op2_decontamination, op3_license_scan, op4_secret_scan, op5_merkle_fingerprints, op6_extendible_shards, op10_language_id, page_language)
+    named = (op1_source_mix, op2_decontamination, op3_license_scan, op4_secret_scan, op5_merkle_fingerprints, op6_extendible_shards, op8_suffix_levels, op9_substring_doubling, op10_language_id, page_language)
     return {f.__name__: f for f in named}
 
 
