@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from strandline.llm import decontam, langid, mixing, sharding
+from strandline.llm import decontam, langid, lsh_forest, mixing, sharding
 from strandline.llm.common import KEY, durable, with_key
 
 
@@ -14,6 +16,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_key(docs).join(gone, KEY, "left_anti").select(docs.columns)
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one of least id."""
+    keep = durable(lsh_forest.join(docs).filter("keeper").select(*KEY).distinct(), "keepers")
+    once = with_key(docs).withColumn("_n", F.row_number().over(W.partitionBy(*KEY).orderBy("_k1"))).filter("_n = 1")
+    return once.join(keep, KEY, "left_semi").select(docs.columns)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages make up a twentieth go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -33,6 +42,7 @@ def sharding_by_hash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("language_id", language_id),
+    ("jaccard_join", jaccard_join),
     ("decontamination", decontamination),
     ("mixing", mixing_to_weights),
     ("sharding", sharding_by_hash),

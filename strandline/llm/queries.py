@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, doubling, langid, licenses, merkle, mixing, secret_scan, sharding, suffix_levels
+from . import decontam, doubling, langid, licenses, lsh_forest, merkle, mixing, secret_scan, sharding, suffix_levels
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents")).select("doc_id", "bytes", "shard", "depth", "shard_bytes", "shard_docs", "oversized")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_texts")
+
+
 def op8_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_levels.deduplicate(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -60,7 +64,7 @@ def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_source_mix, op2_decontamination, op3_license_scan, op4_secret_scan, op5_merkle_fingerprints, op6_extendible_shards, op8_suffix_levels, op9_substring_doubling, op10_language_id, page_language)
+    named = (op1_source_mix, op2_decontamination, op3_license_scan, op4_secret_scan, op5_merkle_fingerprints, op6_extendible_shards, op7_jaccard_join, op8_suffix_levels, op9_substring_doubling, op10_language_id, page_language)
     return {f.__name__: f for f in named}
 
 
