@@ -9,7 +9,8 @@ that holds the same bytes.  The space of k-grams is dealt to buckets, and each b
 family of its own; so no task holds more than its bucket.
 
 Sorting by fingerprint in place of the bytes themselves keeps entries to 20 bytes; matches are
-settled on whole windows by 96 bits of two independent hashes.
+settled on whole windows: runs whose k-gram stands elsewhere in other surroundings send their bytes,
+and their windows are compared by two independent 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as win
-from .common import discard, durable
+from .common import durable
 
 GRAM = 16
 
@@ -76,16 +77,29 @@ def match_anchors(keys: list[np.ndarray], bodies: list[np.ndarray], vals: list[n
     return out
 
 
-def match_windows(checks: list[np.ndarray], bodies: list[np.ndarray], vals: list[np.ndarray]) -> list[np.ndarray]:
-    """DROP where a smaller document holds the window."""
-    check, body, least = np.concatenate(checks), np.concatenate(bodies), np.concatenate(vals)
-    order = np.lexsort((check, body))
-    c, b = check[order], body[order]
-    heads = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (c[1:] != c[:-1])]))
-    first = np.repeat(np.minimum.reduceat(least[order], heads), np.diff([*heads, len(order)]))
-    codes = np.empty(len(order), np.uint8)
-    codes[order] = np.where(first < least[order], win.DROP, win.NONE)
-    return np.split(codes, np.cumsum([len(x) for x in bodies])[:-1])
+def match_windows(contents: DataFrame, size: int) -> DataFrame:
+    """batch, bucket, codes (uint8 for each window of the runs in contents): DROP where a smaller document holds the window."""
+
+    def group(got: pa.Table) -> pa.Table:
+        got = got.sort_by("batch")
+        checks, bodies, least = [], [], []
+        for lengths, low, data in zip(got.column("lengths"), got.column("least"), got.column("data"), strict=True):
+            lengths = win.from_planes(lengths.as_py(), np.uint32).astype(np.int64)
+            body, check = win.hashes_of(np.frombuffer(data.as_py(), np.uint8), lengths, size)
+            bodies.append(body)
+            checks.append(check)
+            least.append(np.repeat(win.from_planes(low.as_py(), np.int64), lengths - size + 1))
+        check, body, low = np.concatenate(checks), np.concatenate(bodies), np.concatenate(least)
+        order = np.lexsort((check, body))
+        c, b = check[order], body[order]
+        heads = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (c[1:] != c[:-1])]))
+        first = np.repeat(np.minimum.reduceat(low[order], heads), np.diff([*heads, len(order)]))
+        codes = np.empty(len(order), np.uint8)
+        codes[order] = np.where(first < low[order], win.DROP, win.NONE)
+        parts = np.split(codes, np.cumsum([len(x) for x in bodies])[:-1])
+        return pa.table({"batch": got.column("batch"), "bucket": got.column("bucket"), "codes": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+    return contents.groupBy("bucket").applyInArrow(group, "batch long, bucket long, codes binary")
 
 
 def deduplicate(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,16 +115,14 @@ def deduplicate(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_co
     buckets = max(1, -(-(packed.agg(F.sum("raw")).first()[0] or 0) // win.BUCKET))
     entries = win.anchor_entries(packed, setting, buckets, lambda d: d.least)
     codes = durable(win.by_batch(win.judge(entries, match_anchors, "int64"), "codes"), "suffix-codes")
-    candidates = durable(win.window_table(packed, codes, setting, buckets, (size,)), "suffix-windows")
-    shown = win.window_entries(candidates, f"h{size}", "check", "least", buckets)
-    verdicts = durable(win.window_verdicts(candidates, f"h{size}", buckets, win.judge(shown, match_windows, "int64")), "suffix-verdicts")
-    discard(candidates)
+    contents = win.run_contents(packed, codes, setting, buckets)
+    verdicts = durable(win.by_batch(match_windows(contents, size), "gone"), "suffix-verdicts")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, parts, gone in zip(*(batch.column(i) for i in range(1, 4)), strict=True):
                 texts, runs, d = win.read_batch(blob.as_py(), setting, buckets)
-                out = win.removed(texts, runs, d, win.codes_of(parts.as_py(), len(d.key)), gone.as_py(), True)
+                out = win.removed(texts, runs, d, win.codes_of(parts.as_py(), len(d.key)), b"".join(gone.as_py()) if gone.is_valid else None, True)
                 data, ends = np.frombuffer(texts.data, np.uint8), np.cumsum(texts.sizes)
                 rows = []
                 for a, z in zip(ends - texts.sizes, ends, strict=True):
@@ -122,5 +134,5 @@ def deduplicate(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_co
                 ids = [None if o == win.NULL_ORDER else int(o) for o in texts.order]
                 yield win.table({"_k1": (list(texts.k1), pa.int64()), "_k2": (list(texts.k2), pa.int64()), "doc_id": (ids, pa.int64()), "n_bytes": (n, pa.int64()), "n_removed": (r, pa.int64()), "n_spans": (s, pa.int64()), "kept": (k, pa.binary()), "kept_sha256": (h, pa.string())})
 
-    rows = packed.select("batch", "texts").join(codes, "batch", "left").join(verdicts, "batch", "left").select("batch", "texts", "codes", "alive")
+    rows = packed.select("batch", "texts").join(codes, "batch", "left").join(verdicts, "batch", "left").select("batch", "texts", "codes", "gone")
     return rows.mapInArrow(each, "_k1 long, _k2 long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

@@ -33,6 +33,8 @@ from .common import KEY, durable, keyed
 NONE, DROP, LOOK, DROP_SHOW = 0, 1, 2, 3
 #: Text bytes of a batch, of the text a bucket of k-grams stands for, and symbols that are looked at together.
 BATCH, BUCKET, CHUNK = 2 << 20, 16 << 20, 1 << 18
+#: Of zstd, for texts.
+LEVEL = 5
 NULL_ORDER = (1 << 63) - 1
 U = np.uint64
 PLACE = U((1 << 20) - 1)
@@ -74,7 +76,7 @@ class Texts:
 
     def dump(self) -> bytes:
         head = np.array([len(self.k1)], np.int64)
-        return zstandard.ZstdCompressor(3).compress(b"".join([head.tobytes(), self.k1.tobytes(), self.k2.tobytes(), self.order.tobytes(), self.sizes.tobytes(), self.data]))
+        return zstandard.ZstdCompressor(LEVEL).compress(b"".join([head.tobytes(), self.k1.tobytes(), self.k2.tobytes(), self.order.tobytes(), self.sizes.tobytes(), self.data]))
 
     @classmethod
     def load(cls, blob: bytes) -> Texts:
@@ -237,6 +239,16 @@ class Distinct:
                 yield int(self.bucket[a]), slice(int(a), int(z))
 
 
+def planes(x: np.ndarray) -> bytes:
+    """x by bytes of equal weight: high bytes that hardly vary then take no room when compressed."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_planes(raw: bytes, kind: np.dtype | str) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 def table(cols: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in cols.values()], names=list(cols))
 
@@ -260,7 +272,7 @@ def anchor_entries(packed: DataFrame, setting: Setting, buckets: int, value: Cal
             for number, blob in zip(batch.column(0), batch.column(1), strict=True):
                 _, _, d = read_batch(blob.as_py(), setting, buckets)
                 vals = value(d)
-                rows = [(b, s.stop - s.start, d.key[s].tobytes(), d.body[s].tobytes(), vals[s].tobytes()) for b, s in d.parts()]
+                rows = [(b, s.stop - s.start, d.key[s].tobytes(), planes(d.body[s]), planes(vals[s])) for b, s in d.parts()]
                 if rows:
                     b, n, k, h, v = map(list, zip(*rows, strict=True))
                     yield table({"bucket": (b, pa.int64()), "batch": ([number.as_py()] * len(b), pa.int64()), "n": (n, pa.int64()), "keys": (k, pa.binary()), "bodies": (h, pa.binary()), "vals": (v, pa.binary())})
@@ -273,8 +285,8 @@ def judge(entries: DataFrame, verdict: Callable[[list[np.ndarray], list[np.ndarr
 
     def group(got: pa.Table) -> pa.Table:
         got = got.sort_by("batch")
-        pull = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in got.column(name)]
-        codes = verdict(pull("keys", np.uint32), pull("bodies", U), pull("vals", np.dtype(value_type)))
+        pull = lambda name, kind: [from_planes(x.as_py(), kind) for x in got.column(name)]
+        codes = verdict([np.frombuffer(x.as_py(), np.uint32) for x in got.column("keys")], pull("bodies", U), pull("vals", value_type))
         return pa.table({"batch": got.column("batch"), "bucket": got.column("bucket"), "codes": pa.array([c.astype(np.uint8).tobytes() for c in codes], pa.binary())})
 
     return entries.groupBy("bucket").applyInArrow(group, "batch long, bucket long, codes binary")
@@ -312,6 +324,47 @@ def window_table(packed: DataFrame, codes: DataFrame, setting: Setting, buckets:
     return joined.mapInArrow(each, f"batch long, n long, {kinds}")
 
 
+def run_contents(packed: DataFrame, codes: DataFrame, setting: Setting, buckets: int) -> DataFrame:
+    """bucket, batch, lengths (uint32), least (int64), data: the bytes of every run of code LOOK, by bucket of its k-gram."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, blob, parts in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                _, runs, d = read_batch(blob.as_py(), setting, buckets)
+                _, picked, _ = looked_at(runs, d, codes_of(parts.as_py(), len(d.key)))
+                if not len(picked):
+                    continue
+                lengths, of = runs.last[picked] - runs.start[picked] + runs.size, d.of_run[picked]
+                cuts = [0, *(np.flatnonzero(np.diff(d.bucket[of])) + 1), len(picked)]
+                cols: dict[str, tuple[list, pa.DataType]] = {"bucket": ([], pa.int64()), "batch": ([], pa.int64()), "lengths": ([], pa.binary()), "least": ([], pa.binary()), "data": ([], pa.binary())}
+                for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                    data = b"".join(runs.symbols[i : i + n].tobytes() for i, n in zip(runs.start[picked[a:z]], lengths[a:z], strict=True))
+                    for name, value in zip(cols, (int(d.bucket[of[a]]), number.as_py(), planes(lengths[a:z].astype(np.uint32)), planes(d.least[of[a:z]]), data), strict=True):
+                        cols[name][0].append(value)
+                yield table(cols)
+
+    joined = packed.select("batch", "texts").join(codes, "batch")
+    return joined.mapInArrow(each, "bucket long, batch long, lengths binary, least binary, data binary")
+
+
+def hashes_of(data: np.ndarray, lengths: np.ndarray, size: int) -> list[np.ndarray]:
+    """Two hashes of each window of ``size`` in pieces of the given lengths that stand one after another in data."""
+    ends = np.cumsum(lengths)
+    counts = lengths - size + 1
+    at = np.repeat(ends - lengths - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    out = [np.zeros(len(at), U) for _ in range(2)]
+    for c in range(0, len(data), CHUNK):
+        i, j = np.searchsorted(at, [c, c + CHUNK])
+        x, p = data[c : c + CHUNK + size], at[i:j] - c
+        for which in range(2):
+            codes = BYTE_CODES[which][x]
+            power, inverse = powers(len(x))[which]
+            prefix = np.zeros(len(x) + 1, U)
+            np.cumsum(codes * power[: len(x)], out=prefix[1:])
+            out[which][i:j] = mixed((prefix[p + size] - prefix[p]) * inverse[p])
+    return out
+
+
 def looked_at(runs: Runs, d: Distinct, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each distinct run the number of its first run; the runs whose windows are compared, and their codes."""
     first = np.full(len(d.key), len(runs.start), np.int64)
@@ -334,7 +387,7 @@ def window_entries(candidates: DataFrame, column: str, second: str, value: str,
                 body, check = body[order], (check[order] & U(0xFFFFFFFF)).astype(np.uint32)
                 bucket = (body % U(buckets)).astype(np.int64)
                 cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)]
-                rows = [(int(bucket[a]), int(z - a), check[a:z].tobytes(), body[a:z].tobytes(), vals[a:z].tobytes()) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+                rows = [(int(bucket[a]), int(z - a), check[a:z].tobytes(), planes(body[a:z]), planes(np.ascontiguousarray(vals[a:z]).view(f"V{vals.shape[1]}").ravel())) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
                 b, n, k, h, v = map(list, zip(*rows, strict=True))
                 yield table({"bucket": (b, pa.int64()), "batch": ([number.as_py()] * len(b), pa.int64()), "n": (n, pa.int64()), "keys": (k, pa.binary()), "bodies": (h, pa.binary()), "vals": (v, pa.binary())})
 
