@@ -1,7 +1,7 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and blocks of a paragraph.
 
 Sections end at blank lines, paragraphs at line ends, and a paragraph's leaves are its blocks of
-up to 128 characters.  A leaf's digest is its md5; a node's digest is the sha256 of its children's
+128 characters, the last of them shorter.  A leaf's digest is its md5; a node's digest is the sha256 of its children's
 digests, so the root is equal for equal texts and for no others, and where roots differ only the
 branches that differ need be opened to find the edit.  Built of DataFrame operations alone.
 """
@@ -19,7 +19,7 @@ BLOCK = 128
 
 def tree(text: Column, block: int = BLOCK) -> Column:
     """array<struct<digest, paragraphs array<struct<digest, leaves array<string>>>>>, one element a section."""
-    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), lambda x: F.md5(x))
+    leaves = lambda p: F.transform(F.split(p, rf"(?<=\G(?s:.{{{block}}}))"), lambda x: F.md5(x))
     digest = lambda parts: F.sha2(F.concat_ws(",", parts), 256)
     paragraph = lambda x: F.struct(digest(x).alias("digest"), x.alias("leaves"))
     section = lambda ps: F.struct(digest(F.transform(ps, lambda p: p["digest"])).alias("digest"), ps.alias("paragraphs"))
@@ -39,9 +39,9 @@ def leaf_set(sections: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared leaves of all leaves; 1 for two texts without leaves."""
+    """Shared leaves of all leaves."""
     both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both.cast("double") / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
+    return both.cast("double") / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
 
 
 def edits(a: Column, b: Column) -> Column:

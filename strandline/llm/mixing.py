@@ -23,7 +23,7 @@ BITS, STEP = 60, 12
 
 def word_count(text: str | Column) -> Column:
     """Number of runs of characters other than space and \\t to \\r; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")), F.lit(0)).cast("long")
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:

@@ -25,6 +25,8 @@ PATTERNS = {
     "random": r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*+[0-9])(?=[0-9+/=_-]*+[A-Za-z])[A-Za-z0-9+/=_-]{20,}+",
 }
 KINDS = list(PATTERNS)
+#: Characters that part matches from their surroundings; the first is looked for in no pattern.
+BAR, OTHER = "\ue0ff", "\ue0fe"
 
 #: Encodings in the order in which they are tried: pattern and alphabet.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -60,7 +62,7 @@ def random_bins(tokens: DataFrame) -> DataFrame:
     for pattern, letters in reversed(ENCODINGS):
         alphabet = F.when(F.col("s").rlike(pattern), F.lit(letters)).otherwise(alphabet)
     rows = tokens.withColumn("s", bare).withColumn("alphabet", F.coalesce(alphabet, F.lit(ENCODINGS[-1][1])))
-    rows = rows.withColumns({"n": F.length("s").cast("double"), "k": F.length("alphabet").cast("double"), "v": F.transform(F.regexp_extract_all("s", F.lit("."), F.lit(0)), lambda c: F.position(c, F.col("alphabet")).cast("double") - 1)})
+    rows = rows.withColumns({"n": F.length("s").cast("double"), "k": F.length("alphabet").cast("double"), "v": F.transform(F.array_remove(F.split("s", ""), ""), lambda c: F.position(c, F.col("alphabet")).cast("double") - 1)})
     counts = F.transform(F.array_distinct("v"), lambda x: F.size(F.filter("v", lambda y: y == x)).cast("double"))
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
     rows = rows.withColumn("squares", total(F.transform(counts, lambda c: c * c)))
@@ -95,8 +97,10 @@ def cutoffs(tested: DataFrame, q: float = 0.05) -> dict[int, int]:
     return dict(passed.groupBy("cls").agg(F.min("bin")).collect())  # at most a row for each class
 
 
-def _numbered(kind: int, pairs: Column) -> Column:
-    """(gap, m) in order -> (kind, at, gap, m)."""
+def _numbered(kind: int, parts: Column) -> Column:
+    """gap, match, gap, match, ..., gap -> (kind, at, gap, m) for each match."""
+    gaps, matches = F.filter(parts, lambda x, j: j % 2 == 0), F.filter(parts, lambda x, j: j % 2 == 1)
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
     return F.transform(pairs, lambda x, j: F.struct(F.lit(kind).alias("kind"), j.cast("int").alias("at"), x["gap"].alias("gap"), x["m"].alias("m")))
 
 
@@ -111,11 +115,10 @@ def scan(docs: DataFrame, q: float = 0.05, id_col: str = "doc_id", text_col: str
     rows = keyed(docs, id_col=id_col, text_col=text_col)
     none = F.array().cast("array<struct<kind:int,at:int,gap:int,m:string>>")
     found = []
+    plain = F.translate(text, BAR, OTHER)  # one character for another: matches and offsets stay
     for i, pattern in enumerate(PATTERNS.values()):
-        gaps = F.split(text, pattern, -1)
-        matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        each = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(F.length(g).alias("gap"), m.alias("m")))
-        found.append(F.when(text.rlike(pattern), _numbered(i, each)).otherwise(none))
+        parts = F.split(F.regexp_replace(plain, pattern, f"{BAR}$0{BAR}"), BAR, -1)
+        found.append(F.when(text.rlike(pattern), _numbered(i, parts)).otherwise(none))
     pieces = durable(rows.select(*KEY, F.explode(F.concat(*found)).alias("x")).select(*KEY, "x.*").distinct(), "secret-pieces")
     upto = F.sum(F.col("gap") + F.length("m")).over(W.partitionBy(*KEY, "kind").orderBy("at"))
     placed = pieces.withColumn("end", upto.cast("long")).withColumn("start", F.col("end") - F.length("m"))
