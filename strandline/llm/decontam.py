@@ -3,9 +3,9 @@
 Test items are cut into windows of 13 words.  Corpus frequencies of the test vocabulary name each
 window's two rarest terms; postings (document, position) of just these terms are stored.  Lists
 are intersected from the rarest term on: its postings, moved back by the term's offset, are
-possible starts, the second term's list must agree at its own offset, and what is left is
-compared word by word with the document, so that matches are exact.  Built of DataFrame
-operations alone.
+possible starts, and the second term's list must agree at its own offset.  The rarest terms'
+postings keep the words around them, so that the rest is compared word by word without going back
+to the texts, and matches are exact.  Built of DataFrame operations alone.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import KEY, durable, keyed, words
 
-#: Up to so many test terms go to every task as a hash table (some 10 MB); beyond it they are joined by a shuffle.
+#: Test terms that go to every task at once as a hash table (some 10 MB); more are taken in several passes over the documents.
 TERMS = 200_000
 
 
@@ -28,9 +28,14 @@ def windows_of(items: DataFrame, length: int = 13, id_col: str = "item_id", text
     return out.select("item", F.md5(F.concat_ws(" ", "ww")).alias("wid"), "ww").distinct()
 
 
-def _among(terms: DataFrame, tokens: DataFrame, bounded: bool) -> DataFrame:
-    """The tokens (a column term) that are among the terms."""
-    return tokens.join(F.broadcast(terms) if bounded else terms, "term", "left_semi")
+def _joined(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """tokens joined with terms on term, in passes of at most about TERMS terms; a pass's tokens never leave their task."""
+    passes = max(1, -(-terms.count() // TERMS))
+    out = None
+    for i in range(passes):
+        part = tokens.join(F.broadcast(terms.filter(F.pmod(F.xxhash64("term"), F.lit(passes)) == i)), "term")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def rarest_terms(windows: DataFrame, docs: DataFrame, keep: int = 2) -> DataFrame:
@@ -38,13 +43,8 @@ def rarest_terms(windows: DataFrame, docs: DataFrame, keep: int = 2) -> DataFram
 
     ``windows`` has a row for each distinct window; ``docs`` a column ws of words.
     """
-    terms = windows.select(F.explode("ww").alias("term")).distinct()
-    bounded = terms.limit(TERMS + 1).count() <= TERMS
-    tokens = docs.select(F.explode("ws").alias("term"))
-    if bounded:
-        counts = _among(terms, tokens, True).groupBy("term").count()
-    else:  # too many test terms for each task: count all first, then keep the test terms
-        counts = _among(terms, tokens.groupBy("term").count(), False)
+    terms = durable(windows.select(F.explode("ww").alias("term")).distinct(), "terms")
+    counts = _joined(docs.select(F.explode("ws").alias("term")), terms).groupBy("term").count()
     counts = durable(terms.join(counts, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("n")), "term-counts")
     at = windows.select("wid", F.posexplode("ww").alias("off", "term")).groupBy("wid", "term").agg(F.min("off").alias("off"))
     ranked = at.join(counts, "term").withColumn("r", F.row_number().over(W.partitionBy("wid").orderBy("n", "term"))).filter(f"r <= {keep}")
@@ -52,42 +52,45 @@ def rarest_terms(windows: DataFrame, docs: DataFrame, keep: int = 2) -> DataFram
     return windows.join(picks, "wid")
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The stored index: term, row key and position of every occurrence of the terms; equal rows of documents count once."""
-    bounded = terms.limit(TERMS + 1).count() <= TERMS
-    tokens = docs.select(*KEY, F.posexplode("ws").alias("pos", "term"))
-    return durable(_among(terms, tokens, bounded).distinct(), "postings")
+def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
+    """The stored index: term, row key and position of every occurrence of the terms.
+
+    Terms that lead a window (lead) also keep the words from ``reach`` before to ``reach`` after them.
+    """
+    found = _joined(docs.select(*KEY, "ws", F.posexplode("ws").alias("pos", "term")), terms)
+    near = F.expr(f"slice(ws, greatest(pos - {reach}, 0) + 1, least(pos, {reach}) + {reach + 1})")
+    return durable(found.select("term", *KEY, "pos", F.when(F.col("lead"), near).alias("near")), "postings")
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, length: int = 13, slack: int = 0, text_col: str = "text", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(matches, members): matches has row key, spans (start, size, wid) for documents that hold windows; members has wid, item.
 
-    With ``slack`` above 0 the two rarest terms may stand up to so many words nearer or further
-    from each other than in the window (proximity), and a window's words need only occur in
-    order-free form within its size plus the slack; with 0 the phrase must match exactly.
+    With ``slack`` 0 a phrase must match word by word.  Above 0 (proximity), the second rarest
+    term may stand up to so many words off its place, and all words of the window must occur, in
+    any order, within its extent widened by the slack on both sides.
     """
     members = durable(windows_of(items, length, text_col=item_text), "windows")
     distinct = members.groupBy("wid").agg(F.first("ww").alias("ww"))
     tokens = docs.select(*KEY, words(text_col).alias("ws"))
     windows = durable(rarest_terms(distinct, tokens), "window-terms")
     picks = windows.select("wid", "ww", F.col("picks")[0].alias("a"), F.get("picks", F.lit(1)).alias("b")).filter("a.n > 0 and (b is null or b.n > 0)")
-    terms = picks.select(F.explode(F.filter(F.array("a.term", "b.term"), lambda t: t.isNotNull())).alias("term")).distinct()
-    index = postings(tokens, durable(terms, "index-terms"))
-    first = index.join(picks.select("wid", F.col("a.term").alias("term"), F.col("a.off").alias("ao"), F.col("b.term").alias("bt"), F.col("b.off").alias("bo")), "term")
-    first = first.select(*KEY, "wid", (F.col("pos") - F.col("ao")).alias("start"), "bt", "bo").filter(f"start >= {-slack}")
-    shifts = F.explode(F.expr(f"sequence(-{slack}, {slack})")) if slack else F.lit(0)
-    need = first.filter("bt is not null").withColumn("_s", shifts).select(*KEY, "wid", "start", F.col("bt").alias("term"), (F.col("start") + F.col("bo") + F.col("_s")).alias("pos"))
-    both = need.join(index, [*KEY, "term", "pos"], "left_semi").select(*KEY, "wid", "start")
-    starts = durable(both.unionByName(first.filter("bt is null").select(*KEY, "wid", "start")).distinct(), "starts")
-    wanted = starts.join(windows.select("wid", "ww"), "wid").groupBy(*KEY).agg(F.collect_list(F.struct("start", "wid", "ww")).alias("c"))
-    holders = docs.join(starts.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, words(text_col).alias("ws"))
-    both = holders.join(wanted, KEY)
+    led = picks.select(F.col("a.term").alias("term"), F.lit(True).alias("lead"))
+    terms = led.unionByName(picks.filter("b is not null").select(F.col("b.term").alias("term"), F.lit(False).alias("lead"))).groupBy("term").agg(F.max("lead").alias("lead"))
+    reach = length - 1 + slack
+    index = postings(tokens, durable(terms, "index-terms"), reach)
+    first = index.join(picks.select("wid", "ww", F.col("a.term").alias("term"), F.col("a.off").alias("ao"), F.col("b.term").alias("bt"), F.col("b.off").alias("bo")), "term")
+    first = first.withColumn("start", F.col("pos") - F.col("ao")).filter("start >= 0").withColumn("at", F.least("pos", F.lit(reach)) - F.col("ao"))
     if slack:
-        spans = F.expr(f"filter(c, c -> size(array_except(c.ww, slice(ws, greatest(c.start - {slack}, 0) + 1, size(c.ww) + {2 * slack}))) = 0)")
+        fits = F.expr(f"size(array_except(ww, slice(near, greatest(at - {slack}, 0) + 1, size(ww) + least(at, {slack}) + {slack}))) = 0")
     else:
-        spans = F.expr("filter(c, c -> slice(ws, c.start + 1, size(c.ww)) = c.ww)")
-    found = both.select(*KEY, F.transform(spans, lambda c: F.struct(c["start"].alias("start"), F.size(c["ww"]).alias("size"), c["wid"].alias("wid"))).alias("spans"))
-    return durable(found.filter("size(spans) > 0").groupBy(*KEY).agg(F.first("spans").alias("spans")), "matches"), members
+        fits = F.expr("slice(near, at + 1, size(ww)) = ww")
+    first = first.select(*KEY, "wid", "start", F.size("ww").alias("size"), "bt", "bo", fits.alias("fits"))
+    shifts = F.explode(F.expr(f"sequence(-{slack}, {slack})")) if slack else F.lit(0)
+    need = first.filter("bt is not null").withColumn("_s", shifts).withColumn("pos", F.col("start") + F.col("bo") + F.col("_s")).withColumnRenamed("bt", "term")
+    cols = [*KEY, "wid", "start", "size"]
+    both = need.join(index.select("term", *KEY, "pos"), [*KEY, "term", "pos"], "left_semi").filter("fits").select(cols)
+    found = both.unionByName(first.filter("bt is null and fits").select(cols)).distinct()
+    return durable(found.groupBy(*KEY).agg(F.collect_list(F.struct("start", "size", "wid")).alias("spans")), "matches"), members
 
 
 def covered(spans: Column) -> Column:
