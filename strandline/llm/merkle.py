@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def next_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each distinct row: its key, the key of the next (_n1, _n2) by id (null last, then by key), the first after the last, and n_chars.
+    """For each distinct row: its key, the key of the next (_n1, _n2) by id (null last, then by key), the first after the last, n_chars, and whether its id is null.
 
     Only keys and lengths are sorted, in ranges; a range's neighbours are told by the first rows of the ranges.
     """
@@ -68,7 +68,7 @@ def next_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = ranked(rows, F.col("_null"), F.col("_k1"), F.col("_k2"))
     total = placed.count()
     follow = placed.select(((F.col("_rank") + max(total, 1) - 1) % max(total, 1)).alias("_rank"), F.col("_k1").alias("_n1"), F.col("_k2").alias("_n2"))
-    return durable(placed.join(follow, "_rank").select(*KEY, "_n1", "_n2", "n_chars"), "next")
+    return durable(placed.join(follow, "_rank").select(*KEY, "_n1", "_n2", "n_chars", "_null"), "next")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,11 +82,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     follow = next_documents(docs, id_col, text_col)
     text = F.coalesce(text_col, F.lit(""))
-    rows = keyed(docs, id_col=id_col, text_col=text_col).select(*KEY, F.col(id_col).alias("doc_id"), text.alias("t"))
-    rows = rows.withColumn("_row", F.row_number().over(W.partitionBy(*KEY).orderBy("_k1")))
-    wanted = follow.select(F.col("_k1").alias("_p1"), F.col("_k2").alias("_p2"), F.col("_n1").alias("_k1"), F.col("_n2").alias("_k2"), F.expr("n_chars div 2").alias("want"))
-    given = rows.filter("_row = 1").join(wanted, KEY).select(F.col("_p1").alias("_k1"), F.col("_p2").alias("_k2"), F.expr("substring(t, 1, cast(want as int))").alias("head"), leaf_set(tree(F.col("t"))).alias("next_leaves"))
-    both = rows.join(given, KEY).withColumn("n_chars", F.length("t").cast("long"))
+    # both sides read the same columns, so that one exchange of the texts serves both
+    rows = keyed(docs, id_col=id_col, text_col=text_col).select(*KEY, text.alias("t"))
+    nth = F.count(F.lit(1)).over(W.partitionBy(*KEY).orderBy("_k1").rowsBetween(W.unboundedPreceding, 0))
+    wanted = follow.select(F.col("_k1").alias("_p1"), F.col("_k2").alias("_p2"), F.col("_n1").alias("_k1"), F.col("_n2").alias("_k2"), F.expr("n_chars div 2").alias("want"), "_null")
+    given = rows.withColumn("_nth", nth).filter("_nth = 1").join(wanted, KEY).select(F.col("_p1").alias("_k1"), F.col("_p2").alias("_k2"), F.expr("substring(t, 1, cast(want as int))").alias("head"), leaf_set(tree(F.col("t"))).alias("next_leaves"), "_null")
+    both = rows.join(given, KEY).withColumns({"n_chars": F.length("t").cast("long"), "doc_id": F.when(~F.col("_null"), F.col("_k1"))})
     both = both.withColumn("e", F.concat(F.expr("substring(t, 1, cast(n_chars - n_chars div 2 as int))"), "head"))
     grown = both.select(*KEY, "doc_id", "n_chars", F.sha2("e", 256).alias("edited_sha256"), tree(F.col("t")).alias("a"), tree(F.col("e")).alias("b"), "next_leaves")
     leaves = grown.select(*KEY, "doc_id", "n_chars", "edited_sha256", root(F.col("a")).alias("fingerprint"), root(F.col("b")).alias("edited_fingerprint"), leaf_set(F.col("a")).alias("la"), leaf_set(F.col("b")).alias("lb"), "next_leaves")
