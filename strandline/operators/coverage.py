@@ -14,7 +14,7 @@ def copy_number(visit: DataFrame) -> DataFrame:
 
 
 def fractional(step: DataFrame, min_mapq: int | None = 0) -> DataFrame:
-    """asm, node, cov from steps of alignments (asm, node, len, idx, n, plen, pstart, pend, mapq).
+    """asm, node, cov, cov_2dp (rounded half up in whole numbers) from steps of alignments (asm, node, len, idx, n, plen, pstart, pend, mapq).
 
     A path's first node is covered from pstart, its last to pend, a single one between the two, the
     others whole.  Only alignments with mapq above min_mapq count (None: all).  All pieces add up.
@@ -23,7 +23,7 @@ def fractional(step: DataFrame, min_mapq: int | None = 0) -> DataFrame:
     only, first, last = F.col("n") == 1, F.col("idx") == 0, F.col("idx") == F.col("n") - 1
     bases = F.when(only, F.col("pend") - F.col("pstart")).when(first, F.col("len") - F.col("pstart")).when(last, F.col("len") + F.col("pend") - F.col("plen")).otherwise(F.col("len"))
     sums = rows.withColumn("bases", bases).groupBy("asm", "node").agg(F.sum("bases").alias("bases"), F.max("len").alias("len"))
-    return sums.select("asm", "node", (F.col("bases") / F.col("len")).alias("cov"))
+    return sums.select("asm", "node", (F.col("bases") / F.col("len")).alias("cov"), (F.expr("(200 * bases + len) div (2 * len)").cast("double") / 100).alias("cov_2dp"))
 
 
 def classes(cov: DataFrame, assemblies: DataFrame) -> DataFrame:

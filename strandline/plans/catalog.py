@@ -148,7 +148,7 @@ def _aligned_steps(s: Scene) -> DataFrame:
 
 @query
 def frac_coverage(s: Scene) -> DataFrame:
-    return coverage.fractional(_aligned_steps(s), 5).select("asm", "node", F.round("cov", 2).alias("cov"))
+    return coverage.fractional(_aligned_steps(s), 5).select("asm", "node", F.col("cov_2dp").alias("cov"))
 
 
 @query

@@ -101,7 +101,7 @@ FROM pg_edge e LEFT JOIN flip a ON e.n1 = a.node LEFT JOIN flip b ON e.n2 = b.no
     "shadow_nodes": """SELECT path_id, idx, node, (SELECT MAX(node) FROM pg_node) + ROW_NUMBER() OVER (ORDER BY path_id, idx) AS new_id FROM (
 SELECT *, ROW_NUMBER() OVER (PARTITION BY node ORDER BY path_id, idx) AS rn FROM pg_visit WHERE asm = 1) t WHERE rn > 1""",
     "copy_number": "SELECT asm, node, LEAST(COUNT(*), 65535) AS cov FROM pg_visit GROUP BY asm, node",
-    "frac_coverage": """SELECT asm, node, ROUND(CAST(SUM(bases) AS DOUBLE) / MAX(len), 2) AS cov FROM (
+    "frac_coverage": """SELECT asm, node, CAST((200 * CAST(SUM(bases) AS BIGINT) + MAX(len)) // (2 * MAX(len)) AS DOUBLE) / 100 AS cov FROM (
 SELECT asm, node1 AS node, len1 AS len, CASE WHEN node2 IS NULL THEN pend - pstart ELSE len1 - pstart END AS bases FROM pg_aln WHERE mapq > 5
 UNION ALL SELECT asm, node2, len2, len2 + pend - plen FROM pg_aln WHERE mapq > 5 AND node2 IS NOT NULL) t GROUP BY asm, node""",
     "coverage_class": """SELECT node, SUM(CASE WHEN c = 1 THEN 1 ELSE 0 END)::BIGINT AS n_one, SUM(CASE WHEN c > 1 THEN 1 ELSE 0 END)::BIGINT AS n_multi, COUNT(*) * 2 >= (SELECT COUNT(*) FROM nation) AS is_dense
@@ -156,8 +156,8 @@ FROM sub e JOIN ids a ON a.node = e.n1 JOIN ids b ON b.node = e.n2 WHERE NOT (e.
     "gfa_links": "SELECT n1, n2, mark FROM pg_edge",
     "gfa_walks": "SELECT CONCAT(CAST(asm AS VARCHAR), '#0#', chr) AS name, idx, ori, node FROM pg_step",
     "gfa_paths": "SELECT CAST(asm AS VARCHAR) AS sample, chr, idx, ori, node, FALSE AS jump FROM pg_step",
-    "gaf_parse": """SELECT CAST(qname AS VARCHAR) AS qname, CAST(0 AS BIGINT) AS qstart, CONCAT('>s', CAST(node1 AS VARCHAR), COALESCE(CONCAT('>s', CAST(node2 AS VARCHAR)), '')) AS path, plen, pstart, pend, mapq, CONCAT(CAST(pend - pstart AS VARCHAR), 'M') AS cigar FROM
-(SELECT *, CASE WHEN node2 IS NULL THEN NULL ELSE node2 END AS nn FROM pg_aln) t""",
+    "gaf_parse": """SELECT CAST(qname AS VARCHAR) AS qname, CAST(0 AS BIGINT) AS qstart, '>s' || CAST(node1 AS VARCHAR) || COALESCE('>s' || CAST(node2 AS VARCHAR), '') AS path, plen, pstart, pend, mapq, CONCAT(CAST(pend - pstart AS VARCHAR), 'M') AS cigar FROM
+pg_aln""",
     "bed_parse": "SELECT track, chr, start_pos, GREATEST(end_pos, start_pos) AS end_pos, CONCAT('f', CAST(fid AS VARCHAR)) AS name, fid % 1000 AS score, strand FROM pg_feature",
     "gff_parse": """SELECT chr, CASE WHEN fid % 4 = 0 THEN 'gene' ELSE 'pseudogene' END AS type, start_pos, end_pos, strand, CONCAT('g', CAST(fid AS VARCHAR)) AS id,
 CASE WHEN fid % 3 = 0 THEN CONCAT('n', CAST(fid AS VARCHAR)) ELSE CONCAT('g', CAST(fid AS VARCHAR)) END AS name FROM pg_feature WHERE fid % 2 = 0""",

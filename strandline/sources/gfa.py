@@ -70,7 +70,7 @@ def p_steps(rows: DataFrame) -> DataFrame:
 
 def rgfa_text(node: DataFrame) -> DataFrame:
     """Segment lines of nodes (node, chr, len, rank, start_pos, seq); variant nodes have offset 0."""
-    return node.select(F.concat_ws("\t", F.lit("S"), F.concat(F.lit("s"), F.col("node").cast("string")), "seq", F.concat(F.lit("LN:i:"), F.col("len").cast("string")), F.concat(F.lit("SN:Z:"), "chr"), F.concat(F.lit("SO:i:"), F.coalesce(F.col("start_pos") - 1, F.lit(0)).cast("string")), F.concat(F.lit("SR:i:"), F.col("rank").cast("string"))).alias("value"))
+    return node.select(F.concat_ws("\t", F.lit("S"), F.concat(F.lit("s"), F.col("node").cast("string")), "seq", F.concat(F.lit("LN:i:"), F.col("len").cast("string")), F.concat(F.lit("SN:Z:REF#0#"), "chr"), F.concat(F.lit("SO:i:"), F.coalesce(F.col("start_pos") - 1, F.lit(0)).cast("string")), F.concat(F.lit("SR:i:"), F.col("rank").cast("string"))).alias("value"))
 
 
 def link_text(edge: DataFrame) -> DataFrame:
