@@ -81,9 +81,9 @@ def phrase_matches(docs: DataFrame, items: DataFrame, length: int = 13, slack: i
     first = index.join(picks.select("wid", "ww", F.col("a.term").alias("term"), F.col("a.off").alias("ao"), F.col("b.term").alias("bt"), F.col("b.off").alias("bo")), "term")
     first = first.withColumn("start", F.col("pos") - F.col("ao")).filter("start >= 0").withColumn("at", F.least("pos", F.lit(reach)) - F.col("ao"))
     if slack:
-        fits = F.expr(f"size(array_except(ww, slice(near, greatest(at - {slack}, 0) + 1, size(ww) + least(at, {slack}) + {slack}))) = 0")
+        fits = F.expr(f"size(array_except(ww, slice(near, greatest(at - {slack}, 0) + 1, size(ww) + least(greatest(at, 0), {slack}) + {slack}))) = 0")
     else:
-        fits = F.expr("slice(near, at + 1, size(ww)) = ww")
+        fits = F.expr("slice(near, greatest(at, 0) + 1, size(ww)) = ww")
     first = first.select(*KEY, "wid", "start", F.size("ww").alias("size"), "bt", "bo", fits.alias("fits"))
     shifts = F.explode(F.expr(f"sequence(-{slack}, {slack})")) if slack else F.lit(0)
     need = first.filter("bt is not null").withColumn("_s", shifts).withColumn("pos", F.col("start") + F.col("bo") + F.col("_s")).withColumnRenamed("bt", "term")
