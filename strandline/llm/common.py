@@ -37,6 +37,14 @@ def durable(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Texts go to Python so many rows at a time at most: rows may be long, and the default of 10,000 counts rows, not bytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table made by durable() that no later result reads."""
     path, spark = df._strandline_path, df.sparkSession

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, durable, keyed
+from .common import KEY, durable, keyed, small_batches
 
 #: Hashed trigrams, languages at most, rows of each language that the trigram model is fitted on (about).
 BUCKETS, LANGUAGES, FIT_ROWS = 1 << 14, 64, 500
@@ -108,6 +108,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     to the language first by name; without any declared language nothing is accepted; equal rows
     get equal results; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     text = lambda c: F.lower(F.trim(F.col(c).cast("string"))) if c else F.lit(None).cast("string")
     extra = [c for c in (declared_col, host_col, suffix_col) if c]
     rows = keyed(docs, *extra, id_col=id_col, text_col=text_col)

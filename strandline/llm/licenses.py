@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, keyed, word_list
+from .common import KEY, keyed, small_batches, word_list
 
 #: Phrases of the base scan and their labels.
 PHRASES = {
@@ -154,6 +154,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     Null and empty texts have no words and no labels; equal rows get equal results; an empty
     table gives no rows.
     """
+    small_batches(docs.sparkSession)
     compiled = []
     for label, markup in (templates or TEMPLATES).items():
         program = compile_template(markup)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, durable, keyed, word_list
+from .common import KEY, durable, keyed, small_batches, word_list
 from .windows import mixed
 
 #: Trees, longest prefix, members and shingles of a block.
@@ -210,6 +210,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     of fewer than n words is one shingle; null and wordless texts have no links and are a class of
     their own (t null); a class without any id has class_id null; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     depth = prefix_depth(threshold, recall)
     rows = texts(docs, n, depth, id_col, text_col)
     order = F.struct(F.col("doc_id").isNull().alias("nothing"), F.col("_k1"), F.col("_k2"))

@@ -28,11 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, durable, keyed
+from .common import KEY, durable, keyed, small_batches
 
 NONE, DROP, LOOK, DROP_SHOW = 0, 1, 2, 3
 #: Text bytes of a batch, of the text a bucket of k-grams stands for, and symbols that are looked at together.
-BATCH, BUCKET, CHUNK = 2 << 20, 16 << 20, 1 << 18
+BATCH, BUCKET, CHUNK = 1 << 20, 16 << 20, 1 << 18
 #: Of zstd, for texts.
 LEVEL = 5
 NULL_ORDER = (1 << 63) - 1
@@ -94,6 +94,7 @@ class Texts:
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH) -> DataFrame:
     """batch, raw (text bytes), texts (a dumped Texts): every row of docs, in batches of about batch_bytes."""
+    small_batches(docs.sparkSession)
     rows = keyed(docs, id_col=id_col, text_col=text_col).select(*KEY, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ORDER)).alias("o"), F.coalesce(text_col, F.lit("")).alias("t"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
