@@ -104,7 +104,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
     Rows are accepted when the text has a letter and the leading language has a posterior of
     ``least`` or more.  Null, empty and letterless texts have language null, posterior 0 and are
-    not accepted; missing declarations, hosts or suffixes count as values of their own; ties go
+    not accepted; a missing or unknown declaration is no evidence, missing hosts and suffixes count as one host and suffix; ties go
     to the language first by name; without any declared language nothing is accepted; equal rows
     get equal results; an empty table gives no rows.
     """
@@ -126,6 +126,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
         said[r[0], r[1]] += r[2]
     prior = said.sum(0) / said.sum()
     log_said = np.log(said / said.sum(0))
+    log_said[n] = 0  # a missing or unknown declaration says nothing
     whole = F.array(*[F.lit(float(x)) for x in prior])
     smooth = lambda c, t, up: F.zip_with(c, up, lambda x, p: (x + lean * p) / (t + lean))
     suffixes = _shares(counts, "suffix", n).select("suffix", smooth(F.col("c"), F.col("t"), whole).alias("up"))
