@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, doubling, langid, licenses, lsh_forest, merkle, mixing, secret_scan, sharding, suffix_levels
+from . import decontam, doubling, langid, licenses, lsh_forest, merkle, mixing, oracle, secret_scan, sharding, suffix_levels
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,4 +69,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()

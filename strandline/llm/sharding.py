@@ -22,16 +22,19 @@ BITS = 60
 
 
 def _settle(cells: DataFrame, bits: int, limit: int) -> DataFrame:
-    """Cells (root, cell, bytes, docs) of ``bits`` bits -> root, cell, depth (below root), shard_bytes, shard_docs; depth is null where the cell itself is too large."""
+    """Cells (root, cell, bytes, docs) of ``bits`` bits -> root, cell, depth (below root), shard_bytes, shard_docs; depth is null where the cell itself must be split.
+
+    A bucket is settled when it fits or holds a single document.
+    """
     at = cells.withColumn("depth", F.explode(F.expr(f"sequence(0, {bits})")))
     sums = at.groupBy("root", "depth", F.expr(f"shiftright(cell, {bits} - depth)").alias("prefix")).agg(F.sum("bytes").alias("b"), F.sum("docs").alias("n"))
-    fits = sums.filter(F.col("b") <= limit)
+    fits = sums.filter((F.col("b") <= limit) | (F.col("n") == 1))
     own = at.withColumn("prefix", F.expr(f"shiftright(cell, {bits} - depth)")).join(fits, ["root", "depth", "prefix"])
     first = own.groupBy("root", "cell").agg(F.min(F.struct("depth", "b", "n")).alias("x"))
     return cells.join(first, ["root", "cell"], "left").select("root", "cell", "x.depth", F.col("x.b").alias("shard_bytes"), F.col("x.n").alias("shard_docs"))
 
 
-def shard(docs: DataFrame, limit_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, limit_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row key, doc_id, bytes, shard, depth, shard_bytes, shard_docs, oversized for every row.
 
     ``shard`` is the bit prefix that names the shard ('' when all fits in one).  A single document
@@ -56,14 +59,9 @@ def shard(docs: DataFrame, limit_bytes: int = 4 << 20, id_col: str = "doc_id", t
         settled = durable(_settle(cells, bits, limit_bytes), "shard-settled")
         placed = open_rows.drop("_seen").join(settled, ["root", "cell"])
         name = F.when(F.col("depth") == 0, F.col("root")).otherwise(F.concat("root", F.expr(f"substring(lpad(bin(cell), {bits}, '0'), 1, depth)")))
-        single = F.col("docs") == 1
-        big = settled.filter("depth is null").join(cells, ["root", "cell"])
-        alone = big.filter(single)
-        done.append(placed.filter("depth is not null").withColumns({"shard": name, "oversized": F.lit(False)}))
-        done.append(open_rows.drop("_seen").join(alone.select("root", "cell", F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs")), ["root", "cell"])
-                    .withColumns({"shard": F.concat("root", as_bits("cell", bits)), "oversized": F.lit(True), "depth": F.lit(bits)}))
+        done.append(placed.filter("depth is not null").withColumns({"shard": name, "oversized": F.col("shard_bytes") > limit_bytes}))
         used += bits
-        rest = big.filter(~single)
+        rest = settled.filter("depth is null")
         if used >= 2 * BITS or not rest.limit(1).count():
             break
         open_rows = durable(open_rows.join(rest.select("root", "cell"), ["root", "cell"]).withColumn("root", F.concat("root", as_bits("cell", bits))).drop("cell"), "shard-open")
