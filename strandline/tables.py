@@ -13,14 +13,24 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one where it is unset, in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = os.path.join(tempfile.gettempdir(), "strandline-shared")
     return where.rstrip("/")
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write df there as Parquet and read it back; the files outlive executors."""
+def durable(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+    """Write df there as Parquet and read it back; the files outlive executors. discard() removes them."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._strandline_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table made by durable() that no later result reads."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(df._strandline_path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
