@@ -1,4 +1,4 @@
-"""What the corpus operators share: row keys, written tables and small scalars.
+"""What the corpus operators share: row keys, ranks and small scalars.
 
 Row keys.  ``doc_id`` may be null or repeated, so operators follow a row by two longs: ``_k1``
 is the id (the smallest long for null) and ``_k2`` a hash of the id's nullness and the text.
@@ -7,34 +7,15 @@ Rows that agree in both hold the same id and text and therefore get the same res
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = ["_k1", "_k2"]
-NO_ID = -(1 << 63)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode only, a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = os.path.join(tempfile.gettempdir(), "strandline-shared")
-    return where.rstrip("/")
+from ..tables import discard, durable
 
+__all__ = ["KEY", "NO_ID", "GAP", "discard", "durable", "hash60", "keyed", "lower_ascii", "ranked", "small_batches", "with_key", "word_list", "words"]
 
-def durable(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and the files outlive executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._strandline_path = path
-    return out
+KEY = ["_k1", "_k2"]
+NO_ID = -(1 << 63)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
@@ -45,13 +26,6 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(key, str(rows))
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a table made by durable() that no later result reads."""
-    path, spark = df._strandline_path, df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def keyed(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text and the named columns, with the row key; every other column is left behind."""
     return docs.select(
