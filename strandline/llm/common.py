@@ -78,12 +78,10 @@ def ranked(df: DataFrame, *order: Column, name: str = "_rank") -> DataFrame:
     """df with each row's place (from 0) in the order. Sorted in ranges; only a count for each partition reaches the driver."""
     part = durable(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()), "ranked")
     place = F.shiftright("_mid", 33)
-    counts = sorted((r[0], r[1]) for r in part.groupBy(place.alias("p")).count().collect())
+    counts = dict(part.groupBy(place.cast("int").alias("p")).count().collect())
     starts, at = [], 0
-    for p, n in counts:
-        starts += [F.lit(p), F.lit(at)]
-        at += n
-    if not starts:
-        return part.withColumn(name, F.lit(0).cast("long")).drop("_mid")
-    start = F.element_at(F.create_map(*starts), place)
+    for p in range(max(counts, default=0) + 1):  # a number for each partition of the sort
+        starts.append(F.lit(at).cast("long"))
+        at += counts.get(p, 0)
+    start = F.element_at(F.array(*starts), (place + 1).cast("int"))
     return part.withColumn(name, (start + F.col("_mid").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_mid")
