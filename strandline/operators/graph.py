@@ -20,6 +20,11 @@ def window_nodes(node: DataFrame, chrom: str, start: int, end: int, ex: int = EX
     return near.select("node", "start_pos", "end_pos", "len", cls.alias("cls"))
 
 
+def on_chromosomes(node: DataFrame, names: DataFrame) -> DataFrame:
+    """Nodes on the listed chromosomes (column chr)."""
+    return node.join(names.select("chr"), "chr", "left_semi")
+
+
 def extents(node: DataFrame) -> DataFrame:
     """First start and last end of each reference chromosome."""
     return node.filter("rank = 0").groupBy("chr").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"))

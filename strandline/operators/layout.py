@@ -74,6 +74,16 @@ def drawn_edges(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return bodies.unionByName(pieces).unionByName(spacers).unionByName(links)
 
 
+def highlight_ids(ids: DataFrame, lit: DataFrame) -> DataFrame:
+    """link (source_target_type), dir of paths.highlighted() in drawing ids; the reference's own neighbours have type 1."""
+    a = ids.select(F.col("node").alias("n1"), F.col("s_id").alias("s1"), F.col("e_id").alias("e1"), F.col("i").alias("i1"))
+    b = ids.select(F.col("node").alias("n2"), F.col("s_id").alias("s2"), F.col("e_id").alias("e2"), F.col("i").alias("i2"))
+    rows = lit.join(a, "n1").join(b, "n2")
+    own = F.coalesce((F.col("mark") == 2) & (F.col("i2") == F.col("i1") + 1), F.lit(False))
+    source, target = F.when(F.col("mark").isin(2, 3), F.col("e1")).otherwise(F.col("s1")), F.when(F.col("mark").isin(2, 4), F.col("s2")).otherwise(F.col("e2"))
+    return rows.select(F.concat_ws("_", source.cast("string"), target.cast("string"), F.when(own, 1).otherwise(F.col("mark")).cast("string")).alias("link"), "dir")
+
+
 def feature_pixels(seen: DataFrame, feature: DataFrame, x: DataFrame, s: Scale, width: int = WIDTH, left: int = LEFT) -> DataFrame:
     """fid, x1, x2, margin: a feature's span, cut to the view; margin '2' left-cut on -, '1' right-cut on +, else '0'."""
     a, b = x.select(F.col("node").alias("node1"), F.col("x1").alias("xa")), x.select(F.col("node").alias("node2"), F.col("x1").alias("xb"))

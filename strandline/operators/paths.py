@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical, cigar_ops, mark, tokens
+from .graph import nearest_reference
 
 
 def positions(step: DataFrame, path: list[str]) -> DataFrame:
@@ -79,6 +80,17 @@ def located(step: DataFrame, path: list[str], node: DataFrame) -> DataFrame:
     return step.select(*path, "node").join(ref, "node").groupBy(*path, "ref_chr").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"))
 
 
+def to_reference(step: DataFrame, path: list[str], node: DataFrame, edge: DataFrame, depth: int = 500) -> DataFrame:
+    """path..., ref_chr, start_pos, end_pos, dist: located() with dist 0; a path without reference nodes lies where the reference nodes nearest to its two ends do."""
+    own = located(step, path, node)
+    rest = step.join(own.select(*path).distinct(), path, "left_anti")
+    ends = rest.groupBy(*path).agg(F.array_distinct(F.array(F.min_by("node", "idx"), F.max_by("node", "idx"))).alias("n")).select(*path, F.explode("n").alias("node"))
+    near = ends.join(nearest_reference(edge, node, depth), "node").select(*path, F.col("ref_node").alias("node"), "dist")
+    ref = node.filter("rank = 0").select("node", F.col("chr").alias("ref_chr"), "start_pos", "end_pos")
+    far = near.join(ref, "node").groupBy(*path, "ref_chr").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.min("dist").alias("dist"))
+    return own.withColumn("dist", F.lit(0)).unionByName(far)
+
+
 def split_cigars(aln: DataFrame, step: DataFrame) -> DataFrame:
     """path, idx, node, cigar, qpos: an alignment's CIGAR cut at its nodes' ends.
 

@@ -398,5 +398,21 @@ def view_json(s: Scene) -> DataFrame:
     return view.as_json(s, CHROM, START, END, DEPTH)
 
 
+@query
+def view_simple(s: Scene) -> DataFrame:
+    """The view with small variants and plain reference nodes hidden: kind, n1, n2, mark."""
+    ref, found, edges = view.shown_graph(s.edges(), s.node(), s.window(), s.found(), DEPTH, SMALL, False)
+    none = F.lit(None).cast("long")
+    nodes = ref.select(F.lit("reference").alias("kind"), F.col("node").alias("n1"), none.alias("n2"), F.lit(None).cast("int").alias("mark")).unionByName(found.select(F.lit("variant").alias("kind"), F.col("node").alias("n1"), none.alias("n2"), F.lit(None).cast("int").alias("mark")))
+    return nodes.unionByName(edges.select(F.lit("edge").alias("kind"), "n1", "n2", F.col("mark").cast("int").alias("mark")))
+
+
+@query
+def path_to_reference(s: Scene) -> DataFrame:
+    """Where stretches of variant nodes lie: the variant nodes among every three steps of a walk count as a path."""
+    only = s.step().join(s.node().filter("rank = 1").select("node"), "node", "left_semi")
+    return paths.to_reference(only.withColumn("piece", F.expr("idx div 3")), ["asm", "chr", "piece"], s.node(), s.edges(), 20)
+
+
 def queries() -> dict:
     return {name: (lambda spark, sf_dir, f=f: f(Scene(spark, sf_dir))) for name, f in NAMED.items()}

@@ -150,6 +150,10 @@ UNION ALL SELECT (CASE WHEN e.mark IN (2, 3) THEN a.e_id ELSE a.s_id END)::BIGIN
 FROM sub e JOIN ids a ON a.node = e.n1 JOIN ids b ON b.node = e.n2 WHERE NOT (e.mark = 2 AND a.i IS NOT NULL AND b.i IS NOT NULL AND b.i = a.i + 1)""",
     "path_locate": "SELECT s.asm, s.chr, MIN(n.start_pos) AS start_pos, MAX(n.end_pos) AS end_pos FROM pg_step s JOIN pg_node n ON n.node = s.node AND n.rank = 0 GROUP BY s.asm, s.chr, n.chr",
     "nearest_ref": "SELECT node, MIN(ref_node) AS ref_node, dist FROM (SELECT *, MIN(dist) OVER (PARTITION BY node) AS d FROM near) t WHERE dist = d GROUP BY node, dist",
+    "path_to_reference": """SELECT e.asm, e.chr, e.piece, r.chr AS ref_chr, MIN(r.start_pos) AS start_pos, MAX(r.end_pos) AS end_pos, MIN(n.dist) AS dist FROM (
+SELECT asm, chr, idx // 3 AS piece, UNNEST([arg_min(node, idx), arg_max(node, idx)]) AS node FROM pg_step WHERE rank = 1 GROUP BY 1, 2, 3) e
+JOIN (SELECT node, MIN(ref_node) AS ref_node, dist FROM (SELECT *, MIN(dist) OVER (PARTITION BY node) AS d FROM near) t WHERE dist = d GROUP BY node, dist) n ON n.node = e.node
+JOIN pg_node r ON r.node = n.ref_node GROUP BY 1, 2, 3, 4""",
     "node_seq": "SELECT n.node, COALESCE(s.seq, REPEAT('N', CAST(n.len AS INT))) AS seq FROM pg_node n LEFT JOIN (SELECT * FROM pg_seq WHERE node % 7 <> 0) s ON s.node = n.node",
     "revcomp": "SELECT node, CASE WHEN node IN (SELECT node FROM flip) THEN TRANSLATE(REVERSE(seq), 'ACGTacgt', 'TGCAtgca') ELSE seq END AS seq FROM pg_seq",
     "gfa_parse": "SELECT node, 'REF#0' AS asm, chr, COALESCE(start_pos, 1) AS start_pos, COALESCE(end_pos, len) AS end_pos, len, rank FROM pg_node",

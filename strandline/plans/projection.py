@@ -63,3 +63,8 @@ class Projection:
     def seq(self) -> DataFrame:
         h = F.translate(F.md5(F.col("node").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
         return self.node().select("node", F.substring(F.concat(h, h), F.lit(1), F.col("len").cast("int")).alias("seq"))
+
+    def register(self) -> None:
+        """Make the graph tables temporary views pg_node, pg_step, ... for spark.sql."""
+        for name, make in {"node": self.node, "step": self.step, "edge": self.edge, "visit": self.visit, "aln": self.alignment, "feature": self.feature, "seq": self.seq}.items():
+            make().createOrReplaceTempView(f"pg_{name}")

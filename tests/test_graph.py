@@ -309,3 +309,33 @@ def test_chunks_and_fragments(spark, bubble):
     s = steps(spark, [(1, "chr1", [(">", 1), (">", 2), (">", 4)])])
     got = rows(paths.chunk_fragments(s, ["asm", "chr"], graph.chunked(node, 2)), "chunk", "node")
     assert got == [(0, 1), (0, 2), (0, 4), (1, 4)]
+
+
+def test_view_with_small_variants_hidden(spark, bubble):
+    node, edge = bubble
+    w = graph.window_nodes(node, "chr1", 1, 7)
+    found = graph.window_search(edge, w, 10)
+    ref, variant, edges = view.shown_graph(edge, node, w, found, 10, 4)
+    assert rows(variant, "node") == [] and rows(ref, "node") == [(1,), (2,), (4,)]
+    assert rows(edges, "n1", "n2") == [(1, 2), (2, 4)]
+    ref, variant, edges = view.shown_graph(edge, node, w, found, 10, 3)
+    assert rows(variant, "node") == [(3,)] and len(rows(edges, "n1", "n2")) == 4
+
+
+def test_path_without_reference_nodes(spark, bubble):
+    node, edge = bubble
+    s = spark.createDataFrame([("p", 0, 3), ("q", 0, 1), ("q", 1, 3)], "path string, idx long, node long")
+    assert rows(paths.to_reference(s, ["path"], node, edge), "path", "start_pos", "end_pos", "dist") == [("p", 1, 4, 1), ("q", 1, 4, 0)]
+
+
+def test_highlight_in_drawing_ids(spark, bubble):
+    node, edge = bubble
+    w = graph.window_nodes(node, "chr1", 1, 7)
+    found = graph.window_search(edge, w, 10)
+    ids = layout.point_ids(w, found.join(node.select("node", "len"), "node"), 1)
+    lit = edge.withColumn("dir", F.lit(1))
+    assert rows(layout.highlight_ids(ids, lit), "link") == [("10_5_2",), ("2_3_1",), ("2_7_2",), ("4_5_1",)]
+
+
+def test_chromosome_subset(spark, bubble):
+    assert graph.on_chromosomes(bubble[0], spark.createDataFrame([("chr2",)], "chr string")).count() == 0
