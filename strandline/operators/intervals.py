@@ -19,7 +19,7 @@ BIN = 256
 
 def binned(df: DataFrame, start: str = "start_pos", end: str = "end_pos", size: int = BIN) -> DataFrame:
     """A row for every bin the interval touches."""
-    return df.withColumn("bin", F.explode(F.sequence(F.floor(F.col(start) / size), F.floor(F.col(end) / size))))
+    return df.withColumn("bin", F.explode(F.expr(f"sequence({start} div {size}, {end} div {size})")))
 
 
 def reference_bins(node: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def end_nodes(feature: DataFrame, node: DataFrame) -> DataFrame:
     """fid, node1, off1, node2, off2: the reference nodes in which a feature starts and ends, and how far in; null beyond the axis."""
     bins = reference_bins(node)
     def point(pos: str, n: str, off: str) -> DataFrame:
-        at = feature.select("fid", "chr", F.col(pos).alias("p")).withColumn("bin", F.floor(F.col("p") / BIN))
+        at = feature.select("fid", "chr", F.col(pos).alias("p")).withColumn("bin", F.expr(f"p div {BIN}"))
         return at.join(bins, ["chr", "bin"]).filter("p between n_start and n_end").select("fid", F.col("node").alias(n), (F.col("p") - F.col("n_start")).alias(off))
     return feature.select("fid").join(point("start_pos", "node1", "off1"), "fid", "left").join(point("end_pos", "node2", "off2"), "fid", "left")
 
@@ -41,7 +41,7 @@ def overlapping(feature: DataFrame, other: DataFrame, keys: list[str], start: st
     a = binned(feature.select("fid", "chr", "start_pos", "end_pos"))
     b = binned(other.select("chr", *keys, F.col(start).alias("n_start"), F.col(end).alias("n_end")), "n_start", "n_end")
     # of the bins that a pair shares, the one where the later of both starts is the pair's own: no pair comes twice
-    own = F.floor(F.greatest("start_pos", "n_start") / BIN) == F.col("bin")
+    own = F.expr(f"greatest(start_pos, n_start) div {BIN} = bin")
     return a.join(b, ["chr", "bin"]).filter((F.col("start_pos") <= F.col("n_end")) & (F.col("end_pos") >= F.col("n_start")) & own).select("fid", "chr", *keys)
 
 
