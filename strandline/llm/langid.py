@@ -35,20 +35,22 @@ def trigrams(text: str | None) -> Iterator[np.ndarray]:
         yield ((b[:-2] * 0x9E3779B1 + b[1:-1] * 0x85EBCA6B + b[2:] * 0xC2B2AE35) >> np.uint32(7)) & np.uint32(BUCKETS - 1)
 
 
-def languages_of(rows: DataFrame) -> list[str]:
-    """The declared languages that are taken as classes: the most frequent, at most LANGUAGES."""
+def languages_of(rows: DataFrame) -> dict[str, int]:
+    """The declared languages that are taken as classes, by name, with their rows: the most frequent, at most LANGUAGES."""
     counts = rows.filter("declared is not null").groupBy("declared").count()
-    top = counts.orderBy(F.col("count").desc(), "declared").limit(LANGUAGES).collect()
-    return sorted(r[0] for r in top)
+    return dict(sorted(tuple(r) for r in counts.orderBy(F.col("count").desc(), "declared").limit(LANGUAGES).collect()))
 
 
-def fit(rows: DataFrame, languages: list[str]) -> np.ndarray:
-    """log P(trigram | language), BUCKETS x languages, from about FIT_ROWS whole texts of each language."""
+def fit(rows: DataFrame, languages: dict[str, int]) -> np.ndarray:
+    """log P(trigram | language), BUCKETS x languages, from about FIT_ROWS whole texts of each language.
+
+    Rows are drawn where they are read, by hash, so no text is shuffled by language.
+    """
     if not languages:
         return np.zeros((BUCKETS, 0), np.float32)
-    counts = rows.groupBy("declared").agg(F.count("*").alias("n"))
+    total = F.element_at(F.create_map(*[F.lit(x) for pair in languages.items() for x in pair]), F.col("declared"))
     chance = F.abs(F.xxhash64("_k1", "_k2") % 1_000_000) / 1_000_000
-    sample = rows.join(counts, "declared").filter(chance * F.col("n") < FIT_ROWS).select("declared", "text")
+    sample = rows.filter(F.col("declared").isin(list(languages)) & (chance * total < FIT_ROWS)).select("declared", "text")
     place = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,9 +115,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     extra = [c for c in (declared_col, host_col, suffix_col) if c]
     rows = keyed(docs, *extra, id_col=id_col, text_col=text_col)
     rows = rows.select(*KEY, F.col(id_col).cast("long").alias("doc_id"), text(declared_col).alias("declared"), F.coalesce(text(host_col), F.lit("")).alias("host"), F.coalesce(text(suffix_col), F.lit("")).alias("suffix"), F.col(text_col).alias("text"))
-    languages = languages_of(rows)
-    n = len(languages)
-    scores = text_scores(rows, fit(rows, languages))
+    known = languages_of(rows)
+    languages, n = list(known), len(known)
+    scores = text_scores(rows, fit(rows, known))
     if not n:
         return scores.select(*KEY, "doc_id", "declared", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
     scores = scores.withColumns({"lang": F.when(F.col("n_letters") > 0, _best("loglik")).cast("int"), "said": F.coalesce(F.array_position(F.array(*map(F.lit, languages)), F.col("declared")) - 1, F.lit(-1)).cast("int")})
