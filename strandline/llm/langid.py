@@ -5,6 +5,10 @@ trigrams, the language its markup declares, the suffix of its address, and its h
 Priors come from grouped counts over all rows and are smoothed down a hierarchy: a host leans on
 its suffix, a suffix on the whole corpus.  The trigram model is fitted on a bounded sample of
 declared rows; everything else sees every row.
+
+Text of none of the languages goes to an unknown class, which is never accepted.  Its likelihood
+is a floor: the least a trigram of the leading language is worth on average in whole rows of that
+language, each of them judged by a model without itself.
 """
 
 from __future__ import annotations
@@ -22,14 +26,17 @@ from .common import KEY, durable, keyed, small_batches
 BUCKETS, LANGUAGES, FIT_ROWS = 1 << 14, 64, 500
 #: Trigrams after which a text's evidence grows no more (they are far from independent).
 WORTH = 60.0
+#: How many (robust) standard deviations below its language's median a text's mean likelihood may lie,
+#: and the least such deviation between texts (licences, markup and upper case are rare, but not foreign).
+SLACK, LEAST_SPREAD = 6.0, 0.4
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Bytes that are looked at together.
 CHUNK = 1 << 18
 
 
 def trigrams(text: str | None) -> Iterator[np.ndarray]:
-    """Hashed trigrams of the text's letters, in chunks; none that span only blanks."""
-    raw = b" " + b" ".join((text or "").encode().translate(LETTERS).split()) + b" "
+    """Hashed trigrams of the text's letters in lower case, in chunks; none that span only blanks."""
+    raw = b" " + b" ".join((text or "").lower().encode().translate(LETTERS).split()) + b" "
     for at in range(0, len(raw) - 2, CHUNK):
         b = np.frombuffer(raw[at : at + CHUNK + 2], np.uint8).astype(np.uint32)
         yield ((b[:-2] * 0x9E3779B1 + b[1:-1] * 0x85EBCA6B + b[2:] * 0xC2B2AE35) >> np.uint32(7)) & np.uint32(BUCKETS - 1)
@@ -41,13 +48,13 @@ def languages_of(rows: DataFrame) -> dict[str, int]:
     return dict(sorted(tuple(r) for r in counts.orderBy(F.col("count").desc(), "declared").limit(LANGUAGES).collect()))
 
 
-def fit(rows: DataFrame, languages: dict[str, int]) -> np.ndarray:
-    """log P(trigram | language), BUCKETS x languages, from about FIT_ROWS whole texts of each language.
+def fit(rows: DataFrame, languages: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """log P(trigram | language), BUCKETS x languages, from about FIT_ROWS whole texts of each language, and the languages' floors().
 
     Rows are drawn where they are read, by hash, so no text is shuffled by language.
     """
     if not languages:
-        return np.zeros((BUCKETS, 0), np.float32)
+        return np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 3))
     total = F.element_at(F.create_map(*[F.lit(x) for pair in languages.items() for x in pair]), F.col("declared"))
     chance = F.abs(F.xxhash64("_k1", "_k2") % 1_000_000) / 1_000_000
     sample = rows.filter(F.col("declared").isin(list(languages)) & (chance * total < FIT_ROWS)).select("declared", "text")
@@ -66,11 +73,50 @@ def fit(rows: DataFrame, languages: dict[str, int]) -> np.ndarray:
     table = np.full((BUCKETS, len(languages)), 0.5)
     for r in sample.mapInArrow(count, "l long, b long, n long").groupBy("l", "b").agg(F.sum("n")).collect():  # at most BUCKETS x languages
         table[r[1], r[0]] += r[2]
-    return np.log(table / table.sum(0)).astype(np.float32)
+    return np.log(table / table.sum(0)).astype(np.float32), floors(sample, table, place)
+
+
+def floors(sample: DataFrame, table: np.ndarray, place: dict[str, int]) -> np.ndarray:
+    """For each language: the median m of its rows' mean log P(trigram), and variances v within and b between rows.
 
+    A text of n trigrams lies above m - SLACK * sqrt(v / n + b) if it is of the language.  Every
+    row is judged by the counts without its own.  Medians bear rows with a wrong declaration.  b
+    is LEAST_SPREAD squared at least.
+    """
+    shared = sample.sparkSession.sparkContext.broadcast(table)
 
-def text_scores(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """Row key, doc_id, declared, host, suffix, n_letters and loglik (one for each language; worth WORTH trigrams at most)."""
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        sums, out = counts.sum(0), []
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                if (i := place.get(lang.as_py())) is None:
+                    continue
+                own = np.zeros(BUCKETS, np.int64)
+                for grams in trigrams(text.as_py()):
+                    own += np.bincount(grams, minlength=BUCKETS)
+                at = np.flatnonzero(own)
+                n = int(own.sum())
+                if n:
+                    like = np.log((counts[at, i] - own[at]) / (sums[i] - n))
+                    mean = float(like @ own[at]) / n
+                    out.append((i, n, mean, float((like - mean) ** 2 @ own[at]) / n))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["l", "n", "mean", "var"])
+
+    rows = np.array(sample.mapInArrow(judge, "l long, n long, mean double, var double").collect(), float).reshape(-1, 4)  # about FIT_ROWS a language
+    out = np.tile([np.log(1 / BUCKETS), 0.0, 0.0], (len(place), 1))
+    for i in range(len(place)):
+        own = rows[rows[:, 0] == i]
+        if len(own):
+            middle, within = np.median(own[:, 2]), np.median(own[:, 3])
+            between = (1.4826 * np.median(np.abs(own[:, 2] - middle))) ** 2
+            out[i] = middle, within, between
+    out[:, 2] = np.maximum(out[:, 2], LEAST_SPREAD**2)
+    return out
+
+
+def text_scores(rows: DataFrame, model: np.ndarray, floor: np.ndarray) -> DataFrame:
+    """Row key, doc_id, declared, host, suffix, n_letters and loglik (one for each language, and the unknown class's last; worth WORTH trigrams at most)."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS x LANGUAGES floats at most
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,6 +129,9 @@ def text_scores(rows: DataFrame, model: np.ndarray) -> DataFrame:
                     total += table[grams].sum(0, dtype=np.float64)
                     seen += len(grams)
                 n.append(len(b"".join(t.encode().translate(LETTERS).split())) if t else 0)
+                if len(total):
+                    middle, within, between = floor[total.argmax()]
+                    total = np.append(total, seen * (middle - SLACK * np.sqrt(within / max(seen, 1) + between)))
                 like.append((total * min(1.0, WORTH / max(seen, 1)) if n[-1] else total * 0).tolist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(n, pa.int64()), pa.array(like, pa.list_(pa.float64()))], names=["_k1", "_k2", "doc_id", "declared", "host", "suffix", "n_letters", "loglik"])
 
@@ -105,7 +154,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     """Row key, doc_id, declared, language, posterior, accepted for every row.
 
     Rows are accepted when the text has a letter and the leading language has a posterior of
-    ``least`` or more.  Null, empty and letterless texts have language null, posterior 0 and are
+    ``least`` or more; the unknown class has its share of the posteriors, but language names the
+    leading language all the same.  Null, empty and letterless texts have language null, posterior 0 and are
     not accepted; a missing or unknown declaration is no evidence, missing hosts and suffixes count as one host and suffix; ties go
     to the language first by name; without any declared language nothing is accepted; equal rows
     get equal results; an empty table gives no rows.
@@ -117,13 +167,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     rows = rows.select(*KEY, F.col(id_col).cast("long").alias("doc_id"), text(declared_col).alias("declared"), F.coalesce(text(host_col), F.lit("")).alias("host"), F.coalesce(text(suffix_col), F.lit("")).alias("suffix"), F.col(text_col).alias("text"))
     known = languages_of(rows)
     languages, n = list(known), len(known)
-    scores = text_scores(rows, fit(rows, known))
+    scores = text_scores(rows, *fit(rows, known))
     if not n:
         return scores.select(*KEY, "doc_id", "declared", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
     scores = scores.withColumns({"lang": F.when(F.col("n_letters") > 0, _best("loglik")).cast("int"), "said": F.coalesce(F.array_position(F.array(*map(F.lit, languages)), F.col("declared")) - 1, F.lit(-1)).cast("int")})
     counts = durable(scores.filter("lang is not null").groupBy("host", "suffix", "lang", "said").agg(F.count("*").alias("n")), "langid-counts")
-    # declared given language, and the corpus's prior: at most LANGUAGES x (LANGUAGES + 1) sums
-    said = np.full((n + 1, n), 0.5)
+    # declared given class, and the corpus's prior: at most (LANGUAGES + 1) x (LANGUAGES + 1) sums; the unknown class is the last
+    said = np.full((n + 1, n + 1), 0.5)
     for r in counts.groupBy("said", "lang").agg(F.sum("n")).collect():
         said[r[0], r[1]] += r[2]
     prior = said.sum(0) / said.sum()
@@ -131,9 +181,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     log_said[n] = 0  # a missing or unknown declaration says nothing
     whole = F.array(*[F.lit(float(x)) for x in prior])
     smooth = lambda c, t, up: F.zip_with(c, up, lambda x, p: (x + lean * p) / (t + lean))
-    suffixes = _shares(counts, "suffix", n).select("suffix", smooth(F.col("c"), F.col("t"), whole).alias("up"))
+    suffixes = _shares(counts, "suffix", n + 1).select("suffix", smooth(F.col("c"), F.col("t"), whole).alias("up"))
     hosts = counts.groupBy("host", "suffix", "lang").agg(F.sum("n").alias("n")).withColumn("at", F.struct("host", "suffix"))
-    hosts = _shares(hosts, "at", n).select("at.host", "at.suffix", "c", "t").join(suffixes, "suffix")
+    hosts = _shares(hosts, "at", n + 1).select("at.host", "at.suffix", "c", "t").join(suffixes, "suffix")
     hosts = durable(hosts.select("host", "suffix", smooth(F.col("c"), F.col("t"), F.col("up")).alias("prior")), "langid-hosts")
     table = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in [*log_said[:n], log_said[n]]])
     row = F.element_at(table, F.when(F.col("said") < 0, n + 1).otherwise(F.col("said") + 1))
@@ -142,8 +192,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     post = joined.withColumn("total", total).withColumn("top", F.array_max("total"))
     post = post.withColumn("mass", F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     fine = F.col("n_letters") > 0
-    named = F.element_at(F.array(*map(F.lit, languages)), (_best("total") + 1).cast("int"))
-    posterior = F.when(fine, 1 / F.col("mass")).otherwise(F.lit(0.0))
+    lead = F.slice("total", 1, n)
+    named = F.element_at(F.array(*map(F.lit, languages)), (_best(lead) + 1).cast("int"))
+    posterior = F.when(fine, F.exp(F.array_max(lead) - F.col("top")) / F.col("mass")).otherwise(F.lit(0.0))
     return post.select(*KEY, "doc_id", "declared", F.when(fine, named).alias("language"), posterior.alias("posterior"), (fine & (posterior >= least)).alias("accepted"))
 
 

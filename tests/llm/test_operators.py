@@ -373,6 +373,20 @@ def test_language_held_out(spark):
     assert sum(r["language"] == r["lang"] for r in got) >= 0.97 * len(got)
 
 
+def test_language_unknown(spark):
+    """Rows of an undeclared language and letter junk are not accepted, whatever their declaration; clean rows are."""
+    import random
+    rng = random.Random(5)
+    junk = lambda abc: " ".join("".join(rng.choice(abc) for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(5, 200)))
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.when(F.col("lang") != "es", F.col("lang")).alias("lang"), "source")
+    planted = [(10**6 + i, junk("abcdefghijklmnopqrstuvwxyz" if i % 2 else "абвгдежзийклмнопрстуфхцчшщъыьэюя"), "en" if i % 4 < 2 else None, f"src{i % 3}") for i in range(80)]
+    got = langid.identify(base.unionByName(spark.createDataFrame(planted, base.schema))).collect()
+    clean = [r["accepted"] for r in got if r["declared"] and r["doc_id"] < 10**6]
+    foreign = [r["accepted"] for r in got if not r["declared"] and r["doc_id"] < 10**6]
+    assert sum(clean) >= 0.995 * len(clean) and len(foreign) > 50 and sum(foreign) <= 0.02 * len(foreign)
+    assert not any(r["accepted"] for r in got if r["doc_id"] >= 10**6)
+
+
 def test_host_and_markup_decide_short_texts(spark):
     rows = [(i, "the and of to in", "en", "a.example") for i in range(40)] + [(100 + i, "der die das und ein", "de", "b.example") for i in range(40)] + [(200, "x", None, "b.example"), (201, "x", None, "a.example")]
     got = {r["doc_id"]: r["language"] for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
