@@ -4,6 +4,9 @@ Sections end at blank lines, paragraphs at line ends, and a paragraph's leaves a
 128 characters, the last of them shorter.  A leaf's digest is its md5; a node's digest is the sha256 of its children's
 digests, so the root is equal for equal texts and for no others, and where roots differ only the
 branches that differ need be opened to find the edit.  Built of DataFrame operations alone.
+
+Likeness looks at grains: blocks of a sixteenth of the text, 128 characters at most, so that short
+texts have as many as long ones.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import KEY, durable, keyed, ranked
 
-BLOCK = 128
+BLOCK, GRAINS = 128, 16
 
 
 def tree(text: Column, block: int = BLOCK) -> Column:
@@ -32,14 +35,20 @@ def root(sections: Column) -> Column:
     return F.sha2(F.concat_ws(",", F.transform(sections, lambda s: s["digest"])), 256)
 
 
-def leaf_set(sections: Column) -> Column:
-    """The distinct leaves as longs (15 hexadecimal digits of each), for likeness."""
-    flat = F.flatten(F.transform(F.flatten(F.transform(sections, lambda s: s["paragraphs"])), lambda p: p["leaves"]))
-    return F.array_distinct(F.transform(flat, lambda x: F.conv(F.substring(x, 1, 15), 16, 10).cast("long")))
+def grain(n_chars: Column) -> Column:
+    """The length of a grain for texts of n characters."""
+    return F.least(F.greatest(F.floor(n_chars / GRAINS).cast("int"), F.lit(1)), F.lit(BLOCK))
+
+
+def grain_set(text: Column, size: Column) -> Column:
+    """The distinct grains of a text's paragraphs as longs, each with its place in the paragraph: a few characters in one place tell more than anywhere."""
+    pattern = F.concat(F.lit(r"(?<=\G(?s:.{"), size.cast("string"), F.lit("}))"))
+    cut = lambda p: F.filter(F.split(p, pattern, -1), lambda x, i: (x != "") | (i == 0))
+    return F.array_distinct(F.flatten(F.transform(F.split(text, "\n\n|\n", -1), lambda p: F.transform(cut(p), lambda x, i: F.xxhash64(x, i)))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared leaves of all leaves."""
+    """Shared grains of all grains."""
     both = F.size(F.array_intersect(a, b))
     return both.cast("double") / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
 
@@ -75,8 +84,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Row key, doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     A text's last floor(n/2) characters give way to the first as many (or all) of the next
-    document's.  Texts travel once by their own key; the next document sends only the characters
-    that are wanted and its leaves.  Null is the empty text; rows of equal id and text count as
+    document's.  near_edited counts grains of the text's own length, near_next grains of the longer
+    of both texts.  Texts travel once by their own key; the next document sends only the characters
+    that are wanted and its grains.  Null is the empty text; rows of equal id and text count as
     one document in the order and get equal results; a single document is its own next; an empty
     table gives no rows.
     """
@@ -85,10 +95,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # both sides read the same columns, so that one exchange of the texts serves both
     rows = keyed(docs, id_col=id_col, text_col=text_col).select(*KEY, text.alias("t"))
     nth = F.count(F.lit(1)).over(W.partitionBy(*KEY).orderBy("_k1").rowsBetween(W.unboundedPreceding, 0))
-    wanted = follow.select(F.col("_k1").alias("_p1"), F.col("_k2").alias("_p2"), F.col("_n1").alias("_k1"), F.col("_n2").alias("_k2"), F.expr("n_chars div 2").alias("want"), "_null")
-    given = rows.withColumn("_nth", nth).filter("_nth = 1").join(wanted, KEY).select(F.col("_p1").alias("_k1"), F.col("_p2").alias("_k2"), F.expr("substring(t, 1, cast(want as int))").alias("head"), leaf_set(tree(F.col("t"))).alias("next_leaves"), "_null")
+    wanted = follow.select(F.col("_k1").alias("_p1"), F.col("_k2").alias("_p2"), F.col("_n1").alias("_k1"), F.col("_n2").alias("_k2"), F.col("n_chars").alias("_pn"), "_null")
+    given = rows.withColumn("_nth", nth).filter("_nth = 1").join(wanted, KEY).withColumn("next_grain", grain(F.greatest(F.length("t").cast("long"), "_pn")))
+    given = given.select(F.col("_p1").alias("_k1"), F.col("_p2").alias("_k2"), F.expr("substring(t, 1, cast(_pn div 2 as int))").alias("head"), "next_grain", grain_set(F.col("t"), F.col("next_grain")).alias("next_grains"), "_null")
     both = rows.join(given, KEY).withColumns({"n_chars": F.length("t").cast("long"), "doc_id": F.when(~F.col("_null"), F.col("_k1"))})
     both = both.withColumn("e", F.concat(F.expr("substring(t, 1, cast(n_chars - n_chars div 2 as int))"), "head"))
-    grown = both.select(*KEY, "doc_id", "n_chars", F.sha2("e", 256).alias("edited_sha256"), tree(F.col("t")).alias("a"), tree(F.col("e")).alias("b"), "next_leaves")
-    leaves = grown.select(*KEY, "doc_id", "n_chars", "edited_sha256", root(F.col("a")).alias("fingerprint"), root(F.col("b")).alias("edited_fingerprint"), leaf_set(F.col("a")).alias("la"), leaf_set(F.col("b")).alias("lb"), "next_leaves")
-    return leaves.select(*KEY, "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("la"), F.col("lb")).alias("near_edited"), likeness(F.col("la"), F.col("next_leaves")).alias("near_next"))
+    own = grain(F.col("n_chars"))
+    grown = both.select(*KEY, "doc_id", "n_chars", F.sha2("e", 256).alias("edited_sha256"), root(tree(F.col("t"))).alias("fingerprint"), root(tree(F.col("e"))).alias("edited_fingerprint"),
+                        grain_set(F.col("t"), own).alias("ga"), grain_set(F.col("e"), own).alias("gb"), grain_set(F.col("t"), F.col("next_grain")).alias("gc"), "next_grains")
+    return grown.select(*KEY, "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("ga"), F.col("gb")).alias("near_edited"), likeness(F.col("gc"), F.col("next_grains")).alias("near_next"))

@@ -188,6 +188,17 @@ def test_fingerprints(spark, docs, empty):
     assert one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and one["near_next"] == 1.0
 
 
+def test_half_kept_short_texts_are_near(spark):
+    """Half of a text is a third of all grains, nearly, whatever its length, and whatever follows; an unrelated text shares next to none."""
+    import random
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz   \n" if i % 3 == 0 else "abcdefghijklmnopqrstuvwxyz   ") for _ in range(n)) for i, n in enumerate([20, 31, 60, 100, 127, 129, 200, 255, 256, 300, 700, 1500, 4000] * 3)]
+    got = merkle.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(texts)
+    assert all(0.15 < r["near_edited"] <= 0.6 for r in got if r["n_chars"] >= 60) and all(r["near_edited"] > 0.1 for r in got)
+    assert all(r["near_next"] < r["near_edited"] and r["near_next"] < 0.1 for r in got)
+
+
 def test_edits_are_located(spark):
     a, b = "one\ntwo\nthree\n\nfour\nfive", "one\n2\nthree\n\nfour\nfive"
     df = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.tree(F.col("a")).alias("a"), merkle.tree(F.col("b")).alias("b"))
