@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import KEY, durable, keyed, small_batches
 
-#: Hashed trigrams, languages at most, rows of each language that the trigram model is fitted on (about).
-BUCKETS, LANGUAGES, FIT_ROWS = 1 << 14, 64, 500
+#: Hashed trigrams, rows that a declared language needs to be a class, rows of each language that the trigram model is fitted on (about).
+BUCKETS, LEAST_ROWS, FIT_ROWS = 1 << 14, 10, 500
 #: Trigrams after which a text's evidence grows no more (they are far from independent).
 WORTH = 60.0
 #: How many (robust) standard deviations below its language's median a text's mean likelihood may lie,
@@ -43,9 +43,9 @@ def trigrams(text: str | None) -> Iterator[np.ndarray]:
 
 
 def languages_of(rows: DataFrame) -> dict[str, int]:
-    """The declared languages that are taken as classes, by name, with their rows: the most frequent, at most LANGUAGES."""
+    """The declared languages that are taken as classes, by name, with their rows: all of LEAST_ROWS rows or more."""
     counts = rows.filter("declared is not null").groupBy("declared").count()
-    return dict(sorted(tuple(r) for r in counts.orderBy(F.col("count").desc(), "declared").limit(LANGUAGES).collect()))
+    return dict(sorted(tuple(r) for r in counts.filter(F.col("count") >= LEAST_ROWS).collect()))
 
 
 def fit(rows: DataFrame, languages: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,24 +55,25 @@ def fit(rows: DataFrame, languages: dict[str, int]) -> tuple[np.ndarray, np.ndar
     """
     if not languages:
         return np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 3))
-    total = F.element_at(F.create_map(*[F.lit(x) for pair in languages.items() for x in pair]), F.col("declared"))
+    total = rows.sparkSession.createDataFrame(list(languages.items()), "declared string, total long")  # a row for each language
     chance = F.abs(F.xxhash64("_k1", "_k2") % 1_000_000) / 1_000_000
-    sample = rows.filter(F.col("declared").isin(list(languages)) & (chance * total < FIT_ROWS)).select("declared", "text")
+    sample = rows.join(F.broadcast(total), "declared").filter(chance * F.col("total") < FIT_ROWS).select("declared", "text")
     place = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(place), BUCKETS), np.int64)
+        table: dict[int, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
                 if (i := place.get(lang.as_py())) is not None:
                     for grams in trigrams(text.as_py()):
-                        table[i] += np.bincount(grams, minlength=BUCKETS)
-        lang, bucket = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(table[lang, bucket])], names=["l", "b", "n"])
+                        table[i] = table.get(i, 0) + np.bincount(grams, minlength=BUCKETS)
+        for i, own in table.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(at), pa.array(own[at])], names=["l", "b", "n"])
 
     table = np.full((BUCKETS, len(languages)), 0.5)
-    for r in sample.mapInArrow(count, "l long, b long, n long").groupBy("l", "b").agg(F.sum("n")).collect():  # at most BUCKETS x languages
-        table[r[1], r[0]] += r[2]
+    found = sample.mapInArrow(count, "l long, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS x languages
+    table[found["b"].to_numpy(), found["l"].to_numpy()] += found["n"].to_numpy()
     return np.log(table / table.sum(0)).astype(np.float32), floors(sample, table, place)
 
 
@@ -117,16 +118,18 @@ def floors(sample: DataFrame, table: np.ndarray, place: dict[str, int]) -> np.nd
 
 def text_scores(rows: DataFrame, model: np.ndarray, floor: np.ndarray) -> DataFrame:
     """Row key, doc_id, declared, host, suffix, n_letters and loglik (one for each language, and the unknown class's last; worth WORTH trigrams at most)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS x LANGUAGES floats at most
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats: 64 KB a language
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
+        part = max(1, (1 << 20) // max(table.shape[1], 1))  # trigrams at a time: 4 MB
         for batch in batches:
             n, like = [], []
             for text in batch.column(6):
                 t, seen, total = text.as_py(), 0, np.zeros(table.shape[1])
                 for grams in trigrams(t):
-                    total += table[grams].sum(0, dtype=np.float64)
+                    for at in range(0, len(grams), part):
+                        total += table[grams[at : at + part]].sum(0, dtype=np.float64)
                     seen += len(grams)
                 n.append(len(b"".join(t.encode().translate(LETTERS).split())) if t else 0)
                 if len(total):
@@ -145,9 +148,10 @@ def _best(scores: str | Column) -> Column:
 
 
 def _shares(counts: DataFrame, by: str, n: int) -> DataFrame:
-    """by -> c, the counts of each of n languages as an array, and their sum t."""
-    per = counts.groupBy(by).agg(*[F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).cast("double").alias(f"c{i}") for i in range(n)])
-    return per.select(by, F.array(*[F.col(f"c{i}") for i in range(n)]).alias("c")).withColumn("t", F.aggregate("c", F.lit(0.0), lambda a, x: a + x))
+    """by -> c, the counts of each of n classes as an array, and their sum t."""
+    per = counts.groupBy(by, "lang").agg(F.sum("n").cast("double").alias("n")).groupBy(by)
+    per = per.agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("m"), F.sum("n").alias("t"))
+    return per.select(by, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("c"), "t")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", suffix_col: str | None = None, least: float = 0.5, lean: float = 20.0) -> DataFrame:
@@ -156,7 +160,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     Rows are accepted when the text has a letter and the leading language has a posterior of
     ``least`` or more; the unknown class has its share of the posteriors, but language names the
     leading language all the same.  Null, empty and letterless texts have language null, posterior 0 and are
-    not accepted; a missing or unknown declaration is no evidence, missing hosts and suffixes count as one host and suffix; ties go
+    not accepted; a missing declaration is no evidence, one of fewer than
+    LEAST_ROWS rows speaks for the unknown class, missing hosts and suffixes count as one host and suffix; ties go
     to the language first by name; without any declared language nothing is accepted; equal rows
     get equal results; an empty table gives no rows.
     """
@@ -170,24 +175,30 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     scores = text_scores(rows, *fit(rows, known))
     if not n:
         return scores.select(*KEY, "doc_id", "declared", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
-    scores = scores.withColumns({"lang": F.when(F.col("n_letters") > 0, _best("loglik")).cast("int"), "said": F.coalesce(F.array_position(F.array(*map(F.lit, languages)), F.col("declared")) - 1, F.lit(-1)).cast("int")})
+    # a declaration that is no class is one of its own (n), none is -1
+    place = docs.sparkSession.createDataFrame(list(zip(languages, range(n), strict=True)), "declared string, place int")  # a row for each language
+    said = F.when(F.col("declared").isNull(), -1).otherwise(F.coalesce("place", F.lit(n)))
+    scores = scores.join(F.broadcast(place), "declared", "left").withColumns({"lang": F.when(F.col("n_letters") > 0, _best("loglik")).cast("int"), "said": said}).drop("place")
     counts = durable(scores.filter("lang is not null").groupBy("host", "suffix", "lang", "said").agg(F.count("*").alias("n")), "langid-counts")
-    # declared given class, and the corpus's prior: at most (LANGUAGES + 1) x (LANGUAGES + 1) sums; the unknown class is the last
-    said = np.full((n + 1, n + 1), 0.5)
+    # declared given class, and the corpus's prior: a sum for each pair of classes at most; the unknown class and the rare declarations are the last
+    said = np.full((n + 2, n + 1), 0.5)
+    said[n + 1] = 0
     for r in counts.groupBy("said", "lang").agg(F.sum("n")).collect():
         said[r[0], r[1]] += r[2]
     prior = said.sum(0) / said.sum()
-    log_said = np.log(said / said.sum(0))
-    log_said[n] = 0  # a missing or unknown declaration says nothing
+    given = said[: n + 1].copy()
+    given[n] = 0.5
+    given[n, n] = given[:, n].sum()  # a rare declaration is a slip in a text of a language, and half of all in a text of none
+    log_said = np.log(given / given.sum(0))
     whole = F.array(*[F.lit(float(x)) for x in prior])
     smooth = lambda c, t, up: F.zip_with(c, up, lambda x, p: (x + lean * p) / (t + lean))
     suffixes = _shares(counts, "suffix", n + 1).select("suffix", smooth(F.col("c"), F.col("t"), whole).alias("up"))
     hosts = counts.groupBy("host", "suffix", "lang").agg(F.sum("n").alias("n")).withColumn("at", F.struct("host", "suffix"))
     hosts = _shares(hosts, "at", n + 1).select("at.host", "at.suffix", "c", "t").join(suffixes, "suffix")
     hosts = durable(hosts.select("host", "suffix", smooth(F.col("c"), F.col("t"), F.col("up")).alias("prior")), "langid-hosts")
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in [*log_said[:n], log_said[n]]])
-    row = F.element_at(table, F.when(F.col("said") < 0, n + 1).otherwise(F.col("said") + 1))
-    joined = scores.join(hosts, ["host", "suffix"], "left").withColumns({"prior": F.coalesce("prior", whole), "row": row})
+    silent = [0.0] * (n + 1)  # a missing declaration says nothing
+    table = docs.sparkSession.createDataFrame([(-1, silent), *((i, x.tolist()) for i, x in enumerate(log_said))], "said int, row array<double>")  # a row for each language
+    joined = scores.join(hosts, ["host", "suffix"], "left").withColumn("prior", F.coalesce("prior", whole)).join(F.broadcast(table), "said")
     total = F.zip_with(F.zip_with("loglik", "row", lambda a, b: a + b), "prior", lambda a, p: a + F.log(p))
     post = joined.withColumn("total", total).withColumn("top", F.array_max("total"))
     post = post.withColumn("mass", F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))

@@ -398,6 +398,20 @@ def test_language_unknown(spark):
     assert not any(r["accepted"] for r in got if r["doc_id"] >= 10**6)
 
 
+def test_language_many(spark):
+    """Every language of enough rows is a class, however many there are; rows of a rarer one are not accepted."""
+    import random
+    rng = random.Random(9)
+    rows = []
+    for k in range(72):
+        abc = rng.sample("abcdefghijklmnopqrstuvwxyz", 9)
+        words = ["".join(rng.choice(abc) for _ in range(rng.randrange(2, 7))) for _ in range(40)]
+        rows += [(1000 * k + i, " ".join(rng.choice(words) for _ in range(60)), f"l{k:02d}", f"s{i % 3}") for i in range(4 if k == 71 else 12 + k % 3)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows) and not any(r["accepted"] for r in got if r["declared"] == "l71")
+    assert all(r["language"] == r["declared"] and r["accepted"] for r in got if r["declared"] != "l71")
+
+
 def test_host_and_markup_decide_short_texts(spark):
     rows = [(i, "the and of to in", "en", "a.example") for i in range(40)] + [(100 + i, "der die das und ein", "de", "b.example") for i in range(40)] + [(200, "x", None, "b.example"), (201, "x", None, "a.example")]
     got = {r["doc_id"]: r["language"] for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
