@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash banding, the fixed-depth case of an LSH forest.
 
-Every distinct set of word shingles gets, for each of 16 trees, a sequence of minhashes; a tree is
-the sorted trie of these sequences.  Two sets are candidates where they share a prefix.  Prefixes
-start at their full length and are shortened until pairs at the threshold are found with the
-target recall; sets under one trie node at that depth are then compared exactly.
+Every distinct set of word shingles gets, for each of 16 trees, a prefix of minhashes.  Its length
+is computed from the threshold and the target recall, not from the data: the longest at which
+pairs at the threshold are found with that recall.  Two sets are candidates where they share a
+prefix; sets under one such node are then compared exactly.
 
 Copies (equal sets) count as one text with a weight.  A node's members are compared in blocks, so
 that a node of any size spreads over many tasks; a pair that meets under several trees is counted
