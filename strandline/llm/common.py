@@ -1,46 +1,59 @@
 """What the corpus operators share: row keys, ranks and small scalars.
 
 Row keys.  ``doc_id`` may be null or repeated, so operators follow a row by two longs: ``_k1``
-is the id (the smallest long for null) and ``_k2`` a hash of the id's nullness and the text.
-Rows that agree in both hold the same id and text and therefore get the same result.
+is the id, or a hash of the text where the id is null, and ``_k2`` a hash (of another seed) of
+the id's nullness and the text.  Rows that agree in both hold the same id and text and get the
+same result: two rows of one id are told apart by 64 bits, two rows without id by 128.
+
+Clashing names.  Operators that hand on whole rows carry them as one struct (``rowed``), so no
+column of the input can meet a column of the operator's own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import discard, durable
 
-__all__ = ["KEY", "NO_ID", "GAP", "discard", "durable", "hash60", "keyed", "lower_ascii", "ranked", "small_batches", "with_key", "word_list", "words"]
+__all__ = ["KEY", "GAP", "discard", "durable", "hash60", "keyed", "lower_ascii", "ranked", "rowed", "small_batches", "word_list", "words"]
 
 KEY = ["_k1", "_k2"]
-NO_ID = -(1 << 63)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Texts go to Python so many rows at a time at most: rows may be long, and the default of 10,000 counts rows, not bytes."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Inside, texts go to Python so many rows at a time at most: rows may be long, and the default of 10,000 counts rows, not bytes.
+
+    The session's setting is put back at the end; what is to profit from it must be written inside.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
+    before = spark.conf.get(key, "10000")
+    if not 0 < int(before) <= rows:
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """_k1 and _k2 of a row."""
+    text = F.coalesce(text_col, F.lit(""))
+    return [F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("no id"), text)).alias("_k1"), F.xxhash64(F.col(id_col).isNull(), text).alias("_k2")]
 
 
 def keyed(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text and the named columns, with the row key; every other column is left behind."""
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_k1"),
-        F.xxhash64(F.col(id_col).isNull(), F.coalesce(text_col, F.lit(""))).alias("_k2"),
-        *dict.fromkeys([id_col, text_col, *more]),
-    )
-
-
-def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with all its columns, and the row key."""
-    return docs.withColumns({
-        "_k1": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
-        "_k2": F.xxhash64(F.col(id_col).isNull(), F.coalesce(text_col, F.lit(""))),
-    })
+    return docs.select(*row_key(id_col, text_col), *dict.fromkeys([id_col, text_col, *more]))
+
+
+def rowed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row key, and all columns of docs as one struct ``row``; select("row.*") gives them back."""
+    return docs.select(*row_key(id_col, text_col), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
 def hash60(id_col: str = "doc_id", text_col: str = "text") -> Column:

@@ -24,8 +24,8 @@ from .common import KEY, durable, keyed, small_batches
 
 #: Hashed trigrams, rows that a declared language needs to be a class, rows of each language that the trigram model is fitted on (about).
 BUCKETS, LEAST_ROWS, FIT_ROWS = 1 << 14, 10, 500
-#: Trigrams after which a text's evidence grows no more (they are far from independent).
-WORTH = 60.0
+#: Every letter stands in three trigrams, so a text's evidence is a third of their sum, at any length.
+SHARED = 3.0
 #: How many (robust) standard deviations below its language's median a text's mean likelihood may lie,
 #: and the least such deviation between texts (licences, markup and upper case are rare, but not foreign).
 SLACK, LEAST_SPREAD = 6.0, 0.4
@@ -72,7 +72,8 @@ def fit(rows: DataFrame, languages: dict[str, int]) -> tuple[np.ndarray, np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(at), pa.array(own[at])], names=["l", "b", "n"])
 
     table = np.full((BUCKETS, len(languages)), 0.5)
-    found = sample.mapInArrow(count, "l long, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS x languages
+    with small_batches(rows.sparkSession):
+        found = sample.mapInArrow(count, "l long, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS x languages
     table[found["b"].to_numpy(), found["l"].to_numpy()] += found["n"].to_numpy()
     return np.log(table / table.sum(0)).astype(np.float32), floors(sample, table, place)
 
@@ -104,7 +105,8 @@ def floors(sample: DataFrame, table: np.ndarray, place: dict[str, int]) -> np.nd
                     out.append((i, n, mean, float((like - mean) ** 2 @ own[at]) / n))
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["l", "n", "mean", "var"])
 
-    rows = np.array(sample.mapInArrow(judge, "l long, n long, mean double, var double").collect(), float).reshape(-1, 4)  # about FIT_ROWS a language
+    with small_batches(sample.sparkSession):
+        rows = np.array(sample.mapInArrow(judge, "l long, n long, mean double, var double").collect(), float).reshape(-1, 4)  # about FIT_ROWS a language
     out = np.tile([np.log(1 / BUCKETS), 0.0, 0.0], (len(place), 1))
     for i in range(len(place)):
         own = rows[rows[:, 0] == i]
@@ -117,7 +119,7 @@ def floors(sample: DataFrame, table: np.ndarray, place: dict[str, int]) -> np.nd
 
 
 def text_scores(rows: DataFrame, model: np.ndarray, floor: np.ndarray) -> DataFrame:
-    """Row key, doc_id, declared, host, suffix, n_letters and loglik (one for each language, and the unknown class's last; worth WORTH trigrams at most)."""
+    """Row key, doc_id, declared, host, suffix, n_letters and loglik (one for each language, and the unknown class's last), divided by SHARED."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats: 64 KB a language
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,11 +137,12 @@ def text_scores(rows: DataFrame, model: np.ndarray, floor: np.ndarray) -> DataFr
                 if len(total):
                     middle, within, between = floor[total.argmax()]
                     total = np.append(total, seen * (middle - SLACK * np.sqrt(within / max(seen, 1) + between)))
-                like.append((total * min(1.0, WORTH / max(seen, 1)) if n[-1] else total * 0).tolist())
+                like.append((total / SHARED if n[-1] else total * 0).tolist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(n, pa.int64()), pa.array(like, pa.list_(pa.float64()))], names=["_k1", "_k2", "doc_id", "declared", "host", "suffix", "n_letters", "loglik"])
 
     cols = rows.select("_k1", "_k2", "doc_id", "declared", "host", "suffix", "text")
-    return durable(cols.mapInArrow(each, "_k1 long, _k2 long, doc_id long, declared string, host string, suffix string, n_letters long, loglik array<double>"), "langid-scores")
+    with small_batches(rows.sparkSession):
+        return durable(cols.mapInArrow(each, "_k1 long, _k2 long, doc_id long, declared string, host string, suffix string, n_letters long, loglik array<double>"), "langid-scores")
 
 
 def _best(scores: str | Column) -> Column:
@@ -165,7 +168,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     to the language first by name; without any declared language nothing is accepted; equal rows
     get equal results; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     text = lambda c: F.lower(F.trim(F.col(c).cast("string"))) if c else F.lit(None).cast("string")
     extra = [c for c in (declared_col, host_col, suffix_col) if c]
     rows = keyed(docs, *extra, id_col=id_col, text_col=text_col)

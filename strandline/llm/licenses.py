@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, keyed, small_batches, word_list
+from .common import KEY, durable, keyed, small_batches, word_list
 
 #: Phrases of the base scan and their labels.
 PHRASES = {
@@ -154,7 +154,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     Null and empty texts have no words and no labels; equal rows get equal results; an empty
     table gives no rows.
     """
-    small_batches(docs.sparkSession)
     compiled = []
     for label, markup in (templates or TEMPLATES).items():
         program = compile_template(markup)
@@ -170,7 +169,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
             yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     rows = keyed(docs, id_col=id_col, text_col=text_col).select(*KEY, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(each, SCHEMA)
+    with small_batches(docs.sparkSession):
+        return durable(rows.mapInArrow(each, SCHEMA), "licenses")
 
 
 def _mandatory(markup: str) -> int:

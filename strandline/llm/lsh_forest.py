@@ -1,14 +1,20 @@
-"""N-gram Jaccard join by MinHash banding, the fixed-depth case of an LSH forest.
+"""N-gram Jaccard join by a MinHash LSH forest.
 
-Every distinct set of word shingles gets, for each of 16 trees, a prefix of minhashes.  Its length
-is computed from the threshold and the target recall, not from the data: the longest at which
-pairs at the threshold are found with that recall.  Two sets are candidates where they share a
-prefix; sets under one such node are then compared exactly.
+Every distinct set of word shingles has a signature of 6 minhashes for each of 16 trees, and each
+tree is a prefix trie of its signatures: a node holds the texts that share a prefix.  A text
+looks for partners at its full prefixes first and shortens them one at a time, always where this
+brings the fewest new members for what it adds to the recall, until a partner at the threshold
+would be found with the target probability.  So the depth at which a text searches differs from
+text to text and from tree to tree: crowded nodes are left early and empty ones entered deeply.
+What meets at a searched node is compared exactly.
+
+The tries are kept as the table of their nodes (tree, prefix of 3 to 6, members), counted by hash
+aggregation in place of a sort, which has the same nodes and no hot range.
 
 Copies (equal sets) count as one text with a weight.  A node's members are compared in blocks, so
-that a node of any size spreads over many tasks; a pair that meets under several trees is counted
-under the first alone, and no pair leaves its task: out come link counts and a spanning star of
-each block.  Classes are the connected components of these stars.
+that a node of any size spreads over many tasks; a pair that meets in several trees is counted in
+the first alone, and no pair leaves its task: out come link counts and a spanning star of each
+block.  Classes are the connected components of these stars.
 """
 
 from __future__ import annotations
@@ -21,23 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, durable, keyed, small_batches, word_list
+from .common import KEY, discard, durable, keyed, small_batches, word_list
 from .windows import mixed
 
-#: Trees, longest prefix, members and shingles of a block.
-TREES, DEEPEST, MEMBERS, SHINGLES = 16, 8, 512, 1 << 20
+#: Trees, full and least length of a prefix, members and shingles of a block.
+TREES, DEEPEST, LEAST, MEMBERS, SHINGLES = 16, 6, 3, 512, 1 << 20
+LEVELS = range(LEAST, DEEPEST + 1)
 U = np.uint64
 _FACTORS = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, size=TREES * DEEPEST, dtype=np.uint64) * U(2) + U(1)
 
 
-def prefix_depth(threshold: float, recall: float, trees: int = TREES, deepest: int = DEEPEST) -> int:
-    """The longest prefix at which a pair at the threshold shares a node of some tree with probability ``recall``."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
-
-
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the text's n-word shingles; a shorter text is one shingle, one without words has none."""
     words = word_list(text)
@@ -51,57 +50,127 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(mixed(out + U(width)))
 
 
-def tree_keys(x: np.ndarray, depth: int) -> np.ndarray:
-    """The trie node of depth ``depth`` in each tree."""
-    factors = _FACTORS[: TREES * depth]
-    least = np.full(len(factors), np.iinfo(U).max, U)
+def signature(x: np.ndarray) -> np.ndarray:
+    """The full signature: TREES x DEEPEST minhashes of 32 bits."""
+    least = np.full(len(_FACTORS), np.iinfo(U).max, U)
     for at in range(0, len(x), 4096):
-        least = np.minimum(least, (x[at : at + 4096, None] * factors[None, :]).min(0))
-    out = np.zeros(TREES, U)
-    for level in least.reshape(TREES, depth).T:
-        out = mixed(out * U(31) + level)
-    return out
+        least = np.minimum(least, (x[at : at + 4096, None] * _FACTORS[None, :]).min(0))
+    return (least >> U(32)).astype(">u4").reshape(TREES, DEEPEST)
 
 
-def texts(docs: DataFrame, n: int, depth: int, id_col: str, text_col: str) -> DataFrame:
-    """Row key, doc_id, t (name of the shingle set, null without words), size and keys (16 longs as binary) of every row."""
+def texts(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """Row key, doc_id, t (name of the shingle set, null without words), size and sig (the signature as binary) of every row."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sizes, keys = [], [], []
+            names, sizes, sigs = [], [], []
             for text in batch.column(3):
                 x = shingles(text.as_py(), n)
                 names.append(xxhash.xxh3_128_hexdigest(x.tobytes()) if len(x) else None)
                 sizes.append(len(x))
-                keys.append(tree_keys(x, depth).tobytes() if len(x) else None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["_k1", "_k2", "doc_id", "t", "size", "keys"])
+                sigs.append(signature(x).tobytes() if len(x) else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["_k1", "_k2", "doc_id", "t", "size", "sig"])
 
     rows = keyed(docs, id_col=id_col, text_col=text_col).select(*KEY, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return durable(rows.mapInArrow(each, "_k1 long, _k2 long, doc_id long, t string, size long, keys binary"), "forest-texts")
+    with small_batches(docs.sparkSession):
+        return durable(rows.mapInArrow(each, "_k1 long, _k2 long, doc_id long, t string, size long, sig binary"), "forest-texts")
+
+
+def shorten(members: np.ndarray, threshold: float, missed: float) -> np.ndarray:
+    """For each text the prefix length in each tree.
+
+    ``members`` (texts x TREES x LEVELS) counts who shares each prefix.  All prefixes are full at
+    first.  As long as a partner at the threshold would be missed with a probability above
+    ``missed``, the text shortens one prefix by one: the one with the fewest new members for each
+    factor that the probability falls by.
+    """
+    found = threshold ** np.array(LEVELS, float)
+    miss = np.log1p(-found)  # of one tree, by length
+    gain = np.concatenate([[np.nan], miss[1:] - miss[:-1]])  # of shortening from each length
+    at = np.full(members.shape[:2], DEEPEST - LEAST)
+    texts_, trees = np.arange(len(at)), np.arange(TREES)
+    for _ in range(TREES * (DEEPEST - LEAST)):
+        going = miss[at].sum(1) > np.log(missed)
+        if not going.any():
+            break
+        now = members[texts_[:, None], trees[None, :], at]
+        more = members[texts_[:, None], trees[None, :], np.maximum(at - 1, 0)] - now
+        price = np.where(at > 0, (more + 0.01) / gain[np.maximum(at, 1)], np.inf)
+        best = price.argmin(1)
+        at[texts_[going], best[going]] -= 1
+    return at + LEAST
+
+
+def forest(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """Places of texts in the tries: sid, tree, node, prober (whether the text searches this node), depths (its prefix length in each tree, as binary).
 
+    ``sets`` has sid, sig.  A text stands at every prefix up to the one that it searches, so it is
+    found by those that search a shorter one; only nodes with two texts or more are listed.
+    """
+    tries = F.explode(F.array(*(
+        F.struct(F.lit(tree).alias("tree"), F.lit(d).alias("depth"), F.xxhash64(F.lit(tree), F.lit(d), F.substring("sig", tree * 4 * DEEPEST + 1, 4 * d)).alias("node"))
+        for tree in range(TREES) for d in LEVELS)))
+    at = sets.select("sid", tries.alias("x")).select("sid", "x.*")
+    sizes = at.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = at.join(sizes, "node").groupBy("sid").agg(F.collect_list(F.struct("tree", "depth", "node", "n")).alias("nodes"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed, flat = batch.column(1), batch.column(1).flatten()
+            row = np.repeat(np.arange(len(listed)), np.diff(listed.offsets.to_numpy()))
+            tree, depth, node, n = (flat.field(i).to_numpy() for i in range(4))
+            members = np.ones((len(listed), TREES, len(LEVELS)), np.int64)
+            members[row, tree, depth - LEAST] = n
+            chosen = shorten(members, threshold, 1 - recall)
+            use = depth <= chosen[row, tree]
+            packed = [x.tobytes() for x in chosen.astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[row[use]]), pa.array(tree[use]), pa.array(node[use]), pa.array(depth[use] == chosen[row[use], tree[use]]), pa.array([packed[i] for i in row[use]], pa.binary())], names=["sid", "tree", "node", "prober", "depths"])
+
+    return durable(shared.select("sid", "nodes").mapInArrow(each, "sid long, tree int, node long, prober boolean, depths binary"), "forest-places")
 
-def nodes(sets: DataFrame) -> DataFrame:
-    """Trie nodes with two members or more: tree, node, t, block, blocks.
 
-    ``sets`` has t, size, keys.  Nodes of several trees with the same members are kept in the first tree only.
+def nodes(places: DataFrame, sets: DataFrame) -> DataFrame:
+    """The nodes in which pairs are compared: tree, node, sid, prober, depths, block, front, blocks.
+
+    At least one text searches such a node and at least one other stands there.  Nodes of several
+    trees with the same members and searchers are kept in the first tree only.  Searchers are in
+    the ``front`` first blocks; blocks behind these need not be compared with each other.
     """
-    at = sets.select("t", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda i: F.hex(F.substring("keys", i * 8 + 1, F.lit(8))))).alias("tree", "node"))
-    filled = at.groupBy("tree", "node").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("t")).alias("x"), F.sum(F.shiftright(F.xxhash64("t", F.lit(1)), 20)).alias("y")).filter("n > 1")
-    kept = filled.groupBy("n", "total", "x", "y").agg(F.min(F.struct("tree", "node")).alias("first"))
-    blocks = F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("total") / SHINGLES)).cast("int")
-    kept = kept.select("first.tree", "first.node", F.least(blocks, F.col("n").cast("int")).alias("blocks"))
-    return at.join(kept, ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("t", F.lit(2)), F.col("blocks")).cast("int")).select("tree", "node", "t", "block", "blocks")
+    at = places.join(sets.select("sid", "size"), "sid")
+    mark = F.xxhash64("sid", "prober")
+    filled = at.groupBy("tree", "node").agg(F.count("*").alias("n"), F.count_if("prober").alias("p"), F.sum(F.when(F.col("prober"), F.col("size")).otherwise(0)).alias("ps"), F.sum("size").alias("total"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(F.xxhash64("sid", "prober", F.lit(1)), 20)).alias("y"))
+    kept = filled.filter("n > 1 and p > 0").groupBy("n", "p", "ps", "total", "x", "y").agg(F.min(F.struct("tree", "node")).alias("first"))
+    cut = lambda n, size: F.greatest(F.ceil(n / MEMBERS), F.least(F.ceil(size / SHINGLES), n)).cast("int")
+    kept = kept.select("first.tree", "first.node", cut(F.col("p"), F.col("ps")).alias("front"), cut(F.col("n") - F.col("p"), F.col("total") - F.col("ps")).alias("back"))
+    spread = lambda n: F.pmod(F.xxhash64("sid", F.lit(2)), F.greatest(n, F.lit(1))).cast("int")
+    block = F.when(F.col("prober"), spread(F.col("front"))).otherwise(F.col("front") + spread(F.col("back")))
+    return at.join(kept, ["tree", "node"]).select("tree", "node", "sid", "prober", "depths", block.alias("block"), "front", (F.col("front") + F.col("back")).alias("blocks"))
+
+
+def met(sigs: np.ndarray, depths: np.ndarray, tree: int) -> np.ndarray:
+    """Which pairs meet in the tree: their common prefix is as long as the shorter of their two prefixes there."""
+    least = np.minimum(depths[:, None, tree], depths[None, :, tree])
+    common, same = np.zeros(least.shape, np.uint8), np.ones(least.shape, bool)
+    for level in range(DEEPEST):
+        same &= sigs[:, None, tree, level] == sigs[None, :, tree, level]
+        if not same.any():
+            break
+        common += same
+    return common >= least
 
 
-def compare(names: list[str], weights: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], block: np.ndarray, tree: int, pair: tuple[int, int], threshold: float) -> Iterator[tuple]:
-    """For one pair of blocks: (t, root, texts, docs) of every member with links.
+def compare(names: list[int], weights: np.ndarray, sigs: np.ndarray, depths: np.ndarray, sets: list[np.ndarray], block: np.ndarray, prober: np.ndarray, tree: int, pair: tuple[int, int], threshold: float) -> Iterator[tuple]:
+    """For one pair of blocks: (sid, root, texts, docs) of every member with links.
 
-    Exact Jaccard of all pairs that meet first under this tree, by products of 0/1 matrices over the shingles that occur twice.
+    Exact Jaccard of all pairs of which one searches this node and that meet in no earlier tree, by products of 0/1 matrices over the shingles that occur twice.
     """
     n = len(names)
     wanted = ~np.eye(n, dtype=bool) if pair[0] == pair[1] else (block[:, None] != block[None, :])
-    for earlier in range(tree):
-        wanted &= keys[:, None, earlier] != keys[None, :, earlier]
+    wanted &= prober[:, None] | prober[None, :]
     size = np.array([len(x) for x in sets], np.float64)
+    for earlier in range(tree):
+        if not wanted.any():
+            return
+        wanted &= ~met(sigs, depths, earlier)
     wanted &= np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]) - 1e-9
     busy = np.flatnonzero(wanted.any(1))
     if not len(busy):
@@ -135,28 +204,29 @@ def compare(names: list[str], weights: np.ndarray, keys: np.ndarray, sets: list[
         yield names[busy[i]], names[busy[root[i]]], int(texts_linked[i]), int(docs_linked[i])
 
 
-def links(docs: DataFrame, sets: DataFrame, members: DataFrame, n: int, depth: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """t, root, texts, docs for the members of every block pair that have links.
+def links(docs: DataFrame, sets: DataFrame, members: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """sid, root, texts, docs for the members of every block pair that have links.
 
-    ``sets`` has t, weight and the row key (_k1, _k2) of one document that holds the text.
+    ``sets`` has sid, weight and the row key (_k1, _k2) of one document that holds the text.
     """
-    pairs = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    pairs = pairs.select("t", F.struct("tree", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block").alias("place"))
-    wanted = sets.select("t", "weight", *KEY).join(pairs.groupBy("t").agg(F.collect_list("place").alias("places")), "t")
-    held = keyed(docs, id_col=id_col, text_col=text_col).select(*KEY, F.col(text_col).alias("text")).join(wanted, KEY).select("t", "weight", "places", "text")
+    other = F.explode(F.expr("sequence(0, if(block < front, blocks, front) - 1)"))
+    pairs = members.withColumn("other", other)
+    pairs = pairs.select("sid", "depths", F.struct("tree", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "prober").alias("place"))
+    wanted = sets.select("sid", "weight", *KEY).join(pairs.groupBy("sid").agg(F.first("depths").alias("depths"), F.collect_list("place").alias("places")), "sid")
+    held = keyed(docs, id_col=id_col, text_col=text_col).select(*KEY, F.col(text_col).alias("text")).join(wanted, KEY).select("sid", "weight", "depths", "places", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets_, keys = [], []
-            for text in batch.column(3):
+            sets_, sigs = [], []
+            for text in batch.column(4):
                 x = shingles(text.as_py(), n)
                 sets_.append(x.tobytes())
-                keys.append(tree_keys(x, depth).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(keys, pa.binary()), pa.array(sets_, pa.binary())], names=["t", "weight", "places", "keys", "shingles"])
+                sigs.append(signature(x).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sigs, pa.binary()), pa.array(sets_, pa.binary())], names=["sid", "weight", "depths", "places", "sig", "shingles"])
 
-    place = "struct<tree:int,node:string,i:int,j:int,block:int>"
-    spread = held.mapInArrow(cut, f"t string, weight long, places array<{place}>, keys binary, shingles binary").withColumn("place", F.explode("places"))
-    spread = spread.select("place.*", "t", "weight", "keys", "shingles")
+    place = "struct<tree:int,node:bigint,i:int,j:int,block:int,prober:boolean>"
+    spread = held.mapInArrow(cut, f"sid long, weight long, depths binary, places array<{place}>, sig binary, shingles binary").withColumn("place", F.explode("places"))
+    spread = spread.select("place.*", "sid", "weight", "depths", "sig", "shingles")
     order = ["tree", "node", "i", "j"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,26 +235,27 @@ def links(docs: DataFrame, sets: DataFrame, members: DataFrame, n: int, depth: i
         def flush() -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
                 names = sorted(rows)
-                weights, keys, sets_, block = (list(x) for x in zip(*(rows[x] for x in names), strict=True))
-                found = list(compare(names, np.array(weights, np.float64), np.array(keys), sets_, np.array(block), at[0], at[2:], threshold))
+                weights, depths, sigs, sets_, block, prober = (list(x) for x in zip(*(rows[x] for x in names), strict=True))
+                found = list(compare(names, np.array(weights, np.float64), np.array(sigs), np.array(depths), sets_, np.array(block), np.array(prober), at[0], at[2:], threshold))
                 if found:
                     t, r, a, b = map(list, zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(r), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["t", "root", "texts", "docs"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (t, r, a, b)], names=["sid", "root", "texts", "docs"])
 
         for batch in batches:
-            for tree, node, i, j, block, t, weight, key, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for tree, node, i, j, block, prober, sid, weight, depths, sig, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != (tree, node, i, j):
                     yield from flush()
                     at, rows = (tree, node, i, j), {}
-                rows[t] = (weight, np.frombuffer(key, U), np.frombuffer(x, U), block)
+                rows[sid] = (weight, np.frombuffer(depths, np.uint8), np.frombuffer(sig, ">u4").reshape(TREES, DEEPEST), np.frombuffer(x, U), block, prober)
         yield from flush()
 
-    sorted_ = spread.repartition(*order).sortWithinPartitions(*order)
-    return durable(sorted_.mapInArrow(each, "t string, root string, texts long, docs long"), "forest-links")
+    with small_batches(docs.sparkSession):
+        sorted_ = spread.repartition(*order).sortWithinPartitions(*order)
+        return durable(sorted_.mapInArrow(each, "sid long, root long, texts long, docs long"), "forest-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """t, root (the least name of its component) for every t on an edge (t, root); large and small stars in turn, each written."""
+    """t, root (the least of its component) for every t on an edge (t, root); large and small stars in turn, each written."""
     pairs = edges.filter("t <> root").select(F.greatest("t", "root").alias("u"), F.least("t", "root").alias("v")).distinct()
     pairs, seen = durable(pairs, "components"), None
     while True:
@@ -193,36 +264,41 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        pairs = durable(small.filter("u <> v").distinct(), "components")
+        before, pairs = pairs, durable(small.filter("u <> v").distinct(), "components")
+        discard(before)
         now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen:
             return pairs.select(F.col("u").alias("t"), F.col("v").alias("root"))
         seen = now
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row key, doc_id, class_id, n_links, n_texts, keeper, t for every row.
 
     ``class_id`` is the least id among documents joined by links (Jaccard of n-word shingles of
     ``threshold`` or more); ``n_links`` counts the other documents that a row is linked to, copies
     included, ``n_texts`` the other distinct texts; ``keeper`` marks rows whose key is the least of
-    the class.  Words are lower-cased ASCII letters and digits and all else outside ASCII; a text
+    the class.  A pair at the threshold is found with probability ``recall``, a closer one with a
+    greater.  Words are lower-cased ASCII letters and digits and all else outside ASCII; a text
     of fewer than n words is one shingle; null and wordless texts have no links and are a class of
-    their own (t null); a class without any id has class_id null; an empty table gives no rows.
+    their own (t null); a text of any length is read whole; equal rows are copies of each other; a
+    class without any id has class_id null; other columns are not looked at; an empty table gives
+    no rows.
     """
-    small_batches(docs.sparkSession)
-    depth = prefix_depth(threshold, recall)
-    rows = texts(docs, n, depth, id_col, text_col)
+    rows = texts(docs, n, id_col, text_col)
     order = F.struct(F.col("doc_id").isNull().alias("nothing"), F.col("_k1"), F.col("_k2"))
-    sets = rows.filter("t is not null").groupBy("t").agg(F.count("*").alias("weight"), F.min(order).alias("first"), F.max("size").alias("size"), F.max("keys").alias("keys"))
-    sets = durable(sets.select("t", "weight", "first._k1", "first._k2", F.col("first.nothing").alias("nothing"), "size", "keys"), "forest-sets")
-    members = durable(nodes(sets), "forest-nodes")
-    found = links(docs, sets, members, n, depth, threshold, id_col, text_col)
-    counts = found.groupBy("t").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
-    roots = components(found.select("t", "root"))
-    classes = sets.join(roots, "t", "left").join(counts, "t", "left").select("t", F.coalesce("root", "t").alias("root"), "weight", "nothing", *KEY, F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs"))
+    sets = rows.filter("t is not null").groupBy("t").agg(F.count("*").alias("weight"), F.min(order).alias("first"), F.max("size").alias("size"), F.max("sig").alias("sig"))
+    sets = durable(sets.select(F.monotonically_increasing_id().alias("sid"), "t", "weight", "first._k1", "first._k2", F.col("first.nothing").alias("nothing"), "size", "sig"), "forest-sets")
+    places = forest(sets, threshold, recall)
+    members = durable(nodes(places, sets), "forest-nodes")
+    found = links(docs, sets, members, n, threshold, id_col, text_col)
+    counts = found.groupBy("sid").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
+    roots = components(found.select(F.col("sid").alias("t"), "root"))
+    classes = sets.join(roots.withColumnRenamed("t", "sid"), "sid", "left").join(counts, "sid", "left").select("t", F.coalesce("root", "sid").alias("root"), "weight", "nothing", *KEY, F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs"))
     heads = classes.groupBy("root").agg(F.min(F.struct("nothing", *KEY)).alias("head"))
     classes = durable(classes.join(heads, "root").select("t", "weight", "texts", "docs", "head"), "forest-classes")
+    for used in (places, members, found, sets):
+        discard(used)
     out = rows.select(*KEY, "doc_id", "t").join(classes, "t", "left")
     same = (F.col("head._k1") == F.col("_k1")) & (F.col("head._k2") == F.col("_k2"))
     return out.select(*KEY, "doc_id", F.when(F.col("t").isNull(), F.col("doc_id")).when(~F.col("head.nothing"), F.col("head._k1")).alias("class_id"),

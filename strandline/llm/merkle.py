@@ -1,32 +1,49 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and blocks of a paragraph.
 
 Sections end at blank lines, paragraphs at line ends, and a paragraph's leaves are its blocks of
-128 characters, the last of them shorter.  A leaf's digest is its md5; a node's digest is the sha256 of its children's
-digests, so the root is equal for equal texts and for no others, and where roots differ only the
-branches that differ need be opened to find the edit.  Built of DataFrame operations alone.
-
-Likeness looks at grains: blocks of a sixteenth of the text, 128 characters at most, so that short
-texts have as many as long ones.
+128 characters (code points), the last of them shorter.  A leaf's digest is its md5; a node's is
+the sha256 of its children's digests, so the root is equal for equal texts and for no others, and
+where roots differ only the branches that differ need be opened to find the edit.
+
+A fingerprint is the root and, for likeness, the tree's lowest levels cut finer: grains of 128,
+64, ... characters down to a sixteenth of the text, so that short texts have as many as long ones.
+Two fingerprints are compared at the finest grain that both have.  Built of DataFrame operations
+alone; a text of any length is cut in one pass.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import KEY, durable, keyed, ranked
 
 BLOCK, GRAINS = 128, 16
+#: Sizes of grains, from coarse to fine.
+SIZES = (128, 64, 32, 16, 8, 4, 2, 1)
+#: What parts blocks while a text is cut, and what both marks become where a text has them itself.
+MARK, ESCAPE = "\ue000", "\ue001"
+
+
+def escaped(text: Column) -> Column:
+    """The text without MARK; different texts stay different."""
+    safe = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE * 2)), F.lit(MARK), F.lit(ESCAPE + "\ue002"))
+    return F.when(F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(ESCAPE)), safe).otherwise(text)
+
+
+def blocks(piece: Column, size: int) -> Column:
+    """An escaped() text in blocks of ``size`` code points; the empty one is one empty block."""
+    cut = F.split(F.regexp_replace(piece, rf"(?s).{{{size}}}", f"$0{MARK}"), MARK, -1)
+    return F.filter(cut, lambda x, i: (x != "") | (i == 0))
 
 
 def tree(text: Column, block: int = BLOCK) -> Column:
     """array<struct<digest, paragraphs array<struct<digest, leaves array<string>>>>>, one element a section."""
-    leaves = lambda p: F.transform(F.split(p, rf"(?<=\G(?s:.{{{block}}}))"), lambda x: F.md5(x))
+    leaves = lambda p: F.transform(blocks(p, block), lambda x: F.md5(x))
     digest = lambda parts: F.sha2(F.concat_ws(",", parts), 256)
     paragraph = lambda x: F.struct(digest(x).alias("digest"), x.alias("leaves"))
     section = lambda ps: F.struct(digest(F.transform(ps, lambda p: p["digest"])).alias("digest"), ps.alias("paragraphs"))
-    cut = F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), leaves))
+    cut = F.transform(F.split(escaped(text), "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), leaves))
     return F.transform(F.transform(cut, lambda s: F.transform(s, paragraph)), section)
 
 
@@ -35,31 +52,60 @@ def root(sections: Column) -> Column:
     return F.sha2(F.concat_ws(",", F.transform(sections, lambda s: s["digest"])), 256)
 
 
-def grain(n_chars: Column) -> Column:
-    """The length of a grain for texts of n characters."""
-    return F.least(F.greatest(F.floor(n_chars / GRAINS).cast("int"), F.lit(1)), F.lit(BLOCK))
-
+def grains(text: Column) -> Column:
+    """array<array<string>>: for each size from 128 down to the largest that is at most a sixteenth of the text, its distinct grains.
 
-def grain_set(text: Column, size: Column) -> Column:
-    """The distinct grains of a text's paragraphs as longs, each with its place in the paragraph: a few characters in one place tell more than anywhere."""
-    pattern = F.concat(F.lit(r"(?<=\G(?s:.{"), size.cast("string"), F.lit("}))"))
-    cut = lambda p: F.filter(F.split(p, pattern, -1), lambda x, i: (x != "") | (i == 0))
-    return F.array_distinct(F.flatten(F.transform(F.split(text, "\n\n|\n", -1), lambda p: F.transform(cut(p), lambda x, i: F.xxhash64(x, i)))))
+    A grain is a block of a paragraph with its place there (a few characters in one place tell
+    more than anywhere), as 8 hexadecimal digits of its md5.
+    """
+    lines, n = F.split(escaped(text), "\n\n|\n", -1), F.length(text)
+    digest = lambda x, i: F.substring(F.md5(F.concat(i.cast("string"), F.lit(":"), x)), 1, 8)
+    level = lambda size: F.array_distinct(F.flatten(F.transform(lines, lambda p: F.transform(blocks(p, size), digest))))
+    none = F.array().cast("array<string>")
+    # a size is left out when twice as much is still at most a sixteenth
+    levels = F.array(*(level(s) if s == BLOCK else F.when(n < 2 * s * GRAINS, level(s)).otherwise(none) for s in SIZES))
+    return F.filter(levels, lambda x: F.size(x) > 0)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared grains of all grains."""
-    both = F.size(F.array_intersect(a, b))
-    return both.cast("double") / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
+    """Shared grains of all grains, at the finest size that both have."""
+    at = F.least(F.size(a), F.size(b))
+    x, y = F.element_at(a, at), F.element_at(b, at)
+    both = F.size(F.array_intersect(x, y))
+    return both.cast("double") / F.greatest(F.size(x) + F.size(y) - both, F.lit(1))
+
+
+def fingerprint(sections: Column, grained: Column) -> Column:
+    """root;grains,...;grains,...; as one string, from the coarsest grains to the finest."""
+    return F.concat_ws(";", root(sections), F.array_join(F.transform(grained, lambda x: F.array_join(x, ",")), ";"))
+
+
+def _differs(a: Column, b: Column) -> Column:
+    """For each digest of array b: whether array a has another one in its place, counted from the front and counted from the end."""
+    shift = F.size(a) - F.size(b)
+    # get() of a negative place would be an error under ANSI, so it is asked for only where it exists
+    back = lambda i: F.when(i + shift >= 0, F.get(a, F.greatest(i + shift, F.lit(0))))
+    return F.transform(b, lambda x, i: ~(F.coalesce(F.get(a, i) == x, F.lit(False)) | F.coalesce(back(i) == x, F.lit(False))))
 
 
 def edits(a: Column, b: Column) -> Column:
-    """The sections and paragraphs (numbers from 0) of tree b whose branch has no equal in tree a, as array<struct<section, paragraph>>."""
-    known = F.transform(a, lambda s: s["digest"])
-    paragraphs = F.transform(F.flatten(F.transform(a, lambda s: s["paragraphs"])), lambda p: p["digest"])
-    opened = F.transform(b, lambda s, i: F.when(F.array_contains(known, s["digest"]), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(
-        F.filter(F.transform(s["paragraphs"], lambda p, j: F.when(~F.array_contains(paragraphs, p["digest"]), F.struct(i.cast("int").alias("section"), j.cast("int").alias("paragraph")))), lambda x: x.isNotNull())))
-    return F.flatten(opened)
+    """Where tree b differs from tree a: sections and paragraphs (numbers from 0, array<struct<section, paragraph>>) of the differing branches.
+
+    Only sections whose digests differ are opened.  Branches are compared place by place, from the
+    front and from the end, so what one insertion or deletion moves is not taken for an edit.
+    """
+    digests = lambda xs: F.transform(xs, lambda x: x["digest"])
+    changed = _differs(digests(a), digests(b))
+    no_paragraph = F.array().cast("array<string>")
+    empty = F.array().cast("array<struct<section:int,paragraph:int>>")
+
+    def opened(s: Column, i: Column) -> Column:
+        own = digests(s["paragraphs"])
+        before = F.coalesce(digests(F.get(a, i)["paragraphs"]), no_paragraph)
+        found = F.transform(_differs(before, own), lambda x, j: F.when(x, F.struct(i.cast("int").alias("section"), j.cast("int").alias("paragraph"))))
+        return F.when(F.get(changed, i), F.filter(found, lambda x: x.isNotNull())).otherwise(empty)
+
+    return F.flatten(F.transform(b, opened))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,26 +127,28 @@ def next_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Row key, doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
+    """Row key, doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edits for every row.
 
     A text's last floor(n/2) characters give way to the first as many (or all) of the next
-    document's.  near_edited counts grains of the text's own length, near_next grains of the longer
-    of both texts.  Texts travel once by their own key; the next document sends only the characters
-    that are wanted and its grains.  Null is the empty text; rows of equal id and text count as
-    one document in the order and get equal results; a single document is its own next; an empty
-    table gives no rows.
+    document's.  Both near_ columns are likenesses of fingerprints, and can be had from these
+    strings alone; ``edits`` lists the differing branches of the edited text (section:paragraph,
+    comma-joined).  Texts travel once by their own key; the next document sends only the
+    characters that are wanted and its grains.  Null is the empty text; rows of equal id and text
+    count as one document in the order and get equal results; a single document is its own next;
+    other columns are not looked at; an empty table gives no rows.
     """
     follow = next_documents(docs, id_col, text_col)
     text = F.coalesce(text_col, F.lit(""))
     # both sides read the same columns, so that one exchange of the texts serves both
     rows = keyed(docs, id_col=id_col, text_col=text_col).select(*KEY, text.alias("t"))
-    nth = F.count(F.lit(1)).over(W.partitionBy(*KEY).orderBy("_k1").rowsBetween(W.unboundedPreceding, 0))
     wanted = follow.select(F.col("_k1").alias("_p1"), F.col("_k2").alias("_p2"), F.col("_n1").alias("_k1"), F.col("_n2").alias("_k2"), F.col("n_chars").alias("_pn"), "_null")
-    given = rows.withColumn("_nth", nth).filter("_nth = 1").join(wanted, KEY).withColumn("next_grain", grain(F.greatest(F.length("t").cast("long"), "_pn")))
-    given = given.select(F.col("_p1").alias("_k1"), F.col("_p2").alias("_k2"), F.expr("substring(t, 1, cast(_pn div 2 as int))").alias("head"), "next_grain", grain_set(F.col("t"), F.col("next_grain")).alias("next_grains"), "_null")
+    given = rows.join(wanted, KEY)
+    given = given.select(F.col("_p1").alias("_k1"), F.col("_p2").alias("_k2"), F.expr("substring(t, 1, cast(_pn div 2 as int))").alias("head"), grains(F.col("t")).alias("next_grains"), "_null")
+    # equal rows all send the same, and one of them is enough; the rest is merged before it travels
+    given = given.groupBy(*KEY).agg(*(F.first(c).alias(c) for c in ("head", "next_grains", "_null")))
     both = rows.join(given, KEY).withColumns({"n_chars": F.length("t").cast("long"), "doc_id": F.when(~F.col("_null"), F.col("_k1"))})
     both = both.withColumn("e", F.concat(F.expr("substring(t, 1, cast(n_chars - n_chars div 2 as int))"), "head"))
-    own = grain(F.col("n_chars"))
-    grown = both.select(*KEY, "doc_id", "n_chars", F.sha2("e", 256).alias("edited_sha256"), root(tree(F.col("t"))).alias("fingerprint"), root(tree(F.col("e"))).alias("edited_fingerprint"),
-                        grain_set(F.col("t"), own).alias("ga"), grain_set(F.col("e"), own).alias("gb"), grain_set(F.col("t"), F.col("next_grain")).alias("gc"), "next_grains")
-    return grown.select(*KEY, "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("ga"), F.col("gb")).alias("near_edited"), likeness(F.col("gc"), F.col("next_grains")).alias("near_next"))
+    grown = both.select(*KEY, "doc_id", "n_chars", F.sha2("e", 256).alias("edited_sha256"), tree(F.col("t")).alias("ta"), tree(F.col("e")).alias("tb"), grains(F.col("t")).alias("ga"), grains(F.col("e")).alias("gb"), "next_grains")
+    where = F.array_join(F.transform(edits(F.col("ta"), F.col("tb")), lambda x: F.concat_ws(":", x["section"].cast("string"), x["paragraph"].cast("string"))), ",")
+    return grown.select(*KEY, "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("ta"), F.col("ga")).alias("fingerprint"), fingerprint(F.col("tb"), F.col("gb")).alias("edited_fingerprint"),
+                        likeness(F.col("ga"), F.col("gb")).alias("near_edited"), likeness(F.col("ga"), F.col("next_grains")).alias("near_next"), where.alias("edits"))

@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import KEY, durable, hash60, keyed, ranked, with_key
+from .common import KEY, durable, hash60, keyed, ranked, rowed
 
 BITS, STEP = 60, 12
 
 
 def word_count(text: str | Column) -> Column:
     """Number of runs of characters other than space and \\t to \\r; 0 for null."""
-    return F.coalesce(F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")), F.lit(0)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
@@ -94,7 +94,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tuple[int, i
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself, in the columns of docs: a row for each whole copy (the one at a threshold is rounded); rows without words go."""
-    plan = mix(docs, **how).filter("copies > 0").groupBy(*KEY).agg(F.max("copies").alias("_copies"))
-    out = with_key(docs).join(plan, KEY).withColumn("_copy", F.explode(F.expr("sequence(1, cast(_copies as int))")))
-    return out.select(docs.columns)
+    """The mix itself, in the columns of docs, whatever their names: a row for each whole copy (the one at a threshold is rounded).
+
+    Null, empty and blank texts have no words and go; rows of equal id and text are each repeated
+    alike; an empty table gives no rows.
+    """
+    plan = mix(docs, **how).filter("copies > 0").groupBy(*KEY).agg(F.max("copies").alias("copies"))
+    out = rowed(docs).join(plan, KEY).select("row", F.explode(F.expr("sequence(1, cast(copies as int))")).alias("copy"))
+    return out.select("row.*")

@@ -33,7 +33,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = merkle.edited_fingerprints(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edits")
 
 
 def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,21 @@
 """Secret scans: fixed patterns, and a battery of randomness tests under false-discovery control.
 
 Patterns find assignments, access keys and long hexadecimal runs.  Beyond them, every run of 20 or
-more token characters that holds a letter and a digit is put to the test: its encoding is
-inferred, and uniformity over that alphabet (chi-squared), runs about the alphabet's middle and
-serial correlation each give a p-value under "drawn at random".  Benjamini-Hochberg, within
-classes of length because short tokens have little power, rejects the tokens that are not random;
-what stays is reported.  p-values are counted in bins of a fixed number and rounded up to a bin's
-edge, so the procedure needs no global sort and stays valid.  Built of DataFrame operations alone.
+more token characters that holds a letter and a digit is put to the test; its encoding is inferred.
+
+The null hypothesis is an ordinary token of that encoding and length: its characters are as uneven
+as those of words and numbers (ORDINARY, the chance that two are equal), and letters, capitals,
+digits and signs stand in runs (CHANGE, the chance that the kind changes).  Two p-values follow:
+of a chi-squared statistic against the uniform alphabet as small as the token's (non-central, by
+its normal approximation), and of as many runs of kinds.  Fisher's method combines them.  A
+discovery, that is a reported span, needs a p-value that passes Benjamini-Hochberg at level q
+among the tokens of its class of length: at most a share q of reported spans is ordinary, as far
+as the null holds.  Tokens too short to tell do not pass.  Runs about the alphabet's middle and
+serial correlation are further hurdles: a token whose order would be a rare chance (ORDER) in a
+random string is not reported, which only takes discoveries away.
+
+p-values are counted in bins of a fixed number and rounded up to a bin's edge, so the procedure
+needs no global sort and stays valid.  Built of DataFrame operations alone.
 """
 
 from __future__ import annotations
@@ -44,6 +53,11 @@ ENCODINGS = [
 CLASSES = (20, 32, 48, 96)
 #: Bins of a decade of p, and decades.
 PER_DECADE, DECADES = 50, 40
+#: Chance that two characters of an ordinary token are equal (letters of words in both cases and numbers; of hexadecimal letters alone, digits of numbers),
+#: by how much more the statistic scatters than for independent characters (words repeat), and chance that a character is of another kind than the last.
+ORDINARY, ORDINARY_HEX, SCATTER, CHANGE = 0.05, 0.1, 2.0, 0.3
+#: Chance of an order as regular as this, below which a token is not taken as random.
+ORDER = 0.001
 
 
 def upper_tail(z: Column) -> Column:
@@ -56,7 +70,7 @@ def upper_tail(z: Column) -> Column:
 
 
 def random_bins(tokens: DataFrame) -> DataFrame:
-    """tokens (a column m) with n, cls (class of length) and bin (of the combined p-value; higher is less random)."""
+    """tokens (a column m) with cls (class of length) and bin (of the p-value as an ordinary token; higher is more random, 0 where the order is regular)."""
     bare = F.regexp_replace("m", "=+", "")
     alphabet = F.lit(None).cast("string")
     for pattern, letters in reversed(ENCODINGS):
@@ -67,8 +81,14 @@ def random_bins(tokens: DataFrame) -> DataFrame:
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
     rows = rows.withColumn("squares", total(F.transform(counts, lambda c: c * c)))
     chi, df = F.col("squares") * F.col("k") / F.col("n") - F.col("n"), F.col("k") - 1
-    p_chi = upper_tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - F.lit(2.0) / (9 * df))) / F.sqrt(F.lit(2.0) / (9 * df)))
-    rows = rows.withColumns({"p_chi": p_chi, "high": F.array_join(F.transform("v", lambda x: F.when(x * 2 >= F.col("k"), "1").otherwise("0")), "")})
+    beyond = F.col("n") * F.greatest(F.col("k") * F.when(F.col("k") <= 16, ORDINARY_HEX).otherwise(ORDINARY) - 1, F.lit(0.0))  # the non-centrality
+    p_like = 1 - upper_tail((chi - df - beyond) / F.sqrt(SCATTER * (2 * df + 4 * beyond)))
+    kinds = F.regexp_replace("s", "[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", "#")
+    changes, steps_ = F.length(kinds) - 1, F.col("n") - 1
+    p_kinds = upper_tail((changes - 0.5 - steps_ * CHANGE) / F.sqrt(steps_ * CHANGE * (1 - CHANGE)))
+    product = F.greatest(p_like, F.lit(1e-30)) * F.greatest(p_kinds, F.lit(1e-30))
+    p_like = product * (1 - F.log(product))
+    rows = rows.withColumns({"p_like": p_like, "high": F.array_join(F.transform("v", lambda x: F.when(x * 2 >= F.col("k"), "1").otherwise("0")), "")})
     n1 = (F.length("high") - F.length(F.replace("high", F.lit("1"), F.lit("")))).cast("double")
     steps = lambda pair: (F.length("high") - F.length(F.replace("high", F.lit(pair), F.lit("")))) / 2
     rows = rows.withColumns({"n1": n1, "n_runs": 1 + steps("01") + steps("10")})
@@ -80,7 +100,7 @@ def random_bins(tokens: DataFrame) -> DataFrame:
     spread = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
     r = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sx")) / F.when(spread > 0, spread)
     p_serial = F.coalesce(2 * upper_tail(F.abs(r + 1 / (F.col("n") - 1)) * F.sqrt(F.col("n"))), F.lit(0.0))
-    p = F.least(F.lit(1.0), 3 * F.least("p_chi", "p_runs", p_serial))
+    p = F.when(2 * F.least("p_runs", p_serial) < ORDER, F.lit(1.0)).otherwise(F.least(F.col("p_like"), F.lit(1.0)))
     cls = F.lit(CLASSES[0])
     for low in CLASSES[1:]:
         cls = F.when(F.col("n") >= low, F.lit(low)).otherwise(cls)
@@ -89,7 +109,7 @@ def random_bins(tokens: DataFrame) -> DataFrame:
 
 
 def cutoffs(tested: DataFrame, q: float = 0.05) -> dict[int, int]:
-    """Benjamini-Hochberg in each class: the lowest rejected bin. A class without rejections is left out."""
+    """Benjamini-Hochberg in each class: the lowest bin that is a discovery. A class without discoveries is left out."""
     counts = tested.groupBy("cls", "bin").count()
     down = W.partitionBy("cls").orderBy(F.col("bin").desc())
     ranks = counts.select("cls", "bin", F.sum("count").over(down).alias("rank"), F.sum("count").over(W.partitionBy("cls")).alias("m"))
@@ -108,8 +128,9 @@ def scan(docs: DataFrame, q: float = 0.05, id_col: str = "doc_id", text_col: str
     """Row key, doc_id, n_assign, n_access, n_hex, base (array of struct start, kind, end), spans (likewise, with random) for every row.
 
     Offsets count code points, ends are exclusive; a random span that meets a base span is left
-    out.  Null and empty texts have no spans; equal rows get equal results; an empty table gives
-    no rows.
+    out; of random spans at most a share ``q`` is expected to be ordinary.  Null and empty texts
+    have no spans; a token of any length is tested whole; equal rows count once and get equal
+    results; other columns are not looked at; an empty table gives no rows.
     """
     text = F.coalesce(text_col, F.lit(""))
     rows = keyed(docs, id_col=id_col, text_col=text_col)
@@ -126,9 +147,9 @@ def scan(docs: DataFrame, q: float = 0.05, id_col: str = "doc_id", text_col: str
     good = placed.filter((F.col("kind") != 0) | (value >= 6))
     base = good.filter("kind < 3").select(*KEY, "kind", "start", "end")
     tested = durable(random_bins(good.filter("kind = 3").select(*KEY, "kind", "start", "end", "m")).drop("m"), "secret-tests")
-    kept = F.lit(True)
+    kept = F.lit(False)
     for cls, low in cutoffs(tested, q).items():
-        kept = kept & ((F.col("cls") != cls) | (F.col("bin") < low))
+        kept = kept | ((F.col("cls") == cls) & (F.col("bin") >= low))
     spans = base.unionByName(tested.filter(kept).select(*KEY, "kind", "start", "end"))
     listed = spans.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("x"))
     own = F.filter("x", lambda s: s["kind"] < 3)

@@ -94,7 +94,6 @@ class Texts:
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH) -> DataFrame:
     """batch, raw (text bytes), texts (a dumped Texts): every row of docs, in batches of about batch_bytes."""
-    small_batches(docs.sparkSession)
     rows = keyed(docs, id_col=id_col, text_col=text_col).select(*KEY, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ORDER)).alias("o"), F.coalesce(text_col, F.lit("")).alias("t"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +115,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_
         if held:
             yield flush()
 
-    return durable(rows.mapInArrow(each, "batch long, raw long, texts binary"), "packed", codec="none")
+    with small_batches(docs.sparkSession):
+        return durable(rows.mapInArrow(each, "batch long, raw long, texts binary"), "packed", codec="none")
 
 
 def byte_symbols(texts: Texts) -> tuple[np.ndarray, np.ndarray]:

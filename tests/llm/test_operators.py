@@ -148,16 +148,24 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.scan(empty).collect() == []
 
 
-def test_randomness_rejects_structure(spark):
+def test_randomness_is_discovered(spark):
+    """Reported tokens are the random ones; ordinary ones (slugs, identifiers, versions, patterns) are next to never among them."""
     import random
     rng = random.Random(1)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    good = ["".join(rng.choice(alphabet) for _ in range(64)) for _ in range(60)]
-    bad = ["abcABC123" * 8, "a1" * 40, "0" * 40 + "a", "1aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "abcdefghijklmnopqrstuvwxyz0123456789abcdefghijklmnopqrstuvwxyz"]
-    tested = secret_scan.random_bins(spark.createDataFrame([(x,) for x in good + bad], "m string"))
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    vocab = "the of and service user account manager handler request response config default value number index table update delete create search result page server client stream window".split()
+    make = lambda n: "".join(rng.choice(base62) for _ in range(n))
+    long_, short = [make(64) for _ in range(60)], [make(24) for _ in range(60)]
+    slugs = ["-".join([*(rng.choice(vocab) for _ in range(rng.randrange(4, 12))), str(rng.randrange(3000))]) for _ in range(300)]
+    names = ["".join(w.capitalize() for w in rng.sample(vocab, 5)) + str(rng.randrange(100)) for _ in range(300)]
+    versions = [f"release-{rng.randrange(30)}-{rng.randrange(30)}-{rng.randrange(30)}-build-{rng.randrange(10**6)}" for _ in range(100)]
+    patterns = ["abcABC123" * 8, "a1" * 40, "0" * 40 + "a", "1" + "a" * 40, "abcdefghijklmnopqrstuvwxyz0123456789abcdefghijklmnopqrstuvwxyz"]
+    ordinary = slugs + names + versions + patterns
+    tested = secret_scan.random_bins(spark.createDataFrame([(x,) for x in long_ + short + ordinary], "m string"))
     cut = secret_scan.cutoffs(tested)
-    kept = {r["m"] for r in tested.collect() if r["bin"] < cut.get(r["cls"], 10**6)}
-    assert not kept & set(bad) and len(kept & set(good)) >= 55
+    kept = {r["m"] for r in tested.collect() if r["cls"] in cut and r["bin"] >= cut[r["cls"]]}
+    assert len(kept & set(long_)) >= 57 and len(kept & set(short)) >= 30
+    assert len(kept & set(ordinary)) <= 0.05 * len(kept) + 2 and not kept & set(patterns)
 
 
 def test_fingerprints(spark, docs, empty):
@@ -188,6 +196,15 @@ def test_fingerprints(spark, docs, empty):
     assert one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and one["near_next"] == 1.0
 
 
+def test_blocks_count_code_points(spark):
+    """Characters beyond 16 bits are one each, and the marks used for cutting may stand in a text."""
+    odd = ["a" * 1000, "\U0001f600" + "a" * 999, "\ue000" * 300, "\ue001" * 300, "\ue001\ue002" * 150, "\U0001f600" * 256, ""]
+    got = spark.createDataFrame([(x,) for x in odd], "t string").select(F.size(merkle.tree(F.col("t"))[0]["paragraphs"][0]["leaves"]), merkle.root(merkle.tree(F.col("t"))), merkle.grains(F.col("t"))).collect()
+    assert [r[0] for r in got[:3]] == [8, 8, 5 - 2 + (300 * 2 > 384) * 2] and got[5][0] == 2 and got[6][0] == 1
+    assert len({r[1] for r in got}) == len(odd)
+    assert len(got[1][2]) == 2
+
+
 def test_half_kept_short_texts_are_near(spark):
     """Half of a text is a third of all grains, nearly, whatever its length, and whatever follows; an unrelated text shares next to none."""
     import random
@@ -222,8 +239,37 @@ def test_shards(spark, docs, empty, tmp_path):
     same = spark.createDataFrame([(1, "x" * 100)] * 50, "doc_id long, text string")
     assert all(r["shard_bytes"] <= 300 for r in sharding.shard(same, 300).collect())
     assert sharding.shard(empty).collect() == []
-    sharding.write_shards(docs.select("doc_id", "text"), str(tmp_path / "s"), limit_bytes=5000)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+    sharding.write_shards(docs, str(tmp_path / "s"), limit_bytes=5000)  # docs has a column shard of its own
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert bag(map(tuple, back.select(docs.columns).collect())) == bag(map(tuple, docs.collect()))
+    assert "_shard" in back.columns
+
+
+def test_equal_rows_split_to_the_last_bit(spark, monkeypatch):
+    """A crowd of equal rows fits in the end, whatever the limit; beyond the last bit nothing is left out silently."""
+    same = spark.createDataFrame([(1, "xx")] * 300, "doc_id long, text string").repartition(5)
+    got = sharding.shard(same, 2).collect()
+    assert len(got) == 300 and all(r["shard_docs"] == 1 for r in got) and len({r["shard"] for r in got}) == 300
+    monkeypatch.setattr(sharding, "BITS", 4)
+    with pytest.raises(ValueError):
+        sharding.shard(same, 2)
+
+
+def test_odd_columns_come_back(spark):
+    """Columns named like an operator's own are carried unchanged."""
+    d = spark.createDataFrame([(1, "a b c", 7, 8, 9, 10), (2, "d e f", 7, 8, 9, 10)], "doc_id long, text string, _k1 long, _k2 long, copies long, row long").withColumn("source", F.lit("s"))
+    out = mixing.mixed_documents(d)
+    assert out.columns == d.columns and {tuple(r)[2:6] for r in out.collect()} == {(7, 8, 9, 10)}
+
+
+def test_null_text_has_no_size_without_ansi(spark):
+    was = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        d = spark.createDataFrame([(1, None, "s"), (2, "a b", "s")], "doc_id long, text string, source string")
+        assert {r["doc_id"]: r["size"] for r in mixing.mix(d).collect()} == {1: 0, 2: 2}
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", was)
 
 
 def brute_links(rows):
@@ -280,9 +326,34 @@ def test_components(spark):
     assert {got[f"n{i:03}"] for i in range(1, 41)} == {"n000"} and got["z2"] == "z1"
 
 
-def test_prefix_depth():
-    depth = lsh_forest.prefix_depth(0.8, 0.999)
-    assert 1 - (1 - 0.8**depth) ** lsh_forest.TREES >= 0.999 > 1 - (1 - 0.8 ** (depth + 1)) ** lsh_forest.TREES
+def test_prefixes_shorten_until_the_recall():
+    """Crowded nodes are left early, empty ones entered deeply, and the target holds for every text."""
+    rng = np.random.default_rng(3)
+    members = np.sort(rng.integers(1, 50, (200, lsh_forest.TREES, len(lsh_forest.LEVELS))), axis=2)[:, :, ::-1]
+    members[:, :8] *= 1000
+    depth = lsh_forest.shorten(members, 0.8, 0.0005)
+    missed = (1 - 0.8 ** depth.astype(float)).prod(1)
+    assert (missed <= 0.0005).all() and (missed > 0.0002).all()
+    assert depth[:, :8].mean() > depth[:, 8:].mean() + 0.5
+    assert len({tuple(x) for x in depth.tolist()}) > 10
+    alone = lsh_forest.shorten(np.ones((1, lsh_forest.TREES, len(lsh_forest.LEVELS)), int), 0.8, 1.0)
+    assert (alone == lsh_forest.DEEPEST).all()
+
+
+def test_forest_misses_what_its_prefixes_miss(spark, docs):
+    """Without shortening (a target below what full prefixes reach) near copies are lost; with it none is."""
+    import random
+    rng = random.Random(4)
+    texts = []
+    for _ in range(150):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(w), " ".join(w[:57] + ["x"] + w[58:])]
+        w[20] = "y"
+        texts.append(" ".join(w))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = bag(brute_links([(i, x, None) for i, x in enumerate(texts)]))
+    got = {k: bag((r["doc_id"], r["class_id"], r["n_links"]) for r in lsh_forest.join(d, recall=k).collect()) for k in (0.2, 0.9995)}
+    assert got[0.9995] == want and got[0.2] != want
 
 
 def brute_bytes(rows, size):
