@@ -20,10 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def durable(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write df there as Parquet and read it back; the files outlive executors. discard() removes them."""
+def durable(df: DataFrame, label: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+    """Write df there as Parquet (in folders by column ``by``) and read it back; the files outlive executors. discard() removes them."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    write = df.write.option("compression", codec)
+    (write.partitionBy(by) if by else write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._strandline_path = path
     return out
