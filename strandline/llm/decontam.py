@@ -1,23 +1,27 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-Test items are cut into windows of 13 words.  Corpus frequencies of the test vocabulary name each
-window's two rarest terms; postings (document, position) of just these terms are stored.  Lists
-are intersected from the rarest term on: its postings, moved back by the term's offset, are
-possible starts, and the second term's list must agree at its own offset.  The rarest terms'
-postings keep the words around them, so that the rest is compared word by word without going back
-to the texts, and matches are exact.  Built of DataFrame operations alone.
+Every token of the training texts is stored as a posting: term, document, position.  Test items
+are cut into windows of 13 words, whose terms are put in the order of their corpus frequency.  The
+rarest term's postings, moved back by its offset in the window, are the possible starts; the list
+of the next term, moved back by its own offset, is intersected with them, and so on to the most
+common.  What survives all intersections is a match: exact where every term stands in its place,
+near where every term stands within ``slack`` words of it.  Texts are read and tokenised once;
+all matching is joins of postings, and only lists of terms and documents that are still in
+question are moved.
+
+Terms are stored as 64-bit hashes: a match of other words needs equal hashes in its place.
+Built of DataFrame operations alone.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import KEY, durable, keyed, words
+from .common import KEY, discard, durable, keyed, words
 
-#: Test terms that go to every task at once as a hash table (some 10 MB); more are taken in several passes over the documents.
-TERMS = 200_000
+#: Offsets of a window are kept as bits of a long.
+LONGEST = 62
 
 
 def windows_of(items: DataFrame, length: int = 13, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -28,69 +32,55 @@ def windows_of(items: DataFrame, length: int = 13, id_col: str = "item_id", text
     return out.select("item", F.md5(F.concat_ws(" ", "ww")).alias("wid"), "ww").distinct()
 
 
-def _joined(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """tokens joined with terms on term, in passes of at most about TERMS terms; a pass's tokens never leave their task."""
-    passes = max(1, -(-terms.count() // TERMS))
-    out = None
-    for i in range(passes):
-        part = tokens.join(F.broadcast(terms.filter(F.pmod(F.xxhash64("term"), F.lit(passes)) == i)), "term")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def rarest_terms(windows: DataFrame, docs: DataFrame, keep: int = 2) -> DataFrame:
-    """wid, ww, picks: each window's ``keep`` rarest distinct terms with their offsets, rarest first.
-
-    ``windows`` has a row for each distinct window; ``docs`` a column ws of words.
-    """
-    terms = durable(windows.select(F.explode("ww").alias("term")).distinct(), "terms")
-    counts = _joined(docs.select(F.explode("ws").alias("term")), terms).groupBy("term").count()
-    counts = durable(terms.join(counts, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("n")), "term-counts")
-    at = windows.select("wid", F.posexplode("ww").alias("off", "term")).groupBy("wid", "term").agg(F.min("off").alias("off"))
-    ranked = at.join(counts, "term").withColumn("r", F.row_number().over(W.partitionBy("wid").orderBy("n", "term"))).filter(f"r <= {keep}")
-    picks = ranked.groupBy("wid").agg(F.array_sort(F.collect_list(F.struct("r", "term", "off", "n"))).alias("picks"))
-    return windows.join(picks, "wid")
-
-
-def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
-    """The stored index: term, row key and position of every occurrence of the terms.
-
-    Terms that lead a window (lead) also keep the words from ``reach`` before to ``reach`` after them.
-    """
-    found = _joined(docs.select(*KEY, "ws", F.posexplode("ws").alias("pos", "term")), terms)
-    near = F.expr(f"slice(ws, greatest(pos - {reach}, 0) + 1, least(pos, {reach}) + {reach + 1})")
-    return durable(found.select("term", *KEY, "pos", F.when(F.col("lead"), near).alias("near")), "postings")
-
-
-def phrase_matches(docs: DataFrame, items: DataFrame, length: int = 13, slack: int = 0, text_col: str = "text", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(matches, members): matches has row key, spans (start, size, wid) for documents that hold windows; members has wid, item.
-
-    With ``slack`` 0 a phrase must match word by word.  Above 0 (proximity), the second rarest
-    term may stand up to so many words off its place, and all words of the window must occur, in
-    any order, within its extent widened by the slack on both sides.
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored index: doc_id, row key, pos and term of every token, and for each row of docs a last posting without term, whose pos is the number of words."""
+    tokens = keyed(docs, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("doc_id"), *KEY, F.posexplode(F.concat(words(text_col), F.array(F.lit(None).cast("string")))).alias("pos", "word"))
+    return durable(tokens.select("doc_id", *KEY, "pos", F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term")), "postings")
+
+
+def ordered_windows(members: DataFrame, index: DataFrame) -> DataFrame:
+    """wid, size, terms: each window's array of struct n, word, off, term, the rarest first (ties by word, then offset); windows with a word that no document has are left out."""
+    at = members.select("wid", "ww").distinct().select("wid", F.size("ww").alias("size"), F.posexplode("ww").alias("off", "word")).withColumn("term", F.xxhash64("word"))
+    counts = index.filter("term is not null").groupBy("term").agg(F.count("*").alias("n"))
+    found = at.join(counts, "term").groupBy("wid", "size").agg(F.array_sort(F.collect_list(F.struct("n", "word", "off", "term"))).alias("terms"))
+    return durable(found.filter("size(terms) = size"), "window-terms")
+
+
+def _narrowed(found: DataFrame, windows: DataFrame, index: DataFrame, first: int, last: int | None, slack: int) -> DataFrame:
+    """Of possible starts (row key, wid, start, exact), those that the lists of terms number first .. last - 1 agree with."""
+    part = windows.select("wid", F.slice("terms", F.lit(first + 1), F.lit(last - first) if last else F.greatest(F.col("size") - first, F.lit(0))).alias("terms"))
+    bit = lambda off: F.call_function("shiftleft", F.lit(1).cast("long"), off)
+    at = [*KEY, "wid", "start"]
+    asked = found.join(part, "wid")
+    shifts = F.sequence(F.lit(-slack), F.lit(slack)) if slack else F.array(F.lit(0))
+    need = asked.select(*at, F.explode("terms").alias("t")).select(*at, F.col("t.term").alias("term"), F.col("t.off").alias("off"), F.explode(shifts).alias("shift"))
+    need = need.withColumn("pos", F.col("start") + F.col("off") + F.col("shift"))
+    lists = index.join(need.select("term").distinct(), "term", "left_semi").join(found.select(*KEY).distinct(), KEY, "left_semi")
+    met = need.join(lists.select(*KEY, "term", "pos"), [*KEY, "term", "pos"], "left_semi")
+    none = F.lit(0).cast("long")
+    wanted = F.aggregate("terms", none, lambda acc, t: acc.bitwiseOR(bit(t["off"])))
+    rows = met.select(*at, none.alias("wanted"), F.lit(True).alias("exact"), bit(F.col("off")).alias("any"), F.when(F.col("shift") == 0, bit(F.col("off"))).otherwise(none).alias("here"))
+    rows = rows.unionByName(asked.select(*at, wanted.alias("wanted"), "exact", none.alias("any"), none.alias("here")))
+    kept = rows.groupBy(*at).agg(F.bit_or("wanted").alias("wanted"), F.bool_and("exact").alias("exact"), F.bit_or("any").alias("any"), F.bit_or("here").alias("here"))
+    kept = kept.filter("any = wanted").select(*at, (F.col("exact") & (F.col("here") == F.col("wanted"))).alias("exact"))
+    return durable(kept if slack else kept.filter("exact"), "starts")
+
+
+def phrase_matches(index: DataFrame, members: DataFrame, slack: int = 0) -> DataFrame:
+    """Row key, wid, start, size, exact for every match of a window (windows_of()) in the index (postings()).
+
+    A match starts where the window's rarest term (by the corpus, ties by word and offset) puts
+    it.  With ``slack`` 0 only exact matches are returned; above (proximity), also those in which
+    every other term stands within so many words of its place.
     """
-    members = durable(windows_of(items, length, text_col=item_text), "windows")
-    distinct = members.groupBy("wid").agg(F.first("ww").alias("ww"))
-    tokens = docs.select(*KEY, words(text_col).alias("ws"))
-    windows = durable(rarest_terms(distinct, tokens), "window-terms")
-    picks = windows.select("wid", "ww", F.col("picks")[0].alias("a"), F.get("picks", F.lit(1)).alias("b")).filter("a.n > 0 and (b is null or b.n > 0)")
-    led = picks.select(F.col("a.term").alias("term"), F.lit(True).alias("lead"))
-    terms = led.unionByName(picks.filter("b is not null").select(F.col("b.term").alias("term"), F.lit(False).alias("lead"))).groupBy("term").agg(F.max("lead").alias("lead"))
-    reach = length - 1 + slack
-    index = postings(tokens, durable(terms, "index-terms"), reach)
-    first = index.join(picks.select("wid", "ww", F.col("a.term").alias("term"), F.col("a.off").alias("ao"), F.col("b.term").alias("bt"), F.col("b.off").alias("bo")), "term")
-    first = first.withColumn("start", F.col("pos") - F.col("ao")).filter("start >= 0").withColumn("at", F.least("pos", F.lit(reach)) - F.col("ao"))
-    if slack:
-        fits = F.expr(f"size(array_except(ww, slice(near, greatest(at - {slack}, 0) + 1, size(ww) + least(greatest(at, 0), {slack}) + {slack}))) = 0")
-    else:
-        fits = F.expr("slice(near, greatest(at, 0) + 1, size(ww)) = ww")
-    first = first.select(*KEY, "wid", "start", F.size("ww").alias("size"), "bt", "bo", fits.alias("fits"))
-    shifts = F.explode(F.expr(f"sequence(-{slack}, {slack})")) if slack else F.lit(0)
-    need = first.filter("bt is not null").withColumn("_s", shifts).withColumn("pos", F.col("start") + F.col("bo") + F.col("_s")).withColumnRenamed("bt", "term")
-    cols = [*KEY, "wid", "start", "size"]
-    both = need.join(index.select("term", *KEY, "pos"), [*KEY, "term", "pos"], "left_semi").filter("fits").select(cols)
-    found = both.unionByName(first.filter("bt is null and fits").select(cols)).distinct()
-    return durable(found.groupBy(*KEY).agg(F.collect_list(F.struct("start", "size", "wid")).alias("spans")), "matches"), members
+    windows = ordered_windows(members, index)
+    lead = windows.select("wid", F.col("terms")[0]["term"].alias("term"), F.col("terms")[0]["off"].alias("off"))
+    found = index.join(lead, "term").select(*KEY, "wid", (F.col("pos") - F.col("off")).alias("start"), F.lit(True).alias("exact")).filter("start >= 0").distinct()
+    found = durable(found, "starts")
+    for first, last in ((1, 2), (2, 3), (3, None)):
+        before, found = found, _narrowed(found, windows, index, first, last, slack)
+        discard(before)
+    return found.join(windows.select("wid", "size"), "wid")
 
 
 def covered(spans: Column) -> Column:
@@ -101,22 +91,29 @@ def covered(spans: Column) -> Column:
     return F.aggregate(ends, zero, step, lambda acc: acc["n"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, length: int = 13, percent: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Row key, doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row.
+def contamination(docs: DataFrame, items: DataFrame, length: int = 13, percent: int = 5, slack: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Row key, doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near for every row.
 
-    A word inside any occurrence of a window is hit; a document is contaminated when at least
-    ``percent`` of its words are.  Null and wordless texts have no words and are clean; items
-    without words match nothing; null item ids are left out of the digest; equal rows get equal
-    results; either table may be empty.
+    A word inside any exact occurrence of a window is hit; a document is contaminated when at
+    least ``percent`` of its words are.  ``n_near`` counts the items with an exact or a proximity
+    match (phrase_matches()).  Null and wordless texts have no words and are clean; items without
+    words match nothing; null item ids are left out of the digest; texts of any length are read
+    whole; equal rows get equal results; other columns are not looked at; either table may be
+    empty.
     """
-    rows = keyed(docs, id_col=id_col, text_col=text_col)
-    matches, members = phrase_matches(rows, items, length, text_col=text_col)
-    hits = matches.select(*KEY, covered(F.col("spans")).alias("n_hit"))
-    pairs = matches.select(*KEY, F.explode(F.array_distinct(F.transform("spans", lambda s: s["wid"]))).alias("wid"))
-    found = pairs.join(members.select("wid", "item"), "wid").groupBy(*KEY).agg(F.array_sort(F.collect_set("item")).alias("ids"))
-    found = durable(hits.join(found, KEY, "left").select(*KEY, "n_hit", F.size(F.coalesce("ids", F.array().cast("array<string>"))).cast("long").alias("n_items"), F.coalesce(F.concat_ws(",", "ids"), F.lit("")).alias("ids")), "contamination")
-    counted = rows.select(*KEY, F.col(id_col).alias("doc_id"), F.size(words(text_col)).cast("long").alias("n_words"))
-    out = counted.join(found, KEY, "left")
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select(*KEY, "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-                      F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * 100 >= F.col("n_words") * percent)).alias("contaminated"))
+    if not 0 < length <= LONGEST:
+        raise ValueError(f"windows have 1 to {LONGEST} words")
+    index = postings(docs, id_col, text_col)
+    members = durable(windows_of(items, length, text_col=text_col), "windows")
+    matches = phrase_matches(index, members, slack)
+    hits = matches.filter("exact").groupBy(*KEY).agg(covered(F.collect_list(F.struct("start", "size"))).alias("n_hit"))
+    held = matches.groupBy(*KEY, "wid").agg(F.bool_or("exact").alias("exact")).join(members.select("wid", "item"), "wid")
+    held = held.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("item")))).alias("ids"), F.size(F.collect_set("item")).cast("long").alias("n_near"))
+    found = held.join(hits, KEY, "left").select(*KEY, "n_hit", F.size("ids").cast("long").alias("n_items"), F.concat_ws(",", "ids").alias("ids"), "n_near")
+    found = durable(found, "contamination")
+    rows = durable(index.filter("term is null").select("doc_id", *KEY, F.col("pos").cast("long").alias("n_words")), "lengths")
+    discard(index)
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    out = rows.join(found, KEY, "left").withColumn("n_hit", none("n_hit"))
+    return out.select(*KEY, "doc_id", "n_words", "n_hit", none("n_items").alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"),
+                      ((F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent)).alias("contaminated"), none("n_near").alias("n_near"))

@@ -35,9 +35,18 @@ dw AS (SELECT doc_id, n, k, array_to_string(list_slice(ws, k, k + n - 1), ' ') A
 m AS (SELECT DISTINCT dw.doc_id, dw.n, dw.k, dw.win FROM dw JOIN wins USING (win)),
 hit AS (SELECT doc_id, CAST(count(DISTINCT p) AS BIGINT) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM m) u GROUP BY doc_id),
 its AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT m.doc_id, iw.item FROM m JOIN iw ON iw.win = m.win) u GROUP BY doc_id)
+,
+tok AS (SELECT doc_id, k - 1 AS pos, ws[k] AS word FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS k FROM d) u),
+cnt AS (SELECT word, count(*) AS c FROM tok GROUP BY word),
+trm AS (SELECT win, n, off - 1 AS off, word, c, row_number() OVER (PARTITION BY win ORDER BY c, word, off) AS r, count(*) OVER (PARTITION BY win) AS found
+  FROM (SELECT win, n, off, x[off] AS word FROM (SELECT DISTINCT win, n, string_split(win, ' ') AS x, unnest(generate_series(1, n)) AS off FROM iw) u) v JOIN cnt USING (word)),
+can AS (SELECT DISTINCT t.doc_id, trm.win, trm.n, t.pos - trm.off AS start FROM trm JOIN tok t ON t.word = trm.word WHERE trm.r = 1 AND trm.found = trm.n AND t.pos >= trm.off),
+near AS (SELECT can.doc_id, can.win FROM can JOIN trm ON trm.win = can.win JOIN tok t ON t.doc_id = can.doc_id AND t.word = trm.word
+  WHERE t.pos BETWEEN can.start + trm.off - 1 AND can.start + trm.off + 1 GROUP BY can.doc_id, can.win, can.start, can.n HAVING count(DISTINCT trm.off) = can.n),
+nit AS (SELECT doc_id, CAST(count(DISTINCT item) AS BIGINT) AS n_near FROM near JOIN iw USING (win) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id LEFT JOIN nit ON nit.doc_id = d.doc_id
 """
 
 DOUBLING = r"""

@@ -1,16 +1,25 @@
 """Suffix-array dedup over a logarithmic family of indexes.
 
-A batch of documents gets a sparse suffix array: of the suffixes that start at the anchors of its
-50-byte windows (see windows.py), the distinct ones, sorted by fingerprint.  Arrays live in
-levels.  A new batch enters as its own level and, as long as the last two levels are about equal
-in size, they are merged, so n batches leave some log n levels and every entry is merged log n
-times.  Batches are then merge-scanned against the levels: a match names the smallest document
-that holds the same bytes.  The space of k-grams is dealt to buckets, and each bucket keeps a
-family of its own; so no task holds more than its bucket.
-
-Sorting by fingerprint in place of the bytes themselves keeps entries to 20 bytes; matches are
-settled on whole windows: runs whose k-gram stands elsewhere in other surroundings send their bytes,
-and their windows are compared by two independent 64-bit hashes.
+A batch of documents gets a sparse suffix array: of all suffixes, those that start at the anchors
+of its 50-byte windows (see windows.py), in the order of their bytes.  An entry holds the first 16
+bytes of the suffix, a hash of the whole run of windows that share the anchor, the smallest
+document that holds the run, and where its text is kept.
+
+Batches arrive one after another.  A new batch's array is merge-scanned against every level of
+the family: a run that a level holds is a long match; a suffix whose 16 bytes a level holds in
+other surroundings is a possible one, and both texts are fetched, their windows sorted by all
+their bytes, and neighbours of equal bytes are matches.  What is new becomes a level, and a last
+level less than twice as large merges with it, so n batches leave some log n levels and an entry
+is merged log n times.  Levels are tables in the shared folder; ``Family.add`` takes further
+batches at any time.
+
+Arrays are dealt to buckets by their first 16 bytes.  Bytes that are far more common than others
+(HOT) are known from a histogram made while texts are packed; their entries are dealt by run
+instead, and their windows by window, so no bucket holds all surroundings of a common passage.
+
+Runs are taken as equal where their first 16 bytes at the anchor and a 64-bit hash of the run are:
+among n runs with the same 16 bytes, some n * n / 2**65 pairs are taken as equal wrongly (1e-7 for
+a million).  All other matches compare bytes.
 """
 
 from __future__ import annotations
@@ -20,119 +29,336 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as win
-from .common import durable
+from .common import discard, durable
 
 GRAM = 16
+#: Batches that deduplicate() makes of a table, by ascending id.
+ARRIVALS = 3
+#: Cells of the histogram of 16-byte beginnings; a cell is hot with so many runs and four times the mean.
+CELLS, HOT = 1 << 16, 1 << 16
+NONE, DROP, LOOK, SPLIT = 0, 1, 2, 3
+U = np.uint64
 
 
-class Level:
-    """One sorted array: fingerprints of suffixes, their k-grams, and the smallest document of each."""
+def noted(texts: win.Texts, size: int) -> bytes:
+    """A batch's runs: how many each document has, the windows of each, and how far its anchor lies behind its first window."""
+    gram = min(GRAM, size)
+    runs = win.Runs(np.frombuffer(texts.data, np.uint8), texts.sizes, size, gram)
+    per = np.bincount(np.searchsorted(np.cumsum(texts.sizes), runs.start, side="right"), minlength=len(texts.sizes)).astype(np.int64)
+    parts = [per.tobytes(), (runs.last - runs.start + 1).astype(np.uint16).tobytes(), (runs.anchor - runs.start).astype(np.uint16).tobytes()]
+    return zstandard.ZstdCompressor(3).compress(b"".join(parts))
 
-    def __init__(self, body: np.ndarray, key: np.ndarray, least: np.ndarray):
-        self.body, self.key, self.least = body, key, least
 
-    def merged(self, other: Level) -> Level:
-        body = np.concatenate([self.body, other.body])
-        order = np.argsort(body, kind="stable")
-        body = body[order]
-        heads = np.flatnonzero(np.concatenate([[True], body[1:] != body[:-1]])) if len(body) else order
-        least = np.concatenate([self.least, other.least])[order]
-        return Level(body[heads], np.concatenate([self.key, other.key])[order][heads], np.minimum.reduceat(least, heads) if len(heads) else least)
+class Suffixes:
+    """A batch's sparse suffix array: each distinct run once, in the order of bucket, bytes and run."""
 
+    def __init__(self, texts: win.Texts, note: bytes, size: int, buckets: int, hot: np.ndarray):
+        raw = zstandard.ZstdDecompressor().decompress(note)
+        per = np.frombuffer(raw, np.int64, len(texts.sizes))
+        windows, ahead = np.frombuffer(raw, np.uint16, offset=8 * len(per)).reshape(2, -1).astype(np.int64)
+        self.texts, self.size, self.buckets, self.data = texts, size, buckets, np.frombuffer(texts.data, np.uint8)
+        self.doc = np.repeat(np.arange(len(per)), per)
+        before = np.cumsum(windows) - windows
+        first_run = np.cumsum(per) - per
+        begin = (np.cumsum(texts.sizes) - texts.sizes)[self.doc]
+        self.start = begin + before - (before[np.minimum(first_run, max(len(before) - 1, 0))][self.doc] if len(before) else 0)
+        self.windows, self.anchor = windows, self.start + ahead
+        body = win.hashes_at(self.data, self.start, windows + size - 1)
+        distinct, first, inverse = np.unique(body, return_index=True, return_inverse=True)
+        hi, lo = first_bytes(self.data, self.anchor[first], min(GRAM, size))
+        name = gram_hash(hi, lo)
+        is_hot = np.isin(cell(name), hot)
+        bucket = np.where(is_hot, distinct % U(buckets), (name >> U(32)) % U(buckets)).astype(np.int64)
+        order = np.lexsort((distinct, lo, hi, bucket))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.hi, self.lo, self.body, self.bucket, self.hot, self.first = hi[order], lo[order], distinct[order], bucket[order], is_hot[order], first[order]
+        self.of_run = back[inverse]
+        self.least = np.full(len(order), win.NULL_ORDER, np.int64)
+        np.minimum.at(self.least, self.of_run, texts.order[self.doc])
+
+    def numbers(self, bodies: np.ndarray) -> np.ndarray:
+        """Entries of the given runs."""
+        order = np.argsort(self.body)
+        return order[np.searchsorted(self.body[order], bodies)]
+
+    def shown(self, codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """What is compared by bytes, as (bucket, entry, start, windows): whole runs of code LOOK, single windows of code SPLIT, each in the order of buckets."""
+        look, split = np.flatnonzero(codes == LOOK), np.flatnonzero(codes == SPLIT)
+        runs = (self.bucket[look], look, self.start[self.first[look]], self.windows[self.first[look]])
+        n = self.windows[self.first[split]]
+        entry, at = np.repeat(split, n), np.repeat(self.start[self.first[split]], n) + win.steps(n)
+        order = np.argsort(at, kind="stable")
+        entry, at = entry[order], at[order]
+        bucket = self.buckets + (win.hashes_at(self.data, at, self.size) % U(self.buckets)).astype(np.int64)
+        order = np.lexsort((at, entry, bucket))
+        return [runs, (bucket[order], entry[order], at[order], np.ones(len(at), np.int64))]
+
+    def removed(self, codes: np.ndarray, verdicts: np.ndarray) -> np.ndarray:
+        """For each byte, whether a removed window covers it."""
+        code, order = codes[self.of_run], self.texts.order[self.doc]
+        whole = (code == DROP) | (order > self.least[self.of_run])
+        gone = np.zeros(len(self.data), bool)
+        gone[np.repeat(self.start[whole], self.windows[whole]) + win.steps(self.windows[whole])] = True
+        # verdicts of the windows of each entry, in the places of its first run
+        mark, at = np.zeros(len(self.data), bool), 0
+        for _, _, start, n in self.shown(codes):
+            places = np.repeat(start, n) + win.steps(n)
+            mark[places[verdicts[at : at + len(places)] == DROP]] = True
+            at += len(places)
+        own = np.flatnonzero(((code == LOOK) | (code == SPLIT)) & ~whole)
+        n = self.windows[own]
+        step = win.steps(n)
+        hit = mark[np.repeat(self.start[self.first[self.of_run[own]]], n) + step]
+        gone[(np.repeat(self.start[own], n) + step)[hit]] = True
+        return win.covered(len(self.data), np.flatnonzero(gone), self.size)
+
+
+def first_bytes(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n (at most 16) bytes from each place as two numbers that sort like them."""
+    out = np.zeros((len(at), 16), np.uint8)
+    if len(at):
+        out[:, :n] = np.lib.stride_tricks.sliding_window_view(data, n)[at]
+    both = out.view(">u8").astype(U)
+    return both[:, 0], both[:, 1]
+
+
+def gram_hash(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return win.mixed(hi ^ win.mixed(lo + U(win.BASES[0])))
+
+
+def cell(name: np.ndarray) -> np.ndarray:
+    return (name & U(CELLS - 1)).astype(np.int64)
+
+
+def hot_cells(packed: DataFrame) -> np.ndarray:
+    """Cells with far more runs than others, a quarter of all at most: from the tasks' histograms (note of the rows without texts)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for note in batch.column(0):
+                n = np.frombuffer(zstandard.ZstdDecompressor().decompress(note.as_py()), np.int64)
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["cell", "n"])
+
+    counts = packed.filter("batch is null").select("note").mapInArrow(each, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / CELLS
+    return np.array([r[0] for r in counts.filter(F.col("n") > HOT + 4 * mean).select("cell").collect()], np.int64)
+
+
+def histogram(size: int):
+    """For pack(): sums each task's runs by cell."""
+    def total():
+        seen = np.zeros(CELLS, np.int64)
+
+        def see(texts: win.Texts, note: bytes) -> None:
+            s = Suffixes(texts, note, size, 1, np.zeros(0, np.int64))
+            np.add.at(seen, cell(gram_hash(s.hi, s.lo)), 1)
+
+        return see, lambda: zstandard.ZstdCompressor(3).compress(seen.tobytes())
+
+    return total
+
+
+ARRAYS = ("hi", "lo", "body", "least", "holder")
+KINDS = (np.uint64, np.uint64, np.uint64, np.int64, np.int64)
+SCANNED = "kind int, bucket long, batch long, codes binary, bodies binary, " + ", ".join(f"{x} binary" for x in ARRAYS)
 
-class Family:
-    """Levels whose sizes shrink geometrically."""
-
-    def __init__(self):
-        self.levels: list[Level] = []
-
-    def add(self, level: Level) -> None:
-        self.levels.append(level)
-        while len(self.levels) > 1 and len(self.levels[-2].body) < 2 * len(self.levels[-1].body):
-            self.levels[-2:] = [self.levels[-2].merged(self.levels[-1])]
-
-    def compact(self) -> Level:
-        """All levels as one, the smallest merged first."""
-        while len(self.levels) > 1:
-            self.levels[-2:] = [self.levels[-2].merged(self.levels[-1])]
-        return self.levels[0]
-
-
-def match_anchors(keys: list[np.ndarray], bodies: list[np.ndarray], vals: list[np.ndarray]) -> list[np.ndarray]:
-    """DROP where a smaller document holds the run; LOOK for the smallest one where the k-gram has other runs; else NONE."""
-    family = Family()
-    for key, body, least in zip(keys, bodies, vals, strict=True):
-        family.add(Level(body, key, least))
-    index = family.compact()
-    grams = np.sort(index.key)
-    out = []
-    for key, body, least in zip(keys, bodies, vals, strict=True):
-        first = index.least[np.searchsorted(index.body, body)]
-        alone = np.searchsorted(grams, key, "right") - np.searchsorted(grams, key, "left") < 2
-        out.append(np.where(first < least, win.DROP, np.where(alone, win.NONE, win.LOOK)))
-    return out
+
+def merge_scan(hot: np.ndarray, merge: list[int]):
+    """A bucket's new arrays and those of all levels -> codes for each batch, runs to be fetched by the batches that hold them, and the new level (with those of ``merge`` in it)."""
+
+    def group(got: pa.Table) -> pa.Table:
+        got = got.sort_by([("level", "descending"), ("batch", "ascending")])  # levels first (nulls last)
+        level, batch, bucket = got.column("level").to_pylist(), got.column("batch").to_pylist(), got.column("bucket")[0].as_py()
+        cols = [[win.from_planes(x.as_py(), k) if x.is_valid else None for x in got.column(c)] for c, k in zip(ARRAYS, KINDS, strict=True)]
+        sizes = [len(x) for x in cols[0]]
+        cols[4] = [np.full(n, b, np.int64) if h is None else h for h, n, b in zip(cols[4], sizes, batch, strict=True)]
+        hi, lo, body, least, holder = (np.concatenate(x) for x in cols)
+        old = np.repeat([x is not None for x in level], sizes)
+        stays = np.repeat([x is None or x in merge for x in level], sizes)
+        order = np.lexsort((holder, least, ~old, body, lo, hi))  # of equal runs the one in a level comes first, else that of the smallest document
+        h, l, b = hi[order], lo[order], body[order]  # noqa: E741
+        new_gram = np.concatenate([[True], (h[1:] != h[:-1]) | (l[1:] != l[:-1])])
+        new_run = new_gram | np.concatenate([[True], b[1:] != b[:-1]])
+        heads = np.flatnonzero(new_run)
+        run = np.cumsum(new_run) - 1
+        gram = (np.cumsum(new_gram) - 1)[heads]
+        first = order[heads]
+        fresh_run = ~old[first]
+        runs_of, fresh_of = np.bincount(gram), np.bincount(gram, fresh_run)
+        is_hot = np.isin(cell(gram_hash(hi[first], lo[first])), hot)
+        wish = np.where(is_hot, SPLIT, np.where(runs_of[gram] > 1, LOOK, NONE))
+        code = np.empty(len(order), np.uint8)
+        code[order] = np.where(old[first][run] | (least[order] > least[first][run]), DROP, wish[run])
+        out: dict[str, list] = {x.split()[0]: [] for x in SCANNED.split(", ")}
+
+        def add(**row):
+            for name in out:
+                out[name].append(row.get(name))
+
+        for x, at, z in zip(batch, np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
+            if not old[at]:
+                add(kind=0, bucket=bucket, batch=x, codes=win.planes(code[at:z]))
+        wanted = ~fresh_run & (is_hot | (fresh_of[gram] > 0)) if fresh_run.any() else np.zeros(len(heads), bool)
+        where = first[wanted]
+        where = where[np.argsort(holder[where], kind="stable")]
+        for x, s in win.pieces(holder[where]):
+            add(kind=1, bucket=bucket, batch=x, bodies=win.planes(body[where[s]]))
+        kept = first[stays[first]]
+        if len(kept):
+            add(kind=2, bucket=bucket, **{c: win.planes(x[kept]) for c, x in zip(ARRAYS, (hi, lo, body, least, holder), strict=True)})
+        return pa.table({name: pa.array(v, pa.int32() if name == "kind" else pa.int64() if name in ("bucket", "batch") else pa.binary()) for name, v in out.items()})
+
+    return group
 
 
 def match_windows(contents: DataFrame, size: int) -> DataFrame:
-    """batch, bucket, codes (uint8 for each window of the runs in contents): DROP where a smaller document holds the window."""
+    """batch, bucket, codes (for each window of the new texts in contents): DROP where an older text or a smaller document holds the window.
+
+    A bucket's windows are sorted by their bytes; equal neighbours are matches.
+    """
 
     def group(got: pa.Table) -> pa.Table:
         got = got.sort_by("batch")
-        checks, bodies, least = [], [], []
-        for lengths, low, data in zip(got.column("lengths"), got.column("least"), got.column("data"), strict=True):
-            lengths = win.from_planes(lengths.as_py(), np.uint32).astype(np.int64)
-            body, check = win.hashes_of(np.frombuffer(data.as_py(), np.uint8), lengths, size)
-            bodies.append(body)
-            checks.append(check)
-            least.append(np.repeat(win.from_planes(low.as_py(), np.int64), lengths - size + 1))
-        check, body, low = np.concatenate(checks), np.concatenate(bodies), np.concatenate(least)
-        order = np.lexsort((check, body))
-        c, b = check[order], body[order]
-        heads = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (c[1:] != c[:-1])]))
-        first = np.repeat(np.minimum.reduceat(low[order], heads), np.diff([*heads, len(order)]))
+        lengths = [win.from_planes(x.as_py(), np.uint32).astype(np.int64) for x in got.column("lengths")]
+        least = [np.repeat(win.from_planes(x.as_py(), np.int64), n - size + 1) for x, n in zip(got.column("least"), lengths, strict=True)]
+        counts = [len(x) for x in least]
+        n = np.concatenate(lengths)
+        data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x.as_py()) for x in got.column("data")), np.uint8)
+        at = np.repeat(np.cumsum(n) - n, n - size + 1) + win.steps(n - size + 1)
+        suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, size)[at]).view(f"S{size}").ravel()
+        order = np.argsort(suffixes, kind="stable")
+        ranked = suffixes[order]
+        heads = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        spread = lambda x: np.repeat(x, np.diff([*heads, len(order)]))
+        low, old = np.concatenate(least), np.repeat(np.array(got.column("old").to_pylist(), bool), counts)
         codes = np.empty(len(order), np.uint8)
-        codes[order] = np.where(first < low[order], win.DROP, win.NONE)
-        parts = np.split(codes, np.cumsum([len(x) for x in bodies])[:-1])
-        return pa.table({"batch": got.column("batch"), "bucket": got.column("bucket"), "codes": pa.array([x.tobytes() for x in parts], pa.binary())})
+        codes[order] = np.where(spread(np.maximum.reduceat(old[order], heads)) | (spread(np.minimum.reduceat(low[order], heads)) < low[order]), DROP, NONE)
+        parts = np.split(codes, np.cumsum(counts)[:-1])
+        kept = [i for i, x in enumerate(got.column("old").to_pylist()) if not x]
+        return pa.table({"batch": got.column("batch").take(kept), "bucket": got.column("bucket").take(kept), "codes": pa.array([win.planes(parts[i]) for i in kept], pa.binary())})
 
     return contents.groupBy("bucket").applyInArrow(group, "batch long, bucket long, codes binary")
 
 
-def deduplicate(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Family:
+    """Levels of suffix arrays whose sizes shrink geometrically, and the texts they point to; both are tables in the shared folder."""
+
+    def __init__(self, size: int, buckets: int, hot: np.ndarray):
+        self.size, self.buckets, self.hot = size, buckets, hot
+        self.levels: list[tuple[int, DataFrame]] = []  # text bytes, scanned arrays
+        self.texts: DataFrame | None = None
+        self.series = 1
+
+    def extend(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """add() for a table of further documents."""
+        size = self.size
+        packed = win.pack(docs, id_col, text_col, note=lambda texts: noted(texts, size), series=self.series)
+        self.series += 1
+        return self.add(packed)
+
+    def add(self, packed: DataFrame) -> DataFrame:
+        """One more batch (pack()'s rows): the row of deduplicate() for each document, matched with everything added before and, within the batch, with smaller ids."""
+        size, buckets, hot, spark = self.size, self.buckets, self.hot, packed.sparkSession
+        raw = packed.agg(F.sum("raw")).first()[0] or 0
+
+        def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number, blob, note in zip(*(batch.column(i) for i in range(3)), strict=True):
+                    s = Suffixes(win.Texts.load(blob.as_py()), note.as_py(), size, buckets, hot)
+                    rows = [(b, *(win.planes(x[p]) for x in (s.hi, s.lo, s.body, s.least))) for b, p in win.pieces(s.bucket)]
+                    if rows:
+                        b, *arrays = map(list, zip(*rows, strict=True))
+                        yield win.table({"bucket": (b, pa.int64()), "level": ([None] * len(b), pa.int32()), "batch": ([number.as_py()] * len(b), pa.int64())} | {c: (x, pa.binary()) for c, x in zip(ARRAYS, [*arrays, [None] * len(b)], strict=True)})
+
+        arrays = packed.select("batch", "texts", "note").mapInArrow(entries, "bucket long, level int, batch long, " + ", ".join(f"{x} binary" for x in ARRAYS))
+        for i, (_, level) in enumerate(self.levels):
+            arrays = arrays.unionByName(level.filter("kind = 2").select("bucket", F.lit(i).alias("level"), F.lit(None).cast("long").alias("batch"), *ARRAYS))
+        merge, weight = [], raw
+        while len(merge) < len(self.levels) and self.levels[-1 - len(merge)][0] < 2 * weight:
+            weight += self.levels[-1 - len(merge)][0]
+            merge.append(len(self.levels) - 1 - len(merge))
+        scanned = durable(arrays.groupBy("bucket").applyInArrow(merge_scan(hot, merge), SCANNED), "suffix-scan", codec="none")
+        codes = durable(win.by_batch(scanned.filter("kind = 0").select("batch", "bucket", "codes")), "suffix-codes")
+
+        def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number, blob, note, parts, bodies in zip(*(batch.column(i) for i in range(5)), strict=True):
+                    s = Suffixes(win.Texts.load(blob.as_py()), note.as_py(), size, buckets, hot)
+                    if parts.is_valid:
+                        code = win.codes_of(parts.as_py(), len(s.body))
+                    else:
+                        code = np.zeros(len(s.body), np.uint8)
+                        asked = s.numbers(np.concatenate([win.from_planes(x, U) for x in bodies.as_py()]))
+                        code[asked] = np.where(s.hot[asked], SPLIT, LOOK)
+                    rows = []
+                    for bucket, entry, start, n in s.shown(code):
+                        for b, p in win.pieces(bucket):
+                            text = b"".join(s.texts.data[i : i + k + size - 1] for i, k in zip(start[p].tolist(), n[p].tolist(), strict=True))
+                            rows.append((b, number.as_py(), not parts.is_valid, win.planes((n[p] + size - 1).astype(np.uint32)), win.planes(s.least[entry[p]]), zstandard.ZstdCompressor(1).compress(text)))
+                    if rows:
+                        cols = list(map(list, zip(*rows, strict=True)))
+                        yield win.table({c: (x, t) for c, x, t in zip(("bucket", "batch", "old", "lengths", "least", "data"), cols, (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
+
+        none = lambda kind: F.lit(None).cast(kind)
+        held = packed.select("batch", "texts", "note").join(codes, "batch").select("batch", "texts", "note", "codes", none("array<binary>").alias("bodies"))
+        if self.texts is not None:
+            wanted = scanned.filter("kind = 1").groupBy("batch").agg(F.collect_list("bodies").alias("bodies"))
+            held = held.unionByName(self.texts.select("batch", "texts", "note").join(wanted, "batch").select("batch", "texts", "note", none("array<binary>").alias("codes"), "bodies"))
+        told = held.mapInArrow(contents, "bucket long, batch long, old boolean, lengths binary, least binary, data binary")
+        verdicts = durable(win.by_batch(match_windows(told, size), "gone"), "suffix-verdicts")
+
+        for i in sorted(merge, reverse=True):
+            discard(self.levels.pop(i)[1])
+        self.levels.append((weight, scanned))
+        self.texts = packed if self.texts is None else self.texts.unionByName(packed)
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for blob, note, parts, gone in zip(*(batch.column(i) for i in range(1, 5)), strict=True):
+                    s = Suffixes(win.Texts.load(blob.as_py()), note.as_py(), size, buckets, hot)
+                    texts, off_ = s.texts, s.removed(win.codes_of(parts.as_py(), len(s.body)), win.codes_of(gone.as_py(), 0))
+                    data, ends, rows = s.data, np.cumsum(texts.sizes), []
+                    for a, z in zip(ends - texts.sizes, ends, strict=True):
+                        off = off_[a:z]
+                        kept = data[a:z][~off].tobytes() if off.any() else data[a:z].tobytes()
+                        rows.append((int(z - a), int(off.sum()), int(off[:1].sum() + (off[1:] & ~off[:-1]).sum()), kept, hashlib.sha256(kept).hexdigest()))
+                    n, r, spans, k, h = map(list, zip(*rows, strict=True))
+                    ids = [None if o == win.NULL_ORDER else int(o) for o in texts.order]
+                    yield win.table({"_k1": (list(texts.k1), pa.int64()), "_k2": (list(texts.k2), pa.int64()), "doc_id": (ids, pa.int64()), "n_bytes": (n, pa.int64()), "n_removed": (r, pa.int64()), "n_spans": (spans, pa.int64()), "kept": (k, pa.binary()), "kept_sha256": (h, pa.string())})
+
+        rows = packed.select("batch", "texts", "note").join(codes, "batch", "left").join(verdicts, "batch", "left").select("batch", "texts", "note", "codes", "gone")
+        return rows.mapInArrow(each, "_k1 long, _k2 long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+
+
+def build(docs: DataFrame, size: int = 50, arrivals: int = ARRIVALS, id_col: str = "doc_id", text_col: str = "text") -> tuple[Family, DataFrame]:
+    """deduplicate(), and the family of indexes for later batches (Family.extend)."""
+    cuts = docs.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [i / arrivals for i in range(1, arrivals)], 0.01) if arrivals > 1 else []
+    bounds = tuple(sorted({int(x) for x in cuts}))
+    packed = win.pack(docs, id_col, text_col, bounds=bounds, note=lambda texts: noted(texts, size), total=histogram(size))
+    raw = packed.agg(F.sum("raw")).first()[0] or 0
+    family = Family(size, max(1, -(-raw // win.BUCKET)), hot_cells(packed))
+    out = None
+    for part in range(len(bounds) + 1):
+        rows = family.add(packed.filter(F.col("part") == part))
+        out = rows if out is None else out.unionByName(rows)
+    return family, out
+
+
+def deduplicate(docs: DataFrame, size: int = 50, arrivals: int = ARRIVALS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row key, doc_id, n_bytes, n_removed, n_spans, kept (binary: what stays), kept_sha256 for every row.
 
     Each byte goes that is covered by a string of ``size`` bytes which also starts in a document
-    of smaller id.  Null and empty texts have no bytes; texts shorter than ``size`` stay whole; a
-    null id counts as larger than all others, and rows of equal id (or both null) do not remove
-    each other's bytes; an empty table gives no rows.
+    of smaller id.  The table is added to a family in ``arrivals`` batches of ascending ids, so
+    that older batches hold the smaller ids.  Null and empty texts have no bytes; texts shorter
+    than ``size`` stay whole; texts of any length are read whole; a null id counts as larger than
+    all others, and rows of equal id (or both null) do not remove each other's bytes; other
+    columns are not looked at; an empty table gives no rows.
     """
-    setting = (win.byte_symbols, size, min(GRAM, size))
-    packed = win.pack(docs, id_col, text_col)
-    buckets = max(1, -(-(packed.agg(F.sum("raw")).first()[0] or 0) // win.BUCKET))
-    entries = win.anchor_entries(packed, setting, buckets, lambda d: d.least)
-    codes = durable(win.by_batch(win.judge(entries, match_anchors, "int64"), "codes"), "suffix-codes")
-    contents = win.run_contents(packed, codes, setting, buckets)
-    verdicts = durable(win.by_batch(match_windows(contents, size), "gone"), "suffix-verdicts")
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob, parts, gone in zip(*(batch.column(i) for i in range(1, 4)), strict=True):
-                texts, runs, d = win.read_batch(blob.as_py(), setting, buckets)
-                out = win.removed(texts, runs, d, win.codes_of(parts.as_py(), len(d.key)), b"".join(gone.as_py()) if gone.is_valid else None, True)
-                data, ends = np.frombuffer(texts.data, np.uint8), np.cumsum(texts.sizes)
-                rows = []
-                for a, z in zip(ends - texts.sizes, ends, strict=True):
-                    off = out[a:z]
-                    kept = data[a:z][~off].tobytes() if off.any() else data[a:z].tobytes()
-                    spans = int(off[:1].sum() + (off[1:] & ~off[:-1]).sum())
-                    rows.append((int(z - a), int(off.sum()), spans, kept, hashlib.sha256(kept).hexdigest()))
-                n, r, s, k, h = map(list, zip(*rows, strict=True))
-                ids = [None if o == win.NULL_ORDER else int(o) for o in texts.order]
-                yield win.table({"_k1": (list(texts.k1), pa.int64()), "_k2": (list(texts.k2), pa.int64()), "doc_id": (ids, pa.int64()), "n_bytes": (n, pa.int64()), "n_removed": (r, pa.int64()), "n_spans": (s, pa.int64()), "kept": (k, pa.binary()), "kept_sha256": (h, pa.string())})
-
-    rows = packed.select("batch", "texts").join(codes, "batch", "left").join(verdicts, "batch", "left").select("batch", "texts", "codes", "gone")
-    return rows.mapInArrow(each, "_k1 long, _k2 long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return build(docs, size, arrivals, id_col, text_col)[1]

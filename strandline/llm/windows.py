@@ -1,23 +1,19 @@
 """Repeated windows of a fixed number of symbols (bytes or words), found exactly without moving every window.
 
-A window's anchor is its leftmost k-gram of smallest hash.  Equal windows have equal anchors at
-equal offsets, so only windows that share an anchor's k-gram can be equal.  Consecutive windows
-with one anchor form a run (some 15 windows), and a run, not a window, is what travels:
-
-1. ``pack`` deals documents into batches of a few MB, compressed, each with a stable number.
-2. ``anchor_entries``: a batch sends each distinct run once: k-gram, hash of the run's symbols, and a value.
-3. The caller judges entries by bucket of k-grams and answers each batch with one code an entry:
-   NONE, DROP (every window of the run is repeated), LOOK (its windows must be compared) or
-   DROP_SHOW (repeated, and others compare with it).
-4. ``window_table``: only runs to be compared send their windows; the caller judges these too.
-5. ``removed``: the verdicts come back to the batches, which hold the texts.
-
-However common a run is, a batch sends it once, so no bucket gets more of it than there are
-batches.  Numpy does the arithmetic of a batch; Spark deals batches, entries and answers.
+A window's anchor of k symbols is its leftmost k-gram of smallest hash.  Equal windows have equal
+anchors at equal offsets, so only windows that share an anchor's k-gram can be equal.
+Consecutive windows with one anchor form a run, and a run's anchor, not each window, is what
+travels.  With k as long as the window, the anchor is the window itself.
+
+``pack`` deals documents into batches of about 1 MB, compressed, each with a stable number.  A
+batch sends each distinct anchor or run once, however common it is there, so no bucket gets more
+of it than there are batches.  Numpy does the arithmetic of a batch; Spark deals batches, entries
+and answers.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,8 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import KEY, durable, keyed, small_batches
 
-NONE, DROP, LOOK, DROP_SHOW = 0, 1, 2, 3
-#: Text bytes of a batch, of the text a bucket of k-grams stands for, and symbols that are looked at together.
+#: Text bytes of a batch, of the text a bucket stands for, and symbols that are looked at together.
 BATCH, BUCKET, CHUNK = 1 << 20, 16 << 20, 1 << 18
 #: Of zstd, for texts.
 LEVEL = 5
@@ -92,36 +87,52 @@ class Texts:
             at += n
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH) -> DataFrame:
-    """batch, raw (text bytes), texts (a dumped Texts): every row of docs, in batches of about batch_bytes."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH, bounds: tuple[int, ...] = (), note: Callable[[Texts], bytes] | None = None, total: Callable[[], tuple[Callable[[Texts, bytes], None], Callable[[], bytes]]] | None = None, series: int = 0) -> DataFrame:
+    """batch, part, raw (text bytes), texts (a dumped Texts), note: every row of docs, in batches of about batch_bytes.
+
+    ``bounds`` are ids: a document's part is the number of bounds up to its id (null is above all).
+    ``note`` adds something to a batch.  ``total`` makes, for each task, a function that sees every
+    batch with its note and one that sums up; the sum is the note of a last row without texts
+    (batch null).  Batches of different ``series`` have different numbers.
+    """
     rows = keyed(docs, id_col=id_col, text_col=text_col).select(*KEY, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ORDER)).alias("o"), F.coalesce(text_col, F.lit("")).alias("t"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
-
-        def flush() -> pa.RecordBatch:
-            k1, k2, o, texts = zip(*held, strict=True)
+        number = (series << 52) + (TaskContext.get().partitionId() << 28)
+        held: dict[int, list] = {}
+        sizes: dict[int, int] = {}
+        see, sum_up = total() if total else (None, None)
+
+        def flush(part: int) -> pa.RecordBatch:
+            nonlocal number
+            k1, k2, o, texts = zip(*held.pop(part), strict=True)
             made = Texts(*(np.array(x, np.int64) for x in (k1, k2, o)), np.array([len(x) for x in texts], np.int64), b"".join(texts))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([made.dump()], pa.binary())], names=["batch", "raw", "texts"])
+            number += 1
+            noted = note(made) if note else None
+            if see:
+                see(made, noted)
+            return packed_row(number - 1, part, sizes.pop(part), made.dump(), noted)
 
         for batch in batches:
             for row in zip(*(batch.column(i) for i in range(3)), batch.column(3), strict=True):
                 text = row[3].as_py().encode()
-                held.append((*(x.as_py() for x in row[:3]), text))
-                size += len(text)
-                if size >= batch_bytes:
-                    yield flush()
-                    number, held, size = number + 1, [], 0
-        if held:
-            yield flush()
+                k1, k2, o = (x.as_py() for x in row[:3])
+                part = bisect_right(bounds, o)
+                held.setdefault(part, []).append((k1, k2, o, text))
+                sizes[part] = sizes.get(part, 0) + len(text)
+                if sizes[part] >= batch_bytes:
+                    yield flush(part)
+        for part in list(held):
+            yield flush(part)
+        if sum_up:
+            yield packed_row(None, -1, 0, None, sum_up())
 
     with small_batches(docs.sparkSession):
-        return durable(rows.mapInArrow(each, "batch long, raw long, texts binary"), "packed", codec="none")
+        return durable(rows.mapInArrow(each, "batch long, part int, raw long, texts binary, note binary"), "packed", codec="none", by="part")
 
 
-def byte_symbols(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes themselves, and how many each document has."""
-    return np.frombuffer(texts.data, np.uint8), texts.sizes
+def packed_row(batch: int | None, part: int, raw: int, texts: bytes | None, note: bytes | None) -> pa.RecordBatch:
+    return table({"batch": ([batch], pa.int64()), "part": ([part], pa.int32()), "raw": ([raw], pa.int64()), "texts": ([texts], pa.binary()), "note": ([note], pa.binary())})
 
 
 def word_symbols(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -134,37 +145,36 @@ def word_symbols(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes) if hashes else np.zeros(0, U), counts
 
 
+def _prefix(x: np.ndarray, which: int) -> np.ndarray:
+    """Running polynomial hash of the symbols (bytes, or hashes of words)."""
+    codes = BYTE_CODES[which][x] if x.dtype == np.uint8 else x if which == 0 else mixed(x)
+    out = np.zeros(len(x) + 1, U)
+    np.cumsum(codes * powers(len(x))[which][0][: len(x)], out=out[1:])
+    return out
+
+
 class Runs:
-    """Runs of windows of ``size`` symbols: start and last window, document, k-gram hash and content hash of each."""
+    """Runs of windows of ``size`` symbols: start and last window, anchor (where its k-gram starts) and hash of the k-gram, for k = gram.
+
+    Symbols are looked at CHUNK windows at a time; a run that crosses chunks is two.
+    """
 
     def __init__(self, symbols: np.ndarray, counts: np.ndarray, size: int, gram: int):
-        self.symbols, self.size = symbols, size
+        self.symbols, self.size, self.gram = symbols, size, gram
         ends = np.cumsum(counts)
-        self.doc_start = ends - counts
-        starts, lasts, keys, bodies = [], [], [], []
+        self.found: list[list[np.ndarray]] = [[], [], [], []]
         for at in range(0, len(symbols), CHUNK):
             x = symbols[at : at + CHUNK + size - 1]
             if len(x) < size:
                 break
-            found = self._chunk(x, at, ends)
-            for out, new in zip((starts, lasts, keys, bodies), found, strict=True):
+            for out, new in zip(self.found, self._chunk(x, at, ends), strict=True):
                 out.append(new)
-        join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        self.start, self.last, self.key, self.body = join(starts, np.int64), join(lasts, np.int64), join(keys, U), join(bodies, U)
-        self.doc = np.searchsorted(ends, self.start, side="right")
-        self.gram = gram
-
-    _gram = None
-
-    def _prefix(self, x: np.ndarray, which: int) -> np.ndarray:
-        codes = BYTE_CODES[which][x] if x.dtype == np.uint8 else x if which == 0 else mixed(x)
-        out = np.zeros(len(x) + 1, U)
-        np.cumsum(codes * powers(len(x))[which][0][: len(x)], out=out[1:])
-        return out
+        self.start, self.last, self.anchor, self.key = (np.concatenate(xs) if xs else np.zeros(0, kind) for xs, kind in zip(self.found, (np.int64, np.int64, np.int64, U), strict=True))
+        del self.found
 
     def _chunk(self, x: np.ndarray, at: int, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        size, gram = self.size, self._k
-        prefix, inverse = self._prefix(x, 0), powers(len(x))[0][1]
+        size, gram = self.size, self.gram
+        prefix, inverse = _prefix(x, 0), powers(len(x))[0][1]
         grams = mixed((prefix[gram:] - prefix[:-gram]) * inverse[: len(x) - gram + 1])
         low = (grams & ~PLACE) | np.arange(len(grams), dtype=U)
         width, span = size - gram + 1, 1
@@ -183,268 +193,68 @@ class Runs:
             inside[max(a - at, 0) : max(z - at - size + 1, 0)] = True
         s = np.flatnonzero(inside)
         if not len(s):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
         anchor = (low[s] & PLACE).astype(np.int64)
-        new = np.concatenate([[True], (np.diff(s) != 1) | (np.diff(anchor) != 0)])
-        heads = np.flatnonzero(new)
-        a, z = s[heads], s[np.concatenate([heads[1:] - 1, [len(s) - 1]])]
-        length = z - a + size
-        body = mixed((prefix[a + length] - prefix[a]) * inverse[a] + length.astype(U) * U(BASES[1]))
-        return a + at, z + at, grams[anchor[heads]], body
-
-    def windows(self, which: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Of the runs ``which``: the starts of their windows, and for each length a hash of so many symbols from there, then a second hash of the last length."""
-        counts = self.last[which] - self.start[which] + 1
-        total = int(counts.sum())
-        at = np.repeat(self.start[which] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(total)
-        out = [np.zeros(total, U) for _ in (*lengths, 0)]
-        order = np.argsort(at, kind="stable")
-        ordered = at[order]
-        for c in range(0, len(self.symbols), CHUNK):
-            i, j = np.searchsorted(ordered, [c, c + CHUNK])
-            if i == j:
-                continue
-            x, rows = self.symbols[c : c + CHUNK + self.size], order[i:j]
-            p = ordered[i:j] - c
-            for which_hash, wanted in ((0, lengths), (1, lengths[-1:])):
-                prefix, inverse = self._prefix(x, which_hash), powers(len(x))[which_hash][1]
-                for k, n in enumerate(wanted):
-                    out[k if which_hash == 0 else -1][rows] = mixed((prefix[p + n] - prefix[p]) * inverse[p] + U(n))
-        return at, out
-
-
-def make_runs(symbols: np.ndarray, counts: np.ndarray, size: int, gram: int) -> Runs:
-    kind = type("RunsOf", (Runs,), {"_k": gram})
-    return kind(symbols, counts, size, gram)
-
-
-class Distinct:
-    """A batch's runs, each distinct one once, in the order in which entries are sent: by bucket, then content hash."""
-
-    def __init__(self, runs: Runs, order: np.ndarray, buckets: int):
-        body, first, inverse, counts = np.unique(runs.body, return_index=True, return_inverse=True, return_counts=True)
-        key = runs.key[first]
-        bucket = ((key >> U(32)) % U(buckets)).astype(np.int64)
-        sent = np.lexsort((body, bucket))
-        back = np.empty(len(sent), np.int64)
-        back[sent] = np.arange(len(sent))
-        self.key, self.body, self.bucket, self.count = (key & U(0xFFFFFFFF)).astype(np.uint32)[sent], body[sent], bucket[sent], counts[sent]
-        self.of_run = back[inverse]
-        self.least = np.full(len(sent), NULL_ORDER, np.int64)
-        np.minimum.at(self.least, self.of_run, order[runs.doc])
-
-    def parts(self) -> Iterator[tuple[int, slice]]:
-        cuts = np.flatnonzero(np.diff(self.bucket)) + 1
-        for a, z in zip([0, *cuts], [*cuts, len(self.bucket)], strict=True):
-            if z > a:
-                yield int(self.bucket[a]), slice(int(a), int(z))
-
-
-def planes(x: np.ndarray) -> bytes:
-    """x by bytes of equal weight: high bytes that hardly vary then take no room when compressed."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-
-
-def from_planes(raw: bytes, kind: np.dtype | str) -> np.ndarray:
-    kind = np.dtype(kind)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+        heads = np.flatnonzero(np.concatenate([[True], (np.diff(s) != 1) | (np.diff(anchor) != 0)]))
+        return s[heads] + at, s[np.concatenate([heads[1:] - 1, [len(s) - 1]])] + at, anchor[heads] + at, grams[anchor[heads]]
 
 
-def table(cols: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in cols.values()], names=list(cols))
+def hashes_at(symbols: np.ndarray, at: np.ndarray, lengths: np.ndarray | int, which: int = 0) -> np.ndarray:
+    """A hash of ``lengths`` symbols (fewer than 4096) from each of the places ``at`` (ascending)."""
+    lengths = np.broadcast_to(np.asarray(lengths), at.shape)
+    out, most = np.zeros(len(at), U), int(lengths.max(initial=0))
+    for c in range(0, len(symbols), CHUNK):
+        i, j = np.searchsorted(at, [c, c + CHUNK])
+        if i == j:
+            continue
+        x, p, n = symbols[c : c + CHUNK + most], at[i:j] - c, lengths[i:j]
+        prefix, inverse = _prefix(x, which), powers(len(x))[which][1]
+        out[i:j] = mixed((prefix[p + n] - prefix[p]) * inverse[p] + n.astype(U) * U(BASES[1 - which]))
+    return out
 
 
-#: How a batch's texts become runs: symbols, window size, k.
-Setting = tuple[Callable[[Texts], tuple[np.ndarray, np.ndarray]], int, int]
+def steps(counts: np.ndarray) -> np.ndarray:
+    """0 .. c-1 for each count c, one after another."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def read_batch(blob: bytes, setting: Setting, buckets: int) -> tuple[Texts, Runs, Distinct]:
-    texts = Texts.load(blob)
-    symbols, size, gram = setting
-    runs = make_runs(*symbols(texts), size, gram)
-    return texts, runs, Distinct(runs, texts.order, buckets)
+def covered(n: int, at: np.ndarray, size: int) -> np.ndarray:
+    """For each of n symbols, whether a window of ``size`` that starts at one of the places covers it."""
+    cover = np.zeros(n + 1, np.int64)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + size, -1)
+    return np.cumsum(cover[:-1]) > 0
 
 
-def anchor_entries(packed: DataFrame, setting: Setting, buckets: int, value: Callable[[Distinct], np.ndarray]) -> DataFrame:
-    """bucket, batch, n, keys (uint32), bodies (uint64), vals (as value() has them): a row for each batch and bucket."""
+def planes(x: np.ndarray) -> bytes:
+    """x by bytes of equal weight, compressed: high bytes that hardly vary take no room."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, blob in zip(batch.column(0), batch.column(1), strict=True):
-                _, _, d = read_batch(blob.as_py(), setting, buckets)
-                vals = value(d)
-                rows = [(b, s.stop - s.start, d.key[s].tobytes(), planes(d.body[s]), planes(vals[s])) for b, s in d.parts()]
-                if rows:
-                    b, n, k, h, v = map(list, zip(*rows, strict=True))
-                    yield table({"bucket": (b, pa.int64()), "batch": ([number.as_py()] * len(b), pa.int64()), "n": (n, pa.int64()), "keys": (k, pa.binary()), "bodies": (h, pa.binary()), "vals": (v, pa.binary())})
 
-    return packed.select("batch", "texts").mapInArrow(each, "bucket long, batch long, n long, keys binary, bodies binary, vals binary")
+def from_planes(raw: bytes, kind: np.dtype | str) -> np.ndarray:
+    kind = np.dtype(kind)
+    plain = zstandard.ZstdDecompressor().decompress(raw)
+    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
-def judge(entries: DataFrame, verdict: Callable[[list[np.ndarray], list[np.ndarray], list[np.ndarray]], list[np.ndarray]], value_type: str) -> DataFrame:
-    """batch, bucket, codes (uint8): verdict() sees one bucket's entries (keys, bodies, values; an array for each batch, by batch) and gives codes alike."""
+def pieces(bucket: np.ndarray) -> list[tuple[int, slice]]:
+    """Each bucket of a sorted array with its slice."""
+    if not len(bucket):
+        return []
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+    return [(int(bucket[a]), slice(a, z)) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def group(got: pa.Table) -> pa.Table:
-        got = got.sort_by("batch")
-        pull = lambda name, kind: [from_planes(x.as_py(), kind) for x in got.column(name)]
-        codes = verdict([np.frombuffer(x.as_py(), np.uint32) for x in got.column("keys")], pull("bodies", U), pull("vals", value_type))
-        return pa.table({"batch": got.column("batch"), "bucket": got.column("bucket"), "codes": pa.array([c.astype(np.uint8).tobytes() for c in codes], pa.binary())})
 
-    return entries.groupBy("bucket").applyInArrow(group, "batch long, bucket long, codes binary")
+def table(cols: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in cols.values()], names=list(cols))
 
 
-def by_batch(codes: DataFrame, name: str) -> DataFrame:
-    """batch -> its codes in the order in which its entries were sent."""
+def by_batch(codes: DataFrame, name: str = "codes") -> DataFrame:
+    """batch -> its codes in the order in which its entries were sent (by bucket)."""
     listed = codes.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "codes"))).alias("x"))
     return listed.select("batch", F.transform("x", lambda c: c["codes"]).alias(name))
 
 
 def codes_of(parts: list[bytes] | None, n: int) -> np.ndarray:
     """by_batch()'s codes as one array of n."""
-    return np.frombuffer(b"".join(parts), np.uint8) if parts else np.zeros(n, np.uint8)
-
-
-def window_table(packed: DataFrame, codes: DataFrame, setting: Setting, buckets: int, lengths: tuple[int, ...]) -> DataFrame:
-    """batch, n and, as binary arrays, weight (2 for DROP_SHOW, else 1), least (order) and hashes (one column a length, and ``check``) of the windows to be compared."""
-    names = [f"h{n}" for n in lengths] + ["check"]
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, blob, parts in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                _, runs, d = read_batch(blob.as_py(), setting, buckets)
-                _, picked, code = looked_at(runs, d, codes_of(parts.as_py(), len(d.key)))
-                _, hashes = runs.windows(picked, lengths)
-                counts = runs.last[picked] - runs.start[picked] + 1
-                weight = np.repeat(np.where(code == DROP_SHOW, 2, 1).astype(np.uint8), counts)
-                least = np.repeat(d.least[d.of_run[picked]], counts)
-                cols = {"batch": ([number.as_py()], pa.int64()), "n": ([int(counts.sum())], pa.int64()), "weight": ([weight.tobytes()], pa.binary()), "least": ([least.tobytes()], pa.binary())}
-                yield table(cols | {name: ([h.tobytes()], pa.binary()) for name, h in zip(names, hashes, strict=True)})
-
-    joined = packed.select("batch", "texts").join(codes, "batch")
-    kinds = ", ".join(f"{x} binary" for x in ["weight", "least", *names])
-    return joined.mapInArrow(each, f"batch long, n long, {kinds}")
-
-
-def run_contents(packed: DataFrame, codes: DataFrame, setting: Setting, buckets: int) -> DataFrame:
-    """bucket, batch, lengths (uint32), least (int64), data: the bytes of every run of code LOOK, by bucket of its k-gram."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, blob, parts in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                _, runs, d = read_batch(blob.as_py(), setting, buckets)
-                _, picked, _ = looked_at(runs, d, codes_of(parts.as_py(), len(d.key)))
-                if not len(picked):
-                    continue
-                lengths, of = runs.last[picked] - runs.start[picked] + runs.size, d.of_run[picked]
-                cuts = [0, *(np.flatnonzero(np.diff(d.bucket[of])) + 1), len(picked)]
-                cols: dict[str, tuple[list, pa.DataType]] = {"bucket": ([], pa.int64()), "batch": ([], pa.int64()), "lengths": ([], pa.binary()), "least": ([], pa.binary()), "data": ([], pa.binary())}
-                for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                    data = b"".join(runs.symbols[i : i + n].tobytes() for i, n in zip(runs.start[picked[a:z]], lengths[a:z], strict=True))
-                    for name, value in zip(cols, (int(d.bucket[of[a]]), number.as_py(), planes(lengths[a:z].astype(np.uint32)), planes(d.least[of[a:z]]), data), strict=True):
-                        cols[name][0].append(value)
-                yield table(cols)
-
-    joined = packed.select("batch", "texts").join(codes, "batch")
-    return joined.mapInArrow(each, "bucket long, batch long, lengths binary, least binary, data binary")
-
-
-def hashes_of(data: np.ndarray, lengths: np.ndarray, size: int) -> list[np.ndarray]:
-    """Two hashes of each window of ``size`` in pieces of the given lengths that stand one after another in data."""
-    ends = np.cumsum(lengths)
-    counts = lengths - size + 1
-    at = np.repeat(ends - lengths - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    out = [np.zeros(len(at), U) for _ in range(2)]
-    for c in range(0, len(data), CHUNK):
-        i, j = np.searchsorted(at, [c, c + CHUNK])
-        x, p = data[c : c + CHUNK + size], at[i:j] - c
-        for which in range(2):
-            codes = BYTE_CODES[which][x]
-            power, inverse = powers(len(x))[which]
-            prefix = np.zeros(len(x) + 1, U)
-            np.cumsum(codes * power[: len(x)], out=prefix[1:])
-            out[which][i:j] = mixed((prefix[p + size] - prefix[p]) * inverse[p])
-    return out
-
-
-def looked_at(runs: Runs, d: Distinct, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each distinct run the number of its first run; the runs whose windows are compared, and their codes."""
-    first = np.full(len(d.key), len(runs.start), np.int64)
-    np.minimum.at(first, d.of_run, np.arange(len(runs.start)))
-    shown = np.flatnonzero(codes >= LOOK)
-    return first, first[shown], codes[shown]
-
-
-def window_entries(candidates: DataFrame, column: str, second: str, value: str, buckets: int, alive: DataFrame | None = None) -> DataFrame:
-    """Like anchor_entries(), of windows: keys are bits of hash ``second``, bodies are hash ``column``, values column ``value``. With alive, only windows of code DROP there."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, body, check, val, parts in zip(*(batch.column(i) for i in range(5)), strict=True):
-                body, check = np.frombuffer(body.as_py(), U), np.frombuffer(check.as_py(), U)
-                order = sent_order(body, buckets, parts.as_py() if parts is not None else None)
-                if not len(order):
-                    continue
-                vals = np.frombuffer(val.as_py(), np.uint8).reshape(len(body), -1)[order]
-                body, check = body[order], (check[order] & U(0xFFFFFFFF)).astype(np.uint32)
-                bucket = (body % U(buckets)).astype(np.int64)
-                cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)]
-                rows = [(int(bucket[a]), int(z - a), check[a:z].tobytes(), planes(body[a:z]), planes(np.ascontiguousarray(vals[a:z]).view(f"V{vals.shape[1]}").ravel())) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-                b, n, k, h, v = map(list, zip(*rows, strict=True))
-                yield table({"bucket": (b, pa.int64()), "batch": ([number.as_py()] * len(b), pa.int64()), "n": (n, pa.int64()), "keys": (k, pa.binary()), "bodies": (h, pa.binary()), "vals": (v, pa.binary())})
-
-    rows = candidates.filter("n > 0").select("batch", column, F.col(second).alias("_second"), value)
-    rows = rows.join(alive, "batch").select("batch", column, "_second", value, "alive") if alive is not None else rows.withColumn("alive", F.lit(None).cast("binary"))
-    return rows.mapInArrow(each, "bucket long, batch long, n long, keys binary, bodies binary, vals binary")
-
-
-def sent_order(body: np.ndarray, buckets: int, alive: bytes | None) -> np.ndarray:
-    """The windows that are sent, in order: by bucket, then hash, then place."""
-    which = np.arange(len(body)) if alive is None else np.flatnonzero(np.frombuffer(alive, np.uint8))
-    return which[np.lexsort((body[which], (body[which] % U(buckets)).astype(np.int64)))]
-
-
-def window_verdicts(candidates: DataFrame, column: str, buckets: int, codes: DataFrame, alive: DataFrame | None = None) -> DataFrame:
-    """batch, alive (uint8 for each window of the batch): 1 where the window's code is DROP."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, body, parts, before in zip(*(batch.column(i) for i in range(4)), strict=True):
-                body = np.frombuffer(body.as_py(), U)
-                order = sent_order(body, buckets, before.as_py())
-                out = np.zeros(len(body), np.uint8)
-                out[order] = codes_of(parts.as_py(), len(order)) == DROP
-                yield table({"batch": ([number.as_py()], pa.int64()), "alive": ([out.tobytes()], pa.binary())})
-
-    rows = candidates.filter("n > 0").select("batch", column).join(by_batch(codes, "codes"), "batch")
-    rows = rows.join(alive, "batch") if alive is not None else rows.withColumn("alive", F.lit(None).cast("binary"))
-    return rows.select("batch", column, "codes", "alive").mapInArrow(each, "batch long, alive binary")
-
-
-def removed(texts: Texts, runs: Runs, d: Distinct, codes: np.ndarray, verdicts: bytes | None, strictly_later: bool) -> np.ndarray:
-    """For each symbol of the batch, whether a removed window covers it.
-
-    With strictly_later, a run is also removed when the batch itself holds it in a document of
-    smaller order, and what was found for the windows of the first holds for that document alone.
-    """
-    cover = np.zeros(len(runs.symbols) + 1, np.int64)
-    code = codes[d.of_run]
-    order = texts.order[runs.doc]
-    drop = (code == DROP) | (code == DROP_SHOW)
-    if strictly_later:
-        drop |= order > d.least[d.of_run]
-    np.add.at(cover, runs.start[drop], 1)
-    np.add.at(cover, runs.last[drop] + runs.size, -1)
-    if verdicts is not None:
-        _, picked, _ = looked_at(runs, d, codes)
-        gone = np.frombuffer(verdicts, np.uint8)
-        counts = runs.last[picked] - runs.start[picked] + 1
-        begins = np.full(len(d.key), -1, np.int64)
-        begins[d.of_run[picked]] = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        own = np.flatnonzero((code == LOOK) & ~drop)
-        lengths = runs.last[own] - runs.start[own] + 1
-        step = np.arange(int(lengths.sum())) - np.repeat(np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-        hit = gone[np.repeat(begins[d.of_run[own]], lengths) + step] == 1
-        at = (np.repeat(runs.start[own], lengths) + step)[hit]
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + runs.size, -1)
-    return np.cumsum(cover[:-1]) > 0
+    return np.concatenate([from_planes(x, np.uint8) for x in parts]) if parts else np.zeros(n, np.uint8)

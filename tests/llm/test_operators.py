@@ -86,25 +86,59 @@ def test_contamination(spark, docs, empty):
     bench = spark.createDataFrame(items, "item_id long, text string")
     cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     got = decontam.contamination(docs, bench).select(cols).collect()
+    with pytest.raises(ValueError):
+        decontam.contamination(docs, bench, length=63)
     assert bag(map(tuple, got)) == bag(brute_contamination(plain(docs), items))
     assert decontam.contamination(empty, bench).collect() == []
     assert decontam.contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
-def test_terms_beyond_one_table(spark, docs, monkeypatch):
-    monkeypatch.setattr(decontam, "TERMS", 5)
-    items = [(1, " ".join(made_texts()[3].split()[8:40]))]
-    got = decontam.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
-    assert bag(map(tuple, got)) == bag(brute_contamination(plain(docs), items))
+def brute_near(rows, items, slack):
+    """Items with a window whose words all stand within slack words of their places, the rarest in its place."""
+    texts = [(d, WORD.findall(low(t))) for d, t, _ in rows]
+    n = Counter(x for _, w in texts for x in w)
+    out = []
+    for d, w in texts:
+        found = set()
+        for item, t in items:
+            iw = WORD.findall(low(t or ""))
+            for s in range(max(1, len(iw) - 12)) if iw else ():
+                win_ = iw[s : s + 13]
+                lead = min(range(len(win_)), key=lambda k: (n[win_[k]], win_[k], k))
+                for p in range(lead, len(w)):
+                    if w[p] == win_[lead] and all(x in w[max(p - lead + k - slack, 0) : p - lead + k + slack + 1] for k, x in enumerate(win_)):
+                        found.add(item)
+        out.append((d, len(found)))
+    return out
 
 
-def test_proximity(spark):
-    d = spark.createDataFrame([(1, "a b x rare d e"), (2, "rare far away a a a a b d e")], "doc_id long, text string")
+def test_proximity(spark, docs):
+    d = spark.createDataFrame([(1, "a b x rare d e"), (2, "rare far away a a a a b d e"), (3, "a b rare d e"), (4, "rare")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b rare d e")], "item_id long, text string")
-    from strandline.llm.common import keyed
-    assert decontam.phrase_matches(keyed(d), items)[0].count() == 0
-    near = decontam.phrase_matches(keyed(d), items, slack=1)[0].select("_k1").collect()
-    assert [r[0] for r in near] == [1]
+    index, members = decontam.postings(d), decontam.windows_of(items)
+    match = lambda slack: sorted((r["_k1"], r["exact"]) for r in decontam.phrase_matches(index, members, slack).collect())
+    assert match(0) == [(3, True)] and match(1) == [(1, False), (3, True)]
+    got = {r["doc_id"]: (r["n_items"], r["n_near"]) for r in decontam.contamination(d, items).collect()}
+    assert got == {1: (0, 1), 2: (0, 0), 3: (1, 1), 4: (0, 0)}
+    texts = made_texts()
+    passages = [texts[3].split()[8:40], texts[6].split()[:20]]
+    moved = [[*p[:4], p[5], p[4], *p[6:]] for p in passages]
+    near = [(1, " ".join(passages[0])), (2, " ".join(moved[0])), (3, " ".join(moved[1])), (4, "same same")]
+    got = decontam.contamination(docs, spark.createDataFrame(near, "item_id long, text string")).select("doc_id", "n_near").collect()
+    assert bag(map(tuple, got)) == bag(brute_near(plain(docs), near, 1))
+
+
+def test_lists_decide(spark, monkeypatch):
+    """The rarest term alone does not make a match: without a list's intersection other documents are taken."""
+    d = spark.createDataFrame([(1, "a b rare d e"), (2, "a b rare x e"), (3, "x b rare d e"), (4, "a x rare d e")] + [(i, "a a a b b d d d d e e e e e") for i in range(5, 9)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b rare d e")], "item_id long, text string")
+    index, members = decontam.postings(d), decontam.windows_of(items)
+    found = lambda: {r["_k1"] for r in decontam.phrase_matches(index, members).collect()}
+    assert found() == {1}
+    whole = decontam._narrowed
+    for skipped in (1, 2, 3):
+        monkeypatch.setattr(decontam, "_narrowed", lambda found, w, i, first, last, slack, s=skipped: decontam.durable(found, "same") if first == s else whole(found, w, i, first, last, slack))
+        assert found() >= {1} and found() != {1}
 
 
 def test_license_base_and_templates(spark, docs, empty):
@@ -382,27 +416,56 @@ def test_suffix_levels(docs, empty):
     assert suffix_levels.deduplicate(empty).collect() == []
 
 
+SUFFIX = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
 def test_suffix_levels_small_batches(docs, monkeypatch):
-    """Batches, buckets and chunks of a few hundred bytes change nothing."""
+    """Batches and buckets of a few hundred bytes, more arrivals, and every second beginning dealt out as a hot one change nothing."""
     monkeypatch.setattr(win, "BUCKET", 4000)
-    monkeypatch.setattr(suffix_levels.win.pack, "__defaults__", ("doc_id", "text", 3000))
-    got = suffix_levels.deduplicate(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    monkeypatch.setattr(win.pack, "__defaults__", ("doc_id", "text", 3000, (), None, None, 0))
+    monkeypatch.setattr(suffix_levels, "hot_cells", lambda packed: np.arange(0, suffix_levels.CELLS, 2))
+    got = suffix_levels.deduplicate(docs, arrivals=5).select(SUFFIX).collect()
     assert bag(map(tuple, got)) == bag(brute_bytes(plain(docs), 50))
 
 
-def test_family_is_geometric():
-    family, rng = suffix_levels.Family(), np.random.default_rng(1)
-    sent = [np.unique(rng.integers(0, 5000, 100)).astype(np.uint64) for _ in range(33)]
-    for i, x in enumerate(sent):
-        family.add(suffix_levels.Level(x, x.astype(np.uint32), np.full(len(x), 100 - i)))
-        sizes = [len(y.body) for y in family.levels]
-        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
-    index = family.compact()
-    least = {}
-    for i, x in enumerate(sent):
-        for v in x.tolist():
-            least[v] = min(least.get(v, 999), 100 - i)
-    assert dict(zip(index.body.tolist(), index.least.tolist())) == least
+def test_hot_cells_are_told_by_the_histogram(spark, monkeypatch):
+    """Passages that stand in many surroundings are found hot, others are not."""
+    import random
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = noise(40)
+    texts = [noise(60) + passage + noise(60) for _ in range(400)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(suffix_levels, "HOT", 50)
+    packed = win.pack(d, note=lambda x: suffix_levels.noted(x, 50), total=suffix_levels.histogram(50))
+    hot = suffix_levels.hot_cells(packed)
+    grams = np.array([[int.from_bytes(passage[i + k : i + k + 8].encode(), "big") for k in (0, 8)] for i in range(25)], np.uint64)
+    cells = set(suffix_levels.cell(suffix_levels.gram_hash(grams[:, 0], grams[:, 1])).tolist())
+    assert 0 < len(hot) <= 40 and set(hot.tolist()) <= cells
+    got = suffix_levels.deduplicate(d).select(SUFFIX).collect()
+    assert bag(map(tuple, got)) == bag(brute_bytes([(i, x, None) for i, x in enumerate(texts)], 50))
+
+
+def test_a_stored_family_takes_later_batches(spark, docs):
+    """Adding batches to stored levels equals a rebuild; without the levels matches with older batches are lost; levels shrink geometrically and are in the order of bytes."""
+    rows = sorted(((i if i is not None else 10**6, t) for i, t, _ in plain(docs)))
+    cuts = [0, 12, 25, 37, 50, len(rows)]
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    family, out = suffix_levels.build(frame(rows[: cuts[1]]), arrivals=1)
+    got, sizes = [*map(tuple, out.select(SUFFIX).collect())], []
+    for a, z in zip(cuts[1:-1], cuts[2:]):
+        if z == cuts[-1]:
+            lost = suffix_levels.Family(50, family.buckets, family.hot)
+            lost.series, alone = 30, [*map(tuple, lost.extend(frame(rows[a:z])).select(SUFFIX).collect())]
+        part = [*map(tuple, family.extend(frame(rows[a:z])).select(SUFFIX).collect())]
+        got += part
+        sizes.append([n for n, _ in family.levels])
+    want = bag(brute_bytes([(i, t, None) for i, t in rows], 50))
+    assert bag(got) == want and bag(part) != bag(alone)
+    assert all(x >= 2 * y for level in sizes for x, y in zip(level, level[1:])) and any(len(x) > 1 for x in sizes)
+    for row in family.levels[0][1].filter("kind = 2").collect():
+        hi, lo = (win.from_planes(row[c], np.uint64).tolist() for c in ("hi", "lo"))
+        assert list(zip(hi, lo)) == sorted(zip(hi, lo))
 
 
 def brute_words(rows, size):
@@ -425,7 +488,25 @@ def test_doubling(docs, empty):
     got = doubling.deduplicate(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert bag(map(tuple, got)) == bag(brute_words(plain(docs), 35))
     assert doubling.deduplicate(empty).collect() == []
-    assert doubling.levels(35) == (16, 32, 35) and doubling.levels(8) == (8,)
+    assert doubling.levels(35) == (8, 16, 32, 35) and doubling.levels(8) == (8,) and doubling.levels(3) == (3,)
+
+
+def test_doubling_stops_when_no_window_survives(spark, monkeypatch):
+    """What repeats at 8 words alone is not extended beyond 16; what repeats at 16 goes to 32."""
+    import random
+    rng = random.Random(8)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    written = []
+    keep = doubling.durable
+    monkeypatch.setattr(doubling, "durable", lambda df, label, **how: written.append(label) or keep(df, label, **how))
+    for shared, most in ((3, 8), (12, 16), (25, 32), (34, 35)):
+        # every window of the middle holds the shared words, so its anchor may lie in them
+        same = new(shared)
+        d = spark.createDataFrame([(i, " ".join(new(30) + same + new(30))) for i in range(40)], "doc_id long, text string")
+        written.clear()
+        got = doubling.deduplicate(d)
+        assert got.agg(F.sum("n_removed")).first()[0] == 0
+        assert max(int(x.split("-")[1]) for x in written) == most
 
 
 def test_doubling_other_sizes(docs):
