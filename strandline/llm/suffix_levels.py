@@ -170,8 +170,8 @@ KINDS = (np.uint64, np.uint64, np.uint64, np.int64, np.int64)
 SCANNED = "kind int, bucket long, batch long, codes binary, bodies binary, " + ", ".join(f"{x} binary" for x in ARRAYS)
 
 
-def merge_scan(hot: np.ndarray, merge: list[int]):
-    """A bucket's new arrays and those of all levels -> codes for each batch, runs to be fetched by the batches that hold them, and the new level (with those of ``merge`` in it)."""
+def merge_scan(hot: np.ndarray, merge: list[int], keep: bool):
+    """A bucket's new arrays and those of all levels -> codes for each batch, runs to be fetched by the batches that hold them, and, to keep, the new level (with those of ``merge`` in it)."""
 
     def group(got: pa.Table) -> pa.Table:
         got = got.sort_by([("level", "descending"), ("batch", "ascending")])  # levels first (nulls last)
@@ -211,7 +211,7 @@ def merge_scan(hot: np.ndarray, merge: list[int]):
         for x, s in win.pieces(holder[where]):
             add(kind=1, bucket=bucket, batch=x, bodies=win.planes(body[where[s]]))
         kept = first[stays[first]]
-        if len(kept):
+        if keep and len(kept):
             add(kind=2, bucket=bucket, **{c: win.planes(x[kept]) for c, x in zip(ARRAYS, (hi, lo, body, least, holder), strict=True)})
         return pa.table({name: pa.array(v, pa.int32() if name == "kind" else pa.int64() if name in ("bucket", "batch") else pa.binary()) for name, v in out.items()})
 
@@ -263,8 +263,11 @@ class Family:
         self.series += 1
         return self.add(packed)
 
-    def add(self, packed: DataFrame) -> DataFrame:
-        """One more batch (pack()'s rows): the row of deduplicate() for each document, matched with everything added before and, within the batch, with smaller ids."""
+    def add(self, packed: DataFrame, keep: bool = True) -> DataFrame:
+        """One more batch (pack()'s rows): the row of deduplicate() for each document, matched with everything added before and, within the batch, with smaller ids.
+
+        Without ``keep`` it is the last one: no level is made of it, and the family's are removed.
+        """
         size, buckets, hot, spark = self.size, self.buckets, self.hot, packed.sparkSession
         raw = packed.agg(F.sum("raw")).first()[0] or 0
 
@@ -281,10 +284,10 @@ class Family:
         for i, (_, level) in enumerate(self.levels):
             arrays = arrays.unionByName(level.filter("kind = 2").select("bucket", F.lit(i).alias("level"), F.lit(None).cast("long").alias("batch"), *ARRAYS))
         merge, weight = [], raw
-        while len(merge) < len(self.levels) and self.levels[-1 - len(merge)][0] < 2 * weight:
+        while keep and len(merge) < len(self.levels) and self.levels[-1 - len(merge)][0] < 2 * weight:
             weight += self.levels[-1 - len(merge)][0]
             merge.append(len(self.levels) - 1 - len(merge))
-        scanned = durable(arrays.groupBy("bucket").applyInArrow(merge_scan(hot, merge), SCANNED), "suffix-scan", codec="none")
+        scanned = durable(arrays.groupBy("bucket").applyInArrow(merge_scan(hot, merge, keep), SCANNED), "suffix-scan", codec="none")
         codes = durable(win.by_batch(scanned.filter("kind = 0").select("batch", "bucket", "codes")), "suffix-codes")
 
         def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,9 +317,14 @@ class Family:
         told = held.mapInArrow(contents, "bucket long, batch long, old boolean, lengths binary, least binary, data binary")
         verdicts = durable(win.by_batch(match_windows(told, size), "gone"), "suffix-verdicts")
 
-        for i in sorted(merge, reverse=True):
-            discard(self.levels.pop(i)[1])
-        self.levels.append((weight, scanned))
+        if keep:
+            for i in sorted(merge, reverse=True):
+                discard(self.levels.pop(i)[1])
+            self.levels.append((weight, scanned))
+        else:
+            for used in (scanned, *(level for _, level in self.levels)):
+                discard(used)
+            self.levels = []
         self.texts = packed if self.texts is None else self.texts.unionByName(packed)
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,8 +345,8 @@ class Family:
         return rows.mapInArrow(each, "_k1 long, _k2 long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
-def build(docs: DataFrame, size: int = 50, arrivals: int = ARRIVALS, id_col: str = "doc_id", text_col: str = "text") -> tuple[Family, DataFrame]:
-    """deduplicate(), and the family of indexes for later batches (Family.extend)."""
+def build(docs: DataFrame, size: int = 50, arrivals: int = ARRIVALS, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> tuple[Family, DataFrame]:
+    """deduplicate(), and the family of indexes for later batches (Family.extend), unless these are not to be kept."""
     cuts = docs.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [i / arrivals for i in range(1, arrivals)], 0.01) if arrivals > 1 else []
     bounds = tuple(sorted({int(x) for x in cuts}))
     packed = win.pack(docs, id_col, text_col, bounds=bounds, note=lambda texts: noted(texts, size), total=histogram(size))
@@ -346,7 +354,7 @@ def build(docs: DataFrame, size: int = 50, arrivals: int = ARRIVALS, id_col: str
     family = Family(size, max(1, -(-raw // win.BUCKET)), hot_cells(packed))
     out = None
     for part in range(len(bounds) + 1):
-        rows = family.add(packed.filter(F.col("part") == part))
+        rows = family.add(packed.filter(F.col("part") == part), keep or part < len(bounds))
         out = rows if out is None else out.unionByName(rows)
     return family, out
 
@@ -361,4 +369,4 @@ def deduplicate(docs: DataFrame, size: int = 50, arrivals: int = ARRIVALS, id_co
     all others, and rows of equal id (or both null) do not remove each other's bytes; other
     columns are not looked at; an empty table gives no rows.
     """
-    return build(docs, size, arrivals, id_col, text_col)[1]
+    return build(docs, size, arrivals, id_col, text_col, keep=False)[1]
