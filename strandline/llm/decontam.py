@@ -55,7 +55,11 @@ def _narrowed(found: DataFrame, windows: DataFrame, index: DataFrame, first: int
     shifts = F.sequence(F.lit(-slack), F.lit(slack)) if slack else F.array(F.lit(0))
     need = asked.select(*at, F.explode("terms").alias("t")).select(*at, F.col("t.term").alias("term"), F.col("t.off").alias("off"), F.explode(shifts).alias("shift"))
     need = need.withColumn("pos", F.col("start") + F.col("off") + F.col("shift"))
-    lists = index.join(need.select("term").distinct(), "term", "left_semi").join(found.select(*KEY).distinct(), KEY, "left_semi")
+    # a list of rare terms is short everywhere; those of all other terms are read in the documents still in question alone (written, so that their size is known to Spark's own check)
+    if last:
+        lists = index.join(durable(part.select(F.explode("terms.term").alias("term")).distinct(), "asked-terms"), "term", "left_semi")
+    else:
+        lists = index.join(durable(found.select(*KEY).distinct(), "asked-documents"), KEY, "left_semi")
     met = need.join(lists.select(*KEY, "term", "pos"), [*KEY, "term", "pos"], "left_semi")
     none = F.lit(0).cast("long")
     wanted = F.aggregate("terms", none, lambda acc, t: acc.bitwiseOR(bit(t["off"])))
