@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical, mark, signs
-from ..tables import durable
+from ..tables import discard, durable
 
 #: How far beyond a window reference nodes still bound a search.
 EXTENSION = 1_000_000
@@ -20,6 +22,12 @@ def window_nodes(node: DataFrame, chrom: str, start: int, end: int, ex: int = EX
     return near.select("node", "start_pos", "end_pos", "len", cls.alias("cls"))
 
 
+def default_window(node: DataFrame, length: int = 10_000) -> DataFrame:
+    """One row chr, start_pos, end_pos: what is shown first, the beginning of the first chromosome by name."""
+    first = node.filter("rank = 0").agg(F.min("chr").alias("chr")).filter("chr is not null")
+    return first.select("chr", F.lit(1).cast("long").alias("start_pos"), F.lit(length).cast("long").alias("end_pos"))
+
+
 def on_chromosomes(node: DataFrame, names: DataFrame) -> DataFrame:
     """Nodes on the listed chromosomes (column chr)."""
     return node.join(names.select("chr"), "chr", "left_semi")
@@ -72,36 +80,39 @@ def adjacency(edge: DataFrame) -> DataFrame:
     return edge.select(F.col("n1").alias("a"), F.col("n2").alias("b")).unionByName(edge.select(F.col("n2").alias("a"), F.col("n1").alias("b"))).distinct()
 
 
-def search(adjacent: DataFrame, seeds: DataFrame, walls: DataFrame, depth: int, by: list[str] | None = None) -> DataFrame:
+def search(adjacent: DataFrame, seeds: DataFrame, walls: DataFrame | None, depth: int, by: list[str] | None = None) -> DataFrame:
     """Breadth-first from all seeds at once: by..., node, depth (the least).
 
     Seeds (by..., node) have depth 0; a node is left by its edges when its depth is at most
-    ``depth``, so depth + 1 is reached.  Walls (by..., node) are never entered.  Adjacency is cut
-    to what is no wall once; every level is a join with it, written before the next one, and
-    the search stops at the first empty level.
+    ``depth``, so depth + 1 is reached.  Walls (by..., node) are never entered; None where
+    adjacency has none.  ``adjacent`` (a, b) is a written table and runs both ways, so what a
+    level reaches lies on the level before, on its own or on the next, and only two levels need be
+    known to find the new ones.  Every level is a join, written before the next one, and the
+    search stops at the first empty level.
     """
     by = by or []
-    if not by:  # the walls are the same for all, so they leave the adjacency
-        adjacent = durable(adjacent.join(walls.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"), "search-adjacency")
-    found = frontier = durable(seeds.select(*by, "node").distinct().withColumn("depth", F.lit(0)), "search-0")
+    key = [*by, "node"]
+    levels = [durable(seeds.select(key).distinct().withColumn("depth", F.lit(0)), "search-0")]
     for level in range(depth + 1):
-        ahead = frontier.join(adjacent, F.col("node") == F.col("a")).select(*by, F.col("b").alias("node")).distinct()
-        if by:
-            ahead = ahead.join(walls, [*by, "node"], "left_anti")
-        ahead = ahead.join(found.select(*by, "node"), [*by, "node"], "left_anti")
-        frontier = durable(ahead.withColumn("depth", F.lit(level + 1)), f"search-{level + 1}")
-        if frontier.isEmpty():
+        ahead = levels[-1].join(adjacent, F.col("node") == F.col("a")).select(*by, F.col("b").alias("node")).distinct()
+        if walls is not None:
+            ahead = ahead.join(walls, key, "left_anti")
+        for known in levels[-2:]:
+            ahead = ahead.join(known.select(key), key, "left_anti")
+        levels.append(durable(ahead.withColumn("depth", F.lit(level + 1)), f"search-{level + 1}"))
+        if levels[-1].isEmpty():
+            discard(levels.pop())
             break
-        found = found.unionByName(frontier)
-    return found
+    return reduce(DataFrame.unionByName, levels)
 
 
 def window_search(edge: DataFrame, window: DataFrame, depth: int) -> DataFrame:
     """node, depth of the variant nodes around a window (window_nodes())."""
-    adjacent = durable(adjacency(edge), "adjacency")
+    # the walls are the same for all, so they leave the adjacency: once as ends, and as starts but for the seeds
+    open_ends = adjacency(edge).join(window.select(F.col("node").alias("b")), "b", "left_anti")
+    adjacent = durable(open_ends.select("a", "b"), "adjacency")
     inside = window.filter("cls = '0'").select(F.col("node").alias("a"))
-    seeds = adjacent.join(inside, "a").select(F.col("b").alias("node")).distinct().join(window.select("node"), "node", "left_anti")
-    return search(adjacent, seeds, window.select("node"), depth)
+    return search(adjacent, adjacent.join(inside, "a", "left_semi").select(F.col("b").alias("node")), None, depth)
 
 
 def chromosome_edges(edge: DataFrame, node: DataFrame, window: DataFrame) -> DataFrame:
@@ -128,26 +139,36 @@ def chunks(node: DataFrame, size: int = 2000) -> DataFrame:
     return chunked(node, size).groupBy("chr", "chunk").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count("*").alias("n"))
 
 
-def search_chunks(edge: DataFrame, node: DataFrame, size: int, depth: int, ex: int = EXTENSION) -> DataFrame:
-    """chr, chunk, node: the search around every chunk, all chunks at once."""
+def search_chunks(edge: DataFrame, node: DataFrame, size: int, depth: int, ex: int = EXTENSION, nocross: bool = False) -> DataFrame:
+    """chr, chunk, node: the search around every chunk, all chunks at once.
+
+    With ``nocross`` a search leaves its chunk by any edge and then runs along edges without a
+    reference node only, so it cannot come out on another chromosome.
+    """
     own = durable(chunked(node, size).select("chr", "chunk", "node", "start_pos", "end_pos"), "chunked")
     span = own.groupBy("chr", "chunk").agg(F.min("start_pos").alias("lo"), F.max("end_pos").alias("hi"))
-    walls = durable(span.join(own.select("chr", "node", "start_pos", "end_pos"), "chr").filter((F.col("end_pos") >= F.col("lo") - ex) & (F.col("start_pos") <= F.col("hi") + ex)).select("chr", "chunk", "node"), "chunk-walls")
+    # walls are the nodes within ex of a chunk: met in bins of ex bases, so a chunk sees its own stretch of the chromosome only
+    bins = span.withColumn("bin", F.explode(F.expr(f"sequence((lo - {ex}) div {ex}, (hi + {ex}) div {ex})")))
+    near = own.select("chr", "node", "start_pos", "end_pos").withColumn("bin", F.explode(F.expr(f"sequence(start_pos div {ex}, end_pos div {ex})")))
+    walls = bins.join(near, ["chr", "bin"]).filter((F.col("end_pos") >= F.col("lo") - ex) & (F.col("start_pos") <= F.col("hi") + ex))
+    walls = durable(walls.select("chr", "chunk", "node").distinct(), "chunk-walls")
     adjacent = durable(adjacency(edge), "adjacency")
     seeds = own.select("chr", "chunk", F.col("node").alias("a")).join(adjacent, "a").select("chr", "chunk", F.col("b").alias("node")).distinct().join(walls, ["chr", "chunk", "node"], "left_anti")
+    if nocross:
+        adjacent = durable(adjacency(edges_without(edge, node.filter("rank = 0").select("node"))), "adjacency")
     return search(adjacent, seeds, walls, depth, ["chr", "chunk"]).select("chr", "chunk", "node")
 
 
 def nearest_reference(edge: DataFrame, node: DataFrame, depth: int = 500) -> DataFrame:
     """node, ref_node, dist of every variant node from which a reference node can be reached by variant nodes; the least id of the nearest."""
     adjacent = durable(adjacency(edge).join(node.filter("rank = 0").select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"), "variant-adjacency")
-    found = frontier = durable(node.filter("rank = 0").select("node", F.col("node").alias("ref_node"), F.lit(0).alias("dist")), "nearest-0")
-    out = None
+    levels = [durable(node.filter("rank = 0").select("node", F.col("node").alias("ref_node"), F.lit(0).alias("dist")), "nearest-0")]
     for level in range(1, depth + 1):
-        ahead = frontier.join(adjacent, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.min("ref_node").alias("ref_node"))
-        frontier = durable(ahead.join(found.select("node"), "node", "left_anti").select("node", "ref_node", F.lit(level).alias("dist")), f"nearest-{level}")
-        if frontier.isEmpty():
+        ahead = levels[-1].join(adjacent, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.min("ref_node").alias("ref_node"))
+        for known in levels[-2:]:  # as in search(): no older level can be met
+            ahead = ahead.join(known.select("node"), "node", "left_anti")
+        levels.append(durable(ahead.select("node", "ref_node", F.lit(level).alias("dist")), f"nearest-{level}"))
+        if levels[-1].isEmpty():
+            discard(levels.pop())
             break
-        found = found.unionByName(frontier)
-        out = frontier if out is None else out.unionByName(frontier)
-    return found.filter("dist > 0") if out is None else out
+    return reduce(DataFrame.unionByName, levels).filter("dist > 0")

@@ -14,7 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import running
+
 BIN = 256
+#: Widths of bins by level; the last level is one bin for all.
+WIDTHS = [1 << k for k in (8, 12, 16, 20, 24, 28, 40)]
 
 
 def binned(df: DataFrame, start: str = "start_pos", end: str = "end_pos", size: int = BIN) -> DataFrame:
@@ -36,13 +40,34 @@ def end_nodes(feature: DataFrame, node: DataFrame) -> DataFrame:
     return feature.select("fid").join(point("start_pos", "node1", "off1"), "fid", "left").join(point("end_pos", "node2", "off2"), "fid", "left")
 
 
-def overlapping(feature: DataFrame, other: DataFrame, keys: list[str], start: str = "n_start", end: str = "n_end") -> DataFrame:
-    """fid and keys of all pairs that overlap on a chromosome; ``other`` has chr, keys, start, end."""
-    a = binned(feature.select("fid", "chr", "start_pos", "end_pos"))
-    b = binned(other.select("chr", *keys, F.col(start).alias("n_start"), F.col(end).alias("n_end")), "n_start", "n_end")
+def leveled(df: DataFrame, start: str, end: str, name: str) -> DataFrame:
+    """A row for each of the at most two bins the interval touches at its own level and at every coarser one; ``name`` is its own level.
+
+    Bins of level k are WIDTHS[k] wide, and an interval's own level is the finest whose bins are as
+    wide as it is long, so the number of rows does not grow with its length.
+    """
+    length = F.col(end) - F.col(start) + 1
+    own = F.lit(len(WIDTHS) - 1)
+    for k in reversed(range(len(WIDTHS) - 1)):
+        own = F.when(length <= WIDTHS[k], k).otherwise(own)
+    rows = df.withColumn(name, own).withColumn("level", F.explode(F.sequence(F.col(name), F.lit(len(WIDTHS) - 1))))
+    width = F.element_at(F.array(*map(F.lit, WIDTHS)), F.col("level") + 1)
+    low, high = F.floor(F.col(start) / width), F.floor(F.col(end) / width)
+    return rows.withColumn("bin", F.explode(F.when(F.col("level") == len(WIDTHS) - 1, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.array(low, high)))))
+
+
+def overlapping(feature: DataFrame, other: DataFrame, keys: list[str], start: str = "n_start", end: str = "n_end", on: tuple[str, ...] = ("chr",)) -> DataFrame:
+    """fid, on and keys of all pairs that overlap on the same sequence (``on``); ``other`` has on, keys, start, end.
+
+    A pair is found in a bin of the longer one's level; an interval of any length is in few bins.
+    """
+    a = leveled(feature.select("fid", *on, "start_pos", "end_pos"), "start_pos", "end_pos", "_la")
+    b = leveled(other.select(*on, *keys, F.col(start).alias("n_start"), F.col(end).alias("n_end")), "n_start", "n_end", "_lb")
+    met = a.join(b, [*on, "level", "bin"]).filter(F.col("level") == F.greatest("_la", "_lb"))
     # of the bins that a pair shares, the one where the later of both starts is the pair's own: no pair comes twice
-    own = F.expr(f"greatest(start_pos, n_start) div {BIN} = bin")
-    return a.join(b, ["chr", "bin"]).filter((F.col("start_pos") <= F.col("n_end")) & (F.col("end_pos") >= F.col("n_start")) & own).select("fid", "chr", *keys)
+    width = F.element_at(F.array(*map(F.lit, WIDTHS)), F.col("level") + 1)
+    once = (F.col("level") == len(WIDTHS) - 1) | (F.floor(F.greatest("start_pos", "n_start") / width) == F.col("bin"))
+    return met.filter((F.col("start_pos") <= F.col("n_end")) & (F.col("end_pos") >= F.col("n_start")) & once).select("fid", *on, *keys)
 
 
 def gene_nodes(feature: DataFrame, node: DataFrame) -> DataFrame:
@@ -56,6 +81,18 @@ def feature_chunks(feature: DataFrame, chunk: DataFrame) -> DataFrame:
     return overlapping(feature, chunk, ["chunk"], "start_pos", "end_pos").select("fid", "chunk")
 
 
+def gene_nodes_everywhere(feature: DataFrame, place: DataFrame) -> DataFrame:
+    """asm, node, fid of every feature (asm, chr, ...) and node that overlap on the assembly's own axis; ``place`` has asm, chr, node, start_pos, end_pos."""
+    own = place.select("asm", "chr", "node", F.col("start_pos").alias("n_start"), F.col("end_pos").alias("n_end"))
+    return overlapping(feature, own, ["node"], on=("asm", "chr")).select("asm", "node", "fid").distinct()
+
+
+def genes_kept(feature: DataFrame, place: DataFrame, reference: int) -> DataFrame:
+    """asm, fid of the features that lie on any node of their assembly; the reference keeps all of its own."""
+    met = gene_nodes_everywhere(feature.filter(F.col("asm") != reference), place.filter(F.col("asm") != reference))
+    return met.select("asm", "fid").distinct().unionByName(feature.filter(F.col("asm") == reference).select("asm", "fid"))
+
+
 def on_nodes(feature: DataFrame, node: DataFrame) -> DataFrame:
     """fid of features that overlap any reference node."""
     return gene_nodes(feature, node).select("fid").distinct()
@@ -70,11 +107,14 @@ def visible(ends: DataFrame, window: DataFrame) -> DataFrame:
 
 
 def clusters(feature: DataFrame, by: list[str]) -> DataFrame:
-    """feature with its cluster (from 1): a new one begins where a start lies beyond all ends before it."""
-    w = W.partitionBy(*by).orderBy("start_pos", "end_pos", "fid")
-    before = F.max("end_pos").over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = (before.isNull() | (F.col("start_pos") > before)).cast("long")
-    return feature.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(w)).drop("_new")
+    """feature with its cluster (from 1): a new one begins where a start lies beyond all ends before it.
+
+    Both steps run in ranges of the sorted intervals, so a chromosome of any size spreads over tasks.
+    """
+    order = ["start_pos", "end_pos", "fid"]
+    part = running(feature, by, order, {"_before": ("max", "end_pos")})
+    new = (F.col("_before").isNull() | (F.col("start_pos") > F.col("_before"))).cast("long")
+    return running(part.withColumn("_new", new).drop("_before"), by, order, {"cluster": ("sum", "_new")}).drop("_new")
 
 
 def islands(feature: DataFrame, by: list[str]) -> DataFrame:
@@ -140,6 +180,11 @@ def first_isoforms(child: DataFrame, cap: int = 20) -> DataFrame:
     return seen.withColumn("_r", F.dense_rank().over(W.partitionBy("gene").orderBy("_f"))).filter(F.col("_r") <= cap).drop("_f", "_r")
 
 
+def model_counts(model: DataFrame) -> DataFrame:
+    """gene, parent, exons, cds: parts of each transcript by kind."""
+    return model.groupBy("gene", "parent").agg(F.count_if(F.col("type") == "exon").alias("exons"), F.count_if(F.col("type") == "CDS").alias("cds"))
+
+
 def truncated(exon: DataFrame) -> DataFrame:
     """transcript, flag: '2' where the first visible exon is not exon 1, else '0'."""
     return exon.groupBy("transcript").agg(F.when(F.min_by("num", "start_pos") != 1, "2").otherwise("0").alias("flag"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import running
+
 WIDTH, LEFT, CUT, SPACER = 800, 50, 2000, 80
 
 
@@ -55,8 +57,8 @@ def point_ids(window: DataFrame, variant: DataFrame, cut: int) -> DataFrame:
     ref = ref.select("node", (2 * F.col("i") + 1).alias("s_id"), (2 * F.col("i") + 2).alias("e_id"), F.lit(True).alias("is_ref"), "i")
     total = window.filter("cls = '0'").count() * 2
     points = F.greatest(F.ceil(F.col("len") / cut), F.lit(1)).cast("long") + 1
-    upto = F.sum("points").over(W.orderBy("node"))
-    rows = variant.select("node", points.alias("points")).select("node", "points", upto.alias("upto"))
+    upto = lambda rows: running(rows, [], ["node"], {"upto": ("sum", "points")})
+    rows = upto(variant.select("node", points.alias("points")))
     rows = rows.select("node", (F.lit(total) + F.col("upto") - F.col("points") + 1).alias("s_id"), (F.lit(total) + F.col("upto")).alias("e_id"), F.lit(False).alias("is_ref"), F.lit(None).cast("long").alias("i"))
     return ref.unionByName(rows)
 
@@ -94,13 +96,11 @@ def feature_pixels(seen: DataFrame, feature: DataFrame, x: DataFrame, s: Scale,
     return rows.select("fid", x1.alias("x1"), x2.alias("x2"), margin.alias("margin"))
 
 
-def ticks(window: DataFrame, s: Scale, every: int = SPACER, left: int = LEFT) -> list[tuple[float, int]]:
-    """(x, position) every so many pixels, interpolated within nodes; the window's nodes are few and are read by the driver."""
-    rows = reference_x(window, s, left).join(window.select("node", "start_pos"), "node").orderBy("i").collect()
-    out, at = [], float(left)
-    for r in rows:
-        while at <= r["x2"] and s.scale:
-            if at >= r["x1"]:
-                out.append((round(at, 4), int(r["start_pos"] + (at - r["x1"]) / s.scale)))
-            at += every
-    return out
+def ticks(x: DataFrame, window: DataFrame, s: Scale, every: int = SPACER, left: int = LEFT) -> DataFrame:
+    """x, pos: a tick every so many pixels where it falls on a node of reference_x(), and the position there."""
+    rows = x.join(window.select("node", "start_pos"), "node")
+    if not s.scale:
+        return rows.select(F.col("x1").alias("x"), F.col("start_pos").alias("pos")).limit(0)
+    first, last = F.ceil((F.col("x1") - left) / every), F.floor((F.col("x2") - left) / every)
+    at = rows.filter(first <= last).withColumn("k", F.explode(F.sequence(first, last))).withColumn("at", F.col("k") * every + F.lit(float(left)))
+    return at.select(F.round("at", 4).alias("x"), (F.col("start_pos") + F.floor((F.col("at") - F.col("x1")) / F.lit(s.scale))).cast("long").alias("pos"))

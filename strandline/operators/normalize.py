@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import flipped_edges
+from ..functions.scalars import canonical, mark
+from ..tables import durable, running
+from .graph import edges_of_steps, flipped_edges
 
 
 def unvisited(node: DataFrame, step: DataFrame) -> DataFrame:
@@ -14,10 +16,24 @@ def unvisited(node: DataFrame, step: DataFrame) -> DataFrame:
     return node.join(step.select("node").distinct(), "node", "left_anti")
 
 
+def edges_off_reference(edge: DataFrame, reference_step: DataFrame, path: list[str]) -> DataFrame:
+    """Edges that the reference's paths do not run along, in either direction."""
+    along = edges_of_steps(reference_step, path).select(canonical("n1", "n2", "mark").alias("_e"))
+    return edge.withColumn("_e", canonical("n1", "n2", "mark")).join(along, "_e", "left_anti").select(edge.columns)
+
+
+def jumps_off_reference(jump: DataFrame, reference_step: DataFrame, path: list[str]) -> DataFrame:
+    """Jumps (n1, sign1, n2, sign2, ...) between nodes that do not follow each other on the reference's paths, in either direction."""
+    along = edges_of_steps(reference_step, path).select(canonical("n1", "n2", "mark").alias("_e"))
+    own = canonical("n1", "n2", mark("sign1", "sign2"))
+    return jump.withColumn("_e", own).join(along, "_e", "left_anti").select(jump.columns)
+
+
 def _next_ids(rows: DataFrame, node: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Ids above the largest node in the given order. The rows are the few repeats of one reference."""
+    """Ids above the largest node in the given order, counted in ranges."""
     top = node.agg(F.coalesce(F.max("node"), F.lit(0)).alias("_top"))
-    return rows.join(F.broadcast(top)).withColumn(name, F.col("_top") + F.row_number().over(W.orderBy(*order))).drop("_top")  # top is one row
+    counted = running(rows, [], order, {"_n": ("count", "")})
+    return counted.join(F.broadcast(top)).withColumn(name, F.col("_top") + F.col("_n")).drop("_top", "_n")  # top is one row
 
 
 def shadows(visit: DataFrame, node: DataFrame, path: str = "path_id") -> DataFrame:
@@ -65,8 +81,8 @@ def variant_nodes(step: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def jump_nodes(jump: DataFrame, node: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of jumps (n1, sign1, n2, sign2, distance, line_no): a node of the distance's length between two edges."""
-    ids = _next_ids(jump, node, ["line_no"], "node")
+    """(nodes, edges) of jumps (n1, sign1, n2, sign2, distance): a node of the distance's length between two edges; ids in the order of the jumps' ends."""
+    ids = _next_ids(jump, node, ["n1", "n2", "sign1", "sign2", "distance"], "node")
     nodes = ids.select("node", F.col("distance").alias("len"))
     into = ids.select("n1", F.col("node").alias("n2"), F.when(F.col("sign1") == "+", 2).otherwise(4).alias("mark"))
     out = ids.select(F.col("node").alias("n1"), "n2", F.when(F.col("sign2") == "+", 2).otherwise(3).alias("mark"))
@@ -76,3 +92,40 @@ def jump_nodes(jump: DataFrame, node: DataFrame) -> tuple[DataFrame, DataFrame]:
 def normalised_edges(edge: DataFrame, flipped: DataFrame) -> DataFrame:
     """Edges with flipped nodes turned: n1, n2, sign1, sign2."""
     return flipped_edges(edge, flipped)
+
+
+def imported(segment: DataFrame, link: DataFrame, step: DataFrame, reference: str, jump: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A graph as written, on the reference's axis, as the tables ``node``, ``edge``, ``step`` and ``shadow``.
+
+    segment: node, len.  link: n1, n2, mark.  step: asm, path_id, chr, walk_start, idx, node, ori,
+    of all walks.  jump: gfa.jumps().  ``reference`` is the assembly that gives the axis.
+
+    node: node, asm, chr, start_pos, end_pos, len, rank: those on the reference (rank 0) by its
+    walks; the others (rank 1) on the first walk that visits them; jumps and nodes on no walk have
+    no position (asm, chr null; rank 1).  edge: n1, n2, sign1, sign2 with nodes that the reference
+    first visits backwards turned round, edges into shadows and those of jumps that the reference
+    does not make.  step: turned likewise.  shadow: path_id, idx, node, new_id of the reference's
+    repeated visits.
+    """
+    step = durable(step.join(segment.select("node", "len"), "node"), "import-steps")
+    own = step.filter(F.col("asm") == reference)
+    turned = durable(flips(own), "import-flips")
+    ref = durable(reference_nodes(own), "import-reference")
+    shadow = shadows(own, segment)
+    shadow = durable(shadow, "import-shadows")
+    other = variant_nodes(step.filter(F.col("asm") != reference), ref)
+    none = lambda kind: F.lit(None).cast(kind)
+    cols = ["node", "asm", "chr", "start_pos", "end_pos", "len", "rank"]
+    nodes = ref.withColumns({"asm": F.lit(reference), "rank": F.lit(0)}).select(cols).unionByName(other.withColumn("rank", F.lit(1)).select(cols))
+    lost = unvisited(segment.select("node", "len"), step)
+    edges = normalised_edges(link, turned)
+    into = shadow_edges(own.select("path_id", "idx", "node"), shadow)
+    edges = edges.unionByName(into.select("n1", "n2", F.lit("+").alias("sign1"), F.lit("+").alias("sign2")))
+    if jump is not None:
+        apart = jumps_off_reference(jump, own.withColumn("chr", F.col("path_id").cast("string")), ["path_id"])
+        top = segment.select("node").unionByName(shadow.select(F.col("new_id").alias("node")))
+        made, joined = jump_nodes(apart, top)
+        lost = lost.unionByName(made)
+        edges = edges.unionByName(normalised_edges(joined, turned))
+    nodes = nodes.unionByName(lost.select("node", none("string").alias("asm"), none("string").alias("chr"), none("long").alias("start_pos"), none("long").alias("end_pos"), "len", F.lit(1).alias("rank")))
+    return {"node": nodes, "edge": edges, "step": flipped_steps(step, turned), "shadow": shadow}

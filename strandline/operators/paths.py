@@ -97,23 +97,53 @@ def split_cigars(aln: DataFrame, step: DataFrame) -> DataFrame:
     aln has path, pstart, qstart, cigar; step has path, idx, node, len.  Operations that take no
     reference bases go to the node in which the next base lies (at the end, to the last).
     qpos is the query position at the node's first aligned base.
+
+    Starts of nodes and of operations are put in one order along the path; each start of an
+    operation then takes the node begun last, and each start of a node what the operation begun
+    last has left over, so the work is in proportion to both together.
     """
     ops = aln.select("path", "pstart", "qstart", F.posexplode(cigar_ops("cigar")).alias("k", "o")).select("path", "pstart", "qstart", "k", "o.n", "o.op")
     w = W.partitionBy("path").orderBy("k")
     ref = F.when(F.col("op").isin("M", "X", "=", "D", "N"), F.col("n")).otherwise(0)
     query = F.when(F.col("op").isin("M", "X", "=", "I", "S"), F.col("n")).otherwise(0)
     ops = ops.withColumns({"rn": ref, "qn": query}).withColumns({"r0": F.col("pstart") + F.sum("rn").over(w) - F.col("rn"), "q0": F.col("qstart") + F.sum("qn").over(w) - F.col("qn")})
+    op = F.struct("k", "n", "op", "rn", "qn", "r0", "q0")
     on = W.partitionBy("path").orderBy("idx")
-    spans = step.withColumn("s1", F.sum("len").over(on)).withColumns({"s0": F.col("s1") - F.col("len"), "final": F.lead("idx").over(on).isNull()}).select("path", "idx", "node", "s0", "s1", "final")
-    meets = F.when(F.col("rn") > 0, (F.col("r0") < F.col("s1")) & (F.col("r0") + F.col("rn") > F.col("s0"))).otherwise((F.col("r0") >= F.col("s0")) & ((F.col("r0") < F.col("s1")) | F.col("final")))
-    cut = ops.join(spans, "path").filter(meets)
+    spans = step.withColumn("s1", F.sum("len").over(on)).withColumn("s0", F.col("s1") - F.col("len"))
+    span = F.struct("idx", "node", "s0", "s1")
+    starts = ops.select("path", F.col("r0").alias("at"), F.lit(1).alias("what"), "k", op.alias("op"), F.lit(None).alias("span"))
+    starts = starts.unionByName(spans.select("path", F.col("s0").alias("at"), F.lit(0).alias("what"), F.col("idx").cast("int").alias("k"), F.lit(None).alias("op"), span.alias("span")))
+    along = W.partitionBy("path").orderBy("at", "what", "k").rowsBetween(W.unboundedPreceding, 0)
+    begun = starts.select("path", "what", F.last("span", ignorenulls=True).over(along).alias("s"), F.coalesce("op", F.last(F.when(F.col("op.rn") > 0, F.col("op")), ignorenulls=True).over(along)).alias("o"))
+    met = begun.filter("s is not null and o is not null and (what = 1 or o.r0 + o.rn > s.s0)").select("path", "s.*", "o.*")
     lead = F.greatest(F.col("s0") - F.col("r0"), F.lit(0))
     size = F.when(F.col("rn") > 0, F.least("s1", F.col("r0") + F.col("rn")) - F.greatest("s0", F.col("r0"))).otherwise(F.col("n"))
-    piece = cut.select("path", "idx", "node", "k", F.concat(size.cast("string"), "op").alias("t"), (F.col("q0") + F.when(F.col("qn") > 0, lead).otherwise(0)).alias("q"))
+    piece = met.filter(size > 0).select("path", "idx", "node", "k", F.concat(size.cast("string"), "op").alias("t"), (F.col("q0") + F.when(F.col("qn") > 0, lead).otherwise(0)).alias("q"))
     parts = F.array_sort(F.collect_list(F.struct("k", "t")))
     return piece.groupBy("path", "idx", "node").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("cigar"), F.min("q").alias("qpos"))
 
 
+def cigar_between(piece: DataFrame, first: int, last: int) -> DataFrame:
+    """path, cigar: of split_cigars(), the CIGAR from node number ``first`` up to, not including, number ``last`` of each path."""
+    parts = F.array_sort(F.collect_list(F.struct("idx", "cigar")))
+    return piece.filter((F.col("idx") >= first) & (F.col("idx") < last)).groupBy("path").agg(F.array_join(F.transform(parts, lambda x: x["cigar"]), "").alias("cigar"))
+
+
+def run_cigars(piece: DataFrame, shown: DataFrame) -> DataFrame:
+    """path, run, q_start, cigar: of split_cigars(), the maximal stretches of nodes inside the displayed graph, each with its own CIGAR."""
+    w = W.partitionBy("path").orderBy("idx")
+    inside = piece.join(shown.select("node").distinct(), "node", "left_semi").withColumn("_prev", F.lag("idx").over(w))
+    new = F.coalesce((F.col("idx") != F.col("_prev") + 1), F.lit(True)).cast("long")
+    numbered = inside.withColumn("_new", new).withColumn("run", F.sum("_new").over(w))
+    parts = F.array_sort(F.collect_list(F.struct("idx", "cigar")))
+    return numbered.groupBy("path", "run").agg(F.min("qpos").alias("q_start"), F.array_join(F.transform(parts, lambda x: x["cigar"]), "").alias("cigar"))
+
+
+def known(wanted: DataFrame, assemblies: DataFrame) -> DataFrame:
+    """name, asm, is_known of the requested assemblies (column name): those not in the graph are told, not left out."""
+    return wanted.select("name").distinct().join(assemblies.select("name", "asm"), "name", "left").select("name", "asm", F.col("asm").isNotNull().alias("is_known"))
+
+
 def chunk_fragments(step: DataFrame, path: list[str], chunk_of: DataFrame) -> DataFrame:
     """path..., chr, chunk, idx, node, ori: steps by chunk; a step whose predecessor lies in another chunk also goes to that one."""
     w = W.partitionBy(*path).orderBy("idx")

@@ -27,8 +27,7 @@ def bubbles(edge: DataFrame, window: DataFrame, depth: int) -> DataFrame:
     out = edge.join(window.filter("cls = '0'").select(F.col("node").alias("n1")), "n1").select(F.col("n1").alias("seed_ref"), F.col("n2").alias("node"))
     seeds = durable(out.join(window.select("node"), "node", "left_anti").distinct(), "bubble-seeds")
     adjacent = durable(adjacency(edge).join(window.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"), "bubble-adjacency")
-    none = seeds.select("seed_ref", "node").limit(0)
-    return search(adjacent, seeds, none, depth, ["seed_ref"])
+    return search(adjacent, seeds, None, depth, ["seed_ref"])
 
 
 def bubble_sizes(found: DataFrame, node: DataFrame) -> DataFrame:

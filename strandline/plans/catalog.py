@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import coverage, graph, intervals, layout, lookup, normalize, paths, simplify, view
-from ..sources import bed, gaf, gfa, gff
-from ..tables import durable
+from ..sources import bed, fasta, gaf, gfa, gff, lines, sinks
+from ..tables import durable, shared_dir
 from .projection import Projection
 
 #: The window that queries show, the search depth and the variant filter of a first view.
@@ -41,12 +44,45 @@ class Scene(Projection):
     def shown(self) -> DataFrame:
         return self.window().filter("cls = '0'").select("node").unionByName(self.found().select("node"))
 
+    def places(self) -> DataFrame:
+        """asm, chr, node, start_pos, end_pos of every node on each assembly's own axis."""
+        return self.step().select("asm", "chr", "node", F.col("qpos").alias("start_pos"), (F.col("qpos") + F.col("len") - 1).alias("end_pos"))
+
     def sub(self) -> DataFrame:
         return graph.subgraph_edges(self.edges(), self.window(), self.found(), DEPTH)
 
     def variants(self) -> DataFrame:
         return self.found().select("node").join(self.node().select("node", "len"), "node")
 
+    def crossing(self) -> DataFrame:
+        """Edges along the order paths of one nation, which visit nodes of all chromosomes."""
+        if not hasattr(self, "_crossing"):
+            self._crossing = durable(graph.edges_of_steps(self.visit().filter("asm = 1"), ["path_id"]), "crossing")
+        return self._crossing
+
+    def flip(self) -> DataFrame:
+        """Nodes that the first assembly to visit them visits backwards."""
+        return self.step().groupBy("node").agg(F.min_by("ori", "asm").alias("ori")).filter("ori = '<'")
+
+    def jumps(self) -> DataFrame:
+        return gfa.jumps(gfa.jump_text(self.edge()))
+
+    def placed_genes(self) -> DataFrame:
+        """Features with an assembly each, on whose axis they lie."""
+        return self.feature().withColumn("asm", F.col("fid") % 25)
+
+    def models(self) -> DataFrame:
+        return gff.gene_models(gff.records(gff.model_text(self.feature())), [])
+
+    def imported(self) -> dict[str, DataFrame]:
+        """The projection written as GFA 1 and read back, with assembly 1 as the reference."""
+        walks = paths.strings(self.step(), PATH).select(F.concat_ws("\t", F.lit("W"), F.col("asm").cast("string"), F.lit("0"), "chr", F.lit("*"), F.lit("0"), "path").alias("value"))
+        text = gfa.rgfa_text(self.node().join(self.seq(), "node")).unionByName(gfa.link_text(self.edge())).unionByName(walks).unionByName(gfa.jump_text(self.edge()))
+        text = durable(text, "gfa")
+        named = gfa.walks(text)
+        step = paths.exploded(named.withColumn("path_id", F.col("name")), ["sample", "path_id", "chr", "walk_start"], "walk").withColumnRenamed("sample", "asm")
+        return normalize.imported(gfa.segments(text), gfa.links(text), step, "1", gfa.jumps(text))
+
     def ends(self) -> DataFrame:
         return intervals.end_nodes(self.feature(), self.node())
 
@@ -106,7 +142,7 @@ def edges_chr(s: Scene) -> DataFrame:
 
 @query
 def nodes_unvisited(s: Scene) -> DataFrame:
-    return normalize.unvisited(s.node(), s.step()).select("node")
+    return normalize.unvisited(s.node(), s.step().filter("asm in (1, 2)")).select("node")
 
 
 @query
@@ -191,10 +227,21 @@ def bfs_chunks(s: Scene) -> DataFrame:
     return graph.search_chunks(s.edges(), s.node(), 50, 5)
 
 
+@query
+def bfs_cross(s: Scene) -> DataFrame:
+    """Along paths that change chromosomes, a search that may come out on any of them."""
+    return graph.window_search(s.crossing(), s.window(), 3)
+
+
 @query
 def bfs_nocross(s: Scene) -> DataFrame:
-    own = graph.chromosome_edges(s.edges(), s.node(), s.window())
-    return graph.window_search(own, s.window(), DEPTH)
+    """The same search kept to edges without a reference node and those at the window."""
+    return graph.window_search(graph.chromosome_edges(s.crossing(), s.node(), s.window()), s.window(), 3)
+
+
+@query
+def chunk_index_nocross(s: Scene) -> DataFrame:
+    return view.index_edges(s.crossing(), s.node(), 50, 1, nocross=True)
 
 
 @query
@@ -320,7 +367,7 @@ def path_locate(s: Scene) -> DataFrame:
 
 @query
 def nearest_ref(s: Scene) -> DataFrame:
-    return graph.nearest_reference(s.edges(), s.node(), 20)
+    return graph.nearest_reference(s.edges(), s.node())
 
 
 @query
@@ -366,7 +413,12 @@ def gaf_parse(s: Scene) -> DataFrame:
 
 @query
 def bed_parse(s: Scene) -> DataFrame:
-    return bed.records(bed.text(s.feature())).select("track", "chr", "start_pos", "end_pos", "name", "score", "strand")
+    return bed.features(bed.text(s.feature())).select("track_id", "ncol", "chr", "start_pos", "end_pos", "name", "score", "strand")
+
+
+@query
+def bed_tracks(s: Scene) -> DataFrame:
+    return bed.track_names(bed.text(s.feature()))
 
 
 @query
@@ -374,8 +426,7 @@ def gff_parse(s: Scene) -> DataFrame:
     return gff.records(gff.text(s.feature())).filter(gff.IS_GENE).select("chr", "type", "start_pos", "end_pos", "strand", "id", "name")
 
 
-@query
-def cigar_split(s: Scene) -> DataFrame:
+def _cigars(s: Scene) -> DataFrame:
     a = s.alignment().filter("node2 is not null").select(F.concat_ws(":", F.col("qname").cast("string"), F.col("node1").cast("string"), F.col("mapq").cast("string"), F.col("pstart").cast("string"), F.col("pend").cast("string")).alias("path"), "pstart", F.lit(0).cast("long").alias("qstart"), "node1", "len1", "node2", "len2", "pend").dropDuplicates(["path"])
     span = F.col("pend") - F.col("pstart")
     aln = a.select("path", "pstart", "qstart", F.concat(F.lit("2S"), F.greatest(span - 1, F.lit(1)).cast("string"), F.lit("M3I"), F.when(span > 1, "1D").otherwise("")).alias("cigar"))
@@ -383,6 +434,22 @@ def cigar_split(s: Scene) -> DataFrame:
     return paths.split_cigars(aln, a.select("path", F.explode(pieces).alias("p")).select("path", "p.*")).select("path", "idx", "node", "cigar", "qpos")
 
 
+@query
+def cigar_split(s: Scene) -> DataFrame:
+    return _cigars(s)
+
+
+@query
+def cigar_slice(s: Scene) -> DataFrame:
+    """Of the two nodes of each alignment, the second's part of the CIGAR."""
+    return paths.cigar_between(_cigars(s), 1, 2)
+
+
+@query
+def run_cigars(s: Scene) -> DataFrame:
+    return paths.run_cigars(_cigars(s), s.shown())
+
+
 @query
 def path_fragments(s: Scene) -> DataFrame:
     return paths.chunk_fragments(s.step(), PATH, graph.chunked(s.node(), 50)).select("asm", "chr", "chunk", "idx", "node", "ori")
@@ -411,8 +478,233 @@ def view_simple(s: Scene) -> DataFrame:
 def path_to_reference(s: Scene) -> DataFrame:
     """Where stretches of variant nodes lie: the variant nodes among every three steps of a walk count as a path."""
     only = s.step().join(s.node().filter("rank = 1").select("node"), "node", "left_semi")
-    return paths.to_reference(only.withColumn("piece", F.expr("idx div 3")), ["asm", "chr", "piece"], s.node(), s.edges(), 20)
+    return paths.to_reference(only.withColumn("piece", F.expr("idx div 3")), ["asm", "chr", "piece"], s.node(), s.edges())
+
+
+@query
+def import_nodes(s: Scene) -> DataFrame:
+    return s.imported()["node"]
+
+
+@query
+def import_edges(s: Scene) -> DataFrame:
+    return s.imported()["edge"]
+
+
+@query
+def import_steps(s: Scene) -> DataFrame:
+    return s.imported()["step"].select("asm", "chr", "idx", "node", "ori")
+
+
+@query
+def default_view(s: Scene) -> DataFrame:
+    return graph.default_window(s.node())
+
+
+@query
+def edges_off_reference(s: Scene) -> DataFrame:
+    return normalize.edges_off_reference(s.edge(), s.step().filter("asm = 0"), PATH)
+
+
+@query
+def gfa_jumps(s: Scene) -> DataFrame:
+    return s.jumps().select("n1", "sign1", "n2", "sign2", "distance")
+
+
+@query
+def jumps_off_reference(s: Scene) -> DataFrame:
+    return normalize.jumps_off_reference(s.jumps(), s.step().filter("asm = 0"), PATH).select("n1", "sign1", "n2", "sign2", "distance")
+
+
+@query
+def jump_nodes(s: Scene) -> DataFrame:
+    return normalize.jump_nodes(s.jumps(), s.node())[0]
+
+
+@query
+def jump_edges(s: Scene) -> DataFrame:
+    return normalize.jump_nodes(s.jumps(), s.node())[1]
+
+
+@query
+def shadow_edges(s: Scene) -> DataFrame:
+    own = s.visit().filter("asm = 1")
+    return normalize.shadow_edges(own, normalize.shadows(own, s.node()))
+
+
+@query
+def reference_flips(s: Scene) -> DataFrame:
+    return normalize.flips(s.visit().filter("asm = 1"))
+
+
+@query
+def flipped_steps(s: Scene) -> DataFrame:
+    return normalize.flipped_steps(s.step(), s.flip()).select("asm", "chr", "idx", "node", "ori")
+
+
+@query
+def sequence_store(s: Scene) -> DataFrame:
+    shadow = normalize.shadows(s.visit().filter("asm = 1"), s.node())
+    return lookup.sequence_store(s.seq(), s.flip(), shadow, normalize.jump_nodes(s.jumps(), s.node())[0])
+
+
+@query
+def fasta_headers(s: Scene) -> DataFrame:
+    return fasta.renamed(fasta.text(s.seq()), "asm1").select("value")
+
+
+@query
+def fasta_sequences(s: Scene) -> DataFrame:
+    return fasta.sequences(fasta.text(s.seq()))
+
+
+@query
+def gaf_paths(s: Scene) -> DataFrame:
+    """Alignments by the place where they start; of several at one place the last in the file."""
+    rows = gaf.records(gaf.text(s.alignment())).withColumn("qstart", F.col("pstart"))
+    line = F.col("mapq") * 1000000 + F.col("plen") * 1000 + F.col("pend")
+    return gaf.sorted_paths(rows.withColumn("line_no", line)).select("qname", "qstart", "place", "mapq", "plen", "pend")
+
+
+@query
+def gaf_confident(s: Scene) -> DataFrame:
+    return gaf.records(gaf.text(s.alignment()), 40).select("qname", "path", "mapq")
+
+
+@query
+def gfa_file(s: Scene) -> DataFrame:
+    """Segments written to a compressed text file and read again."""
+    path = f"{shared_dir(s.spark)}/gfa-{uuid.uuid4().hex}"
+    sinks.write_lines(gfa.rgfa_text(s.node().join(s.seq(), "node")), path, "gzip")
+    return gfa.segments(lines.read(s.spark, path)).select("node", "len", "seq")
+
+
+@query
+def window_of_index(s: Scene) -> DataFrame:
+    """Edges of the chunks that a window of 200 bases meets, read from a written index."""
+    path = f"{shared_dir(s.spark)}/index-{uuid.uuid4().hex}"
+    view.write_index(s.edges(), s.node(), path, 50, 5)
+    return view.read_window(s.spark, path, CHROM, START, 200)[1]
+
+
+@query
+def nodes_on_chromosomes(s: Scene) -> DataFrame:
+    names = s.node().select("chr").distinct().filter("chr like 'Brand#1%'")
+    return graph.on_chromosomes(s.node(), names).select("node", "chr")
+
+
+@query
+def chromosomes_translated(s: Scene) -> DataFrame:
+    names = s.node().select("chr").distinct()
+    table = names.filter("chr like 'Brand#2%'").select(F.col("chr").alias("source"), F.replace("chr", F.lit("Brand#"), F.lit("chr")).alias("target"))
+    return lines.translated(names, table)
+
+
+@query
+def assemblies_known(s: Scene) -> DataFrame:
+    """Of the names of all regions and nations, those that are assemblies."""
+    wanted = s.table("region").select(F.col("r_name").alias("name")).unionByName(s.table("nation").select(F.col("n_name").alias("name")))
+    return paths.known(wanted, s.assembly())
+
+
+@query
+def coverage_map(s: Scene) -> DataFrame:
+    maps = coverage.as_maps(coverage.copy_number(s.visit()))
+    pairs = F.array_sort(F.transform(F.map_entries("cov"), lambda x: F.struct(x["key"], x["value"])))
+    return maps.select("node", F.array_join(F.transform(pairs, lambda x: F.concat_ws(":", x["key"].cast("string"), x["value"].cast("string"))), ",").alias("cov"))
+
+
+@query
+def overlap_lengths(s: Scene) -> DataFrame:
+    a = s.alignment().select("qname", "pstart", "pend", F.concat((F.col("pend") - F.col("pstart")).cast("string"), F.lit("M3I2D5S1X"), F.col("mapq").cast("string"), F.lit("=7N")).alias("cigar"))
+    return a.select("qname", "pstart", "pend", sc.overlap_length("cigar").alias("overlap"))
+
+
+@query
+def feature_classes(s: Scene) -> DataFrame:
+    kind = F.element_at(F.array(F.lit("E"), F.lit("C"), F.lit("G"), F.lit("U")), (F.col("fid") % 4 + 1).cast("int"))
+    return s.feature().select("fid", sc.feature_class(kind).alias("class"))
+
+
+@query
+def gene_models(s: Scene) -> DataFrame:
+    return s.models().select("gene", "parent", "type", "start_pos", "end_pos", "id")
+
+
+@query
+def gene_model_counts(s: Scene) -> DataFrame:
+    return intervals.model_counts(s.models())
+
+
+@query
+def first_isoforms(s: Scene) -> DataFrame:
+    return intervals.first_isoforms(s.models(), 1).select("gene", "parent", "id")
+
+
+@query
+def exon_flags(s: Scene) -> DataFrame:
+    """Of transcripts with exons in the window, whether the first one shown is the first of all."""
+    exon = intervals.ordinals(s.models().filter("type = 'exon'").withColumn("fid", F.col("line_no")), ["parent"]).select("fid", "num")
+    seen = s.models().filter("type = 'exon' and start_pos >= 300").withColumn("fid", F.col("line_no")).join(exon, "fid")
+    return intervals.truncated(seen.select(F.col("parent").alias("transcript"), "num", "start_pos"))
+
+
+@query
+def genes_at_node(s: Scene) -> DataFrame:
+    return lookup.genes_at(intervals.gene_nodes(s.feature(), s.node()), 6)
+
+
+@query
+def assembly_gene_nodes(s: Scene) -> DataFrame:
+    return intervals.gene_nodes_everywhere(s.placed_genes(), s.places())
+
+
+@query
+def assembly_genes(s: Scene) -> DataFrame:
+    return intervals.genes_kept(s.placed_genes(), s.places(), 0)
+
+
+@query
+def axis_ticks(s: Scene) -> DataFrame:
+    w = s.window()
+    x = layout.scale_of(w)
+    return layout.ticks(layout.reference_x(w, x), w, x)
+
+
+@query
+def highlight_links(s: Scene) -> DataFrame:
+    w = s.window()
+    ids = layout.point_ids(w, s.variants(), layout.scale_of(w).cut)
+    return layout.highlight_ids(ids, paths.highlighted(s.step().filter("asm = 3"), PATH, s.shown(), s.sub()))
+
+
+@query
+def view_rows(s: Scene) -> DataFrame:
+    """The whole view as rows (part, a, b, c): what view_json puts in one document; pixels in ten-thousandths."""
+    w, sub = s.window(), durable(s.sub(), "view-edges")
+    x = layout.scale_of(w)
+    at = layout.reference_x(w, x)
+    ids = layout.point_ids(w, s.variants(), x.cut)
+    px = lambda c: F.round(F.round(c, 4) * 10000).cast("long")
+    none = F.lit(None).cast("long")
+    seen = intervals.visible(s.ends(), w)
+    lit = paths.highlighted(s.step().filter("asm = 3"), PATH, s.shown(), sub)
+    cov = coverage.copy_number(s.visit()).join(s.shown(), "node", "left_semi")
+    parts = {
+        "reference": at.select("node", px("x1"), px("x2")),
+        "variant": s.found().select("node", "depth", none),
+        "edge": sub.select("n1", "n2", "mark"),
+        "draw": layout.drawn_edges(ids, sub).select("source", "target", "type"),
+        "highlight": lit.select("n1", "n2", "dir"),
+        "feature": layout.feature_pixels(seen, s.feature(), at, x).select("fid", px("x1"), px("x2")),
+        "coverage": cov.select("node", "asm", "cov"),
+        "tick": layout.ticks(at, w, x).select(px("x"), "pos", none),
+        "run": paths.runs(s.step().filter(F.col("chr") == CHROM), PATH, s.shown()).select("asm", "q_start", "q_last"),
+    }
+    rows = [df.select(F.lit(name).alias("part"), *(F.col(c).cast("long").alias(n) for c, n in zip(df.columns, "abc", strict=True))) for name, df in ((k, v.toDF("a", "b", "c")) for k, v in parts.items())]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def queries() -> dict:
+    """Every graph query. A call writes the tables that it shares between its steps to the shared folder while the query is built, and the rest of its work is lazy."""
     return {name: (lambda spark, sf_dir, f=f: f(Scene(spark, sf_dir))) for name, f in NAMED.items()}

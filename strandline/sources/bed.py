@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import carried
+from .lines import ranges
+
 
 def tracks(lines: DataFrame) -> DataFrame:
     """lines with is_track, track_id (1 for the first track line of a file), in the order of line_no within file."""
     is_track = F.col("value").rlike(r"^track\b")
-    w = W.partitionBy(*[c for c in ("file",) if c in lines.columns]).orderBy("line_no")
-    return lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("is_track", is_track).withColumn("track_id", F.sum(is_track.cast("int")).over(w))
+    kept = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("is_track", is_track).withColumn("_n", is_track.cast("int"))
+    return carried(ranges(kept), [c for c in ("file",) if c in lines.columns], ["line_no"], {"track_id": ("sum", "_n")}).drop("_range", "_n")
 
 
 def track_names(lines: DataFrame) -> DataFrame:
@@ -33,14 +36,10 @@ def features(lines: DataFrame) -> DataFrame:
     return r.select("track_id", F.size("f").alias("ncol"), chrom.cast("string").alias("chr"), (start + 1).alias("start_pos"), end.alias("end_pos"), at(3).alias("name"), F.expr("try_cast(get(f, 4) as double)").alias("score"), at(5).alias("strand"))
 
 
-def records(lines: DataFrame) -> DataFrame:
-    """Like features(), of lines that carry their track in a column track."""
-    r = lines.withColumn("f", F.split("value", r"\t"))
-    at = lambda i: F.get("f", F.lit(i))
-    return r.select("track", at(0).alias("chr"), (at(1).cast("long") + 1).alias("start_pos"), at(2).cast("long").alias("end_pos"), at(3).alias("name"), F.expr("try_cast(get(f, 4) as bigint)").alias("score"), at(5).alias("strand"))
-
-
 def text(feature: DataFrame) -> DataFrame:
-    """Record lines of the projection's features, with their track."""
+    """line_no, value: the projection's features as one file, a track line before the records of each track."""
     cols = [F.col("chr"), F.col("start_pos") - 1, F.greatest("end_pos", "start_pos"), F.concat(F.lit("f"), F.col("fid").cast("string")), F.col("fid") % 1000, F.col("strand")]
-    return feature.select("track", F.concat_ws("\t", *[c.cast("string") for c in cols]).alias("value"))
+    first = feature.groupBy("track").agg(F.lit(None).alias("x")).select("track", (F.row_number().over(W.orderBy("track")) * (1 << 33)).alias("line_no"))  # one row a track
+    heads = first.select("line_no", F.concat(F.lit('track name="'), "track", F.lit('" description="events"')).alias("value"))
+    rows = feature.join(first, "track").select((F.col("line_no") + 1 + F.col("fid")).alias("line_no"), F.concat_ws("\t", *[c.cast("string") for c in cols]).alias("value"))
+    return heads.unionByName(rows)

@@ -77,3 +77,11 @@ def link_text(edge: DataFrame) -> DataFrame:
     """Link lines of edges."""
     sign = lambda *plus: F.when(F.col("mark").isin(*plus), "+").otherwise("-")
     return edge.select(F.concat_ws("\t", F.lit("L"), F.concat(F.lit("s"), F.col("n1").cast("string")), sign(2, 3), F.concat(F.lit("s"), F.col("n2").cast("string")), sign(2, 4), F.lit("0M")).alias("value"))
+
+
+def jump_text(edge: DataFrame) -> DataFrame:
+    """Jump lines along some of the edges (n1 + n2 a multiple of 7), every third without a distance."""
+    sign = lambda *plus: F.when(F.col("mark").isin(*plus), "+").otherwise("-")
+    distance = F.when(F.col("n1") % 3 == 0, "*").otherwise((F.col("n2") % 300 + 1).cast("string"))
+    rows = edge.filter((F.col("n1") + F.col("n2")) % 7 == 0)
+    return rows.select(F.concat_ws("\t", F.lit("J"), F.concat(F.lit("s"), F.col("n1").cast("string")), sign(2, 3), F.concat(F.lit("s"), F.col("n2").cast("string")), sign(2, 4), distance).alias("value"))

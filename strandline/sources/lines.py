@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import carried
+
 
 def read(spark: SparkSession, *paths: str) -> DataFrame:
     """value, file, line_no (order within the file): plain or gzipped text."""
     return spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"))
 
 
+def ranges(lines: DataFrame) -> DataFrame:
+    """lines with ``_range``, the part of the file they were read in: line_no grows from range to range."""
+    return lines.withColumn("_range", F.shiftright("line_no", 33).cast("int"))
+
+
 def fields(lines: DataFrame, record: str | None = None) -> DataFrame:
     """lines with f, the tab-separated fields; of one record type if named; comments and blank lines go."""
     kept = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
@@ -19,9 +26,10 @@ def fields(lines: DataFrame, record: str | None = None) -> DataFrame:
 
 
 def dimension(spark: SparkSession, path: str, *names: str) -> DataFrame:
-    """A list file: whitespace-separated columns with an ordinal from 0 (the place of the line)."""
+    """A list file: whitespace-separated columns with an ordinal from 0 (the place among the lines that are neither comments nor blank)."""
     rows = read(spark, path).filter(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("f", F.split(F.trim("value"), r"\s+"))
-    return rows.select(*[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)], F.col("line_no").alias("ordinal"))
+    rows = carried(ranges(rows), [], ["line_no"], {"ordinal": ("count", "")})
+    return rows.select(*[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)], (F.col("ordinal") - 1).alias("ordinal"))
 
 
 def translated(names: DataFrame, table: DataFrame, col: str = "chr") -> DataFrame:

@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,3 +37,45 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(df._strandline_path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def running(df: DataFrame, by: list[str], order: list[str], what: dict[str, tuple[str, str]]) -> DataFrame:
+    """df with running values over its rows in order, within groups ``by`` of any size.
+
+    ``what`` names each new column and gives it (kind, column): "sum" up to the row, "max" of the
+    rows before it, "last" value that is not null up to the row, or "count" of rows up to it.
+    Rows are sorted in ranges and written; what a range carries over to the next is a row for each
+    range and group, and only these go through one window.  No task gets a whole group.
+    """
+    part = durable(df.orderBy(*by, *order).withColumn("_at", F.monotonically_increasing_id()), "running")
+    part = part.withColumn("_range", F.shiftright("_at", 33).cast("int"))
+    return carried(part, by, ["_at"], what).drop("_at", "_range")
+
+
+def carried(part: DataFrame, by: list[str], order: list[str], what: dict[str, tuple[str, str]]) -> DataFrame:
+    """running() for rows that are already in ranges: ``_range`` ascends with the order."""
+    whole, own = W.partitionBy(*by).orderBy("_range"), W.partitionBy(*by, "_range").orderBy(*order)
+    upto, before = (W.unboundedPreceding, 0), (W.unboundedPreceding, -1)
+    last = lambda c: F.last(c, ignorenulls=True)
+    ends, carry, rows = [], [], {}
+    for name, (kind, col) in what.items():
+        c = F.lit(1) if kind == "count" else F.col(col)
+        if kind == "last":
+            ends.append(F.max_by(c, F.when(c.isNotNull(), F.col(order[0]))).alias(name))
+            carry.append(last(name).over(whole.rowsBetween(*before)).alias(f"_{name}"))
+            rows[name] = F.coalesce(last(c).over(own.rowsBetween(*upto)), F.col(f"_{name}"))
+        elif kind == "max":
+            ends.append(F.max(c).alias(name))
+            carry.append(F.max(name).over(whole.rowsBetween(*before)).alias(f"_{name}"))
+            rows[name] = F.greatest(F.max(c).over(own.rowsBetween(*before)), F.col(f"_{name}"))
+        else:
+            ends.append(F.sum(c).alias(name))
+            carry.append(F.sum(name).over(whole.rowsBetween(*before)).alias(f"_{name}"))
+            rows[name] = (F.sum(c).over(own.rowsBetween(*upto)) + F.coalesce(F.col(f"_{name}"), F.lit(0))).cast("long")
+    over = part.groupBy(*by, "_range").agg(*ends).select(*by, "_range", *carry)
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*by, "_range")]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    joined = part.alias("p").join(over.alias("o"), on).select("p.*", *(f"o._{name}" for name in what))
+    return joined.withColumns(rows).drop(*(f"_{name}" for name in what))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from strandline import tables
 from strandline.functions import scalars as sc
 from strandline.operators import coverage, graph, intervals, layout, lookup, normalize, paths, simplify, view
 from strandline.sources import bed, fasta, gaf, gfa, gff, lines
@@ -123,7 +124,8 @@ def test_layout(spark, bubble):
     drawn = layout.drawn_edges(layout.point_ids(w, variant, s.cut), graph.subgraph_edges(edge, w, found, 10))
     kinds = [r["type"] for r in drawn.collect()]
     assert (kinds.count(0), kinds.count(1), kinds.count(2)) == (6, 2, 2)
-    assert layout.ticks(w, s)[0] == (50.0, 1)
+    assert (50.0, 1) in rows(layout.ticks(layout.reference_x(w, s), w, s), "x", "pos")
+    assert layout.ticks(layout.reference_x(w, s), w, layout.Scale(0, 0, None, 1, 0.0)).collect() == []
 
 
 def test_small_bubbles(spark, bubble):
@@ -285,8 +287,8 @@ def test_files(spark, tmp_path):
     for name in ("a.gfa", "b.gfa.gz"):
         assert gfa.segments(lines.read(spark, str(tmp_path / name))).count() == 4
     (tmp_path / "list").write_text("# c\nasm1 f1\nasm2 f2\n")
-    got = rows(lines.dimension(spark, str(tmp_path / "list"), "asm", "file"), "asm", "file")
-    assert got == [("asm1", "f1"), ("asm2", "f2")]
+    got = rows(lines.dimension(spark, str(tmp_path / "list"), "asm", "file"), "asm", "file", "ordinal")
+    assert got == [("asm1", "f1", 0), ("asm2", "f2", 1)]
     (tmp_path / "x.fa").write_text(">s1 more\nAC\nGT\n>s2\nA\n")
     t = lines.read(spark, str(tmp_path / "x.fa"))
     assert rows(fasta.sequences(fasta.renamed(t, "S#1")), "name", "seq") == [("S#1#s1", "ACGT"), ("S#1#s2", "A")]
@@ -339,3 +341,59 @@ def test_highlight_in_drawing_ids(spark, bubble):
 
 def test_chromosome_subset(spark, bubble):
     assert graph.on_chromosomes(bubble[0], spark.createDataFrame([("chr2",)], "chr string")).count() == 0
+
+
+def test_running_values_over_ranges(spark):
+    """Sums, maxima before, last values and counts agree with one pass, however many ranges there are."""
+    import random
+    rng = random.Random(3)
+    data = [(g, i, rng.randrange(50), f"h{i}" if rng.random() < 0.1 else None) for g in ("a", "b", None) for i in range(200)]
+    df = spark.createDataFrame(data, "g string, i long, v long, h string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = tables.running(df, ["g"], ["i"], {"s": ("sum", "v"), "m": ("max", "v"), "l": ("last", "h"), "n": ("count", "")}).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    want = {}
+    for g in ("a", "b", None):
+        total, most, last = 0, None, None
+        for k, (_, i, v, h) in enumerate(x for x in data if x[0] == g):
+            total, last = total + v, h or last
+            want[g, i] = (total, most, last, k + 1)
+            most = v if most is None else max(most, v)
+    assert {(r["g"], r["i"]): (r["s"], r["m"], r["l"], r["n"]) for r in got} == want
+
+
+def test_long_and_short_intervals_meet(spark):
+    """Pairs of intervals of any lengths are found once each, and a long one is in few bins."""
+    import random
+    rng = random.Random(5)
+    make = lambda n: [(i, "c", a, a + rng.choice([0, 5, 300, 5000, 100_000, 3_000_000, 400_000_000])) for i in range(n) for a in [rng.randrange(1, 5_000_000)]]
+    a, b = make(60), make(60)
+    left = spark.createDataFrame(a, "fid long, chr string, start_pos long, end_pos long")
+    right = spark.createDataFrame(b, "k long, chr string, n_start long, n_end long")
+    got = sorted((r["fid"], r["k"]) for r in intervals.overlapping(left, right, ["k"]).collect())
+    assert got == sorted((x[0], y[0]) for x in a for y in b if x[2] <= y[3] and x[3] >= y[2])
+    assert intervals.leveled(left, "start_pos", "end_pos", "own").count() <= 2 * len(intervals.WIDTHS) * len(a)
+
+
+def test_runs_and_slices_of_cigars(spark):
+    aln = spark.createDataFrame([("p", 2, 0, "5M2I4M3D1M4S")], "path string, pstart long, qstart long, cigar string")
+    step = spark.createDataFrame([("p", i, n, 5) for i, n in enumerate([11, 12, 13])], "path string, idx long, node long, len long")
+    piece = paths.split_cigars(aln, step)
+    assert rows(piece, "idx", "cigar", "qpos") == [(0, "3M", 0), (1, "2M2I3M", 3), (2, "1M3D1M4S", 10)]
+    assert rows(paths.cigar_between(piece, 1, 3), "cigar") == [("2M2I3M1M3D1M4S",)]
+    shown = spark.createDataFrame([(11,), (13,)], "node long")
+    assert rows(paths.run_cigars(piece, shown), "run", "q_start", "cigar") == [(1, 0, "3M"), (2, 10, "1M3D1M4S")]
+
+
+def test_import_normalises(spark):
+    """A reference that turns a node round, visits one twice and jumps: flips, shadows and jumps in one call."""
+    t = text(spark, "S\t1\tACGT\nS\t2\tGG\nS\t3\tTTT\nS\t4\tA\nL\t1\t+\t2\t-\t0M\nL\t1\t+\t3\t+\t0M\nJ\t2\t-\t4\t+\t*\nW\tref\t0\tc\t0\t*\t>1<2>1\nW\talt\t0\tc\t0\t*\t>1>3")
+    named = gfa.walks(t)
+    step = paths.exploded(named.withColumn("path_id", F.col("name")), ["sample", "path_id", "chr", "walk_start"], "walk").withColumnRenamed("sample", "asm")
+    got = normalize.imported(gfa.segments(t), gfa.links(t), step, "ref", gfa.jumps(t))
+    assert sorted(map(str, got["node"].select("node", "asm", "start_pos", "end_pos", "rank").collect())) == sorted(map(str, spark.createDataFrame(
+        [(1, "ref", 1, 4, 0), (2, "ref", 5, 6, 0), (3, "alt", 5, 7, 1), (4, None, None, None, 1), (6, None, None, None, 1)], "node long, asm string, start_pos long, end_pos long, rank int").collect()))
+    assert rows(got["shadow"], "idx", "node", "new_id") == [(2, 1, 5)]
+    assert rows(got["edge"], "n1", "n2", "sign1", "sign2") == [(1, 2, "+", "+"), (1, 3, "+", "+"), (2, 5, "+", "+"), (2, 6, "+", "+"), (6, 4, "+", "+")]
