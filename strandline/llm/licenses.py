@@ -1,9 +1,11 @@
 """License scans: template markup compiled to token automata.
 
-A template is wording with ``[[...]]`` around what may be left out and ``{{n}}`` where up to n
-words may be replaced.  It compiles to a small automaton over words; a text is accepted where the
-automaton runs through, that is, where all mandatory words stand exactly.  Every text is read
-whole; the automaton starts only where the template's opening words stand.
+A template is wording in words, with four kinds of markup: ``[[...]]`` may be left out,
+``((a|b|...))`` stands for one of its parts, ``{{n}}`` for up to n words of any kind and
+``{{n~pattern}}`` for one to n words that match the pattern.  All nest but the last two.  It
+compiles to an automaton over words; a text is accepted where the automaton runs through, that
+is, where all mandatory words stand exactly.  Every text is read whole; an automaton starts
+wherever one of the words stands with which its template may begin.
 """
 
 from __future__ import annotations
@@ -25,90 +27,153 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Wording of public license notices, by label.
+#: Wording of public licenses and their notices, by label.  The ``-notice`` forms of one line are common short references.
 TEMPLATES = {
     "mit-notice": "released under the [[terms of the]] mit license",
     "apache-2.0-notice": "licensed under the apache license version 2 0",
     "gpl-notice": "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation [[either]]]] version {{1}} [[or at your option any later version]]",
-    "cc-by-nc-4.0": "licensed under [[a]] [[creative commons {{3}}]] cc by nc 4 0",
-    "cc-by-4.0": "licensed under [[a]] [[creative commons {{3}}]] cc by 4 0",
-    "mit": (
+    "cc-by-nc-4.0": "((licensed under [[((a|the))]]|under a)) ((cc by nc 4 0|creative commons attribution non commercial 4 0 [[international]] [[public]] license|creative commons attribution noncommercial 4 0 [[international]] [[public]] license|creative commons {{3}} cc by nc 4 0))",
+    "cc-by-sa-4.0": "((licensed under [[((a|the))]]|under a)) ((cc by sa 4 0|creative commons attribution ((sharealike|share alike)) 4 0 [[international]] [[public]] license|creative commons {{3}} cc by sa 4 0))",
+    "cc-by-4.0": "((licensed under [[((a|the))]]|under a)) ((cc by 4 0|creative commons attribution 4 0 [[international]] [[public]] license|creative commons {{3}} cc by 4 0))",
+    "cc0-1.0": "((cc0 1 0 universal|dedicated to the public domain under the creative commons zero|to the extent possible under law {{12}} ((has|have)) waived all copyright and related or neighboring rights))",
+    "mit-text": (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
         "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
-        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
-        "the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software"
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "((subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software"
+        "|the software is provided as is without warranty of any kind))"
     ),
-    "isc": "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc": "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted [[provided that the above copyright notice and this permission notice appear in all copies]]",
     "bsd": (
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
-        "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
-        "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
-        "[[[[3]] neither the name of {{12}} nor the names of [[its]] {{4}} contributors may be used to endorse or promote products derived from this software without specific prior written permission]]"
+        "[[((1|a))]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "[[((2|b))]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+    ),
+    "bsd-3-clause": (
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "[[((3|c))]] neither the name of {{12}} nor the names of [[((its|the))]] {{4}} contributors may be used to endorse or promote products derived from this software without specific prior written permission"
     ),
     "apache-2.0": (
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
         "{{12}} unless required by applicable law or agreed to in writing"
     ),
+    "gpl-header": (
+        "free software [[you can]] redistribute it and or modify it under the terms of the gnu general public license "
+        "((as published by the free software foundation ((either version {{1~[23]}}|version {{1~[23]}})) [[of the license]] [[or at your option any later version]]|version {{1~[23]}} [[only]] as published by the free software foundation))"
+    ),
+    "lgpl-header": (
+        "free software [[you can]] redistribute it and or modify it under the terms of the gnu ((lesser|library)) general public license "
+        "as published by the free software foundation [[either]] version {{1~[23]}} [[{{1~[01]}}]] [[of the license]] [[or at your option any later version]]"
+    ),
+    "agpl-header": (
+        "free software [[you can]] redistribute it and or modify it under the terms of the gnu affero general public license "
+        "as published by the free software foundation [[either]] version 3 [[of the license]] [[or at your option any later version]]"
+    ),
+    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at [[((http|https))]] [[www]] mozilla org mpl 2 0",
+    "epl-2.0": "((this program and the accompanying materials|all rights reserved this program and the accompanying materials)) are made available under the terms of the eclipse public license [[v]] 2 0",
+    "bsl-1.0": "((distributed under the boost software license version 1 0|permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license))",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "wtfpl": "do what the fuck you want to public license",
+    "spdx-mit": "spdx license identifier mit",
+    "spdx-apache-2.0": "spdx license identifier apache 2 0",
+    "spdx-gpl": "spdx license identifier gpl {{1~[23]}} 0 [[((only|or later))]]",
+    "spdx-lgpl": "spdx license identifier lgpl {{1~[23]}} {{1~[01]}} [[((only|or later))]]",
+    "spdx-agpl": "spdx license identifier agpl 3 0 [[((only|or later))]]",
+    "spdx-bsd": "spdx license identifier ((0bsd|bsd {{1~[234]}} clause))",
+    "spdx-mpl-2.0": "spdx license identifier mpl 2 0",
+    "spdx-other": "spdx license identifier ((isc|zlib|unlicense|cc0 1 0|epl 2 0|bsl 1 0|cc by [[((nc|sa|nd))]] {{1~[34]}} 0))",
 }
 
-SKIP, WORD, ANY, END = "skip", "word", "any", "end"
+SPLIT, WORD, LIKE, ANY, END = "split", "word", "like", "any", "end"
+_MARKUP = re.compile(r"\[\[|\]\]|\(\(|\)\)|\||\{\{\d+(?:~[^{}]+)?\}\}|[^\s\[\]{}()|]+")
 
 
 def compile_template(markup: str) -> list[tuple]:
-    """The automaton: (word, w) reads w, (any,) reads one word, (skip, to) may go on at ``to``, (end,)."""
-    program, opened = [], []
-    for part in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", markup):
-        if part == "[[":
-            opened.append(len(program))
+    """The automaton: (word, w) reads w, (like, pattern) a word that matches, (any,) any word, (split, places) goes on at any of the places, (end,)."""
+    program: list = []
+    opened: list[tuple[str, int, list[int], list[int]]] = []  # kind, where the split stands, starts of alternatives, jumps to the end
+    for part in _MARKUP.findall(markup):
+        if part in ("[[", "(("):
+            opened.append((part, len(program), [len(program) + 1], []))
             program.append(None)
-        elif part == "]]":
-            program[opened.pop()] = (SKIP, len(program))
+        elif part == "|":
+            if not opened or opened[-1][0] != "((":
+                raise ValueError("a bar stands outside of alternatives")
+            opened[-1][3].append(len(program))
+            program.append(None)
+            opened[-1][2].append(len(program))
+        elif part in ("]]", "))"):
+            if not opened or (part == "]]") != (opened[-1][0] == "[["):
+                raise ValueError("a region is closed that is not open")
+            _, at, starts, jumps = opened.pop()
+            if part == "]]":
+                starts.append(len(program))
+            program[at] = (SPLIT, tuple(starts))
+            for jump in jumps:
+                program[jump] = (SPLIT, (len(program),))
         elif part.startswith("{{"):
-            n, at = int(part[2:-2]), len(program)
-            for _ in range(n):
-                program += [(SKIP, at + 2 * n), (ANY,)]
+            n, _, pattern = part[2:-2].partition("~")
+            n, op = int(n), (LIKE, re.compile(pattern.encode())) if pattern else (ANY,)
+            end = len(program) + 2 * n - bool(pattern)
+            for k in range(n):
+                if k or not pattern:  # of words with a pattern one must stand
+                    program.append((SPLIT, (len(program) + 1, end)))
+                program.append(op)
         else:
             program.append((WORD, part.lower().encode()))
     if opened:
-        raise ValueError("an optional region is not closed")
+        raise ValueError("a region is not closed")
     return [*program, (END,)]
 
 
-def opening(program: list[tuple]) -> list[bytes]:
-    """The words with which every accepted text begins."""
-    words = []
-    for op in program:
-        if op[0] != WORD:
-            break
-        words.append(op[1])
-    return words
+def _reach(program: list[tuple], states: dict[int, int]) -> dict[int, int]:
+    """The states from which a word is read or the end is reached, with the most words read on a way there."""
+    todo, out = list(states.items()), {}
+    while todo:
+        at, read = todo.pop()
+        if out.get(at, -1) >= read:
+            continue
+        out[at] = read
+        if program[at][0] == SPLIT:
+            todo += [(to, read) for to in program[at][1]]
+    return out
+
+
+def openings(program: list[tuple]) -> set[bytes]:
+    """The words with which an accepted text may begin; an error where it may begin with any."""
+    ops = [program[at] for at in _reach(program, {0: 0})]
+    if any(op[0] in (ANY, LIKE, END) for op in ops):
+        raise ValueError("a template must begin with a word")
+    return {op[1] for op in ops if op[0] == WORD}
+
+
+def mandatory(markup: str) -> int:
+    """The fewest words of its own that an accepted text has."""
+    program = compile_template(markup)
+    best = {0: 0}
+    for at in range(len(program)):  # all ways lead onwards
+        if at in best:
+            op, n = program[at], best[at]
+            for to in op[1] if op[0] == SPLIT else (at + 1,):
+                best[to] = min(best.get(to, 1 << 30), n + (op[0] == WORD))
+    return best[len(program) - 1]
 
 
 def run(program: list[tuple], words: list[bytes], start: int) -> tuple[bool, int]:
     """Whether the automaton runs through from start, and how many of its words it read at most on one way."""
-    def reach(states: dict[int, int]) -> dict[int, int]:
-        todo, out = list(states.items()), {}
-        while todo:
-            at, read = todo.pop()
-            if out.get(at, -1) >= read:
-                continue
-            out[at] = read
-            if program[at][0] == SKIP:
-                todo += [(at + 1, read), (program[at][1], read)]
-        return out
-
-    states, most = reach({0: 0}), 0
+    states, most = _reach(program, {0: 0}), 0
     for i in range(start, len(words) + 1):
         if any(program[at][0] == END for at in states):
             return True, max(most, *states.values())
         ahead: dict[int, int] = {}
         for at, read in states.items() if i < len(words) else ():
             op = program[at]
-            if op[0] == ANY or op[0] == WORD and op[1] == words[i]:
+            if op[0] == ANY or op[0] == WORD and op[1] == words[i] or op[0] == LIKE and op[1].fullmatch(words[i]):
                 now = read + (op[0] == WORD)
                 ahead[at + 1] = max(ahead.get(at + 1, 0), now)
                 most = max(most, now)
-        states = reach(ahead)
+        states = _reach(program, ahead)
         if not states:
             break
     return False, most
@@ -125,7 +190,18 @@ def places(joined: bytes, phrase: bytes) -> list[int]:
     return found
 
 
-def _scan_text(text: str | None, compiled: list[tuple]) -> tuple:
+def compiled(templates: dict[str, str]) -> dict[bytes, list[tuple[str, list[tuple], int]]]:
+    """Opening word -> label, automaton and mandatory words of the templates that may begin with it."""
+    out: dict[bytes, list[tuple[str, list[tuple], int]]] = {}
+    for label, markup in templates.items():
+        program = compile_template(markup)
+        for word in openings(program):
+            out.setdefault(word, []).append((label, program, mandatory(markup)))
+    return out
+
+
+def scan_text(text: str | None, automata: dict[bytes, list[tuple[str, list[tuple], int]]]) -> tuple:
+    """One text's columns of scan()."""
     words = word_list(text)
     joined = b" " + b" ".join(words) + b" "
     starts, base, more, score = [], set(), set(), 0.0
@@ -133,10 +209,10 @@ def _scan_text(text: str | None, compiled: list[tuple]) -> tuple:
         if got := places(joined, b" " + phrase.encode() + b" "):
             starts += got
             base.add(label)
-    for label, program, head, need in compiled:
-        for at in places(joined, b" " + b" ".join(head) + b" "):
+    for at, word in enumerate(words):
+        for label, program, need in automata.get(word, ()):
             done, read = run(program, words, at)
-            score = max(score, 1.0 if done else min(read / need, 0.99))
+            score = max(score, 1.0 if done else min(read / need, 0.99) if read > 1 else 0.0)
             if done:
                 more.add(label)
     score = max(score, 0.5) if base else score
@@ -150,32 +226,20 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     """Row key, doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row.
 
     Score: 1 where a template is accepted; else the largest share of a template's mandatory
-    words read in order from its opening, and at least 0.5 where a base phrase stands; else 0.
-    Null and empty texts have no words and no labels; equal rows get equal results; an empty
-    table gives no rows.
+    words read in order from its opening (two at least), and at least 0.5 where a base phrase
+    stands; else 0.  Null and empty texts have no words and no labels; a text of any length is read
+    whole; equal rows get equal results; other columns are not looked at; an empty table gives no
+    rows.
     """
-    compiled = []
-    for label, markup in (templates or TEMPLATES).items():
-        program = compile_template(markup)
-        if not opening(program):
-            raise ValueError(f"{label} must begin with a mandatory word")
-        compiled.append((label, program, opening(program), _mandatory(markup)))
+    automata = compiled(templates or TEMPLATES)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [batch.column(i) for i in range(3)]
-            cols = list(zip(*(_scan_text(t.as_py(), compiled) for t in batch.column(3)), strict=True)) or [[]] * 7
+            cols = list(zip(*(scan_text(t.as_py(), automata) for t in batch.column(3)), strict=True)) or [[]] * 7
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     rows = keyed(docs, id_col=id_col, text_col=text_col).select(*KEY, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with small_batches(docs.sparkSession):
         return durable(rows.mapInArrow(each, SCHEMA), "licenses")
-
-
-def _mandatory(markup: str) -> int:
-    """Number of words outside optional regions."""
-    bare = markup
-    while (cut := re.sub(r"\[\[[^\[\]]*\]\]", " ", bare)) != bare:
-        bare = cut
-    return len(re.sub(r"\{\{\d+\}\}", " ", bare).split())
