@@ -78,8 +78,10 @@ def phrase_matches(index: DataFrame, members: DataFrame, slack: int = 0) -> Data
     every other term stands within so many words of its place.
     """
     windows = ordered_windows(members, index)
-    lead = windows.select("wid", F.col("terms")[0]["term"].alias("term"), F.col("terms")[0]["off"].alias("off"))
-    found = index.join(lead, "term").select(*KEY, "wid", (F.col("pos") - F.col("off")).alias("start"), F.lit(True).alias("exact")).filter("start >= 0").distinct()
+    # written, so that Spark's own check knows their size: the terms alone pick the lists, and only these meet the windows
+    lead = durable(windows.select("wid", F.col("terms")[0]["term"].alias("term"), F.col("terms")[0]["off"].alias("off")), "leading-terms")
+    lists = index.join(durable(lead.select("term").distinct(), "asked-terms"), "term", "left_semi")
+    found = lists.join(lead, "term").select(*KEY, "wid", (F.col("pos") - F.col("off")).alias("start"), F.lit(True).alias("exact")).filter("start >= 0").distinct()
     found = durable(found, "starts")
     for first, last in ((1, 2), (2, 3), (3, None)):
         before, found = found, _narrowed(found, windows, index, first, last, slack)
