@@ -53,14 +53,14 @@ def root(sections: Column) -> Column:
 
 
 def grains(text: Column) -> Column:
-    """array<array<string>>: for each size from 128 down to the largest that is at most a sixteenth of the text, its distinct grains.
+    """array<array<string>>: for each size from 128 down to the largest that is at most a sixteenth of the text, its distinct grains in order.
 
     A grain is a block of a paragraph with its place there (a few characters in one place tell
     more than anywhere), as 8 hexadecimal digits of its md5.
     """
     lines, n = F.split(escaped(text), "\n\n|\n", -1), F.length(text)
     digest = lambda x, i: F.substring(F.md5(F.concat(i.cast("string"), F.lit(":"), x)), 1, 8)
-    level = lambda size: F.array_distinct(F.flatten(F.transform(lines, lambda p: F.transform(blocks(p, size), digest))))
+    level = lambda size: F.array_sort(F.array_distinct(F.flatten(F.transform(lines, lambda p: F.transform(blocks(p, size), digest)))))
     none = F.array().cast("array<string>")
     # a size is left out when twice as much is still at most a sixteenth
     levels = F.array(*(level(s) if s == BLOCK else F.when(n < 2 * s * GRAINS, level(s)).otherwise(none) for s in SIZES))

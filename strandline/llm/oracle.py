@@ -80,5 +80,47 @@ FROM c WHERE r = 1
 """
 
 
+def _merkle() -> str:
+    """Trees, grains and edits by nested list functions."""
+    digest = lambda xs: f"sha256(array_to_string({xs}, ','))"
+    cut = lambda p, size: f"list_transform(range(0, greatest((length({p}) + {size - 1}) // {size}, 1)), lambda i: substr({p}, i * {size} + 1, {size}))"
+    tree = lambda t: f"list_transform(string_split({t}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: {digest(f'list_transform({cut("p", 128)}, lambda b: md5(b))')}))"
+
+    def grains(t: str, n: str) -> str:
+        level = lambda size: f"list_sort(list_distinct(flatten(list_transform(regexp_split_to_array({t}, '\n\n|\n'), lambda p: list_transform(range(0, greatest((length(p) + {size - 1}) // {size}, 1)), lambda i: substr(md5(concat(i, ':', substr(p, i * {size} + 1, {size}))), 1, 8))))))"
+        sizes = ", ".join(level(s) if s == 128 else f"CASE WHEN {n} < {32 * s} THEN {level(s)} END" for s in (128, 64, 32, 16, 8, 4, 2, 1))
+        return f"list_filter([{sizes}], lambda x: x IS NOT NULL)"
+
+    sections = lambda ps: f"list_transform({ps}, lambda s: {digest('s')})"
+    spelled = lambda ps, g: f"concat_ws(';', {digest(sections(ps))}, array_to_string(list_transform({g}, lambda x: array_to_string(x, ',')), ';'))"
+    likeness = lambda x, y: f"CAST(len(list_intersect({x}, {y})) AS DOUBLE) / greatest(len({x}) + len({y}) - len(list_intersect({x}, {y})), 1)"
+    same = lambda a, b, i: f"(coalesce({a}[{i} + 1] = {b}[{i} + 1], FALSE) OR coalesce(CASE WHEN {i} + len({a}) - len({b}) >= 0 THEN {a}[{i} + len({a}) - len({b}) + 1] = {b}[{i} + 1] END, FALSE))"
+    inner = f"list_transform(list_filter(range(0, len(pb[i + 1])), lambda j: NOT {same('coalesce(pa[i + 1], CAST([] AS VARCHAR[]))', 'pb[i + 1]', 'j')}), lambda j: concat(i, ':', j))"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nt FROM d),
+e AS (SELECT *, concat(substr(t, 1, n - n // 2), substr(nt, 1, n // 2)) AS e FROM n),
+f AS (SELECT *, {tree("t")} AS pa, {tree("e")} AS pb, {grains("t", "n")} AS ga, {grains("e", "length(e)")} AS gb, {grains("nt", "length(nt)")} AS gn FROM e),
+s AS (SELECT *, {sections("pa")} AS sa, {sections("pb")} AS sb, least(len(ga), len(gb)) AS ke, least(len(ga), len(gn)) AS kn FROM f)
+SELECT doc_id, n AS n_chars, sha256(e) AS edited_sha256, {spelled("pa", "ga")} AS fingerprint, {spelled("pb", "gb")} AS edited_fingerprint,
+  {likeness("ga[ke]", "gb[ke]")} AS near_edited, {likeness("ga[kn]", "gn[kn]")} AS near_next,
+  coalesce(array_to_string(flatten(list_transform(list_filter(range(0, len(sb)), lambda i: NOT {same("sa", "sb", "i")}), lambda i: {inner})), ','), '') AS edits
+FROM s
+"""
+
+
+JACCARD = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format("text")} AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, k, k + 4), ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS k FROM d WHERE len(ws) > 0) u),
+s AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS t FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b, x.t AS ta, y.t AS tb FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b WHERE 5 * p.c >= 4 * (x.n + y.n - p.c)),
+r AS (SELECT doc_id, doc_id AS o FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.o),
+k AS (SELECT doc_id, min(o) AS class_id FROM r GROUP BY doc_id),
+c AS (SELECT a AS doc_id, count(*) AS n_links, count(DISTINCT tb) FILTER (tb <> ta) AS n_texts FROM l GROUP BY a)
+SELECT k.doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_texts, 0) AS n_texts FROM k LEFT JOIN c ON c.doc_id = k.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": MIX, "op2_decontamination": CONTAMINATION, "op6_extendible_shards": SHARDS, "op8_suffix_levels": SUFFIXES, "op9_substring_doubling": DOUBLING}
+    return {"op1_source_mix": MIX, "op2_decontamination": CONTAMINATION, "op5_merkle_fingerprints": _merkle(), "op6_extendible_shards": SHARDS, "op7_jaccard_join": JACCARD, "op8_suffix_levels": SUFFIXES, "op9_substring_doubling": DOUBLING}
