@@ -34,7 +34,7 @@ from .windows import mixed
 TREES, DEEPEST, LEAST, MEMBERS, SHINGLES = 16, 6, 3, 512, 1 << 20
 LEVELS = range(LEAST, DEEPEST + 1)
 U = np.uint64
-_FACTORS = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, size=TREES * DEEPEST, dtype=np.uint64) * U(2) + U(1)
+_FACTORS, _MASKS = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, size=(2, TREES * DEEPEST), dtype=np.uint64) * U(2) + U(1)
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -54,7 +54,7 @@ def signature(x: np.ndarray) -> np.ndarray:
     """The full signature: TREES x DEEPEST minhashes of 32 bits."""
     least = np.full(len(_FACTORS), np.iinfo(U).max, U)
     for at in range(0, len(x), 4096):
-        least = np.minimum(least, (x[at : at + 4096, None] * _FACTORS[None, :]).min(0))
+        least = np.minimum(least, ((x[at : at + 4096, None] ^ _MASKS[None, :]) * _FACTORS[None, :]).min(0))
     return (least >> U(32)).astype(">u4").reshape(TREES, DEEPEST)
 
 
@@ -272,7 +272,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row key, doc_id, class_id, n_links, n_texts, keeper, t for every row.
 
     ``class_id`` is the least id among documents joined by links (Jaccard of n-word shingles of
