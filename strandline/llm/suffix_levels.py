@@ -2,8 +2,8 @@
 
 A batch of documents gets a sparse suffix array: of all suffixes, those that start at the anchors
 of its 50-byte windows (see windows.py), in the order of their bytes.  An entry holds the first 16
-bytes of the suffix, a hash of the whole run of windows that share the anchor, the smallest
-document that holds the run, and where its text is kept.
+bytes of the suffix, a hash of the whole run of windows that share the anchor, and where its text
+is kept; while its batch is new, also the smallest document that holds the run.
 
 Batches arrive one after another.  A new batch's array is merge-scanned against every level of
 the family: a run that a level holds is a long match; a suffix whose 16 bytes a level holds in
@@ -50,8 +50,9 @@ def noted(texts: win.Texts, size: int) -> bytes:
     gram = min(GRAM, size)
     runs = win.Runs(np.frombuffer(texts.data, np.uint8), texts.sizes, size, gram)
     per = np.bincount(np.searchsorted(np.cumsum(texts.sizes), runs.start, side="right"), minlength=len(texts.sizes)).astype(np.int64)
-    parts = [per.tobytes(), (runs.last - runs.start + 1).astype(np.uint16).tobytes(), (runs.anchor - runs.start).astype(np.uint16).tobytes()]
-    return zstandard.ZstdCompressor(3).compress(b"".join(parts))
+    both = np.concatenate([runs.last - runs.start + 1, runs.anchor - runs.start]).astype(np.uint16)
+    # low bytes first, then the high ones, which are 0 for all but very wide windows
+    return zstandard.ZstdCompressor(9).compress(per.tobytes() + both.view(np.uint8).reshape(-1, 2).T.tobytes())
 
 
 class Suffixes:
@@ -60,7 +61,8 @@ class Suffixes:
     def __init__(self, texts: win.Texts, note: bytes, size: int, buckets: int, hot: np.ndarray):
         raw = zstandard.ZstdDecompressor().decompress(note)
         per = np.frombuffer(raw, np.int64, len(texts.sizes))
-        windows, ahead = np.frombuffer(raw, np.uint16, offset=8 * len(per)).reshape(2, -1).astype(np.int64)
+        low, high = np.frombuffer(raw, np.uint8, offset=8 * len(per)).reshape(2, -1).astype(np.int64)
+        windows, ahead = (low + 256 * high).reshape(2, -1)
         self.texts, self.size, self.buckets, self.data = texts, size, buckets, np.frombuffer(texts.data, np.uint8)
         self.doc = np.repeat(np.arange(len(per)), per)
         before = np.cumsum(windows) - windows
@@ -211,8 +213,8 @@ def merge_scan(hot: np.ndarray, merge: list[int], keep: bool):
         for x, s in win.pieces(holder[where]):
             add(kind=1, bucket=bucket, batch=x, bodies=win.planes(body[where[s]]))
         kept = first[stays[first]]
-        if keep and len(kept):
-            add(kind=2, bucket=bucket, **{c: win.planes(x[kept]) for c, x in zip(ARRAYS, (hi, lo, body, least, holder), strict=True)})
+        if keep and len(kept):  # whatever is in a level is older than all that is to come, so its documents need not be kept
+            add(kind=2, bucket=bucket, **{c: win.planes(x[kept]) for c, x in zip(ARRAYS, (hi, lo, body, np.zeros_like(least), holder), strict=True)})
         return pa.table({name: pa.array(v, pa.int32() if name == "kind" else pa.int64() if name in ("bucket", "batch") else pa.binary()) for name, v in out.items()})
 
     return group
@@ -304,7 +306,7 @@ class Family:
                     for bucket, entry, start, n in s.shown(code):
                         for b, p in win.pieces(bucket):
                             text = b"".join(s.texts.data[i : i + k + size - 1] for i, k in zip(start[p].tolist(), n[p].tolist(), strict=True))
-                            rows.append((b, number.as_py(), not parts.is_valid, win.planes((n[p] + size - 1).astype(np.uint32)), win.planes(s.least[entry[p]]), zstandard.ZstdCompressor(1).compress(text)))
+                            rows.append((b, number.as_py(), not parts.is_valid, win.planes((n[p] + size - 1).astype(np.uint32)), win.planes(s.least[entry[p]]), zstandard.ZstdCompressor(5).compress(text)))
                     if rows:
                         cols = list(map(list, zip(*rows, strict=True)))
                         yield win.table({c: (x, t) for c, x, t in zip(("bucket", "batch", "old", "lengths", "least", "data"), cols, (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)})

@@ -29,7 +29,7 @@ from .common import KEY, durable, keyed, small_batches
 #: Text bytes of a batch, of the text a bucket stands for, and symbols that are looked at together.
 BATCH, BUCKET, CHUNK = 1 << 20, 16 << 20, 1 << 18
 #: Of zstd, for texts.
-LEVEL = 5
+LEVEL = 8
 NULL_ORDER = (1 << 63) - 1
 U = np.uint64
 PLACE = U((1 << 20) - 1)
