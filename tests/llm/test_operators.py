@@ -656,3 +656,55 @@ def test_page_evidence(spark):
     page = spark.createDataFrame([(1, "https://u@www.x.Fr:80/a", '<html LANG="fr"><style>p{}</style><script>v="</p>"</script><p>mot &amp; suite</p>')], "page_id long, url string, html string")
     r = langid.page_evidence(page).first()
     assert (r["declared"], r["host"], r["suffix"], r["text"].split()) == ("fr", "www.x.fr", "fr", ["mot", "suite"])
+
+
+def test_page_language_held_out(spark):
+    """Pages whose markup's declaration is withheld are told by text, host and suffix."""
+    rows = langid.page_evidence(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    hidden = rows.withColumn("said", F.when(F.col("page_id") % 5 != 0, F.col("declared")))
+    got = {r["doc_id"]: r["language"] for r in langid.identify(hidden, id_col="page_id", declared_col="said", host_col="host", suffix_col="suffix").collect()}
+    told = [(r["declared"], got[r["page_id"]]) for r in rows.filter("page_id % 5 = 0 and declared is not null").collect()]
+    assert len(told) >= 40 and sum(a == b for a, b in told) >= 0.97 * len(told)
+
+
+def test_posterior_by_hand(spark):
+    """The fusion of likelihood, declaration, host and suffix, computed row by row from the operator's own text model."""
+    import math
+    rng = np.random.default_rng(2)
+    vocab = {"aa": "the of and to in is was for".split(), "bb": "der die das und ein ist war nicht".split()}
+    rows = []
+    for i in range(120):
+        lang = "aa" if i % 3 else "bb"
+        said = None if i % 7 == 0 else ("bb" if lang == "aa" else "aa") if i % 11 == 0 else "zz" if i % 29 == 0 else lang
+        rows.append((i, " ".join(rng.choice(vocab[lang], rng.integers(1, 6))), said, f"h{i % 4}.{'x' if i % 2 else 'y'}", "x" if i % 2 else "y"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, host string, suffix string")
+    got = {r["doc_id"]: r for r in langid.identify(d, host_col="host", suffix_col="suffix").collect()}
+    keyed = langid.keyed(d, "lang", "host", "suffix").select("_k1", "_k2", "doc_id", F.col("lang").alias("declared"), "host", "suffix", "text")
+    model, floor = langid.fit(keyed, dict(sorted(Counter(r[2] for r in rows if r[2] in vocab).items())))
+    like, lead = [], []
+    for _, text, *_ in rows:
+        grams = np.concatenate(list(langid.trigrams(text)))
+        total = model[grams].sum(0, dtype=np.float64)
+        middle, within, between = floor[total.argmax()]
+        like.append(np.append(total, len(grams) * (middle - langid.SLACK * math.sqrt(within / len(grams) + between))) / langid.SHARED)
+        lead.append(int(like[-1].argmax()))
+    place = {"aa": 0, "bb": 1, None: -1}
+    said = [place.get(r[2], 2) for r in rows]
+    table = np.full((4, 3), 0.5)  # a row for each declaration, the last for none
+    table[3] = 0
+    for a, b in zip(said, lead):
+        table[a, b] += 1
+    prior = table.sum(0) / table.sum()
+    given = table[:3].copy()
+    given[2] = 0.5
+    given[2, 2] = given[:, 2].sum()
+    given /= given.sum(0)
+    share = lambda keep, up: (np.bincount([x for x, r in zip(lead, rows) if keep(r)], minlength=3) + 20 * up) / (sum(map(keep, rows)) + 20)
+    for k, (i, _, _, host, suffix) in enumerate(rows):
+        local = share(lambda r: r[3] == host, share(lambda r: r[4] == suffix, prior))
+        total = like[k] + np.log(local) + (np.log(given[said[k]]) if said[k] >= 0 else 0)
+        post = np.exp(total - total.max())
+        post /= post.sum()
+        best = int(post[:2].argmax())
+        assert got[i]["language"] == ["aa", "bb"][best] and abs(got[i]["posterior"] - post[best]) < 1e-6
+        assert got[i]["accepted"] == (post[best] >= 0.5)
