@@ -708,3 +708,59 @@ def test_posterior_by_hand(spark):
         best = int(post[:2].argmax())
         assert got[i]["language"] == ["aa", "bb"][best] and abs(got[i]["posterior"] - post[best]) < 1e-6
         assert got[i]["accepted"] == (post[best] >= 0.5)
+
+
+def brute_random_bin(token):
+    """The battery's bin of one token, in plain Python."""
+    import math
+    digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = [digits + "abcdef", digits + "ABCDEF", upper + "234567", digits + lower, digits + upper, digits + upper + lower, upper + lower + digits + "-_", upper + lower + digits + "+/-_"]
+    s = token.replace("=", "")
+    abc = next((x for x in alphabets if set(s) <= set(x)), alphabets[-1])
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    n, k, v = len(s), len(abc), [abc.index(c) for c in s]
+    chi, df = sum(c * c for c in Counter(v).values()) * k / n - n, k - 1
+    beyond = n * max(k * (0.1 if k <= 16 else 0.05) - 1, 0)
+    like = max(1 - tail((chi - df - beyond) / math.sqrt(2 * (2 * df + 4 * beyond))), 1e-30)
+    changes = len(re.findall("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", s)) - 1
+    kinds = max(tail((changes - 0.5 - (n - 1) * 0.3) / math.sqrt((n - 1) * 0.21)), 1e-30)
+    p = like * kinds * (1 - math.log(like * kinds))
+    high = [2 * x >= k for x in v]
+    n1, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+    mean = 2 * n1 * (n - n1) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    p_runs = 2.0 ** (1 - n) if n1 in (0, n) else 1.0 if var <= 0 else 2 * tail(abs(runs - mean) / math.sqrt(var))
+    spread = n * sum(x * x for x in v) - sum(v) ** 2
+    r = (n * sum(a * b for a, b in zip(v, v[1:] + v[:1])) - sum(v) ** 2) / spread if spread else None
+    p_serial = 0.0 if r is None else 2 * tail(abs(r + 1 / (n - 1)) * math.sqrt(n))
+    p = 1.0 if 2 * min(p_runs, p_serial) < 0.001 else min(p, 1.0)
+    return max(x for x in (20, 32, 48, 96) if x <= max(n, 20)), max(math.floor(-math.log10(max(p, 1e-40)) * 50), 0)
+
+
+def test_random_spans_by_hand(spark):
+    """spans: candidates, tests, false-discovery control and overlaps, recomputed from the texts."""
+    import random
+    rng = random.Random(21)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = []
+    for i in range(150):
+        words = [rng.choice(["the", "server", "of-the-page-and-the-table-7", "ManagerHandlerRequestTable12", "token=abc", "é😀"]) for _ in range(12)]
+        if i % 3 == 0:
+            words[rng.randrange(12)] = "".join(rng.choice(base62) for _ in range(rng.choice([24, 40, 64])))
+        if i % 10 == 0:
+            words[5] = "secret: " + "".join(rng.choice(base62) for _ in range(40))
+        texts.append(" ".join(words))
+    pattern = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}")
+    found = []
+    for i, t in enumerate(texts):
+        base = [(m.start(), m.end()) for _, p, ok in BASE for m in p.finditer(t) if ok(m)]
+        found += [(i, m.start(), m.end(), any(a < m.end() and m.start() < z for a, z in base), brute_random_bin(m[0])) for m in pattern.finditer(t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    cut = {}
+    for cls in {x[4][0] for x in found}:
+        bins = sorted((x[4][1] for x in found if x[4][0] == cls), reverse=True)
+        good = [b for b in bins if 10 ** (-b / 50) <= 0.05 * sum(y >= b for y in bins) / len(bins)]
+        if good:
+            cut[cls] = min(good)
+    want = {(i, a, z) for i, a, z, inside, (cls, b) in found if not inside and cls in cut and b >= cut[cls]}
+    got = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", F.explode("spans").alias("s")).filter("s.kind = 3").collect()
+    assert {(r["doc_id"], r["s"]["start"], r["s"]["end"]) for r in got} == want and len(want) > 30
