@@ -214,7 +214,7 @@ def chunks(s: Scene) -> DataFrame:
 
 @query
 def bfs_window(s: Scene) -> DataFrame:
-    return s.found()
+    return graph.window_search(s.edge(), s.window(), DEPTH)  # nothing else reads the edges, so they are not written
 
 
 @query
