@@ -97,4 +97,6 @@ def ranked(df: DataFrame, *order: Column, name: str = "_rank") -> DataFrame:
         starts.append(F.lit(at).cast("long"))
         at += counts.get(p, 0)
     start = F.element_at(F.array(*starts), (place + 1).cast("int"))
-    return part.withColumn(name, (start + F.col("_mid").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_mid")
+    out = part.withColumn(name, (start + F.col("_mid").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_mid")
+    out._strandline_path = part._strandline_path
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, doubling, langid, licenses, lsh_forest, merkle, mixing, oracle, secret_scan, sharding, suffix_levels
+from . import decontam, doubling, hard_negatives, langid, licenses, lsh_forest, merkle, mixing, oracle, piece_table, pivot_index, secret_scan, sharding, suffix_levels
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents")).select("doc_id", "declared", "language", F.round("posterior", 6).alias("posterior"), "accepted")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
+    return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = piece_table.digests(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.search(_table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
+
+
 def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = langid.page_evidence(_table(spark, sf_dir, "pages"))
     out = langid.identify(rows, id_col="page_id", declared_col="declared", host_col="host", suffix_col="suffix")
@@ -64,7 +78,7 @@ def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_source_mix, op2_decontamination, op3_license_scan, op4_secret_scan, op5_merkle_fingerprints, op6_extendible_shards, op7_jaccard_join, op8_suffix_levels, op9_substring_doubling, op10_language_id, page_language)
+    named = (op1_source_mix, op2_decontamination, op3_license_scan, op4_secret_scan, op5_merkle_fingerprints, op6_extendible_shards, op7_jaccard_join, op8_suffix_levels, op9_substring_doubling, op10_language_id, op11_hard_negatives, op12_fill_in_middle, op13_top_k_search, page_language)
     return {f.__name__: f for f in named}
 
 
