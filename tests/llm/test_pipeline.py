@@ -69,10 +69,11 @@ def test_odd_rows(spark, tmp_path):
             assert {tuple(r)[4:] for r in docs.collect()} <= {tuple(range(len(names) - 4))}
     ids = {name: sorted((r[0] for r in df.select("doc_id").collect()), key=str) for name, df in seen.items()}
     assert not {9001, 9002, 9004} & set(ids["language_id"]) and ids["language_id"].count(None) == 1 and ids["language_id"].count(rows[1][0]) == 3
-    assert 9003 not in ids["jaccard_join"] and None not in ids["jaccard_join"] and ids["jaccard_join"].count(rows[1][0]) <= 1 and 9005 in ids["jaccard_join"]
+    assert 9003 not in ids["jaccard_join"] and None not in ids["jaccard_join"] and ids["jaccard_join"].count(rows[1][0]) <= 1
+    assert 9005 not in ids["jaccard_join"]  # forty times one text: but for 4 windows at each seam its word windows are those of document 3
     assert seen["sharding"].count() == seen["mixing"].count() > 0
 
-    none = documents(spark, made_texts(2)).limit(0)
+    none = documents(spark, made_texts(4)).limit(0)
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, none, SF)
         assert out.count() == 0 and (name == "sharding" or out.columns == [x.split()[0] for x in SCHEMA.split(", ")])
