@@ -1,75 +1,91 @@
 """Features on the reference axis: joins of intervals, clusters and layers.
 
-Interval joins are equi-joins on chromosome and bin: the longer-lived side is put into every bin
-it touches, so that no join compares all with all.
+Interval joins are equi-joins on sequence, level and bin.  An interval's own level is the finest
+whose bins are as wide as it is long; a pair meets at the longer one's level, so that no join
+compares all with all.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..tables import running
+from ..tables import carried, ranged
 
-BIN = 256
-#: Widths of bins by level; the last level is one bin for all.
-WIDTHS = [1 << k for k in (8, 12, 16, 20, 24, 28, 40)]
+#: Intervals of a group that one task places at most, unless they are one cluster.
+TOGETHER = 1 << 20
 
+#: Widths of bins by level; the last holds any sequence in one bin.
+WIDTHS = [1 << k for k in (4, 8, 12, 16, 20, 24, 28, 40)]
 
-def binned(df: DataFrame, start: str = "start_pos", end: str = "end_pos", size: int = BIN) -> DataFrame:
-    """A row for every bin the interval touches."""
-    return df.withColumn("bin", F.explode(F.expr(f"sequence({start} div {size}, {end} div {size})")))
 
+def own_level(start: str, end: str) -> Column:
+    """The finest level whose bins are as wide as the interval is long: there it is in two bins at most."""
+    length, own = F.col(end) - F.col(start) + 1, F.lit(len(WIDTHS) - 1)
+    for k in reversed(range(len(WIDTHS) - 1)):
+        own = F.when(length <= WIDTHS[k], k).otherwise(own)
+    return own
 
-def reference_bins(node: DataFrame) -> DataFrame:
-    ref = node.filter("rank = 0").select("node", "chr", F.col("start_pos").alias("n_start"), F.col("end_pos").alias("n_end"))
-    return binned(ref, "n_start", "n_end")
 
+def in_bins(df: DataFrame, start: str, end: str) -> DataFrame:
+    """A row for each bin of ``level`` that the interval touches; one or two where the level is its own or coarser."""
+    width = F.element_at(F.array(*map(F.lit, WIDTHS)), F.col("level") + 1)
+    return df.withColumn("bin", F.explode(F.array_distinct(F.array(F.floor(F.col(start) / width), F.floor(F.col(end) / width)))))
 
-def end_nodes(feature: DataFrame, node: DataFrame) -> DataFrame:
-    """fid, node1, off1, node2, off2: the reference nodes in which a feature starts and ends, and how far in; null beyond the axis."""
-    bins = reference_bins(node)
-    def point(pos: str, n: str, off: str) -> DataFrame:
-        at = feature.select("fid", "chr", F.col(pos).alias("p")).withColumn("bin", F.expr(f"p div {BIN}"))
-        return at.join(bins, ["chr", "bin"]).filter("p between n_start and n_end").select("fid", F.col("node").alias(n), (F.col("p") - F.col("n_start")).alias(off))
-    return feature.select("fid").join(point("start_pos", "node1", "off1"), "fid", "left").join(point("end_pos", "node2", "off2"), "fid", "left")
+
+def levels_used(*sides: tuple[DataFrame, str, str]) -> list[list[int]]:
+    """The own levels that occur on each side: a number of bits a side, in one job."""
+    rows = [df.select(F.lit(i).alias("side"), F.element_at(F.array(*(F.lit(1 << k) for k in range(len(WIDTHS)))), own_level(start, end) + 1).alias("bit")) for i, (df, start, end) in enumerate(sides)]
+    bits = dict(reduce(DataFrame.unionByName, rows).groupBy("side").agg(F.bit_or("bit")).collect())
+    return [[k for k in range(len(WIDTHS)) if bits.get(i, 0) >> k & 1] for i in range(len(sides))]
 
 
-def leveled(df: DataFrame, start: str, end: str, name: str) -> DataFrame:
-    """A row for each of the at most two bins the interval touches at its own level and at every coarser one; ``name`` is its own level.
+def candidates(feature: DataFrame, other: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    """The pairs that share a bin of the longer one's level, once for each such bin: the columns of both, level, bin.
 
-    Bins of level k are WIDTHS[k] wide, and an interval's own level is the finest whose bins are as
-    wide as it is long, so the number of rows does not grow with its length.
+    Two disjoint equi-joins: features at their own level meet others of that level or finer ones,
+    and others at their own level meet strictly finer features.  An interval is put only into
+    coarser levels at which the other side has intervals of its own.  So sparse intervals meet in
+    proportion to their number, whatever their lengths.
     """
-    length = F.col(end) - F.col(start) + 1
-    own = F.lit(len(WIDTHS) - 1)
-    for k in reversed(range(len(WIDTHS) - 1)):
-        own = F.when(length <= WIDTHS[k], k).otherwise(own)
-    rows = df.withColumn(name, own).withColumn("level", F.explode(F.sequence(F.col(name), F.lit(len(WIDTHS) - 1))))
-    width = F.element_at(F.array(*map(F.lit, WIDTHS)), F.col("level") + 1)
-    low, high = F.floor(F.col(start) / width), F.floor(F.col(end) / width)
-    return rows.withColumn("bin", F.explode(F.when(F.col("level") == len(WIDTHS) - 1, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.array(low, high)))))
+    mine, theirs = levels_used((feature, "start_pos", "end_pos"), (other, "n_start", "n_end"))
+    a, b = feature.withColumn("_own", own_level("start_pos", "end_pos")), other.withColumn("_own", own_level("n_start", "n_end"))
+    lifted = lambda df, levels, strictly: df.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda k: (k > F.col("_own")) if strictly else (k >= F.col("_own")))))
+    key = [*on, "level", "bin"]
+    one = in_bins(a.withColumn("level", F.col("_own")), "start_pos", "end_pos").drop("_own").join(in_bins(lifted(b, mine, False), "n_start", "n_end").drop("_own"), key)
+    two = in_bins(lifted(a, theirs, True), "start_pos", "end_pos").drop("_own").join(in_bins(b.withColumn("level", F.col("_own")), "n_start", "n_end").drop("_own"), key)
+    return one.unionByName(two)
 
 
 def overlapping(feature: DataFrame, other: DataFrame, keys: list[str], start: str = "n_start", end: str = "n_end", on: tuple[str, ...] = ("chr",)) -> DataFrame:
     """fid, on and keys of all pairs that overlap on the same sequence (``on``); ``other`` has on, keys, start, end.
 
-    A pair is found in a bin of the longer one's level; an interval of any length is in few bins.
+    Of the bins that a pair shares, the one where the later of both starts is the pair's own, so no pair comes twice.
     """
-    a = leveled(feature.select("fid", *on, "start_pos", "end_pos"), "start_pos", "end_pos", "_la")
-    b = leveled(other.select(*on, *keys, F.col(start).alias("n_start"), F.col(end).alias("n_end")), "n_start", "n_end", "_lb")
-    met = a.join(b, [*on, "level", "bin"]).filter(F.col("level") == F.greatest("_la", "_lb"))
-    # of the bins that a pair shares, the one where the later of both starts is the pair's own: no pair comes twice
+    met = candidates(feature.select("fid", *on, "start_pos", "end_pos"), other.select(*on, *keys, F.col(start).alias("n_start"), F.col(end).alias("n_end")), on)
     width = F.element_at(F.array(*map(F.lit, WIDTHS)), F.col("level") + 1)
-    once = (F.col("level") == len(WIDTHS) - 1) | (F.floor(F.greatest("start_pos", "n_start") / width) == F.col("bin"))
+    once = F.floor(F.greatest("start_pos", "n_start") / width) == F.col("bin")
     return met.filter((F.col("start_pos") <= F.col("n_end")) & (F.col("end_pos") >= F.col("n_start")) & once).select("fid", *on, *keys)
 
 
+def end_nodes(feature: DataFrame, node: DataFrame) -> DataFrame:
+    """fid, node1, off1, node2, off2: the reference nodes in which a feature starts and ends, and how far in; null beyond the axis.
+
+    Reference nodes do not overlap, so a place meets one at most; a node of any length is in two bins.
+    """
+    ref = node.filter("rank = 0").select("node", "chr", F.col("start_pos").alias("n_start"), F.col("end_pos").alias("n_end"))
+    def point(pos: str, n: str, off: str) -> DataFrame:
+        at = feature.select("fid", "chr", F.col(pos).alias("start_pos"), F.col(pos).alias("end_pos"))
+        return candidates(at, ref, ("chr",)).filter("start_pos between n_start and n_end").select("fid", F.col("node").alias(n), (F.col("start_pos") - F.col("n_start")).alias(off))
+    return feature.select("fid").join(point("start_pos", "node1", "off1"), "fid", "left").join(point("end_pos", "node2", "off2"), "fid", "left")
+
+
 def gene_nodes(feature: DataFrame, node: DataFrame) -> DataFrame:
     """node, fid of every reference node and feature that overlap."""
     ref = node.filter("rank = 0").select("chr", "node", F.col("start_pos").alias("n_start"), F.col("end_pos").alias("n_end"))
@@ -109,12 +125,11 @@ def visible(ends: DataFrame, window: DataFrame) -> DataFrame:
 def clusters(feature: DataFrame, by: list[str]) -> DataFrame:
     """feature with its cluster (from 1): a new one begins where a start lies beyond all ends before it.
 
-    Both steps run in ranges of the sorted intervals, so a chromosome of any size spreads over tasks.
+    Both steps run in ranges of the intervals, sorted once, so a chromosome of any size spreads over tasks.
     """
-    order = ["start_pos", "end_pos", "fid"]
-    part = running(feature, by, order, {"_before": ("max", "end_pos")})
+    part = carried(ranged(feature, [*by, "start_pos", "end_pos", "fid"]), by, ["_at"], {"_before": ("max", "end_pos")})
     new = (F.col("_before").isNull() | (F.col("start_pos") > F.col("_before"))).cast("long")
-    return running(part.withColumn("_new", new).drop("_before"), by, order, {"cluster": ("sum", "_new")}).drop("_new")
+    return carried(part.withColumn("_new", new).drop("_before"), by, ["_at"], {"cluster": ("sum", "_new")}).drop("_new", "_at", "_range")
 
 
 def islands(feature: DataFrame, by: list[str]) -> DataFrame:
@@ -122,21 +137,27 @@ def islands(feature: DataFrame, by: list[str]) -> DataFrame:
     return clusters(feature, by).groupBy(*by, "cluster").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count("*").alias("n"))
 
 
-def layers(feature: DataFrame, by: list[str], cap: int | None = None) -> DataFrame:
+def layers(feature: DataFrame, by: list[str], cap: int | None = None, together: int = TOGETHER) -> DataFrame:
     """by..., fid, layer: each interval in the lowest layer that is free, in the order of starts; layers above cap are left out.
 
-    First fit is sequential by nature; rows stream through a task in sorted order and only the
-    layers in use are held, so a group of any size needs memory for its depth alone.
+    First fit is sequential by nature.  All layers are free where a cluster begins, so where a group
+    has more than ``together`` intervals its clusters are placed apart, in tasks of their own, with
+    the same result.  Sorted rows stream through a task and only the layers in use are held, so
+    memory follows the depth.
     """
-    rows = feature.select(*by, "fid", "start_pos", "end_pos").repartition(*by).sortWithinPartitions(*by, "start_pos", "end_pos", "fid")
+    rows, key = feature.select(*by, "fid", "start_pos", "end_pos"), list(by)
+    most = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if most > together:
+        rows, key = clusters(rows, by), [*by, "cluster"]
+    rows = rows.withColumn("_key", F.xxhash64(*key)).repartition(*key).sortWithinPartitions(*key, "start_pos", "end_pos", "fid")
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, busy, free, used = None, [], [], 0
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for key, start, end in zip(pdf[by].itertuples(index=False, name=None), pdf["start_pos"], pdf["end_pos"], strict=True):
-                if key != at:
-                    at, busy, free, used = key, [], [], 0
+            for group, start, end in zip(*(batch.column(batch.num_columns - 3 + k).to_pylist() for k in range(3)), strict=True):
+                if group != at:
+                    at, busy, free, used = group, [], [], 0
                 while busy and busy[0][0] < start:
                     heapq.heappush(free, heapq.heappop(busy)[1])
                 if free:
@@ -146,10 +167,11 @@ def layers(feature: DataFrame, by: list[str], cap: int | None = None) -> DataFra
                     layer = used
                 heapq.heappush(busy, (end, layer))
                 out.append(layer)
-            yield pdf[[*by, "fid"]].assign(layer=out)
+            own = batch.columns[: len(by) + 1]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(out, pa.int32())], names=[*batch.schema.names[: len(by) + 1], "layer"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.select(*by, "fid").dtypes)
-    placed = rows.mapInPandas(each, f"{kinds}, layer int")
+    placed = rows.select(*by, "fid", "_key", "start_pos", "end_pos").mapInArrow(each, f"{kinds}, layer int")
     return placed if cap is None else placed.filter(F.col("layer") <= cap)
 
 

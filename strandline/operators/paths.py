@@ -34,10 +34,10 @@ def first_visits(visit: DataFrame) -> DataFrame:
 
 
 def highlighted(step: DataFrame, path: list[str], shown: DataFrame, edges: DataFrame) -> DataFrame:
-    """n1, n2, mark, dir: displayed edges that a path runs along; dir 1 as the edge is stored, 0 against it."""
+    """n1, n2, mark, dir: displayed edges that a path runs along; dir 1 as the edge is stored, 0 against it. Steps that are not shown may be missing."""
     w = W.partitionBy(*path).orderBy("idx")
-    pair = step.select(F.lag("node").over(w).alias("a"), F.lag("ori").over(w).alias("oa"), F.col("node").alias("b"), F.col("ori").alias("ob"))
-    pair = pair.filter("a is not null").join(shown.select(F.col("node").alias("a")), "a", "left_semi").join(shown.select(F.col("node").alias("b")), "b", "left_semi")
+    pair = step.select(F.lag("node").over(w).alias("a"), F.lag("ori").over(w).alias("oa"), F.col("node").alias("b"), F.col("ori").alias("ob"), (F.col("idx") - F.lag("idx").over(w)).alias("ahead"))
+    pair = pair.filter("ahead = 1").join(shown.select(F.col("node").alias("a")), "a", "left_semi").join(shown.select(F.col("node").alias("b")), "b", "left_semi")
     pair = pair.select("a", "b", mark("oa", "ob", ">").alias("m")).distinct().withColumn("key", canonical("a", "b", "m"))
     kept = edges.withColumn("key", canonical("n1", "n2", "mark"))
     same = (F.col("a") == F.col("n1")) & (F.col("b") == F.col("n2")) & (F.col("m") == F.col("mark"))
@@ -47,11 +47,12 @@ def highlighted(step: DataFrame, path: list[str], shown: DataFrame, edges: DataF
 def runs(step: DataFrame, path: list[str], shown: DataFrame) -> DataFrame:
     """path..., run, q_start, q_last, path: maximal stretches of steps inside the displayed graph.
 
-    q_last is where the last node starts.
+    q_last is where the last node starts.  Steps that are not shown may be missing.
     """
     w = W.partitionBy(*path).orderBy("idx")
     inside = step.join(shown.select("node").withColumn("_in", F.lit(True)), "node", "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
-    first = inside.withColumn("_new", (F.col("_in") & ~F.coalesce(F.lag("_in").over(w), F.lit(False))).cast("long"))
+    follows = F.coalesce(F.lag("_in").over(w) & (F.lag("idx").over(w) == F.col("idx") - 1), F.lit(False))
+    first = inside.withColumn("_new", (F.col("_in") & ~follows).cast("long"))
     numbered = first.withColumn("run", F.sum("_new").over(w)).filter("_in")
     parts = F.array_sort(F.collect_list(F.struct("idx", F.concat("ori", F.col("node").cast("string")).alias("t"))))
     return numbered.groupBy(*path, "run").agg(F.min("qpos").alias("q_start"), F.max("qpos").alias("q_last"), F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("path"))

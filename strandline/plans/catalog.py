@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import coverage, graph, intervals, layout, lookup, normalize, paths, simplify, view
+from ..operators import coverage, graph, index, intervals, layout, lookup, normalize, paths, simplify, view
 from ..sources import bed, fasta, gaf, gfa, gff, lines, sinks
 from ..tables import durable, shared_dir
 from .projection import Projection
@@ -54,6 +54,9 @@ class Scene(Projection):
     def variants(self) -> DataFrame:
         return self.found().select("node").join(self.node().select("node", "len"), "node")
 
+    def coverage(self) -> DataFrame:
+        return coverage.copy_number(self.visit())
+
     def crossing(self) -> DataFrame:
         """Edges along the order paths of one nation, which visit nodes of all chromosomes."""
         if not hasattr(self, "_crossing"):
@@ -87,6 +90,50 @@ class Scene(Projection):
         return intervals.end_nodes(self.feature(), self.node())
 
 
+class Indexed(Scene):
+    """The window as an index of the whole graph answers it: written once, then read by folders alone."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, size: int = 50):
+        super().__init__(spark, sf_dir)
+        path, whole = f"{shared_dir(spark)}/whole-index-{uuid.uuid4().hex}", Scene(spark, sf_dir)
+        index.write(path, whole.node(), whole.edges(), whole.step(), whole.coverage(), whole.feature(), size)
+        self.index = index.Index(spark, path)
+        self._window = durable(self.index.window(CHROM, START, END), "index-window")
+
+    def window(self) -> DataFrame:
+        return self._window.drop(*index.AT)
+
+    def found(self) -> DataFrame:
+        if not hasattr(self, "_found"):
+            self._found = self.index.search(self._window, DEPTH)
+        return self._found.select("node", "depth")
+
+    def places(self) -> list[tuple[str, int]]:
+        """The chunks of all nodes shown."""
+        if not hasattr(self, "_places"):
+            self.found()
+            self._places = index.places(self._window.filter("cls = '0'").select(*index.AT).unionByName(self._found.select(*index.AT)))
+        return self._places
+
+    def node(self) -> DataFrame:
+        return self.index.table("nodes", self.places())
+
+    def edges(self) -> DataFrame:
+        return self.index.edges(self.places())
+
+    def step(self) -> DataFrame:
+        return self.index.table("steps", self.places())
+
+    def coverage(self) -> DataFrame:
+        return self.index.table("coverage", self.places()).select("asm", "node", "cov")
+
+    def feature(self) -> DataFrame:
+        return self.index.features(index.places(self._window.filter("cls = '0'")))
+
+    def ends(self) -> DataFrame:
+        return self.feature().select("fid", "node1", "off1", "node2", "off2")
+
+
 @query
 def window_nodes(s: Scene) -> DataFrame:
     return s.window().select("node", "start_pos", "end_pos", "cls")
@@ -689,7 +736,7 @@ def view_rows(s: Scene) -> DataFrame:
     none = F.lit(None).cast("long")
     seen = intervals.visible(s.ends(), w)
     lit = paths.highlighted(s.step().filter("asm = 3"), PATH, s.shown(), sub)
-    cov = coverage.copy_number(s.visit()).join(s.shown(), "node", "left_semi")
+    cov = s.coverage().join(s.shown(), "node", "left_semi")
     parts = {
         "reference": at.select("node", px("x1"), px("x2")),
         "variant": s.found().select("node", "depth", none),
@@ -705,6 +752,30 @@ def view_rows(s: Scene) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+@query
+def view_of_index(s: Scene) -> DataFrame:
+    """The whole view from the index alone."""
+    return view_rows(Indexed(s.spark, s.dir))
+
+
+@query
+def search_of_index(s: Scene) -> DataFrame:
+    return Indexed(s.spark, s.dir).found()
+
+
+@query
+def tracks_of_index(s: Scene) -> DataFrame:
+    """Runs of all assemblies, coverage and visible features of the window, from the index: part, a, b, c."""
+    x = Indexed(s.spark, s.dir)
+    seen = intervals.visible(x.ends(), x.window())
+    parts = {
+        "run": paths.runs(x.step(), PATH, x.shown()).select("asm", "q_start", "q_last"),
+        "coverage": x.coverage().join(x.shown(), "node", "left_semi").select("node", "asm", "cov"),
+        "feature": seen.select("fid", "node1", "node2"),
+    }
+    return reduce(DataFrame.unionByName, (df.toDF("a", "b", "c").select(F.lit(name).alias("part"), *(F.col(c).cast("long").alias(c) for c in "abc")) for name, df in parts.items()))
+
+
 def queries() -> dict:
     """Every graph query. A call writes the tables that it shares between its steps to the shared folder while the query is built, and the rest of its work is lazy."""
     return {name: (lambda spark, sf_dir, f=f: f(Scene(spark, sf_dir))) for name, f in NAMED.items()}

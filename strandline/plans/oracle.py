@@ -315,6 +315,15 @@ UNION ALL SELECT 'tick', CAST(ROUND(x * 10000) AS BIGINT), pos, NULL FROM tick U
 }
 
 
+QUERIES |= {
+    "view_of_index": QUERIES["view_rows"],
+    "search_of_index": QUERIES["bfs_window"],
+    "tracks_of_index": """SELECT 'run' AS part, CAST(asm AS BIGINT) AS a, CAST(q_start AS BIGINT) AS b, CAST(q_last AS BIGINT) AS c FROM runs
+UNION ALL SELECT 'coverage', node, asm, LEAST(COUNT(*), 65535) FROM pg_visit WHERE node IN (SELECT node FROM shown) GROUP BY node, asm
+UNION ALL SELECT 'feature', fid, node1, node2 FROM seen""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     """Name to SQL; each query brings the views it needs."""
     names = list(VIEWS)

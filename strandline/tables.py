@@ -47,9 +47,13 @@ def running(df: DataFrame, by: list[str], order: list[str], what: dict[str, tupl
     Rows are sorted in ranges and written; what a range carries over to the next is a row for each
     range and group, and only these go through one window.  No task gets a whole group.
     """
-    part = durable(df.orderBy(*by, *order).withColumn("_at", F.monotonically_increasing_id()), "running")
-    part = part.withColumn("_range", F.shiftright("_at", 33).cast("int"))
-    return carried(part, by, ["_at"], what).drop("_at", "_range")
+    return carried(ranged(df, [*by, *order]), by, ["_at"], what).drop("_at", "_range")
+
+
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """df sorted in ranges and written, with each row's place ``_at`` and its range ``_range``, both ascending with the order."""
+    part = durable(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    return part.withColumn("_range", F.shiftright("_at", 33).cast("int"))
 
 
 def carried(part: DataFrame, by: list[str], order: list[str], what: dict[str, tuple[str, str]]) -> DataFrame:

@@ -374,7 +374,34 @@ def test_long_and_short_intervals_meet(spark):
     right = spark.createDataFrame(b, "k long, chr string, n_start long, n_end long")
     got = sorted((r["fid"], r["k"]) for r in intervals.overlapping(left, right, ["k"]).collect())
     assert got == sorted((x[0], y[0]) for x in a for y in b if x[2] <= y[3] and x[3] >= y[2])
-    assert intervals.leveled(left, "start_pos", "end_pos", "own").count() <= 2 * len(intervals.WIDTHS) * len(a)
+
+
+def test_sparse_intervals_meet_few(spark):
+    """Pairs joined before any filter are a few for each interval: short ones far apart, and with long ones among them."""
+    n = 600
+    for long in (0, 3):
+        a = [(i, "c", 1000 * i + 1, 1000 * i + 10) for i in range(n)] + [(n + k, "c", 1, 1000 * n) for k in range(long)]
+        b = [(i, "c", 1000 * i + 5, 1000 * i + 30) for i in range(n)]
+        left = spark.createDataFrame(a, "fid long, chr string, start_pos long, end_pos long")
+        right = spark.createDataFrame(b, "k long, chr string, n_start long, n_end long")
+        assert intervals.overlapping(left, right, ["k"]).count() == n * (1 + long)
+        assert intervals.candidates(left, right, ("chr",)).count() <= 4 * n * (1 + long)
+
+
+def test_layers_by_cluster(spark):
+    """One chromosome over many tasks: placing clusters apart changes nothing."""
+    import random
+    rng = random.Random(8)
+    data = [(a := rng.randrange(20_000), a + rng.randrange(90)) for _ in range(900)]
+    f = feature(spark, data)
+    apart = intervals.layers(f, ["chr"], together=100)
+    assert rows(apart, "chr", "fid", "layer") == rows(intervals.layers(f, ["chr"]), "chr", "fid", "layer")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        per = [len(x) for x in intervals.layers(f, ["chr"], together=100).rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(per) < len(data) / 2
 
 
 def test_runs_and_slices_of_cigars(spark):
