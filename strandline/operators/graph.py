@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical, mark, signs
-from ..tables import discard, durable
+from ..tables import bucketed, carried, discard, durable, ranged
 
 #: How far beyond a window reference nodes still bound a search.
 EXTENSION = 1_000_000
@@ -75,9 +75,22 @@ def edges_touching(edge: DataFrame, nodes: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def adjacency(edge: DataFrame) -> DataFrame:
-    """a, b for both directions of every edge."""
-    return edge.select(F.col("n1").alias("a"), F.col("n2").alias("b")).unionByName(edge.select(F.col("n2").alias("a"), F.col("n1").alias("b"))).distinct()
+def adjacency(edge: DataFrame, drop: DataFrame | None = None) -> DataFrame:
+    """a, b for both directions of every edge, without those that enter ``drop`` (node): written in buckets by a, for discard()."""
+    both = edge.select(F.col("n1").alias("a"), F.col("n2").alias("b")).unionByName(edge.select(F.col("n2").alias("a"), F.col("n1").alias("b")))
+    if drop is not None:
+        both = both.join(drop.select(F.col("node").alias("b")), "b", "left_anti")
+    n = int(edge.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed(both.select("a", "b").repartition(n, "a").distinct(), "a", "adjacency")
+
+
+def fresh(ahead: DataFrame, known: list[DataFrame], key: list[str], *least: str) -> DataFrame:
+    """key and the least of some columns of the rows of ``ahead`` whose key none of ``known`` holds: one aggregation in place of a distinct and anti joins."""
+    none = [F.lit(None).cast(t).alias(c) for c, t in ahead.select(*least).dtypes]
+    both = ahead.select(*key, *least, F.lit(False).alias("_k"))
+    for df in known:
+        both = both.unionByName(df.select(*key, *none, F.lit(True).alias("_k")))
+    return both.groupBy(*key).agg(F.bool_or("_k").alias("_k"), *(F.min(c).alias(c) for c in least)).filter(~F.col("_k")).drop("_k")
 
 
 def search(adjacent: DataFrame, seeds: DataFrame, walls: DataFrame | None, depth: int, by: list[str] | None = None) -> DataFrame:
@@ -85,21 +98,19 @@ def search(adjacent: DataFrame, seeds: DataFrame, walls: DataFrame | None, depth
 
     Seeds (by..., node) have depth 0; a node is left by its edges when its depth is at most
     ``depth``, so depth + 1 is reached.  Walls (by..., node) are never entered; None where
-    adjacency has none.  ``adjacent`` (a, b) is a written table and runs both ways, so what a
-    level reaches lies on the level before, on its own or on the next, and only two levels need be
-    known to find the new ones.  Every level is a join, written before the next one, and the
-    search stops at the first empty level.
+    adjacency has none.  ``adjacent`` is of adjacency(): bucketed by a, so a level moves its
+    frontier alone.  It runs both ways, so what a level reaches lies on the level before, on its own
+    or on the next, and only two levels need be known to find the new ones.  Every level is a join,
+    written before the next one, and the search stops at the first empty level.
     """
     by = by or []
     key = [*by, "node"]
     levels = [durable(seeds.select(key).distinct().withColumn("depth", F.lit(0)), "search-0")]
     for level in range(depth + 1):
-        ahead = levels[-1].join(adjacent, F.col("node") == F.col("a")).select(*by, F.col("b").alias("node")).distinct()
+        ahead = levels[-1].join(adjacent, F.col("node") == F.col("a")).select(*by, F.col("b").alias("node"))
         if walls is not None:
             ahead = ahead.join(walls, key, "left_anti")
-        for known in levels[-2:]:
-            ahead = ahead.join(known.select(key), key, "left_anti")
-        levels.append(durable(ahead.withColumn("depth", F.lit(level + 1)), f"search-{level + 1}"))
+        levels.append(durable(fresh(ahead, levels[-2:], key).withColumn("depth", F.lit(level + 1)), f"search-{level + 1}"))
         if levels[-1].isEmpty():
             discard(levels.pop())
             break
@@ -109,10 +120,11 @@ def search(adjacent: DataFrame, seeds: DataFrame, walls: DataFrame | None, depth
 def window_search(edge: DataFrame, window: DataFrame, depth: int) -> DataFrame:
     """node, depth of the variant nodes around a window (window_nodes())."""
     # the walls are the same for all, so they leave the adjacency: once as ends, and as starts but for the seeds
-    open_ends = adjacency(edge).join(window.select(F.col("node").alias("b")), "b", "left_anti")
-    adjacent = durable(open_ends.select("a", "b"), "adjacency")
+    adjacent = adjacency(edge, window)
     inside = window.filter("cls = '0'").select(F.col("node").alias("a"))
-    return search(adjacent, adjacent.join(inside, "a", "left_semi").select(F.col("b").alias("node")), None, depth)
+    out = search(adjacent, adjacent.join(inside, "a", "left_semi").select(F.col("b").alias("node")), None, depth)
+    discard(adjacent)
+    return out
 
 
 def chromosome_edges(edge: DataFrame, node: DataFrame, window: DataFrame) -> DataFrame:
@@ -129,9 +141,9 @@ def subgraph_edges(edge: DataFrame, window: DataFrame, found: DataFrame, depth:
 
 
 def chunked(node: DataFrame, size: int = 2000) -> DataFrame:
-    """Reference nodes with their chunk: every ``size`` nodes of a chromosome by position."""
-    w = W.partitionBy("chr").orderBy("start_pos", "node")
-    return node.filter("rank = 0").withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    """Reference nodes with their chunk: every ``size`` nodes of a chromosome by position, counted in ranges of the sorted nodes."""
+    part = ranged(node.filter("rank = 0"), ["chr", "start_pos", "node"])
+    return carried(part, ["chr"], ["_at"], {"chunk": ("count", "")}).withColumn("chunk", F.floor((F.col("chunk") - 1) / size).cast("long")).drop("_at", "_range")
 
 
 def chunks(node: DataFrame, size: int = 2000) -> DataFrame:
@@ -152,23 +164,25 @@ def search_chunks(edge: DataFrame, node: DataFrame, size: int, depth: int, ex: i
     near = own.select("chr", "node", "start_pos", "end_pos").withColumn("bin", F.explode(F.expr(f"sequence(start_pos div {ex}, end_pos div {ex})")))
     walls = bins.join(near, ["chr", "bin"]).filter((F.col("end_pos") >= F.col("lo") - ex) & (F.col("start_pos") <= F.col("hi") + ex))
     walls = durable(walls.select("chr", "chunk", "node").distinct(), "chunk-walls")
-    adjacent = durable(adjacency(edge), "adjacency")
-    seeds = own.select("chr", "chunk", F.col("node").alias("a")).join(adjacent, "a").select("chr", "chunk", F.col("b").alias("node")).distinct().join(walls, ["chr", "chunk", "node"], "left_anti")
-    if nocross:
-        adjacent = durable(adjacency(edges_without(edge, node.filter("rank = 0").select("node"))), "adjacency")
-    return search(adjacent, seeds, walls, depth, ["chr", "chunk"]).select("chr", "chunk", "node")
+    first = adjacency(edge)
+    seeds = own.select("chr", "chunk", F.col("node").alias("a")).join(first, "a").select("chr", "chunk", F.col("b").alias("node")).distinct().join(walls, ["chr", "chunk", "node"], "left_anti")
+    adjacent = adjacency(edges_without(edge, node.filter("rank = 0").select("node"))) if nocross else first
+    out = search(adjacent, seeds, walls, depth, ["chr", "chunk"]).select("chr", "chunk", "node")
+    for table in (own, walls, first, *([adjacent] if nocross else [])):
+        discard(table)
+    return out
 
 
 def nearest_reference(edge: DataFrame, node: DataFrame, depth: int = 500) -> DataFrame:
     """node, ref_node, dist of every variant node from which a reference node can be reached by variant nodes; the least id of the nearest."""
-    adjacent = durable(adjacency(edge).join(node.filter("rank = 0").select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"), "variant-adjacency")
+    adjacent = adjacency(edge, node.filter("rank = 0"))
     levels = [durable(node.filter("rank = 0").select("node", F.col("node").alias("ref_node"), F.lit(0).alias("dist")), "nearest-0")]
     for level in range(1, depth + 1):
-        ahead = levels[-1].join(adjacent, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.min("ref_node").alias("ref_node"))
-        for known in levels[-2:]:  # as in search(): no older level can be met
-            ahead = ahead.join(known.select("node"), "node", "left_anti")
+        ahead = levels[-1].join(adjacent, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "ref_node")
+        ahead = fresh(ahead, levels[-2:], ["node"], "ref_node")  # as in search(): no older level can be met
         levels.append(durable(ahead.select("node", "ref_node", F.lit(level).alias("dist")), f"nearest-{level}"))
         if levels[-1].isEmpty():
             discard(levels.pop())
             break
+    discard(adjacent)
     return reduce(DataFrame.unionByName, levels).filter("dist > 0")

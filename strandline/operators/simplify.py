@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..tables import durable
-from .graph import adjacency, search
+from ..tables import discard, durable
+from .graph import adjacency, fresh, search
 
 
 def skips(edge: DataFrame, window: DataFrame, below: int) -> DataFrame:
@@ -22,12 +24,45 @@ def skips(edge: DataFrame, window: DataFrame, below: int) -> DataFrame:
     return both.withColumn("skipped_len", gap).filter(plain & (F.col("skipped_len") < below)).select("n1", "n2", "mark", "skipped_len")
 
 
-def bubbles(edge: DataFrame, window: DataFrame, depth: int) -> DataFrame:
-    """seed_ref, node, depth: variant nodes reached from the out-edges of each reference node inside the window."""
+def bubbles(edge: DataFrame, window: DataFrame, depth: int, node: DataFrame | None = None, below: int | None = None) -> DataFrame:
+    """seed_ref, node, depth: variant nodes reached from the out-edges of each reference node inside the window.
+
+    With ``node`` (node, len) and ``below``, a bubble has a running size, its longest node of every
+    level added up, and a seed whose size is ``below`` or more leaves the search there and then: it
+    is not in the result, and the next level does not see it.
+    """
     out = edge.join(window.filter("cls = '0'").select(F.col("node").alias("n1")), "n1").select(F.col("n1").alias("seed_ref"), F.col("n2").alias("node"))
-    seeds = durable(out.join(window.select("node"), "node", "left_anti").distinct(), "bubble-seeds")
-    adjacent = durable(adjacency(edge).join(window.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"), "bubble-adjacency")
-    return search(adjacent, seeds, None, depth, ["seed_ref"])
+    seeds = out.join(window.select("node"), "node", "left_anti").distinct()
+    adjacent = adjacency(edge, window)
+    if below is None:
+        found = search(adjacent, durable(seeds, "bubble-seeds"), None, depth, ["seed_ref"])
+        discard(adjacent)
+        return found
+    key = ["seed_ref", "node"]
+
+    def sized(reached: DataFrame, sizes: DataFrame | None, level: int) -> tuple[DataFrame, DataFrame]:
+        """The level of the seeds that are still small, and their sizes with it."""
+        long = reached.join(node.select("node", "len"), "node").groupBy("seed_ref").agg(F.max("len").alias("size"))
+        if sizes is not None:
+            long = long.join(sizes.withColumnRenamed("size", "_s"), "seed_ref").withColumn("size", F.col("size") + F.col("_s")).drop("_s")
+        small = durable(long.filter(F.col("size") < below), f"bubble-sizes-{level}")
+        return durable(reached.join(small.select("seed_ref"), "seed_ref", "left_semi").withColumn("depth", F.lit(level)), f"bubble-{level}"), small
+
+    level, sizes = sized(seeds, None, 0)
+    levels, ended = [level], []
+    for k in range(1, depth + 2):
+        ahead = levels[-1].join(adjacent, F.col("node") == F.col("a")).select("seed_ref", F.col("b").alias("node"))
+        ahead = durable(fresh(ahead, levels[-2:], key), f"bubble-ahead-{k}")
+        if ahead.isEmpty():
+            discard(ahead)
+            break
+        ended.append(sizes.join(ahead.select("seed_ref").distinct(), "seed_ref", "left_anti"))
+        level, sizes = sized(ahead, sizes, k)
+        levels.append(level)
+    discard(adjacent)
+    # a seed stayed small if it ended so, or is small at the last level
+    kept = reduce(DataFrame.unionByName, [*ended, sizes]).select("seed_ref")
+    return reduce(DataFrame.unionByName, levels).join(kept, "seed_ref", "left_semi").select("seed_ref", "node", "depth")
 
 
 def bubble_sizes(found: DataFrame, node: DataFrame) -> DataFrame:
@@ -44,9 +79,7 @@ def collapsed(edge: DataFrame, node: DataFrame, window: DataFrame, depth: int, b
     Dead ends stay.
     """
     ref = window.filter("cls = '0'").select("node", "start_pos", "end_pos", (F.row_number().over(W.orderBy("start_pos")) - 1).alias("pos"))  # the window's nodes
-    found = durable(bubbles(edge, window, depth), "bubbles")
-    small = bubble_sizes(found, node).filter(F.col("size") < below).select("seed_ref")
-    found = durable(found.join(small, "seed_ref", "left_semi"), "small-bubbles")
+    found = durable(bubbles(edge, window, depth, node, below), "small-bubbles")
     seed_mark = edge.select(F.col("n1").alias("seed_ref"), F.col("n2").alias("node"), F.col("mark").alias("seed_mark")).join(found.filter("depth = 0"), ["seed_ref", "node"], "left_semi")
     sides = seed_mark.groupBy("seed_ref").agg(F.min("seed_mark").alias("least"), F.max("seed_mark").alias("most"))
     inside = found.filter(F.col("depth") <= depth)

@@ -32,9 +32,26 @@ def durable(df: DataFrame, label: str, codec: str = "zstd", by: str | None = Non
     return out
 
 
+def bucketed(df: DataFrame, by: str, label: str) -> DataFrame:
+    """durable(), in buckets by one column and sorted by it within each: joins on that column leave this side where it is. discard() removes it.
+
+    There are as many buckets as shuffle partitions, so that the other side of a join is shuffled
+    to them; rows come in by one shuffle, which distinct rows of the table need no other beside.
+    """
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"strandline_{label}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, by).sortBy(by).saveAsTable(name)
+    out = spark.table(name)
+    out._strandline_path, out._strandline_table = path, name
+    return out
+
+
 def discard(df: DataFrame) -> None:
-    """Remove a table made by durable() that no later result reads."""
+    """Remove a table made by durable() or bucketed() that no later result reads."""
     spark = df.sparkSession
+    if "_strandline_table" in vars(df):
+        spark.sql(f"DROP TABLE IF EXISTS {df._strandline_table}")
     target = spark._jvm.org.apache.hadoop.fs.Path(df._strandline_path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 

@@ -424,3 +424,44 @@ def test_import_normalises(spark):
         [(1, "ref", 1, 4, 0), (2, "ref", 5, 6, 0), (3, "alt", 5, 7, 1), (4, None, None, None, 1), (6, None, None, None, 1)], "node long, asm string, start_pos long, end_pos long, rank int").collect()))
     assert rows(got["shadow"], "idx", "node", "new_id") == [(2, 1, 5)]
     assert rows(got["edge"], "n1", "n2", "sign1", "sign2") == [(1, 2, "+", "+"), (1, 3, "+", "+"), (2, 5, "+", "+"), (2, 6, "+", "+"), (6, 4, "+", "+")]
+
+
+def test_levels_leave_the_adjacency_where_it_is(spark):
+    """A level's join shuffles the frontier to the adjacency's buckets, and the search leaves no adjacency behind."""
+    from strandline import tables
+    edge = spark.createDataFrame([(i, i + 1, 2) for i in range(1, 60)] + [(i, i + 7, 2) for i in range(1, 50)], "n1 long, n2 long, mark int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        adjacent = graph.adjacency(edge)
+        frontier = tables.durable(spark.createDataFrame([(3,), (9,)], "node long"), "frontier")
+        join = frontier.join(adjacent, frontier["node"] == adjacent["a"])
+        join.collect()
+        plan = join._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        tables.discard(adjacent)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    before = {t.name for t in spark.catalog.listTables()}
+    window = spark.createDataFrame([(1, 1, 5, 5, "0")], "node long, start_pos long, end_pos long, len long, cls string")
+    assert graph.window_search(edge, window, 1).count() > 0
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_bubbles_stop_at_the_limit(spark):
+    """A seed whose running size reaches the limit is not in the next level; the others go on to their ends."""
+    from strandline.operators import simplify
+    edge = spark.createDataFrame([(1, 11, 2), (11, 12, 2), (12, 13, 2), (13, 2, 2), (2, 21, 2), (21, 22, 2), (22, 23, 2), (23, 24, 2), (24, 3, 2)], "n1 long, n2 long, mark int")
+    node = spark.createDataFrame([(n, 1 if n < 20 else 4) for n in (1, 2, 3, 11, 12, 13, 21, 22, 23, 24)], "node long, len long")
+    window = spark.createDataFrame([(n, 10 * n, 10 * n, 1, "0") for n in (1, 2, 3)], "node long, start_pos long, end_pos long, len long, cls string")
+    levels = []
+    keep = simplify.durable
+    simplify.durable = lambda df, label, *a, **k: levels.append((label, out)) or out if (out := keep(df, label, *a, **k)) is not None else out
+    try:
+        got = rows(simplify.bubbles(edge, window, 10, node, 10), "seed_ref", "node", "depth")
+    finally:
+        simplify.durable = keep
+    assert got == [(1, 11, 0), (1, 12, 1), (1, 13, 2)]
+    assert rows(simplify.bubble_sizes(simplify.bubbles(edge, window, 10), node), "seed_ref", "size") == [(1, 3), (2, 16)]
+    ahead = {label: df for label, df in levels if label.startswith("bubble-") and "sizes" not in label and "ahead" not in label}
+    seeds = {k: {r["seed_ref"] for r in df.collect()} for k, df in ahead.items()}
+    assert seeds["bubble-1"] == {1, 2} and seeds["bubble-2"] == {1}  # 4 + 4 is below 10, 4 + 4 + 4 is not
