@@ -6,16 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import reverse_complement
+from ..tables import laid_out
+
+
+def stored(df: DataFrame, by: str = "node") -> DataFrame:
+    """df as a written table for lookups by one column: sorted by it over all files, in small row groups with bloom filters, so a lookup reads the row groups that may hold its key."""
+    return laid_out(df, by, f"by-{by}")
 
 
 def node(nodes: DataFrame, n: int) -> DataFrame:
-    """The row of one node; the filter reaches the scan."""
+    """The row of one node; of a stored() table the filter reaches the scan."""
     return nodes.filter(F.col("node") == n).select("node", "chr", "start_pos", "end_pos")
 
 
-def genes_at(overlaps: DataFrame, n: int) -> DataFrame:
-    """Features over one node, of intervals.gene_nodes()."""
-    return overlaps.filter(F.col("node") == n)
+def genes_at(nodes: DataFrame, feature: DataFrame, n: int) -> DataFrame:
+    """node, fid of the features over one reference node: its own row is looked up first, and its place reaches the scan of the features (stored by start_pos)."""
+    own = nodes.filter((F.col("node") == n) & (F.col("rank") == 0)).select("chr", "start_pos", "end_pos").first()  # one row at most
+    if own is None:
+        return feature.select(F.lit(n).cast("long").alias("node"), "fid").limit(0)
+    over = (F.col("chr") == own["chr"]) & (F.col("start_pos") <= own["end_pos"]) & (F.col("end_pos") >= own["start_pos"])
+    return feature.filter(over).select(F.lit(n).cast("long").alias("node"), "fid")
 
 
 def sequences(nodes: DataFrame, seq: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import coverage, graph, index, intervals, layout, lookup, normalize, paths, simplify, view
-from ..sources import bed, fasta, gaf, gfa, gff, lines, sinks
+from ..sources import bed, fasta, gaf, gfa, gff, info, lines, sinks
 from ..tables import durable, shared_dir
 from .projection import Projection
 
@@ -241,7 +241,7 @@ def coverage_class(s: Scene) -> DataFrame:
 
 @query
 def node_coverage(s: Scene) -> DataFrame:
-    return coverage.of_node(coverage.copy_number(s.visit().filter("node = 7")), s.assembly(), 7)
+    return coverage.of_node(lookup.stored(s.coverage()), s.assembly(), 7)
 
 
 @query
@@ -251,7 +251,8 @@ def asm_coverage(s: Scene) -> DataFrame:
 
 @query
 def node_lookup(s: Scene) -> DataFrame:
-    return lookup.node(s.node(), 6)
+    """From the node table as it is stored for lookups."""
+    return lookup.node(lookup.stored(s.node()), 6)
 
 
 @query
@@ -379,6 +380,18 @@ def track_layers(s: Scene) -> DataFrame:
     return intervals.track_layers(s.feature(), ["click"], None)
 
 
+@query
+def track_layers_capped(s: Scene) -> DataFrame:
+    """As track_layers, no track with more than 3 layers."""
+    return intervals.track_layers(s.feature(), ["click"], 3)
+
+
+@query
+def bed_layers_capped(s: Scene) -> DataFrame:
+    """The features that lie within the first 3 layers of their own track."""
+    return intervals.layers(s.feature(), ["track", "chr"], 3).select("fid", "layer")
+
+
 @query
 def gene_blocks(s: Scene) -> DataFrame:
     iso = s.feature().select("fid", (F.col("fid") % 3).alias("n_iso"))
@@ -543,6 +556,56 @@ def import_steps(s: Scene) -> DataFrame:
     return s.imported()["step"].select("asm", "chr", "idx", "node", "ori")
 
 
+def _written(s: Scene, lines_: DataFrame, label: str) -> DataFrame:
+    """The lines written as text and read again."""
+    path = f"{shared_dir(s.spark)}/{label}-{uuid.uuid4().hex}"
+    sinks.write_lines(lines_, path)
+    return lines.read(s.spark, path)
+
+
+@query
+def node_info(s: Scene) -> DataFrame:
+    """All nodes written as a table of text and read again."""
+    return info.nodes(_written(s, info.node_text(s.node()), "node-info"))
+
+
+@query
+def edge_info(s: Scene) -> DataFrame:
+    return info.edges(_written(s, info.edge_text(s.edge()), "edge-info"))
+
+
+@query
+def list_file(s: Scene) -> DataFrame:
+    """Assemblies as a list file, with comments and blank lines between them, and their ordinals."""
+    path = f"{shared_dir(s.spark)}/list-{uuid.uuid4().hex}"
+    rows = s.assembly().select((F.col("asm") * 3).alias("at"), F.concat_ws(" \t", "name", F.concat("name", F.lit(".gaf"))).alias("value"))
+    odd = s.assembly().select((F.col("asm") * 3 + 1).alias("at"), F.when(F.col("asm") % 2 == 0, F.concat(F.lit("# "), "name")).otherwise("").alias("value"))
+    sinks.write_lines(rows.unionByName(odd).coalesce(1).sortWithinPartitions("at"), path)  # a list file is one file
+    return lines.dimension(s.spark, path, "name", "file")
+
+
+@query
+def gfa_commented(s: Scene) -> DataFrame:
+    """Links from a text in which comments and blank lines stand between the records."""
+    text = gfa.link_text(s.edge())
+    odd = s.edge().select(F.when(F.col("n1") % 2 == 0, F.concat(F.lit("# L\t"), F.col("n1").cast("string"))).otherwise("  ").alias("value"))
+    return gfa.links(_written(s, text.select("value").unionByName(odd), "gfa-commented")).select("n1", "n2", "mark")
+
+
+@query
+def view_models(s: Scene) -> DataFrame:
+    """The window's gene models and tracks, from GFF3 and BED text, the models' sequence name translated."""
+    rows = gff.records(gff.model_text(s.feature()))
+    table = s.spark.createDataFrame([("all", CHROM)], "source string, target string")
+    rows = durable(lines.translated(rows, table), "model-lines")
+    gene = rows.filter(gff.IS_GENE).withColumn("fid", F.col("line_no"))
+    child = durable(gff.gene_models(rows, []).withColumn("fid", F.col("line_no")), "models")
+    text = bed.text(s.feature())
+    names = bed.track_names(text).select("track_id", F.col("name").alias("track"))
+    beds = durable(bed.features(text).join(names, "track_id").select(F.substring("name", 2, 20).cast("long").alias("fid"), "track", "chr", "start_pos", "end_pos", "strand"), "beds")
+    return view.models(gene, child, s.node(), s.window()).unionByName(view.tracks(beds, ["click"], s.node(), s.window()))
+
+
 @query
 def default_view(s: Scene) -> DataFrame:
     return graph.default_window(s.node())
@@ -698,7 +761,7 @@ def exon_flags(s: Scene) -> DataFrame:
 
 @query
 def genes_at_node(s: Scene) -> DataFrame:
-    return lookup.genes_at(intervals.gene_nodes(s.feature(), s.node()), 6)
+    return lookup.genes_at(lookup.stored(s.node()), lookup.stored(s.feature(), "start_pos"), 6)
 
 
 @query

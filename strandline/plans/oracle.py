@@ -105,9 +105,9 @@ FROM cop JOIN cnode USING (path) WHERE CASE WHEN rn > 0 THEN r0 < s1 AND r0 + rn
 UNION ALL SELECT chr, rn, CASE WHEN k <= len(e) THEN list_concat(list_concat(e[:k - 1], [end_pos]), e[k + 1:]) ELSE list_append(e, end_pos) END, fid, k FROM (
 SELECT o.chr, o.rn, o.fid, o.end_pos, y.e, COALESCE(NULLIF(list_position(list_transform(y.e, lambda x: x < o.start_pos), TRUE), 0), len(y.e) + 1) AS k FROM lay y JOIN lo o ON o.chr = y.chr AND o.rn = y.rn + 1) t""",
     "tlo": "SELECT *, ROW_NUMBER() OVER (PARTITION BY track, chr ORDER BY start_pos, end_pos, fid) AS rn FROM pg_feature",
-    "tlay": """SELECT DISTINCT track, chr, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS e, CAST(NULL AS BIGINT) AS layer FROM pg_feature
-UNION ALL SELECT track, chr, rn, CASE WHEN k <= len(e) THEN list_concat(list_concat(e[:k - 1], [end_pos]), e[k + 1:]) ELSE list_append(e, end_pos) END, k FROM (
-SELECT o.track, o.chr, o.rn, o.end_pos, y.e, COALESCE(NULLIF(list_position(list_transform(y.e, lambda x: x < o.start_pos), TRUE), 0), len(y.e) + 1) AS k FROM tlay y JOIN tlo o ON o.track = y.track AND o.chr = y.chr AND o.rn = y.rn + 1) t""",
+    "tlay": """SELECT DISTINCT track, chr, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS e, CAST(NULL AS BIGINT) AS layer, CAST(NULL AS BIGINT) AS fid FROM pg_feature
+UNION ALL SELECT track, chr, rn, CASE WHEN k <= len(e) THEN list_concat(list_concat(e[:k - 1], [end_pos]), e[k + 1:]) ELSE list_append(e, end_pos) END, k, fid FROM (
+SELECT o.track, o.chr, o.rn, o.fid, o.end_pos, y.e, COALESCE(NULLIF(list_position(list_transform(y.e, lambda x: x < o.start_pos), TRUE), 0), len(y.e) + 1) AS k FROM tlay y JOIN tlo o ON o.track = y.track AND o.chr = y.chr AND o.rn = y.rn + 1) t""",
     # bubbles that are hidden, and the view without them
     "bubd": "SELECT seed_ref, node, MIN(depth) AS depth FROM bub GROUP BY seed_ref, node",
     "bsmall": """SELECT seed_ref FROM (SELECT seed_ref, d.depth, MAX(n.len) AS m FROM bubd d JOIN pg_node n USING (node) GROUP BY 1, 2) t GROUP BY seed_ref HAVING SUM(m) < 60""",
@@ -155,6 +155,15 @@ FROM sub e JOIN ids a ON a.node = e.n1 JOIN ids b ON b.node = e.n2 WHERE NOT (e.
     "fpix": """SELECT s.fid, ROUND(COALESCE(a.x1 + s.off1 * scale, 50.0), 4) AS x1, ROUND(COALESCE(b.x1 + s.off2 * scale, 850.0), 4) AS x2,
 CASE WHEN b.x1 IS NULL AND s.strand = '+' THEN '1' WHEN a.x1 IS NULL AND s.strand = '-' THEN '2' ELSE '0' END AS margin
 FROM seen s LEFT JOIN xs a ON a.node = s.node1 LEFT JOIN xs b ON b.node = s.node2, sca""",
+    "mends": """SELECT m.fid, f.strand, a.node AS node1, m.start_pos - a.start_pos AS off1, b.node AS node2, m.end_pos - b.start_pos AS off2
+FROM (SELECT fid, start_pos, end_pos FROM model UNION ALL SELECT fid, start_pos, end_pos FROM mline WHERE type = 'gene') m JOIN pg_feature f USING (fid)
+LEFT JOIN (SELECT * FROM pg_node WHERE rank = 0 AND chr = 'Brand#1') a ON m.start_pos BETWEEN a.start_pos AND a.end_pos
+LEFT JOIN (SELECT * FROM pg_node WHERE rank = 0 AND chr = 'Brand#1') b ON m.end_pos BETWEEN b.start_pos AND b.end_pos""",
+    "mpix": """SELECT s.fid, CAST(ROUND(ROUND(COALESCE(a.x1 + s.off1 * scale, 50.0), 4) * 10000) AS BIGINT) AS x1, CAST(ROUND(ROUND(COALESCE(b.x1 + s.off2 * scale, 850.0), 4) * 10000) AS BIGINT) AS x2
+FROM (SELECT e.* FROM mends e LEFT JOIN win a ON a.node = e.node1 LEFT JOIN win b ON b.node = e.node2 WHERE a.cls = '0' OR b.cls = '0' OR (a.cls = '2' AND b.cls = '1')) s
+LEFT JOIN xs a ON a.node = s.node1 LEFT JOIN xs b ON b.node = s.node2, sca""",
+    "mexon": "SELECT m.*, x1, x2 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY parent ORDER BY start_pos, end_pos, fid) AS num FROM model WHERE type = 'exon') m JOIN mpix USING (fid)",
+    "mcds": "SELECT m.*, x1, x2 FROM model m JOIN mpix USING (fid) WHERE type = 'CDS'",
     "runs": """SELECT asm, chr, CAST(run AS BIGINT) AS run, MIN(qpos) AS q_start, MAX(qpos) AS q_last, STRING_AGG(CONCAT(ori, CAST(node AS VARCHAR)), '' ORDER BY idx) AS path FROM (
 SELECT *, SUM(nw) OVER (PARTITION BY asm, chr ORDER BY idx) AS run FROM (
 SELECT *, CASE WHEN ins AND NOT COALESCE(LAG(ins) OVER (PARTITION BY asm, chr ORDER BY idx), FALSE) THEN 1 ELSE 0 END AS nw FROM (
@@ -316,6 +325,18 @@ UNION ALL SELECT 'tick', CAST(ROUND(x * 10000) AS BIGINT), pos, NULL FROM tick U
 
 
 QUERIES |= {
+    "track_layers_capped": QUERIES["track_layers"].replace("MAX(layer) AS depth", "LEAST(MAX(layer), 3) AS depth"),
+    "bed_layers_capped": "SELECT fid, CAST(layer AS INT) AS layer FROM tlay WHERE rn > 0 AND layer <= 3",
+    "node_info": "SELECT node, chr, COALESCE(start_pos, 0) AS start_pos, COALESCE(end_pos, 0) AS end_pos, len, rank FROM pg_node",
+    "edge_info": "SELECT n1, n2, mark FROM pg_edge",
+    "list_file": "SELECT n_name AS name, CONCAT(n_name, '.gaf') AS file, CAST(n_nationkey AS BIGINT) AS ordinal FROM nation",
+    "gfa_commented": "SELECT n1, n2, mark FROM pg_edge",
+    "view_models": """SELECT 'gene' AS part, CONCAT('g', CAST(fid AS VARCHAR)) AS key, layer AS a, x1 AS b, x2 AS c FROM (SELECT fid, ROW_NUMBER() OVER (ORDER BY fid) AS layer FROM mline WHERE type = 'gene') t JOIN mpix USING (fid)
+UNION ALL SELECT 'exon', parent, num, x1, x2 FROM mexon UNION ALL SELECT 'CDS', parent, NULL, x1, x2 FROM mcds
+UNION ALL SELECT 'transcript', parent, CASE WHEN MIN(num) > 1 THEN 2 ELSE 0 END, COUNT(*), (SELECT COUNT(*) FROM mcds c WHERE c.parent = e.parent) FROM mexon e GROUP BY parent
+UNION ALL SELECT 'track', track, layers, cum_layer, n FROM (SELECT track, layers, CAST(SUM(layers) OVER (ORDER BY track) AS BIGINT) AS cum_layer, n FROM (
+SELECT f.track, f.n, CASE WHEN f.track = 'click' THEN 1 ELSE d.depth END AS layers FROM (SELECT track, COUNT(*) AS n FROM pg_feature GROUP BY track) f JOIN (SELECT track, LEAST(MAX(layer), 50) AS depth FROM tlay GROUP BY track) d USING (track)) t) u
+UNION ALL SELECT 'bed', l.track, l.layer, CAST(ROUND(x.x1 * 10000) AS BIGINT), CAST(ROUND(x.x2 * 10000) AS BIGINT) FROM tlay l JOIN fpix x USING (fid) WHERE l.rn > 0 AND l.layer <= 50""",
     "view_of_index": QUERIES["view_rows"],
     "search_of_index": QUERIES["bfs_window"],
     "tracks_of_index": """SELECT 'run' AS part, CAST(asm AS BIGINT) AS a, CAST(q_start AS BIGINT) AS b, CAST(q_last AS BIGINT) AS c FROM runs

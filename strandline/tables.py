@@ -32,6 +32,16 @@ def durable(df: DataFrame, label: str, codec: str = "zstd", by: str | None = Non
     return out
 
 
+def laid_out(df: DataFrame, by: str, label: str, group: int = 1 << 20) -> DataFrame:
+    """durable(), sorted by one column over all files, in row groups of about ``group`` bytes with statistics and bloom filters of that column."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    write = df.repartitionByRange(by).sortWithinPartitions(by).write.option("compression", "zstd").option("parquet.block.size", group)
+    write.option(f"parquet.bloom.filter.enabled#{by}", "true").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._strandline_path = path
+    return out
+
+
 def bucketed(df: DataFrame, by: str, label: str) -> DataFrame:
     """durable(), in buckets by one column and sorted by it within each: joins on that column leave this side where it is. discard() removes it.
 

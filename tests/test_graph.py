@@ -465,3 +465,23 @@ def test_bubbles_stop_at_the_limit(spark):
     ahead = {label: df for label, df in levels if label.startswith("bubble-") and "sizes" not in label and "ahead" not in label}
     seeds = {k: {r["seed_ref"] for r in df.collect()} for k, df in ahead.items()}
     assert seeds["bubble-1"] == {1, 2} and seeds["bubble-2"] == {1}  # 4 + 4 is below 10, 4 + 4 + 4 is not
+
+
+def test_lookups_read_one_row_group(spark):
+    """A lookup in a stored table is a filter in the scan, and of many row groups one is read."""
+    from pyspark.sql import functions as F
+    from strandline import tables
+    from strandline.operators import lookup
+    n = 200_000
+    node = spark.range(n).select((F.col("id") * 2).alias("node"), F.lit("c").alias("chr"), F.xxhash64("id").alias("start_pos"), F.xxhash64("id", F.lit(1)).alias("end_pos"), F.lit(0).alias("rank"))
+    kept = tables.laid_out(node, "node", "lookup-test", 64 << 10)
+    got = lookup.node(kept, 4242)
+    assert [r["node"] for r in got.collect()] == [4242]
+    plan = got._jdf.queryExecution().executedPlan()
+    assert "EqualTo(node,4242)" in plan.toString()
+    read = [plan.collectLeaves().apply(i).metrics().get("numOutputRows") for i in range(plan.collectLeaves().size())]
+    assert sum(m.get().value() for m in read) <= n / 10
+    own = spark.createDataFrame([(1, "c", 10, 19, 0), (2, "c", 20, 29, 0), (3, "d", 20, 29, 0), (4, "c", None, None, 1)], "node long, chr string, start_pos long, end_pos long, rank int")
+    feature = spark.createDataFrame([(0, "c", 1, 10), (1, "c", 11, 12), (2, "c", 20, 99), (3, "d", 10, 19)], "fid long, chr string, start_pos long, end_pos long")
+    assert rows(lookup.genes_at(own, feature, 1), "node", "fid") == [(1, 0), (1, 1)]
+    assert lookup.genes_at(own, feature, 4).count() == 0 == lookup.genes_at(own, feature, 99).count()
