@@ -146,6 +146,9 @@ def as_regex(markup):
     out = []
     for part in re.findall(r"\[\[|\]\]|\(\(|\)\)|\||\{\{[^}]*\}\}|[^\s\[\]{}()|]+", markup):
         n, _, pattern = part.strip("{}").partition("~")
+        if part == "{{*}}":
+            out.append("(?:[^ ]+ )*")
+            continue
         out.append({"[[": "(?:", "]]": ")?", "((": "(?:", "))": ")", "|": "|"}.get(part) or (f"(?:(?:{pattern or '[^ ]+'}) ){{{1 if pattern else 0},{n}}}" if part[0] == "{" else re.escape(part) + " "))
     return re.compile("(?<![^ ])" + "".join(out))
 
@@ -164,6 +167,8 @@ def an_instance(markup, rng):
             elif x == "|":
                 ways.append(words)
                 words = []
+            elif x == "{{*}}":
+                words += ["w"] * rng.choice([0, 1, 40])
             elif x[0] == "{":
                 n, _, pattern = x.strip("{}").partition("~")
                 words += [pattern[1] if pattern.startswith("[") else "w"] * rng.randrange(1 if pattern else 0, int(n) + 1)
@@ -216,8 +221,8 @@ def test_real_notices_are_accepted(spark):
         "spdx-apache-2.0": "// SPDX-License-Identifier: Apache-2.0",
         "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "lgpl-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
-        "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software',
-        "unlicense": "This is free and unencumbered software released into the public domain.",
+        "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software',
+        "unlicense-notice": "This is free and unencumbered software released into the public domain.",
     }
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")).collect()}
     for i, label in enumerate(texts):
@@ -234,6 +239,9 @@ def test_template_automaton():
     assert not any(map(ok, ["a x y z w e", "b e", "a", "a b x y z e"]))
     ok = run("a ((b c|d [[e]]|{{2~[0-9]+}})) f")
     assert all(map(ok, ["a b c f", "a d f", "a d e f", "a 1 f", "a 1 22 f"])) and not any(map(ok, ["a f", "a b f", "a 1 2 3 f", "a x f"]))
+    ok = run("a {{*}} b {{*}} c")
+    assert all(map(ok, ["a b c", "a " + "x " * 500 + "b y c", "a b b c"])) and not any(map(ok, ["a c b", "b c", "a b"]))
+    assert licenses.mandatory("a {{*}} b") == 2
     assert licenses.mandatory("a ((b c|d [[e]]|{{2~[0-9]+}})) f") == 2 and licenses.mandatory("a [[b]] c") == 2
     assert licenses.openings(licenses.compile_template("((a|b)) [[c]] d")) == {b"a", b"b"} and licenses.openings(licenses.compile_template("[[c]] d")) == {b"c", b"d"}
     for wrong in ("a [[b", "a ]] b", "a | b", "((a|b]]"):
@@ -244,6 +252,22 @@ def test_template_automaton():
             licenses.openings(licenses.compile_template(wrong))
 
 
+def test_regions_without_end_and_excerpts(spark):
+    """A holder of any number of words is a holder; half a license is no license; a hundred thousand starts take seconds."""
+    import time
+    markup = licenses.TEMPLATES["bsd-3-clause"]
+    plain_text = re.sub(r"\[\[.*?\]\]", "", markup)
+    name = " ".join(f"holder{i}" for i in range(60))
+    half = plain_text.split(" this software is provided")[0].replace("{{*}}", "x")
+    rows = [(0, plain_text.replace("{{*}}", name)), (1, half), (2, "neither the name of " * 100_000), (3, ("redistribution and use in source and binary forms " * 3 + "x ") * 10_000)]
+    began = time.time()
+    got = {r["doc_id"]: (set(r["labels"].split(",")), r["score"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 60
+    assert "bsd-3-clause" in got[0][0] and got[0][1] == 1.0
+    assert "bsd-3-clause" not in got[1][0] and "bsd-grant" in got[1][0]
+    assert 0 < got[3][1] < 1 and got[2][1] == 0
+
+
 BASE = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)]
 
 
