@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import coverage, graph, index, intervals, layout, lookup, normalize, paths, simplify, view
+from ..operators import chains, coverage, graph, index, intervals, layout, lookup, normalize, paths, simplify, view
 from ..sources import bed, fasta, gaf, gfa, gff, info, lines, sinks
 from ..tables import durable, shared_dir
 from .projection import Projection
@@ -81,10 +81,10 @@ class Scene(Projection):
         """The projection written as GFA 1 and read back, with assembly 1 as the reference."""
         walks = paths.strings(self.step(), PATH).select(F.concat_ws("\t", F.lit("W"), F.col("asm").cast("string"), F.lit("0"), "chr", F.lit("*"), F.lit("0"), "path").alias("value"))
         text = gfa.rgfa_text(self.node().join(self.seq(), "node")).unionByName(gfa.link_text(self.edge())).unionByName(walks).unionByName(gfa.jump_text(self.edge()))
-        text = durable(text, "gfa")
-        named = gfa.walks(text)
+        record = gfa.dealt(text)
+        named = gfa.walks(record["W"])
         step = paths.exploded(named.withColumn("path_id", F.col("name")), ["sample", "path_id", "chr", "walk_start"], "walk").withColumnRenamed("sample", "asm")
-        return normalize.imported(gfa.segments(text), gfa.links(text), step, "1", gfa.jumps(text))
+        return normalize.imported(gfa.segments(record["S"]), gfa.links(record["L"]), step, "1", gfa.jumps(record["J"]))
 
     def ends(self) -> DataFrame:
         return intervals.end_nodes(self.feature(), self.node())
@@ -430,6 +430,12 @@ def nearest_ref(s: Scene) -> DataFrame:
     return graph.nearest_reference(s.edges(), s.node())
 
 
+@query
+def nearest_ref_chains(s: Scene) -> DataFrame:
+    """As nearest_ref, with chains folded first."""
+    return chains.nearest_reference(s.edges(), s.node())
+
+
 @query
 def node_seq(s: Scene) -> DataFrame:
     return lookup.sequences(s.node(), s.seq().filter("node % 7 <> 0"))

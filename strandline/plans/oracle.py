@@ -325,6 +325,7 @@ UNION ALL SELECT 'tick', CAST(ROUND(x * 10000) AS BIGINT), pos, NULL FROM tick U
 
 
 QUERIES |= {
+    "nearest_ref_chains": QUERIES["nearest_ref"],
     "track_layers_capped": QUERIES["track_layers"].replace("MAX(layer) AS depth", "LEAST(MAX(layer), 3) AS depth"),
     "bed_layers_capped": "SELECT fid, CAST(layer AS INT) AS layer FROM tlay WHERE rn > 0 AND layer <= 3",
     "node_info": "SELECT node, chr, COALESCE(start_pos, 0) AS start_pos, COALESCE(end_pos, 0) AS end_pos, len, rank FROM pg_node",

@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mark, p_tokens, pansn
+from ..tables import durable
 from .lines import fields
 
+#: Record types (fixed values).
+RECORDS = ["S", "L", "J", "W", "P"]
+
 #: Length of a jump whose distance is not given.
 JUMP = 100
 
@@ -85,3 +89,10 @@ def jump_text(edge: DataFrame) -> DataFrame:
     distance = F.when(F.col("n1") % 3 == 0, "*").otherwise((F.col("n2") % 300 + 1).cast("string"))
     rows = edge.filter((F.col("n1") + F.col("n2")) % 7 == 0)
     return rows.select(F.concat_ws("\t", F.lit("J"), F.concat(F.lit("s"), F.col("n1").cast("string")), sign(2, 3), F.concat(F.lit("s"), F.col("n2").cast("string")), sign(2, 4), distance).alias("value"))
+
+
+def dealt(lines: DataFrame) -> dict[str, DataFrame]:
+    """Lines (value and others) by record type, S, L, J, W and P: the text is scanned once and each type written in a folder of its own, which alone its reader reads."""
+    kind = F.substring("value", 1, 1)
+    table = durable(lines.filter(kind.isin(*RECORDS)).withColumn("_record", kind), "gfa-records", by="_record")
+    return {k: table.filter(F.col("_record") == k).drop("_record") for k in RECORDS}

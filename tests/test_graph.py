@@ -485,3 +485,41 @@ def test_lookups_read_one_row_group(spark):
     feature = spark.createDataFrame([(0, "c", 1, 10), (1, "c", 11, 12), (2, "c", 20, 99), (3, "d", 10, 19)], "fid long, chr string, start_pos long, end_pos long")
     assert rows(lookup.genes_at(own, feature, 1), "node", "fid") == [(1, 0), (1, 1)]
     assert lookup.genes_at(own, feature, 4).count() == 0 == lookup.genes_at(own, feature, 99).count()
+
+
+def test_chains_fold(spark):
+    """A chain of 400 variant nodes: the same distances as level by level, in a tenth of the tables; rings, loops and dead ends too."""
+    from strandline.operators import chains
+    edge = [(0, 1, 2), *((i, i + 1, 2) for i in range(1, 401)), (401, 900, 2), (50, 500, 2), (500, 501, 2), (601, 602, 2), (602, 603, 2), (603, 601, 2), (700, 700, 2), (0, 700, 2), (300, 800, 2), (800, 801, 2), (801, 300, 2)]
+    nodes = sorted({n for a, b, _ in edge for n in (a, b)})
+    node = spark.createDataFrame([(n, "c", 1, 0 if n in (0, 900) else 1) for n in nodes], "node long, chr string, len long, rank int")
+    edges = spark.createDataFrame(edge, "n1 long, n2 long, mark int").coalesce(2)
+    made = []
+    keep = chains.durable
+    chains.durable = lambda *a, **k: made.append(a[1]) or keep(*a, **k)
+    try:
+        got = rows(chains.nearest_reference(edges, node, 500), "node", "ref_node", "dist")
+    finally:
+        chains.durable = keep
+    around = {}
+    for a, b, _ in edge:
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+    want, level, seen = [], {0: 0, 900: 900}, {0, 900}
+    for d in range(1, 501):
+        step = {}
+        for n, r in level.items():
+            for m in around[n] - seen:
+                step[m] = min(step.get(m, r), r)
+        seen |= set(step)
+        want += [(n, r, d) for n, r in step.items()]
+        level = step
+    assert got == sorted(want, key=str) and len(made) < 45
+    assert {601, 602, 603}.isdisjoint(r[0] for r in got)
+
+
+def test_records_are_dealt_once(spark):
+    t = text(spark, "H\tx\nS\t1\tACGT\nS\t2\tGG\nL\t1\t+\t2\t-\t0M\n# note\nW\tref\t0\tc\t0\t*\t>1<2")
+    record = gfa.dealt(t)
+    assert rows(gfa.segments(record["S"]), "node", "len") == [(1, 4), (2, 2)] and gfa.links(record["L"]).count() == 1 == gfa.walks(record["W"]).count() and gfa.jumps(record["J"]).count() == 0
+    assert "PartitionFilters: [isnotnull(_record" in gfa.segments(record["S"])._jdf.queryExecution().executedPlan().toString()
