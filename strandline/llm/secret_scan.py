@@ -124,6 +124,15 @@ def _numbered(kind: int, parts: Column) -> Column:
     return F.transform(pairs, lambda x, j: F.struct(F.lit(kind).alias("kind"), j.cast("int").alias("at"), x["gap"].alias("gap"), x["m"].alias("m")))
 
 
+def meets_base() -> Column:
+    """Whether a span (start, end) overlaps a base span (kind below 3) of its row: one that begins no later ends beyond its start, or the next to begin does so before its end. Two ordered passes over a row's spans."""
+    w = W.partitionBy(*KEY).rowsBetween(W.unboundedPreceding, 0)
+    base = F.col("kind") < 3
+    before = F.max(F.when(base, F.col("end"))).over(w.orderBy("start", "kind"))
+    after = F.min(F.when(base, F.col("start"))).over(w.orderBy(F.desc("start"), F.desc("kind")))
+    return F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
+
+
 def scan(docs: DataFrame, q: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row key, doc_id, n_assign, n_access, n_hex, base (array of struct start, kind, end), spans (likewise, with random) for every row.
 
@@ -151,10 +160,9 @@ def scan(docs: DataFrame, q: float = 0.05, id_col: str = "doc_id", text_col: str
     for cls, low in cutoffs(tested, q).items():
         kept = kept | ((F.col("cls") == cls) & (F.col("bin") >= low))
     spans = base.unionByName(tested.filter(kept).select(*KEY, "kind", "start", "end"))
-    listed = spans.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("x"))
-    own = F.filter("x", lambda s: s["kind"] < 3)
-    apart = F.filter("x", lambda s: (s["kind"] < 3) | ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    listed = durable(listed.withColumn("base", own).withColumn("spans", apart).select(*KEY, "base", "spans"), "secret-spans")
+    spans = spans.withColumn("_met", meets_base()).filter("kind < 3 or not _met").drop("_met")
+    listed = spans.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
+    listed = durable(listed.select(*KEY, F.filter("spans", lambda s: s["kind"] < 3).alias("base"), "spans"), "secret-spans")
     empty = F.array().cast(listed.schema["base"].dataType)
     out = rows.select(*KEY, F.col(id_col).alias("doc_id")).join(listed, KEY, "left").withColumns({c: F.coalesce(c, empty) for c in ("base", "spans")})
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")

@@ -288,6 +288,22 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.scan(empty).collect() == []
 
 
+def test_overlaps_in_one_ordered_pass(spark):
+    """Which spans meet a base span, against all pairs; and a dump of credentials in one text, in seconds."""
+    import random
+    import time
+    rng = random.Random(6)
+    rows = [(k, 0, rng.randrange(4), a, a + rng.randrange(1, 30)) for k in range(6) for a in (rng.randrange(400) for _ in range(40))]
+    df = spark.createDataFrame(rows, "_k1 long, _k2 long, kind int, start long, end long").withColumn("met", secret_scan.meets_base())
+    for r in df.filter("kind = 3").collect():
+        assert r["met"] == any(x[0] == r["_k1"] and x[2] < 3 and x[3] < r["end"] and r["start"] < x[4] for x in rows)
+    n = 100_000
+    text = "\n".join(f"password = {rng.getrandbits(64):016x} {rng.getrandbits(160):040X}" for _ in range(n))
+    began = time.time()
+    got = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("n_assign", F.size("spans").alias("n")).first()
+    assert got["n_assign"] == n and got["n"] >= n and time.time() - began < 120
+
+
 def test_randomness_is_discovered(spark):
     """Reported tokens are the random ones; ordinary ones (slugs, identifiers, versions, patterns) are next to never among them."""
     import random
