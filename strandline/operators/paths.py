@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical, cigar_ops, mark, tokens
+from ..tables import running
 from .graph import nearest_reference
 
 
@@ -92,7 +95,13 @@ def to_reference(step: DataFrame, path: list[str], node: DataFrame, edge: DataFr
     return own.withColumn("dist", F.lit(0)).unionByName(far)
 
 
-def split_cigars(aln: DataFrame, step: DataFrame) -> DataFrame:
+def _windowed(df: DataFrame, by: list[str], order: list[str], what: dict[str, tuple[str, str]]) -> DataFrame:
+    """tables.running() by one window a group: for groups that a task can hold."""
+    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumns({name: F.sum(col).over(w) if kind == "sum" else F.last(col, ignorenulls=True).over(w) for name, (kind, col) in what.items()})
+
+
+def split_cigars(aln: DataFrame, step: DataFrame, together: int = 1 << 22) -> DataFrame:
     """path, idx, node, cigar, qpos: an alignment's CIGAR cut at its nodes' ends.
 
     aln has path, pstart, qstart, cigar; step has path, idx, node, len.  Operations that take no
@@ -101,21 +110,31 @@ def split_cigars(aln: DataFrame, step: DataFrame) -> DataFrame:
 
     Starts of nodes and of operations are put in one order along the path; each start of an
     operation then takes the node begun last, and each start of a node what the operation begun
-    last has left over, so the work is in proportion to both together.
+    last has left over, so the work is in proportion to both together.  Paths whose CIGAR has more
+    than ``together`` characters, such as chromosomes, are cut in ranges of that order, each range
+    taking over where the one before it ends, so that no task holds one; the result is the same.
     """
+    most = aln.agg(F.max(F.length("cigar"))).first()[0] or 0
+    if most <= together:
+        return _cut(aln, step, _windowed)
+    long = F.length("cigar") > together
+    names = aln.filter(long).select("path").distinct()
+    return _cut(aln.filter(~long), step.join(names, "path", "left_anti"), _windowed).unionByName(_cut(aln.filter(long), step.join(names, "path", "left_semi"), running))
+
+
+def _cut(aln: DataFrame, step: DataFrame, along: Callable) -> DataFrame:
     ops = aln.select("path", "pstart", "qstart", F.posexplode(cigar_ops("cigar")).alias("k", "o")).select("path", "pstart", "qstart", "k", "o.n", "o.op")
-    w = W.partitionBy("path").orderBy("k")
     ref = F.when(F.col("op").isin("M", "X", "=", "D", "N"), F.col("n")).otherwise(0)
     query = F.when(F.col("op").isin("M", "X", "=", "I", "S"), F.col("n")).otherwise(0)
-    ops = ops.withColumns({"rn": ref, "qn": query}).withColumns({"r0": F.col("pstart") + F.sum("rn").over(w) - F.col("rn"), "q0": F.col("qstart") + F.sum("qn").over(w) - F.col("qn")})
+    ops = along(ops.withColumns({"rn": ref, "qn": query}), ["path"], ["k"], {"_r": ("sum", "rn"), "_q": ("sum", "qn")})
+    ops = ops.withColumns({"r0": F.col("pstart") + F.col("_r") - F.col("rn"), "q0": F.col("qstart") + F.col("_q") - F.col("qn")})
     op = F.struct("k", "n", "op", "rn", "qn", "r0", "q0")
-    on = W.partitionBy("path").orderBy("idx")
-    spans = step.withColumn("s1", F.sum("len").over(on)).withColumn("s0", F.col("s1") - F.col("len"))
+    spans = along(step.select("path", "idx", "node", "len"), ["path"], ["idx"], {"s1": ("sum", "len")}).withColumn("s0", F.col("s1") - F.col("len"))
     span = F.struct("idx", "node", "s0", "s1")
     starts = ops.select("path", F.col("r0").alias("at"), F.lit(1).alias("what"), "k", op.alias("op"), F.lit(None).alias("span"))
     starts = starts.unionByName(spans.select("path", F.col("s0").alias("at"), F.lit(0).alias("what"), F.col("idx").cast("int").alias("k"), F.lit(None).alias("op"), span.alias("span")))
-    along = W.partitionBy("path").orderBy("at", "what", "k").rowsBetween(W.unboundedPreceding, 0)
-    begun = starts.select("path", "what", F.last("span", ignorenulls=True).over(along).alias("s"), F.coalesce("op", F.last(F.when(F.col("op.rn") > 0, F.col("op")), ignorenulls=True).over(along)).alias("o"))
+    begun = along(starts.withColumn("taking", F.when(F.col("op.rn") > 0, F.col("op"))), ["path"], ["at", "what", "k"], {"s": ("last", "span"), "o": ("last", "taking")})
+    begun = begun.withColumn("o", F.coalesce("op", "o")).select("path", "what", "s", "o")
     met = begun.filter("s is not null and o is not null and (what = 1 or o.r0 + o.rn > s.s0)").select("path", "s.*", "o.*")
     lead = F.greatest(F.col("s0") - F.col("r0"), F.lit(0))
     size = F.when(F.col("rn") > 0, F.least("s1", F.col("r0") + F.col("rn")) - F.greatest("s0", F.col("r0"))).otherwise(F.col("n"))

@@ -511,6 +511,19 @@ def cigar_slice(s: Scene) -> DataFrame:
     return paths.cigar_between(_cigars(s), 1, 2)
 
 
+@query
+def cigar_split_long(s: Scene) -> DataFrame:
+    """Whole walks with CIGARs of all nine operations that run across their nodes' ends, cut in ranges along the walk."""
+    step = s.step().withColumn("path", F.concat_ws(":", F.col("asm").cast("string"), "chr"))
+    letter = lambda letters: F.substring(F.lit(letters), (F.col("idx") % len(letters) + 1).cast("int"), F.lit(1))
+    each = F.concat(F.col("len").cast("string"), letter("MDN=X"), (F.col("idx") % 3 + 1).cast("string"), letter("ISHP"))
+    parts = F.array_sort(F.collect_list(F.struct("idx", each.alias("t"))))
+    whole = step.groupBy("path").agg(parts.alias("p"), F.min_by("len", "idx").alias("first"), F.max_by("len", "idx").alias("last"))
+    but_last = F.array_join(F.transform(F.slice("p", F.lit(1), F.size("p") - 1), lambda x: x["t"]), "")
+    aln = whole.select("path", F.least(F.col("first") - 1, "last").alias("pstart"), F.lit(0).cast("long").alias("qstart"), F.concat(F.lit("2S"), but_last).alias("cigar"))
+    return paths.split_cigars(durable(aln, "walk-cigars"), step.select("path", "idx", "node", "len"), 0)
+
+
 @query
 def run_cigars(s: Scene) -> DataFrame:
     return paths.run_cigars(_cigars(s), s.shown())

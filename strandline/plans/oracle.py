@@ -99,6 +99,16 @@ UNION ALL SELECT path, 3, 1, 'D', 1, 0, pstart + m, 5 + m FROM al WHERE span > 1
     "csplit": """SELECT path, idx, node, STRING_AGG(CONCAT(CAST(CASE WHEN rn > 0 THEN LEAST(s1, r0 + rn) - GREATEST(s0, r0) ELSE n END AS VARCHAR), op), '' ORDER BY k) AS cigar,
   CAST(MIN(q0 + CASE WHEN qn > 0 THEN GREATEST(s0 - r0, 0) ELSE 0 END) AS BIGINT) AS qpos
 FROM cop JOIN cnode USING (path) WHERE CASE WHEN rn > 0 THEN r0 < s1 AND r0 + rn > s0 ELSE r0 >= s0 AND (r0 < s1 OR final) END GROUP BY path, idx, node""",
+    "lstep": """SELECT *, CONCAT(CAST(asm AS VARCHAR), ':', chr) AS path, SUBSTR('MDN=X', CAST(idx % 5 + 1 AS INT), 1) AS rop, SUBSTR('ISHP', CAST(idx % 4 + 1 AS INT), 1) AS qop, idx % 3 + 1 AS qlen,
+  LEAST(FIRST_VALUE(len) OVER w - 1, LAST_VALUE(len) OVER w) AS pstart, MAX(idx) OVER w AS top FROM pg_step WINDOW w AS (PARTITION BY asm, chr ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
+    "lq": """SELECT *, CASE WHEN rop IN ('M', '=', 'X') THEN len ELSE 0 END AS rq, CASE WHEN qop IN ('I', 'S') THEN qlen ELSE 0 END AS qq FROM lstep WHERE idx < top""",
+    "lsum": "SELECT *, 2 + SUM(rq + qq) OVER (PARTITION BY path ORDER BY idx) - rq - qq AS q0 FROM lq",
+    "lop": """SELECT DISTINCT path, 0 AS k, 2 AS n, 'S' AS op, 0 AS rn, 2 AS qn, pstart AS r0, 0 AS q0 FROM lstep
+UNION ALL SELECT path, 2 * idx + 1, len, rop, len, rq, pstart + qpos - 1, q0 FROM lsum UNION ALL SELECT path, 2 * idx + 2, qlen, qop, 0, qq, pstart + qpos - 1 + len, q0 + rq FROM lsum""",
+    "lnode": "SELECT path, idx, node, qpos - 1 AS s0, qpos - 1 + len AS s1, idx = top AS final FROM lstep",
+    "lsplit": """SELECT path, idx, node, STRING_AGG(CONCAT(CAST(CASE WHEN rn > 0 THEN LEAST(s1, r0 + rn) - GREATEST(s0, r0) ELSE n END AS VARCHAR), op), '' ORDER BY k) AS cigar,
+  CAST(MIN(q0 + CASE WHEN qn > 0 THEN GREATEST(s0 - r0, 0) ELSE 0 END) AS BIGINT) AS qpos
+FROM lop JOIN lnode USING (path) WHERE CASE WHEN rn > 0 THEN r0 < s1 AND r0 + rn > s0 ELSE r0 >= s0 AND (r0 < s1 OR final) END GROUP BY path, idx, node""",
     # first fit: one row a step, with the end of each layer so far
     "lo": "SELECT *, ROW_NUMBER() OVER (PARTITION BY chr ORDER BY start_pos, end_pos, fid) AS rn FROM pg_feature",
     "lay": """SELECT DISTINCT chr, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS e, CAST(NULL AS BIGINT) AS fid, CAST(NULL AS BIGINT) AS layer FROM pg_feature
@@ -325,6 +335,7 @@ UNION ALL SELECT 'tick', CAST(ROUND(x * 10000) AS BIGINT), pos, NULL FROM tick U
 
 
 QUERIES |= {
+    "cigar_split_long": "SELECT path, idx, node, cigar, qpos FROM lsplit",
     "nearest_ref_chains": QUERIES["nearest_ref"],
     "track_layers_capped": QUERIES["track_layers"].replace("MAX(layer) AS depth", "LEAST(MAX(layer), 3) AS depth"),
     "bed_layers_capped": "SELECT fid, CAST(layer AS INT) AS layer FROM tlay WHERE rn > 0 AND layer <= 3",

@@ -523,3 +523,32 @@ def test_records_are_dealt_once(spark):
     record = gfa.dealt(t)
     assert rows(gfa.segments(record["S"]), "node", "len") == [(1, 4), (2, 2)] and gfa.links(record["L"]).count() == 1 == gfa.walks(record["W"]).count() and gfa.jumps(record["J"]).count() == 0
     assert "PartitionFilters: [isnotnull(_record" in gfa.segments(record["S"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_cigars_are_cut_in_ranges(spark, monkeypatch):
+    """All nine operations along one path of many nodes: the same pieces by ranges as by windows, no range holding the path."""
+    import random
+    from strandline.operators import paths as p
+    rng = random.Random(2)
+    step = spark.createDataFrame([(path, i, 100 * i + 7, rng.randrange(1, 9)) for path in ("a", "b") for i in range(200)], "path string, idx long, node long, len long")
+    total = {r["path"]: r["t"] for r in step.groupBy("path").agg({"len": "sum"}).toDF("path", "t").collect()}
+    made = []
+    for path, t in total.items():
+        left, ops = t - 3, []
+        while left:
+            n = min(left, rng.randrange(1, 12))
+            left -= n
+            ops.append(f"{n}{rng.choice('MDN=X')}")
+            if rng.random() < 0.4:
+                ops.append(f"{rng.randrange(1, 5)}{rng.choice('ISHP')}")
+        made.append((path, 3, 5, "".join(ops)))
+    aln = spark.createDataFrame(made, "path string, pstart long, qstart long, cigar string")
+    spans = []
+    keep = p.running
+    monkeypatch.setattr(p, "running", lambda df, by, order, what: spans.append((df, order)) or keep(df, by, order, what))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = rows(p.split_cigars(aln, step, 0), "path", "idx", "node", "cigar", "qpos")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(spans) == 3 and got == rows(p.split_cigars(aln, step), "path", "idx", "node", "cigar", "qpos") and len(got) > 390
