@@ -285,7 +285,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) as rows for identify(): page_id, text, declared (the markup's lang), host, suffix (the host's last label)."""
+    """pages (page_id, url, html) as rows for identify(): page_id, text, declared (the markup's lang), host, suffix (the host's last label).
+
+    A null html has a null text and no declaration, a null url an absent host; equal pages give equal
+    rows, an empty table none; other columns are left behind.
+    """
     body = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#A-Za-z0-9]+;", " ")
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     return pages.select("page_id", body.alias("text"), F.nullif(F.regexp_extract("html", r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1), F.lit("")).alias("declared"),

@@ -719,6 +719,20 @@ def test_page_evidence(spark):
     assert (r["declared"], r["host"], r["suffix"], r["text"].split()) == ("fr", "www.x.fr", "fr", ["mot", "suite"])
 
 
+def test_odd_pages(spark):
+    """Null and empty pages, null urls and ids, repeated rows, an empty table and columns named like the evidence."""
+    html = '<html lang="en"><p>the and of to in is was for with that</p></html>'
+    rows = [(i, "http://a.example/", html) for i in range(12)] + [(20, None, html), (21, "http://b.example", None), (22, "", ""), (23, None, None), (None, "http://a.example/", html), (None, "http://a.example/", html), (24, "no address", "<html lang=>" + "<p>the and of</p>" * 5000)]
+    pages = spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], "page_id long, url string, html string, text string, declared string, host string, suffix string")
+    out = langid.identify(langid.page_evidence(pages), id_col="page_id", declared_col="declared", host_col="host", suffix_col="suffix").collect()
+    assert len(out) == len(rows)
+    for r in out:
+        empty = r["doc_id"] in (21, 22, 23)
+        assert (r["language"] is None) == empty == (not r["accepted"]) and (r["declared"] is None) == (empty or r["doc_id"] == 24)
+    assert sum(r["doc_id"] is None for r in out) == 2
+    assert langid.identify(langid.page_evidence(pages.limit(0)), id_col="page_id", declared_col="declared", host_col="host", suffix_col="suffix").collect() == []
+
+
 def test_page_language_held_out(spark):
     """Pages whose markup's declaration is withheld are told by text, host and suffix."""
     rows = langid.page_evidence(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
