@@ -494,6 +494,7 @@ def gff_parse(s: Scene) -> DataFrame:
 
 def _cigars(s: Scene) -> DataFrame:
     a = s.alignment().filter("node2 is not null").select(F.concat_ws(":", F.col("qname").cast("string"), F.col("node1").cast("string"), F.col("mapq").cast("string"), F.col("pstart").cast("string"), F.col("pend").cast("string")).alias("path"), "pstart", F.lit(0).cast("long").alias("qstart"), "node1", "len1", "node2", "len2", "pend").dropDuplicates(["path"])
+    a = durable(a, "alignments")  # read for its longest CIGAR, its operations and its nodes
     span = F.col("pend") - F.col("pstart")
     aln = a.select("path", "pstart", "qstart", F.concat(F.lit("2S"), F.greatest(span - 1, F.lit(1)).cast("string"), F.lit("M3I"), F.when(span > 1, "1D").otherwise("")).alias("cigar"))
     pieces = F.array(F.struct(F.lit(0).alias("idx"), F.col("node1").alias("node"), F.col("len1").alias("len")), F.struct(F.lit(1).alias("idx"), F.col("node2").alias("node"), F.col("len2").alias("len")))
