@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import chains, coverage, graph, index, intervals, layout, lookup, normalize, paths, simplify, view
-from ..sources import bed, fasta, gaf, gfa, gff, info, lines, sinks
+from ..sources import bed, bgzf, fasta, gaf, gfa, gff, info, lines, sinks
 from ..tables import durable, shared_dir
 from .projection import Projection
 
@@ -709,6 +709,16 @@ def gfa_file(s: Scene) -> DataFrame:
     return gfa.segments(lines.read(s.spark, path)).select("node", "len", "seq")
 
 
+@query
+def gfa_blocks(s: Scene) -> DataFrame:
+    """Segments and links written as block gzip, which is read in splits, and dealt by record type."""
+    path = f"{shared_dir(s.spark)}/gfa-blocks-{uuid.uuid4().hex}"
+    bgzf.write(gfa.rgfa_text(s.node().join(s.seq(), "node")).unionByName(gfa.link_text(s.edges())), path)
+    kinds = gfa.dealt(bgzf.read(s.spark, path))
+    segments = gfa.segments(kinds["S"]).select(F.lit("S").alias("record"), F.col("node").alias("n1"), F.lit(None).cast("long").alias("n2"), F.col("seq").alias("value"))
+    return segments.unionByName(gfa.links(kinds["L"]).select(F.lit("L").alias("record"), "n1", "n2", F.col("mark").cast("string").alias("value")))
+
+
 @query
 def window_of_index(s: Scene) -> DataFrame:
     """Edges of the chunks that a window of 200 bases meets, read from a written index."""

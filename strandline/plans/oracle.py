@@ -308,6 +308,7 @@ SELECT *, ROW_NUMBER() OVER (PARTITION BY node ORDER BY path_id, idx) AS rn FROM
 SELECT *, ROW_NUMBER() OVER (PARTITION BY qname, pstart ORDER BY mapq * 1000000 + plen * 1000 + pend DESC) AS rn FROM pg_aln) t WHERE rn = 1""",
     "gaf_confident": "SELECT CAST(qname AS VARCHAR) AS qname, '>s' || CAST(node1 AS VARCHAR) || COALESCE('>s' || CAST(node2 AS VARCHAR), '') AS path, mapq FROM pg_aln WHERE mapq > 40",
     "gfa_file": "SELECT node, CAST(length(seq) AS BIGINT) AS len, seq FROM pg_seq",
+    "gfa_blocks": "SELECT 'S' AS record, node AS n1, CAST(NULL AS BIGINT) AS n2, seq AS value FROM pg_seq UNION ALL SELECT 'L', n1, n2, CAST(mark AS VARCHAR) FROM pg_edge",
     "window_of_index": "SELECT DISTINCT e.n1, e.n2, e.mark FROM pg_edge e JOIN igot r ON r.node = e.n1 OR r.node = e.n2 WHERE r.chr = 'Brand#1' AND r.chunk BETWEEN (SELECT MIN(chunk) FROM ihit) AND (SELECT MAX(chunk) FROM ihit)",
     "nodes_on_chromosomes": "SELECT node, chr FROM pg_node WHERE chr LIKE 'Brand#1%'",
     "chromosomes_translated": "SELECT DISTINCT CASE WHEN chr LIKE 'Brand#2%' THEN REPLACE(chr, 'Brand#', 'chr') ELSE chr END AS chr FROM pg_node",

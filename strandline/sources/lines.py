@@ -9,7 +9,11 @@ from ..tables import carried
 
 
 def read(spark: SparkSession, *paths: str) -> DataFrame:
-    """value, file, line_no (order within the file): plain or gzipped text."""
+    """value, file, line_no (order within the file): plain or gzipped text.
+
+    Spark deals the splits of a file in its order (all are of one size but the last, and longer
+    ones go first), so line_no grows along each file, not from file to file.
+    """
     return spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"))
 
 
