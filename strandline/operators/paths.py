@@ -48,17 +48,36 @@ def highlighted(step: DataFrame, path: list[str], shown: DataFrame, edges: DataF
 
 
 def runs(step: DataFrame, path: list[str], shown: DataFrame) -> DataFrame:
-    """path..., run, q_start, q_last, path: maximal stretches of steps inside the displayed graph.
+    """path..., run, q_start, q_last, path: maximal stretches of steps inside the displayed graph; with ``cigar``, that of the stretch, where steps have one (null where none has).
 
-    q_last is where the last node starts.  Steps that are not shown may be missing.
+    q_last is where the last node starts.  Steps that are not shown may be missing, and go before
+    any order is made: a task holds what a view shows of a walk, not the walk.
     """
     w = W.partitionBy(*path).orderBy("idx")
-    inside = step.join(shown.select("node").withColumn("_in", F.lit(True)), "node", "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
-    follows = F.coalesce(F.lag("_in").over(w) & (F.lag("idx").over(w) == F.col("idx") - 1), F.lit(False))
-    first = inside.withColumn("_new", (F.col("_in") & ~follows).cast("long"))
-    numbered = first.withColumn("run", F.sum("_new").over(w)).filter("_in")
-    parts = F.array_sort(F.collect_list(F.struct("idx", F.concat("ori", F.col("node").cast("string")).alias("t"))))
-    return numbered.groupBy(*path, "run").agg(F.min("qpos").alias("q_start"), F.max("qpos").alias("q_last"), F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("path"))
+    inside = step.join(shown.select("node").distinct(), "node", "left_semi")
+    numbered = inside.withColumn("_new", F.coalesce(F.lag("idx").over(w) != F.col("idx") - 1, F.lit(True)).cast("long")).withColumn("run", F.sum("_new").over(w))
+    aligned = "cigar" in step.columns
+    parts = F.array_sort(F.collect_list(F.struct("idx", F.concat("ori", F.col("node").cast("string")).alias("t"), *(["cigar"] if aligned else []))))
+    joined = lambda c: F.array_join(F.transform("_p", lambda x: x[c]), "")
+    out = numbered.groupBy(*path, "run").agg(F.min("qpos").alias("q_start"), F.max("qpos").alias("q_last"), parts.alias("_p"))
+    return out.select(*path, "run", "q_start", "q_last", joined("t").alias("path"), *([F.nullif(joined("cigar"), F.lit("")).alias("cigar")] if aligned else []))
+
+
+def runs_of(wanted: DataFrame, assemblies: DataFrame, step: DataFrame, shown: DataFrame, piece: DataFrame | None = None) -> DataFrame:
+    """name, asm, chr, run, q_start, q_last, path, cigar: the runs of all requested assemblies (column name) in one view.
+
+    step has asm, chr, idx, node, ori, qpos; piece (asm, chr, idx, cigar, as of split_cigars()) has
+    the steps' parts of their alignments, if there are any.  An assembly that the graph does not
+    have, or that does not meet the view, has one row without a run (without asm too, if unknown);
+    a name asked twice is told once.
+    """
+    asked = known(wanted, assemblies)
+    mine = step.join(asked.select("asm").distinct(), "asm", "left_semi").join(shown.select("node").distinct(), "node", "left_semi")
+    if piece is None:
+        mine = mine.withColumn("cigar", F.lit(None).cast("string"))
+    else:
+        mine = mine.join(piece.select("asm", "chr", "idx", "cigar"), ["asm", "chr", "idx"], "left")
+    return asked.join(runs(mine, ["asm", "chr"], shown), "asm", "left").select("name", "asm", "chr", "run", "q_start", "q_last", "path", "cigar")
 
 
 def chain(step: DataFrame, path: list[str], kept: DataFrame) -> DataFrame:

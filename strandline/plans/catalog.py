@@ -512,9 +512,8 @@ def cigar_slice(s: Scene) -> DataFrame:
     return paths.cigar_between(_cigars(s), 1, 2)
 
 
-@query
-def cigar_split_long(s: Scene) -> DataFrame:
-    """Whole walks with CIGARs of all nine operations that run across their nodes' ends, cut in ranges along the walk."""
+def _walk_cigars(s: Scene) -> tuple[DataFrame, DataFrame]:
+    """(alignments, steps): whole walks with CIGARs of all nine operations that run across their nodes' ends."""
     step = s.step().withColumn("path", F.concat_ws(":", F.col("asm").cast("string"), "chr"))
     letter = lambda letters: F.substring(F.lit(letters), (F.col("idx") % len(letters) + 1).cast("int"), F.lit(1))
     each = F.concat(F.col("len").cast("string"), letter("MDN=X"), (F.col("idx") % 3 + 1).cast("string"), letter("ISHP"))
@@ -522,7 +521,23 @@ def cigar_split_long(s: Scene) -> DataFrame:
     whole = step.groupBy("path").agg(parts.alias("p"), F.min_by("len", "idx").alias("first"), F.max_by("len", "idx").alias("last"))
     but_last = F.array_join(F.transform(F.slice("p", F.lit(1), F.size("p") - 1), lambda x: x["t"]), "")
     aln = whole.select("path", F.least(F.col("first") - 1, "last").alias("pstart"), F.lit(0).cast("long").alias("qstart"), F.concat(F.lit("2S"), but_last).alias("cigar"))
-    return paths.split_cigars(durable(aln, "walk-cigars"), step.select("path", "idx", "node", "len"), 0)
+    return durable(aln, "walk-cigars"), step
+
+
+@query
+def cigar_split_long(s: Scene) -> DataFrame:
+    """Whole walks cut in ranges along the walk."""
+    aln, step = _walk_cigars(s)
+    return paths.split_cigars(aln, step.select("path", "idx", "node", "len"), 0)
+
+
+@query
+def view_runs(s: Scene) -> DataFrame:
+    """The runs of all assemblies in the window, each with its CIGAR; regions are asked for too, and told where they are none."""
+    aln, step = _walk_cigars(s)
+    piece = paths.split_cigars(aln, step.select("path", "idx", "node", "len")).join(step.select("path", "asm", "chr").distinct(), "path")
+    wanted = s.table("region").select(F.col("r_name").alias("name")).unionByName(s.table("nation").select(F.col("n_name").alias("name")))
+    return paths.runs_of(wanted, s.assembly(), s.step(), durable(s.shown(), "shown"), piece)
 
 
 @query

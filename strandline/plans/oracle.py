@@ -337,6 +337,9 @@ UNION ALL SELECT 'tick', CAST(ROUND(x * 10000) AS BIGINT), pos, NULL FROM tick U
 
 QUERIES |= {
     "cigar_split_long": "SELECT path, idx, node, cigar, qpos FROM lsplit",
+    "view_runs": """SELECT k.name, k.asm, r.chr, r.run, r.q_start, r.q_last, r.path, (
+SELECT STRING_AGG(l.cigar, '' ORDER BY l.idx) FROM pg_step s JOIN lsplit l ON l.path = CONCAT(CAST(s.asm AS VARCHAR), ':', s.chr) AND l.idx = s.idx WHERE s.asm = r.asm AND s.chr = r.chr AND s.qpos BETWEEN r.q_start AND r.q_last) AS cigar
+FROM (SELECT w.name, CAST(n.n_nationkey AS BIGINT) AS asm FROM (SELECT r_name AS name FROM region UNION SELECT n_name FROM nation) w LEFT JOIN nation n ON n.n_name = w.name) k LEFT JOIN runs r ON r.asm = k.asm""",
     "nearest_ref_chains": QUERIES["nearest_ref"],
     "track_layers_capped": QUERIES["track_layers"].replace("MAX(layer) AS depth", "LEAST(MAX(layer), 3) AS depth"),
     "bed_layers_capped": "SELECT fid, CAST(layer AS INT) AS layer FROM tlay WHERE rn > 0 AND layer <= 3",

@@ -552,3 +552,17 @@ def test_long_cigars_are_cut_in_ranges(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert len(spans) == 3 and got == rows(p.split_cigars(aln, step), "path", "idx", "node", "cigar", "qpos") and len(got) > 390
+
+
+def test_runs_of_several_assemblies(spark):
+    known = spark.createDataFrame([("one", 1), ("two", 2), ("far", 3)], "name string, asm long")
+    wanted = spark.createDataFrame([("two",), ("one",), ("far",), ("none",), ("one",)], "name string")
+    step = spark.createDataFrame([(1, "c", i, n, ">", 1 + 10 * i) for i, n in enumerate([1, 2, 9, 3, 4])] + [(2, "c", i, n, "<", 1 + 10 * i) for i, n in enumerate([4, 3])] + [(3, "c", 0, 9, ">", 1)], "asm long, chr string, idx long, node long, ori string, qpos long")
+    shown = spark.createDataFrame([(n,) for n in (1, 2, 3, 4, 4)], "node long")
+    piece = spark.createDataFrame([(1, "c", 0, "10M"), (1, "c", 1, "9M1I"), (1, "c", 2, "10X"), (1, "c", 4, "4D")], "asm long, chr string, idx long, cigar string")
+    cols = ("name", "asm", "chr", "run", "q_start", "q_last", "path", "cigar")
+    nothing = (None,) * 6
+    want = [("far", 3, *nothing), ("none", None, *nothing), ("one", 1, "c", 1, 1, 11, ">1>2", "10M9M1I"), ("one", 1, "c", 2, 31, 41, ">3>4", "4D"), ("two", 2, "c", 1, 1, 11, "<4<3", None)]
+    key = lambda r: (r[0], r[3] or 0)
+    assert sorted(map(tuple, paths.runs_of(wanted, known, step, shown, piece).select(*cols).collect()), key=key) == want
+    assert sorted(map(tuple, paths.runs_of(wanted, known, step, shown).select(*cols).collect()), key=key) == [(*r[:7], None) for r in want]
