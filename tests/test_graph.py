@@ -566,3 +566,30 @@ def test_runs_of_several_assemblies(spark):
     key = lambda r: (r[0], r[3] or 0)
     assert sorted(map(tuple, paths.runs_of(wanted, known, step, shown, piece).select(*cols).collect()), key=key) == want
     assert sorted(map(tuple, paths.runs_of(wanted, known, step, shown).select(*cols).collect()), key=key) == [(*r[:7], None) for r in want]
+
+
+def test_walls_of_chunks_are_not_listed(spark, monkeypatch):
+    """A search around all chunks writes rows in proportion to what it reaches: no list of the reference nodes near each chunk, and nothing else of that size."""
+    size = 200
+    node = spark.createDataFrame([(2 * i, "c", 5, 0, 5 * i + 1, 5 * i + 5) for i in range(size)] + [(2 * i + 1, "c", 5, 1, None, None) for i in range(size)], "node long, chr string, len long, rank int, start_pos long, end_pos long")
+    edge = spark.createDataFrame([(i, i + 1, 2) for i in range(2 * size - 1)], "n1 long, n2 long, mark int")
+    written, whole = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df, label, *a: (written.append(df.count()), whole(df, label, *a))[1])
+    got = rows(graph.search_chunks(edge, node, 2, 3), "chunk", "node")
+    own = {(c, 2 * i + 1) for c in range(size // 2) for i in range(2 * c - 1, 2 * c + 2) if 0 <= i < size}
+    assert len(got) == len(own) and set(got) == own and max(written) < 3 * size
+    far = rows(graph.search_chunks(edge, node, 2, 3, ex=0), "chunk", "node")  # beyond ex reference nodes are no walls
+    assert (50, 198) in far and (50, 202) not in far and (50, 200) not in far and (50, 204) in far
+
+
+def test_index_folders_are_bounded(spark, bubble, tmp_path):
+    """Neighbouring chunks share a folder where there are many; a window still has the edges of its own chunks alone."""
+    node = spark.createDataFrame([(i, "c", 5, 0, 5 * i - 4, 5 * i) for i in range(1, 101)], "node long, chr string, len long, rank int, start_pos long, end_pos long")
+    edge = spark.createDataFrame([(i, i + 1, 2) for i in range(1, 100)], "n1 long, n2 long, mark int")
+    view.write_index(edge, node, str(tmp_path / "many"), 2, 1)
+    view.write_index(edge, node, str(tmp_path / "few"), 2, 1, most=5)
+    folders = lambda name, table: len(list((tmp_path / name / table).glob("chr=*/part=*")))
+    assert folders("many", "edges") == folders("many", "nodes") == 50 and folders("few", "edges") == folders("few", "nodes") == 5
+    for start, end in ((1, 12), (48, 53), (500, 500), (900, 950)):
+        many, few = (view.read_window(spark, str(tmp_path / name), "c", start, end) for name in ("many", "few"))
+        assert rows(many[0], "node", "chunk") == rows(few[0], "node", "chunk") and rows(many[1], "n1", "n2") == rows(few[1], "n1", "n2")
