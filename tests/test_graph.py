@@ -593,3 +593,11 @@ def test_index_folders_are_bounded(spark, bubble, tmp_path):
     for start, end in ((1, 12), (48, 53), (500, 500), (900, 950)):
         many, few = (view.read_window(spark, str(tmp_path / name), "c", start, end) for name in ("many", "few"))
         assert rows(many[0], "node", "chunk") == rows(few[0], "node", "chunk") and rows(many[1], "n1", "n2") == rows(few[1], "n1", "n2")
+
+
+def test_ranges_of_lines_are_bounded(spark):
+    """A task gets some lines of a file at once, not the whole split, and a gene is still carried over all of them."""
+    text = spark.range(200_000).select(F.col("id").alias("line_no"), F.concat_ws("\t", F.lit("c"), F.lit("s"), F.when(F.col("id") == 0, "gene").otherwise("exon"), F.lit("1"), F.lit("9"), F.lit("."), F.lit("+"), F.lit("."), F.concat(F.lit("ID=g"), F.col("id").cast("string"))).alias("value"))
+    most = lines.ranges(text).groupBy("_range").agg(F.count("*").alias("n"), F.max("line_no").alias("last"), F.min("line_no").alias("first")).orderBy("_range").collect()
+    assert max(r["n"] for r in most) <= 1 << 16 and all(a["last"] < b["first"] for a, b in zip(most, most[1:]))
+    assert gff.gene_models(gff.records(text), []).filter("gene = 'g0'").count() == 199_999
