@@ -601,3 +601,33 @@ def test_ranges_of_lines_are_bounded(spark):
     most = lines.ranges(text).groupBy("_range").agg(F.count("*").alias("n"), F.max("line_no").alias("last"), F.min("line_no").alias("first")).orderBy("_range").collect()
     assert max(r["n"] for r in most) <= 1 << 16 and all(a["last"] < b["first"] for a, b in zip(most, most[1:]))
     assert gff.gene_models(gff.records(text), []).filter("gene = 'g0'").count() == 199_999
+
+
+def test_first_visits_by_hash(spark):
+    """What the first assembly does at a node is told without a sort of all visits, as are ordinals of names."""
+    visit = spark.createDataFrame([(2, 1, ">"), (10, 1, "<"), (3, 2, "<"), (4, 2, ">"), (0, 3, "<"), (5, 4, ">")], "asm long, node long, ori string")
+    turned = normalize.first_backwards(visit)
+    assert rows(turned, "node") == [(2,), (3,)]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan(turned)
+    named = graph.ordinals(visit, F.col("ori"), F.col("ori"))
+    assert rows(named, "name", "ordinal") == [("<", 0), (">", 1)]
+    assert "SortAggregate" not in plan(named) and "HashAggregate" in plan(named)
+
+
+def test_large_tables_are_spread(spark, monkeypatch):
+    """A task sorts a bounded number of rows, whatever the table; small tables are left to Spark."""
+    from strandline.plans import catalog
+    df = spark.range(1000)
+    assert tables.spread(df, tables.ROWS, "id").rdd.getNumPartitions() == df.rdd.getNumPartitions()
+    assert tables.spread(df, 40 * tables.ROWS + 1, "id").rdd.getNumPartitions() == 41
+    s = catalog.Scene(spark, "/root/testdata/sf0.001")
+    want = rows(s.visit(), "*"), rows(s.step(), "*"), rows(catalog.first_visit(s), "*")
+    monkeypatch.setattr(tables, "ROWS", 100)
+    s = catalog.Scene(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert s.visit().rdd.getNumPartitions() == 60 and s.step().rdd.getNumPartitions() == 28
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert (rows(s.visit(), "*"), rows(s.step(), "*"), rows(catalog.first_visit(s), "*")) == want
