@@ -631,3 +631,11 @@ def test_large_tables_are_spread(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert (rows(s.visit(), "*"), rows(s.step(), "*"), rows(catalog.first_visit(s), "*")) == want
+
+
+def test_features_of_views_are_not_broadcast(spark):
+    """Written features are small as files and large in memory: no join by their ids takes them to the driver, whatever their size."""
+    from strandline.plans import catalog
+    s = catalog.Scene(spark, "/root/testdata/sf0.001")
+    plan = catalog.view_models(s)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [fid" in plan and "BroadcastHashJoin [fid" not in plan and "BroadcastHashJoin [key" not in plan
