@@ -639,3 +639,14 @@ def test_features_of_views_are_not_broadcast(spark):
     s = catalog.Scene(spark, "/root/testdata/sf0.001")
     plan = catalog.view_models(s)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [fid" in plan and "BroadcastHashJoin [fid" not in plan and "BroadcastHashJoin [key" not in plan
+
+
+def test_run_cigars_cut_what_is_shown(spark, monkeypatch):
+    """Only the alignments that meet the view are cut."""
+    from strandline.plans import catalog
+    s, cut, whole = catalog.Scene(spark, "/root/testdata/sf0.001"), [], paths.split_cigars
+    monkeypatch.setattr(paths, "split_cigars", lambda aln, step, *a: (cut.append((aln.count(), step)), whole(aln, step, *a))[1])
+    got = catalog.run_cigars(s).select("path").distinct().count()
+    assert cut[0][0] == cut[0][1].join(s.shown(), "node", "left_semi").select("path").distinct().count() >= got > 0
+    catalog.cigar_split(s)
+    assert cut[1][0] > 5 * cut[0][0]
