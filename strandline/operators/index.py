@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import discard, durable
+from ..tables import FOLDERS, discard, durable
 from . import graph, intervals
 
 AT = ["at_chr", "at_chunk"]
@@ -38,8 +38,13 @@ def homes(edge: DataFrame, node: DataFrame, size: int = 2000) -> DataFrame:
     return node.select(*cols).join(own.unionByName(far), "node", "left").fillna({"at_chr": NOWHERE[0], "at_chunk": NOWHERE[1]})
 
 
-def write(path: str, node: DataFrame, edge: DataFrame, step: DataFrame, cov: DataFrame, feature: DataFrame, size: int = 2000) -> None:
-    """Write all tables under ``path``: chunks of ``size`` reference nodes, one file of each table a chunk, ordered by node within it."""
+def write(path: str, node: DataFrame, edge: DataFrame, step: DataFrame, cov: DataFrame, feature: DataFrame, size: int = 2000, most: int = FOLDERS) -> None:
+    """Write all tables under ``path``: chunks of ``size`` reference nodes, one file of each table a chunk, ordered by node within it.
+
+    Where that makes more than ``most`` chunks they are larger; what is answered does not depend on their size.
+    """
+    size = max(size, -(-node.filter("rank = 0").count() // most))
+    n = int(node.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     home = durable(homes(edge, node, size), "homes")
     at = home.select("node", *AT)
     ends = intervals.end_nodes(feature, node).join(feature, "fid")
@@ -57,7 +62,7 @@ def write(path: str, node: DataFrame, edge: DataFrame, step: DataFrame, cov: Dat
         cols = [x.split() for x in TABLES[name].split(", ")]
         rows = df.select(*(F.col(c).cast(t).alias(c) for c, t in cols), F.coalesce("at_chr", F.lit("")).alias("at_chr"), F.col("at_chunk").cast("long").alias("at_chunk"))
         first = {"edges": "a", "features": "start_pos"}.get(name, "node")
-        rows.repartition(*AT).sortWithinPartitions(*AT, first).write.partitionBy(*AT).parquet(f"{path}/{name}")
+        rows.repartition(n, *AT).sortWithinPartitions(*AT, first).write.partitionBy(*AT).parquet(f"{path}/{name}")
     discard(home)
 
 

@@ -89,3 +89,15 @@ def test_an_empty_window(spark, written):
     x = index.Index(spark, written)
     w = x.window("Brand#none", 1, 10)
     assert w.count() == 0 == x.search(w, 3).count() and x.edges(index.places(w)).count() == 0
+
+
+def test_chunks_are_bounded(spark, tmp_path):
+    """A large graph has larger chunks, not more folders than it is told to have."""
+    node = spark.createDataFrame([(i, "c", 5, 0, 5 * i - 4, 5 * i) for i in range(1, 41)], "node long, chr string, len long, rank int, start_pos long, end_pos long")
+    edge = spark.createDataFrame([(i, i + 1, 2) for i in range(1, 40)], "n1 long, n2 long, mark int")
+    step = node.selectExpr("1L asm", "chr", "node idx", "node", "'>' ori", "start_pos qpos", "len")
+    feature = spark.createDataFrame([(1, "c", 3, 9, "t", "+")], "fid long, chr string, start_pos long, end_pos long, track string, strand string")
+    index.write(str(tmp_path / "i"), node, edge, step, node.selectExpr("1L asm", "node", "1L cov"), feature, 1, 8)
+    assert len(list((tmp_path / "i" / "nodes").glob("at_chr=*/at_chunk=*"))) == 8
+    x = index.Index(spark, str(tmp_path / "i"))
+    assert bag(x.window("c", 11, 20), "node", "cls")[:2] == bag(graph.window_nodes(node, "c", 11, 20), "node", "cls")[:2]
