@@ -650,3 +650,33 @@ def test_run_cigars_cut_what_is_shown(spark, monkeypatch):
     assert cut[0][0] == cut[0][1].join(s.shown(), "node", "left_semi").select("path").distinct().count() >= got > 0
     catalog.cigar_split(s)
     assert cut[1][0] > 5 * cut[0][0]
+
+
+def test_long_cigars_are_not_ordered_whole(spark, monkeypatch):
+    """Of a long path only what its ranges and stretches carry over is put in one order, however they fall: long nodes and operations, gaps in idx, piles, stretches without a start, operations after the last node."""
+    import random
+    rng = random.Random(8)
+    lens = {"a": [rng.randrange(1, 40) for _ in range(3000)], "b": [1, 700, 2, 2, 900, 1, 1, 5], "c": [3] * 50, None: [9, 30, 4]}
+    step = [(path, 5 * i + (i > 2), 10 * i, n) for path, x in lens.items() for i, n in enumerate(x)]
+    cigar = {"a": "".join(f"{rng.randrange(0, 30)}{rng.choice('MDN=XISHP')}" for _ in range(6000)), "b": "2S1500M4I3P1D7I300M", "c": "1I2P" * 40 + "150M" + "1I2P" * 40 + "40M" + "3S2H" * 9, None: "3M2I40=9S", "none": "4M"}
+    aln = spark.createDataFrame([(path, 4, 7, c) for path, c in cigar.items()], "path string, pstart long, qstart long, cigar string")
+    step = spark.createDataFrame([*step, ("other", 1, 1, 5)], "path string, idx int, node long, len long")
+    cols = ("path", "idx", "node", "cigar", "qpos")
+    want = sorted(map(str, paths.split_cigars(aln, step).select(*cols).collect()))
+    assert len(want) > 2400 and any("path=None" in r for r in want)
+    whole, ordered = paths.running, []
+    monkeypatch.setattr(paths, "running", lambda df, *a: (ordered.append(df.count()), whole(df, *a))[1])
+    assert sorted(map(str, paths.split_cigars(aln, step, 0).select(*cols).collect())) == want
+    assert len(ordered) == 3 and max(ordered) < 20
+    monkeypatch.setattr(paths, "RANGE", 4)
+    monkeypatch.setattr(paths, "STRETCH", 5)
+    assert sorted(map(str, paths.split_cigars(aln, step, 0).select(*cols).collect())) == want
+    assert sorted(map(str, paths.split_cigars(aln, step, 100).select(*cols).collect())) == want
+
+
+def test_steps_of_long_walks_are_made_once(spark):
+    """What is read for the CIGARs and again for the nodes is written, not made again."""
+    from strandline.plans import catalog
+    step = catalog._walk_cigars(catalog.Scene(spark, "/root/testdata/sf0.001"))[1]
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "Window" not in plan and "Exchange" not in plan
