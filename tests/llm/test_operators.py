@@ -567,6 +567,51 @@ def test_hot_cells_are_told_by_the_histogram(spark, monkeypatch):
     assert bag(map(tuple, got)) == bag(brute_bytes([(i, x, None) for i, x in enumerate(texts)], 50))
 
 
+def test_only_runs_that_share_a_side_are_fetched(spark, monkeypatch):
+    """Runs with the same 16 bytes, but other ones within the 17 before and behind, are not looked up; whatever may hold an equal window is."""
+    import random
+    rng = random.Random(8)
+    noise = lambda n, of="abcdefghijklmnopqrstuvwxyz ": "".join(rng.choice(of) for _ in range(n))
+    word, fetched, real = noise(24), [], suffix_levels.match_windows
+
+    def counted(contents, size):
+        fetched.append(sum(len(win.from_planes(r["lengths"], np.uint32)) for r in contents.collect()))
+        return real(contents, size)
+
+    monkeypatch.setattr(suffix_levels, "match_windows", counted)
+    apart = [noise(60) + word + noise(60) for _ in range(300)]
+    got = suffix_levels.deduplicate(spark.createDataFrame(list(enumerate(apart)), "doc_id long, text string")).select(SUFFIX).collect()
+    assert fetched == [0, 0, 0] and not any(r["n_removed"] for r in got)
+    passage = noise(70)
+    near = [noise(rng.randrange(40)) + passage[k % 19 : k % 19 + 49 + k % 3] + noise(rng.randrange(40)) for k in range(60)] + [noise(60, "ab") for _ in range(40)]
+    near += [noise(30) + near[k][:55] + noise(30) for k in range(0, 60, 7)] + [noise(20) + x + noise(20) for x in near[70:]]
+    frame = spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")
+    for size in (50, 21):
+        assert bag(map(tuple, suffix_levels.deduplicate(frame, size).select(SUFFIX).collect())) == bag(brute_bytes([(i, x, None) for i, x in enumerate(near)], size))
+    assert max(fetched) > 0
+
+
+def test_windows_of_equal_hash_are_told_apart_by_their_bytes(monkeypatch):
+    """Should hashes clash, windows are ordered by their bytes."""
+    data = np.frombuffer(b"abcabcabdabcabcabc" * 5, np.uint8)
+    at = np.arange(len(data) - 5)
+    kinds = lambda: sorted(tuple(sorted(x.tolist())) for x in np.split(*(lambda o, h: (at[o], h[1:]))(*suffix_levels.alike(data, at, 6))))
+    want = kinds()
+    assert {tuple(bytes(data[i : i + 6]) for i in x)[0] for x in want} == {bytes(data[i : i + 6]) for i in at} and len(want) < len(at)
+    monkeypatch.setattr(win, "hashes_at", lambda symbols, at, lengths: np.zeros(len(at), np.uint64))
+    assert kinds() == want
+
+
+def test_arrays_in_the_order_of_bytes():
+    """Ranks sorted as one number give the order of all keys, whatever is equal."""
+    rng = np.random.default_rng(3)
+    few = lambda n, shift: rng.integers(0, n, 3000).astype(np.uint64) << np.uint64(shift)
+    for hi, lo, body in ((few(5, 0), few(50, 58), few(3, 62)), (few(1, 0), few(1, 0), few(3, 0)), [rng.integers(0, 1 << 63, 3000).astype(np.uint64) for _ in range(3)], [np.zeros(0, np.uint64)] * 3):
+        least = rng.integers(-5, 5, len(hi))
+        got, want = suffix_levels.byte_order(hi, lo, body, least), np.lexsort((least, body, lo, hi))
+        assert all((x[got] == x[want]).all() for x in (hi, lo, body, least))
+
+
 def test_a_stored_family_takes_later_batches(spark, docs):
     """Adding batches to stored levels equals a rebuild; without the levels matches with older batches are lost; levels shrink geometrically and are in the order of bytes."""
     rows = sorted(((i if i is not None else 10**6, t) for i, t, _ in plain(docs)))
